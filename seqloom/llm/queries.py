@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, exact_dedup, token_counts, token_files
+from seqloom.llm import bpe, exact_dedup, quality, token_counts, token_files, toxicity
 from seqloom.llm.common import shared_folder, table
 
 
@@ -31,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(names, ["file", "doc_no"], "left").select("doc_id", "n_tokens", "file", "doc_no", "start", "closed")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -39,6 +43,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -57,8 +65,10 @@ def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op3_token_counts": op3_token_counts,
+        "op4_quality": op4_quality,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op7_exact_dedup": op7_exact_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
