@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, exact_dedup, quality, token_counts, token_files, toxicity
+from seqloom.llm import bpe, exact_dedup, ngram_join, quality, token_counts, token_files, toxicity
 from seqloom.llm.common import shared_folder, table
 
 
@@ -43,6 +43,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +65,34 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []
+           WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+rare AS (SELECT g FROM e GROUP BY g HAVING count(*) > 1),
+f AS (SELECT e.* FROM e JOIN rare USING (g)),
+p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT u, v FROM p WHERE 100 * i >= 75 * (na + nb - i)),
+both_ways AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents
+  UNION
+  SELECT reach.u, both_ways.v FROM reach JOIN both_ways ON reach.v = both_ways.u)
+SELECT s.doc_id, len(s.sh) AS n_shingles, c.component_id
+FROM s JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON s.doc_id = c.u
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
@@ -68,9 +100,10 @@ def queries() -> dict:
         "op4_quality": op4_quality,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op9_ngram_jaccard": OP9_SQL}
