@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, exact_dedup, ngram_join, quality, token_counts, token_files, toxicity
+from seqloom.llm import bpe, decontamination, exact_dedup, ngram_join, quality, token_counts, token_files, toxicity
 from seqloom.llm.common import shared_folder, table
 
 
@@ -21,6 +21,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.summarise_token_files(spark, path)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "flat-tokens")
     end_id = 49407
@@ -96,6 +100,7 @@ FROM s JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON s.doc_
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
+        "op2_decontamination": op2_decontamination,
         "op3_token_counts": op3_token_counts,
         "op4_quality": op4_quality,
         "op5_bpe_round_trip": op5_bpe_round_trip,
