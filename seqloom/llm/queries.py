@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, decontamination, exact_dedup, ngram_join, quality, token_counts, token_files, toxicity
+from seqloom.llm import bpe, decontamination, exact_dedup, ngram_join, quality, suffixes, token_counts, token_files, toxicity
 from seqloom.llm.common import shared_folder, table
 
 
@@ -47,6 +47,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -105,6 +109,7 @@ def queries() -> dict:
         "op4_quality": op4_quality,
         "op5_bpe_round_trip": op5_bpe_round_trip,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_repeated_passages": op8_repeated_passages,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_toxicity": op10_toxicity,
     }
