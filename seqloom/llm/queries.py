@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, decontamination, exact_dedup, ngram_join, quality, suffixes, token_counts, token_files, toxicity
+from seqloom.llm import bpe, decontamination, exact_dedup, html_extraction, ngram_join, quality, suffixes, token_counts, token_files, toxicity
 from seqloom.llm.common import shared_folder, table
 
 
@@ -43,6 +43,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,15 +77,28 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
 
+#: The marks that the pages of this corpus have: one article of h1 and p, of which nothing else is in it.
+OP6_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+b AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(p|h1)>', chr(1), 'g'), '<[^>]*>', ' ', 'g') AS body FROM a),
+c AS (
+  SELECT page_id, url, list_filter(list_transform(string_split(body, chr(1)),
+           lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS ls
+  FROM (SELECT page_id, url, replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS body FROM b))
+SELECT page_id, url, array_to_string(ls, chr(10)) AS text, length(array_to_string(ls, chr(10))) AS n_chars FROM c
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN []
            WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-           ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) END AS sh
+           ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
   FROM w),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 rare AS (SELECT g FROM e GROUP BY g HAVING count(*) > 1),
@@ -108,6 +125,7 @@ def queries() -> dict:
         "op3_token_counts": op3_token_counts,
         "op4_quality": op4_quality,
         "op5_bpe_round_trip": op5_bpe_round_trip,
+        "op6_main_text": op6_main_text,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_repeated_passages": op8_repeated_passages,
         "op9_ngram_jaccard": op9_ngram_jaccard,
@@ -116,4 +134,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op9_ngram_jaccard": OP9_SQL}
+    return {"op6_main_text": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_ngram_jaccard": OP9_SQL}
