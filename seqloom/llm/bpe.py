@@ -20,21 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import texts
-from seqloom.llm.vocabulary import PieceCache
+from seqloom.llm.vocabulary import PieceCache, byte_letters
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 _loaded: dict = {}
 
 
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    letters = {b: chr(b) for b in plain}
-    for b in range(256):
-        letters.setdefault(b, chr(256 + len(letters) - len(plain)))
-    return [letters[b] for b in range(256)]
-
-
 class WordBpe:
     """The rules of a tokenizer file of the kind BPE with word ends, lower case and byte letters."""
 
@@ -52,7 +43,7 @@ class WordBpe:
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         # in this pattern \s is Unicode's White_Space
         self.words = regex.compile(split["pattern"]["Regex"].replace("\\s", r"\p{White_Space}"))
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.tokens: list[str] = [""] * (1 + max([*self.vocab.values(), *self.specials.values()]))
         for t, i in [*self.vocab.items(), *self.specials.items()]:
             self.tokens[i] = t
@@ -232,17 +223,21 @@ def _run(df: DataFrame, path: str, id_col: str, text_col: str, decoded: bool) ->
     return _map(df, path, id_col, text_col, result, _RESULT, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def digests(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): ``encode_decode`` with the digests made where
-    the ids are, so that neither ids nor texts leave the worker."""
+def digests(df: DataFrame, tokenizer_path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): ``encode_decode`` with the digests made
+    where the ids are, so that texts, and ids unless asked for, don't leave the worker."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    if with_ids:
+        schema, ddl = schema.append(pa.field("ids", pa.binary())), ddl + ", ids binary"
 
     def result(docs, ids, rules):
         of_ids = [hashlib.sha256(x).hexdigest() for x in ids]
         of_texts = [hashlib.sha256(rules.decode(x).encode()).hexdigest() for x in ids]
-        return [docs, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
+        columns = [docs, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
+        return [*columns, pa.array(ids, pa.binary())] if with_ids else columns
 
-    return _map(df, tokenizer_path, id_col, text_col, result, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _map(df, tokenizer_path, id_col, text_col, result, schema, ddl)
 
 
 def _map(df: DataFrame, path: str, id_col: str, text_col: str, result, schema: pa.Schema, ddl: str) -> DataFrame:

@@ -70,3 +70,22 @@ def exact_duplicates(
         ((F.col("rank") == F.col("best")) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``exact_duplicates`` keeps, with all their columns.
+
+    Rows with a null id can't be told apart by it and stay.
+    """
+    found = exact_duplicates(df, id_col, text_col)
+    by_id = found.groupBy("doc_id").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n")).where("NOT any_kept OR n > 1")
+    special = by_id.select(F.col("doc_id").alias("__id"), "any_kept")
+    of_id = F.col(id_col).cast("long") == F.col("__id")
+    plain = df.join(special.drop("any_kept"), of_id, "left_anti")
+    # ids of several rows: of each kept text the longest row stays
+    repeated = df.join(special.where("any_kept").drop("any_kept"), of_id)
+    repeated = repeated.withColumn("__sha", F.sha2(normalised(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    order = Window.partitionBy("__id", "__sha").orderBy(F.char_length(F.coalesce(F.col(text_col), F.lit(""))).desc())
+    repeated = repeated.withColumn("__place", F.row_number().over(order)).where("__place = 1")
+    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    return plain.unionByName(repeated.join(kept, ["__id", "__sha"], "left_semi").select(*df.columns))

@@ -223,21 +223,11 @@ def score(
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
-                if len(known) > 400_000:
-                    known.clear()
                 lists, stats = [], []
                 for text, n_chars in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
-                    words = text.lower().split()
-                    found: set[int] = set()
-                    for w in set(words):
-                        hit = known.get(w)
-                        if hit is None:
-                            hit = known[w] = tuple(terms[h] for h in map(_hash, terms_of(w)) if h in terms)
-                        if hit:
-                            found.update(hit)
-                    lists.append(sorted(found))
+                    lists.append(sorted(_columns_of(text, terms, known)))
                     if with_stats:
-                        stats.append(statistics_of(text, words, n_chars))
+                        stats.append(statistics_of(text, text.lower().split(), n_chars))
                 raw = model.raw(*_entries(lists, np.array(stats) if with_stats else None, model), len(lists))
                 scores = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scores, pa.float64())], schema=schema)
@@ -250,3 +240,38 @@ def classify(df: DataFrame, model: Model, modulus: int, remainder: int, threshol
     return score(df, model, **columns).select(
         "doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def below(df: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose score is below ``threshold``, with all their columns; nothing is shuffled.
+
+    Only for models without statistics, which need the text alone.
+    """
+    if len(model.mean):
+        raise ValueError("this model needs statistics and metadata")
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                lists = [sorted(_columns_of(t or "", model.terms, known)) for t in some.column(at).to_pylist()]
+                raw = model.raw(*_entries(lists, None, model), len(lists))
+                yield some.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _columns_of(text: str, terms: dict[int, int], known: dict[str, tuple[int, ...]]) -> set[int]:
+    """The model's columns of the terms of a text."""
+    if len(known) > 400_000:
+        known.clear()
+    found: set[int] = set()
+    for w in set(text.lower().split()):
+        hit = known.get(w)
+        if hit is None:
+            hit = known[w] = tuple(terms[h] for h in map(_hash, terms_of(w)) if h in terms)
+        if hit:
+            found.update(hit)
+    return found

@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -84,13 +85,17 @@ def bit_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch as it would be with fewer bits."""
+    x = np.frombuffer(sketch, np.uint64)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def hamming(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) != len(y):
-        long = x if len(x) > len(y) else y
-        folded = long[: len(long) // 2] ^ long[len(long) // 2 :]
-        x, y = (folded, y) if long is x else (x, folded)
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
 
 
 def may_link(n_a: int, n_b: int, sketch_a: bytes, sketch_b: bytes) -> bool:
@@ -300,17 +305,20 @@ def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, blo
         F.pmod(h, blocks("size")).cast("int").alias("j"), F.lit(False).alias("left"), "cls", "label", "n", "sketch",
     )
 
-    def compare(pdf):
-        import pandas as pd
-
-        x, y = pdf[pdf["left"]], pdf[~pdf["left"]]
-        found = set()
-        for c, lab, n, s in zip(x["cls"], x["label"], x["n"], x["sketch"], strict=True):
-            near = y[(y["label"] != lab) & (4 * y["n"] >= 3 * n) & (3 * y["n"] <= 4 * n)]
-            for c2, n2, s2 in zip(near["cls"], near["n"], near["sketch"], strict=True):
-                if may_link(n, n2, s, s2):
-                    found.add((min(c, c2), max(c, c2)))
-        return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, label, cls = (pdf[c].to_numpy() for c in ("n", "label", "cls"))
+        least = min(map(len, pdf["sketch"]))
+        bits = np.stack([np.frombuffer(_folded(s, least), np.uint64) for s in pdf["sketch"]])
+        x, y = np.flatnonzero(pdf["left"]), np.flatnonzero(~pdf["left"])
+        found = []
+        for lo in range(0, len(x), 32):
+            some = x[lo : lo + 32]
+            distance = np.bitwise_count(bits[some][:, None] ^ bits[y][None]).sum(axis=2, dtype=np.int64)
+            n1, n2 = n[some][:, None], n[y][None]
+            ok = (7 * distance <= n1 + n2) & (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)) & (label[some][:, None] != label[y][None])
+            i, k = np.nonzero(ok)
+            found.append(np.sort(np.stack([cls[some[i]], cls[y[k]]], axis=1), axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
     return left.unionByName(right).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
@@ -364,3 +372,10 @@ def near_duplicates(
     return members.join(of_class, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of its component, with all their columns; null ids stay."""
+    found = near_duplicates(df, id_col, text_col).where("doc_id != component_id")
+    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
+    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -9,7 +9,8 @@ from seqloom.llm import bpe, decontamination, exact_dedup, html_extraction, ngra
 from seqloom.llm.common import shared_folder, table
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
+    """The public tokenizer that the queries take."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -17,7 +18,7 @@ def _tokenizer() -> str:
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
-    token_files.write_token_files(table(spark, sf_dir, "documents"), path, _tokenizer(), end_id=1)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=1)
     return token_files.summarise_token_files(spark, path)
 
 
@@ -28,7 +29,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "flat-tokens")
     end_id = 49407
-    token_counts.write_flat_tokens(table(spark, sf_dir, "documents"), path, _tokenizer(), end_id)
+    token_counts.write_flat_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id)
     flat = spark.read.schema(token_counts.FLAT).parquet(path)
     counts = token_counts.count_tokens(flat.where(F.col("kind") == "tokens"), end_id)
     names = flat.where(F.col("kind") == "names").select("file", "doc_no", "doc_id")
@@ -40,7 +41,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), _tokenizer())
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ class WordHashes:
     """64-bit hashes of words; those met before are kept, up to a limit."""
 
     def __init__(self, limit: int = 500_000):
-        self.known: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}
         self.limit = limit
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -34,11 +34,15 @@ class WordHashes:
         if len(known) > self.limit:
             known.clear()
         try:
-            return np.array([known[w] for w in words], dtype=np.uint64)
+            return np.frombuffer(b"".join([known[w] for w in words]), dtype=np.uint64)
         except KeyError:
             for w in set(words).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            return np.array([known[w] for w in words], dtype=np.uint64)
+                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")).to_bytes(8, "little")
+            return np.frombuffer(b"".join([known[w] for w in words]), dtype=np.uint64)
+
+
+#: Odd multipliers, one for each place in a run of words.
+_PLACES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -50,8 +54,8 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     out = np.full(n - k + 1, np.uint64(k))
     with np.errstate(over="ignore"):
         for i in range(k):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n - k + 1 + i])
-    return out
+            out += hashes[i : n - k + 1 + i] * _PLACES[i]
+    return mix64(out)
 
 
 def shingle_set(text: str, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:

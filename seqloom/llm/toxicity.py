@@ -15,5 +15,13 @@ MODULUS, REMAINDER, THRESHOLD = 3, 1, 0.7
 def score_toxicity(df: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``df``. Of its columns only doc_id and
     text are read; of ``labels`` doc_id and toxic."""
-    model = factorization.fit_on_labels(df, labels, "toxic", MODULUS, REMAINDER, max_rows, with_stats=False, n_chars_col=None)
-    return factorization.classify(df, model, MODULUS, REMAINDER, THRESHOLD, n_chars_col=None)
+    return factorization.classify(df, _model(df, labels, max_rows), MODULUS, REMAINDER, THRESHOLD, n_chars_col=None)
+
+
+def reject_toxic(df: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
+    """The rows of ``df`` that ``score_toxicity`` predicts 0 for, with all their columns."""
+    return factorization.below(df, _model(df, labels, max_rows), THRESHOLD)
+
+
+def _model(df: DataFrame, labels: DataFrame, max_rows: int) -> factorization.Model:
+    return factorization.fit_on_labels(df, labels, "toxic", MODULUS, REMAINDER, max_rows, with_stats=False, n_chars_col=None)

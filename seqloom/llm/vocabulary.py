@@ -7,6 +7,7 @@ its white-space-separated pieces in turn. Pieces repeat; each worker keeps those
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 
@@ -22,23 +23,76 @@ def pieces(text: str) -> list[str]:
     return text.split()
 
 
+class _Generations:
+    """A dict that forgets what two generations of ``limit`` entries haven't asked for."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.before = limit, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that are not known; those that are known are in ``now`` afterwards."""
+        if len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
+        absent = keys.difference(self.now)
+        if self.before:
+            found = {k: v for k in absent if (v := self.before.get(k)) is not None}
+            self.now.update(found)
+            absent.difference_update(found)
+        return list(absent)
+
+
+#: Punctuation that ends a piece and is a run of its own, whatever letters stand before it.
+_TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+
+def plain(word: str) -> bool:
+    """Letters in composed form whose lower case does not depend on what stands beside them."""
+    return word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and "Σ" not in word and "İ" not in word))
+
+
 class PieceCache:
-    """Ids of pieces as little-endian uint32 bytes, computed in batches by ``encode_many``."""
+    """Ids of pieces as little-endian uint32 bytes, computed in batches by ``encode_many``.
 
-    def __init__(self, encode_many, limit: int = 400_000):
-        self.encode_many, self.limit, self.known = encode_many, limit, {}
+    A new piece that is letters and then punctuation is put together from its two parts, so that a
+    word is encoded once for all its endings and capitals.
+    """
+
+    def __init__(self, encode_many, limit: int = 250_000):
+        self.encode_many = encode_many
+        self.whole, self.parts = _Generations(limit), _Generations(limit)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [pieces(t) for t in texts]
-        missing = list(set().union(*split).difference(self.known)) if split else []
-        known = self.known
-        if len(known) + len(missing) > self.limit:
-            known = self.known = {}
-            missing = list(set().union(*split))
-        for start in range(0, len(missing), 50_000):
-            part = missing[start : start + 50_000]
-            known.update(zip(part, self.encode_many(part), strict=True))
-        return [b"".join([known[p] for p in s]) for s in split]
+        new = self.whole.missing(set().union(*split)) if split else []
+        if new:
+            plans, wanted = [], set()
+            for piece in new:
+                core = piece.rstrip(_TAIL)
+                if plain(core):
+                    plan = (core.lower(), piece[len(core) :])
+                else:
+                    plan = (piece, "")
+                plans.append(plan)
+                wanted.update(plan)
+            wanted.discard("")
+            unknown = self.parts.missing(wanted)
+            for start in range(0, len(unknown), 50_000):
+                some = unknown[start : start + 50_000]
+                self.parts.now.update(zip(some, self.encode_many(some), strict=True))
+            known = self.parts.now
+            for piece, (core, tail) in zip(new, plans, strict=True):
+                self.whole.now[piece] = known[core] + known[tail] if tail else known[core]
+        ids = self.whole.now
+        return [b"".join([ids[p] for p in s]) for s in split]
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 as it is, the rest from U+0100 on."""
+    plain_bytes = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    letters = {b: chr(b) for b in plain_bytes}
+    for b in range(256):
+        letters.setdefault(b, chr(256 + len(letters) - len(plain_bytes)))
+    return [letters[b] for b in range(256)]
 
 
 _loaded: dict = {}
@@ -58,9 +112,21 @@ def library_cache(path: str, specials_as_text: bool = False) -> PieceCache:
         tok.no_padding()
         tok.encode_special_tokens = specials_as_text
 
+        size = tok.get_vocab_size(with_added_tokens=True)
+        coded = [x.tobytes() for x in np.arange(size, dtype="<u4")]
+        letters = {b: x for b, x in enumerate(byte_letters())}
+        model = tok.model  # a word of lower-case letters needs neither normalising nor splitting
+
         def encode_many(part: list[str]) -> list[bytes]:
-            found = tok.encode_batch_fast(part, add_special_tokens=False)
-            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+            words = [p for p in part if plain(p) and p == p.lower()]
+            known = {}
+            for w in words:
+                form = w if w.isascii() else w.encode().decode("latin-1").translate(letters)
+                known[w] = b"".join([coded[t.id] for t in model.tokenize(form)])
+            rest = [p for p in part if p not in known]
+            for p, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                known[p] = b"".join([coded[i] for i in e.ids])
+            return [known[p] for p in part]
 
         _loaded[key] = PieceCache(encode_many)
     return _loaded[key]
