@@ -14,9 +14,10 @@ Two texts link when 100 * |A & B| >= 75 * |A | B|; then |A ^ B| <= (|A| + |B|) /
   sketches is at most |A ^ B|, so pairs beyond D are dropped; the longer sketch is folded first.
 * Verification compares the whole sets, made again from the texts.
 
-Large meeting groups are not paired out. Their members are compared with the first one; only
-where the members aren't all in one component in the end are the pairs between components tested,
-in blocks of bounded size, so that no link is lost.
+Large meeting groups are not paired out. Their members are compared with the first one. Where the
+members aren't all in one component then, each member outside the largest one is compared with its
+nearest partner by bit sketch, and at last the pairs between components that are still left are
+tested, in blocks of bounded size, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from seqloom.llm.shingles import WordHashes, shingle_set
 #: Meeting groups up to this size are paired out at once.
 SMALL_GROUP = 48
 #: Members of a larger group that one task compares with as many others.
-BLOCK = 512
+BLOCK = 2048
 SMALL_SET, SAMPLED_BAND = 16, 9
 
 
@@ -278,11 +279,12 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return sent.repartition(n, "a", "b").sortWithinPartitions("a", "b", "cls").mapInArrow(compare, "a long, b long")
 
 
-def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, block: int, best: bool) -> DataFrame:
     """Pairs between the components of large meeting groups that sizes and sketches allow to link.
 
     The members of a group's largest component need no test among themselves; every other member is
-    compared with all members of other components, in blocks of about ``block`` by ``block``.
+    compared with all members of other components, in blocks of about ``block`` by ``block``. With
+    ``best`` only the nearest partner of each such member is returned.
     """
     named = groups.join(labels, groups.b == labels.node, "left").select(
         F.col("a").alias("key"), F.col("b").alias("cls"), F.coalesce("label", "b").alias("label")
@@ -291,36 +293,49 @@ def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, blo
     sizes = counts.groupBy("key").agg(
         F.sum("m").alias("size"), F.max("m").alias("top"), F.max_by("label", F.struct("m", "label")).alias("main")
     )
-    open_ = sizes.where("size > top")
-    rows = named.join(open_, "key").withColumn("minor", F.col("label") != F.col("main"))
-    rows = rows.join(classes.select("cls", "n", "sketch"), "cls")
-    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    h = F.xxhash64("cls")
-    left = rows.where("minor").select(
-        "key", F.pmod(h, F.ceil((F.col("size") - F.col("top")) / block)).cast("int").alias("i"),
-        F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("j"), F.lit(True).alias("left"), "cls", "label", "n", "sketch",
-    )
-    right = rows.select(
-        "key", F.explode(F.sequence(F.lit(0), F.ceil((F.col("size") - F.col("top")) / block).cast("int") - 1)).alias("i"),
-        F.pmod(h, blocks("size")).cast("int").alias("j"), F.lit(False).alias("left"), "cls", "label", "n", "sketch",
-    )
+    open_ = sizes.where("size > top").select(
+        "key", "main", F.ceil((F.col("size") - F.col("top")) / block).cast("int").alias("m_blocks"), F.ceil(F.col("size") / block).cast("int").alias("blocks")
+    )
+    rows = named.join(open_, "key").join(classes.select("cls", "n", "sketch"), "cls")
+    rows = rows.withColumn("minor", F.col("label") != F.col("main")).withColumn("h", F.xxhash64("cls"))
+    # i: block of the members outside the largest component; j: block of all members
+    rows = rows.withColumn(
+        "at",
+        F.expr("""explode(if(m_blocks = 1 AND blocks = 1, array(struct(0 AS i, 0 AS j, minor AS x, true AS y)), concat(
+          if(minor, transform(sequence(0, blocks - 1), j -> struct(cast(pmod(h, m_blocks) AS int) AS i, j AS j, true AS x, false AS y)),
+             cast(array() AS array<struct<i: int, j: int, x: boolean, y: boolean>>)),
+          transform(sequence(0, m_blocks - 1), i -> struct(i AS i, cast(pmod(h, blocks) AS int) AS j, false AS x, true AS y)))))"""),
+    )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         n, label, cls = (pdf[c].to_numpy() for c in ("n", "label", "cls"))
         least = min(map(len, pdf["sketch"]))
-        bits = np.stack([np.frombuffer(_folded(s, least), np.uint64) for s in pdf["sketch"]])
-        x, y = np.flatnonzero(pdf["left"]), np.flatnonzero(~pdf["left"])
-        found = []
-        for lo in range(0, len(x), 32):
+        bits = np.stack([_folded(s, least) for s in pdf["sketch"]])
+        x, y = np.flatnonzero(pdf["x"]), np.flatnonzero(pdf["y"])
+        found = [np.zeros((0, 2), np.int64)]
+        far = [np.zeros(0)]
+        for lo in range(0, len(x) if len(y) else 0, 32):
             some = x[lo : lo + 32]
             distance = np.bitwise_count(bits[some][:, None] ^ bits[y][None]).sum(axis=2, dtype=np.int64)
             n1, n2 = n[some][:, None], n[y][None]
             ok = (7 * distance <= n1 + n2) & (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)) & (label[some][:, None] != label[y][None])
+            ratio = np.where(ok, distance / (n1 + n2), np.inf)
+            if best:
+                nearest = ratio.argmin(axis=1)
+                ok = np.zeros_like(ok)
+                ok[np.arange(len(some)), nearest] = np.isfinite(ratio[np.arange(len(some)), nearest])
             i, k = np.nonzero(ok)
-            found.append(np.sort(np.stack([cls[some[i]], cls[y[k]]], axis=1), axis=1))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
+            found.append(np.stack([cls[some[i]], cls[y[k]]], axis=1))
+            far.append(ratio[i, k])
+        out = pd.DataFrame(np.concatenate(found), columns=["z", "x"])
+        out["far"] = np.concatenate(far)
+        return out
 
-    return left.unionByName(right).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    rows = rows.select("key", "cls", "label", "n", "sketch", "at.i", "at.j", "at.x", "at.y")
+    met = rows.groupBy("key", "i", "j").applyInPandas(compare, "z long, x long, far double")
+    if best:
+        met = met.groupBy("z").agg(F.min(F.struct("far", "x")).alias("to")).select("z", "to.x")
+    return met.select(F.least("z", "x").alias("a"), F.greatest("z", "x").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -360,9 +375,13 @@ def near_duplicates(
     labels = components(links)
     groups = met.where("kind = 'group'").select("a", "b")
     if not groups.isEmpty():
-        more = materialise(_within_groups(groups, labels, classes, block), "candidates")
-        if not more.isEmpty():
-            labels = components(links.union(materialise(_verify(more, classes, docs), "links")))
+        # the nearest partners join most of what is left; then every pair that may still matter
+        for best in (True, False):
+            more = materialise(_within_groups(groups, labels, classes, block, best), "candidates")
+            if more.isEmpty():
+                break
+            links = links.union(materialise(_verify(more, classes, docs), "links"))
+            labels = components(links)
     # the smallest document of each component, by way of the classes
     smallest = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     smallest = smallest.join(labels, F.col("cls") == F.col("node"), "left")

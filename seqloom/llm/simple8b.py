@@ -28,15 +28,16 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
     best = np.full(n, ESCAPE, dtype=np.int8)
-    at = np.arange(n, dtype=np.int32)
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, width = SELECTORS[s]
-        narrow = ids < np.uint64(1 << width)
-        if np.count_nonzero(narrow) < count:
+        # where ``count`` values of at most ``width`` bits begin, by doubling
+        fits, have = ids < np.uint64(1 << width), 1
+        while have < count and len(fits) > count - have and fits.any():
+            step = min(have, count - have)
+            fits, have = fits[:-step] & fits[step:], have + step
+        if have < count:
             break  # the narrower selectors hold more values
-        # where the next value stands that is too wide
-        reach = np.minimum.accumulate(np.where(narrow, np.int32(n), at)[::-1])[::-1]
-        best[reach - at >= count] = s
+        best[: len(fits)][fits] = s
     # the walk from word to word; the rest is done on whole arrays
     step = np.array([c for c, _ in SELECTORS] + [1])[best].tolist()
     starts, i = [], 0

@@ -98,35 +98,59 @@ def byte_letters() -> list[str]:
 _loaded: dict = {}
 
 
-def library_cache(path: str, specials_as_text: bool = False) -> PieceCache:
-    """Pieces encoded by the tokenizers library; one cache for each worker process."""
-    key = ("library", path, specials_as_text)
-    if key not in _loaded:
+class LibraryPieces(dict):
+    """Ids of pieces as little-endian uint32 bytes, by the tokenizers library; pieces are encoded
+    when they are first asked for. A piece of letters and then punctuation is put together from its
+    two parts, so that a word is encoded once for all its endings and capitals."""
+
+    def __init__(self, path: str, specials_as_text: bool, limit: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
         tok.encode_special_tokens = specials_as_text
+        self.tok, self.model, self.limit = tok, tok.model, limit
+        self.parts: dict[str, bytes] = {}
+        self.coded = [x.tobytes() for x in np.arange(tok.get_vocab_size(with_added_tokens=True), dtype="<u4")]
+        self.letters = {b: x for b, x in enumerate(byte_letters())}
+
+    def __missing__(self, piece: str) -> bytes:
+        core = piece.rstrip(_TAIL)
+        if plain(core):
+            low, tail = core.lower(), piece[len(core) :]
+            ids = self.parts.get(low)
+            if ids is None:
+                # a word of lower-case letters needs neither normalising nor splitting
+                form = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                ids = self.parts[low] = b"".join([self.coded[t.id] for t in self.model.tokenize(form)])
+            if tail:
+                ends = self.parts.get(tail)
+                ids += ends if ends is not None else self.parts.setdefault(tail, self._encode(tail))
+        else:
+            ids = self._encode(piece)
+        self[piece] = ids
+        return ids
+
+    def _encode(self, piece: str) -> bytes:
+        return b"".join([self.coded[i] for i in self.tok.encode(piece, add_special_tokens=False).ids])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self) > self.limit:
+            self.clear()
+        if len(self.parts) > self.limit:
+            self.parts.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, pieces(t))) for t in texts]
+
 
-        size = tok.get_vocab_size(with_added_tokens=True)
-        coded = [x.tobytes() for x in np.arange(size, dtype="<u4")]
-        letters = {b: x for b, x in enumerate(byte_letters())}
-        model = tok.model  # a word of lower-case letters needs neither normalising nor splitting
-
-        def encode_many(part: list[str]) -> list[bytes]:
-            words = [p for p in part if plain(p) and p == p.lower()]
-            known = {}
-            for w in words:
-                form = w if w.isascii() else w.encode().decode("latin-1").translate(letters)
-                known[w] = b"".join([coded[t.id] for t in model.tokenize(form)])
-            rest = [p for p in part if p not in known]
-            for p, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                known[p] = b"".join([coded[i] for i in e.ids])
-            return [known[p] for p in part]
-
-        _loaded[key] = PieceCache(encode_many)
+def library_cache(path: str, specials_as_text: bool = False) -> LibraryPieces:
+    """The pieces of one tokenizer; one cache for each worker process."""
+    key = (path, specials_as_text)
+    if key not in _loaded:
+        _loaded[key] = LibraryPieces(path, specials_as_text)
     return _loaded[key]
