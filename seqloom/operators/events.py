@@ -113,8 +113,10 @@ _BLOCK = 256
 def _nonlinear(events: DataFrame, run_len_s: float, resolution_s: float) -> DataFrame:
     """v(t) = max(0, 1 - sum of the saturation at the lags of the impulses before t, in whole seconds).
 
+    For the first impulse of an event the lags count one second more.
+
     Saturation falls geometrically, so the sum over all earlier impulses is one running sum,
-    g(0) / e(t) * sum of e(s) over s < t with e(s) = exp(decay * s); no pair of impulses is joined.
+    g(first) / e(t) * sum of e(s) over s < t with e(s) = exp(decay * s); no pair of impulses is joined.
     It runs in blocks: of the blocks before the last one less than 1e-77 is left.
     """
     keys = [RUN, "trial_type"]
@@ -123,10 +125,11 @@ def _nonlinear(events: DataFrame, run_len_s: float, resolution_s: float) -> Data
     impulses = impulses.select(
         *keys,
         (F.floor("onset_s") + F.col("second")).cast("long").alias("t"),
+        F.struct("event_idx", (F.col("second") == 0).cast("int").alias("first")).alias("last"),
         (_sample(F.col("onset_s"), resolution_s) + (F.col("second") / F.lit(resolution_s)).cast("long")).alias("sample"),
     )
     # impulses of one second count once
-    impulses = impulses.groupBy(*keys, "t").agg(F.max("sample").alias("sample")).withColumn("block", F.floor(F.col("t") / _BLOCK))
+    impulses = impulses.groupBy(*keys, "t").agg(F.max("sample").alias("sample"), F.max("last")["first"].alias("first")).withColumn("block", F.floor(F.col("t") / _BLOCK))
     power = F.exp(F.lit(SATURATION_DECAY) * (F.col("t") - _BLOCK * (F.col("block") + 1)))
     impulses = impulses.withColumn("power", power)
     earlier = Window.partitionBy(*keys, "block").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,7 +137,7 @@ def _nonlinear(events: DataFrame, run_len_s: float, resolution_s: float) -> Data
         (F.sum("power") * math.exp(-SATURATION_DECAY * _BLOCK)).alias("carried")
     )
     past = F.coalesce(F.sum("power").over(earlier), F.lit(0.0)) + F.coalesce("carried", F.lit(0.0))
-    left = F.greatest(F.lit(0.0), 1 - saturation(F.lit(0.0)) * past / F.col("power"))
+    left = F.greatest(F.lit(0.0), 1 - saturation(F.col("first")) * past / F.col("power"))
     values = impulses.join(carried, [*keys, "block"], "left").withColumn("value", left)
     inside = values.where((F.col("sample") >= 0) & (F.col("sample") < int(run_len_s / resolution_s)))
     return inside.groupBy(*keys, "sample").agg(F.max_by("value", "t").alias("value"))

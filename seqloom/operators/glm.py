@@ -124,7 +124,8 @@ def fit(
     One row for each series: key, beta, cov (the inverse of the whitened X'X), ar, sse, dof. Order 0 is
     ordinary least squares. ``ar`` names a column with parameters that are already known (smoothed ones,
     say). The sum of squares is of the whitened first residual, or r0 + sum a_i r_i with ``ar_sse``.
-    dof is frames minus the rank of the design. Series of another length or with NaN give NaN results.
+    dof is frames minus the rank of the design. Series that are null, of another length or with NaN give
+    null estimates and a null sum of squares.
     """
     x = np.ascontiguousarray(design, dtype=float)
     n, r = x.shape

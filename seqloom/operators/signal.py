@@ -67,14 +67,17 @@ def filter_array(ts: Column | str, sections: list[tuple[float, ...]]) -> Column:
     out = F.col(ts) if isinstance(ts, str) else ts
     for b0, b1, b2, a1, a2 in sections:
         rest = F.struct(F.array().cast("array<double>").alias("y"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+        out = F.aggregate(out, rest, _section_step(b0, b1, b2, a1, a2), lambda s: s["y"])
+    return out
 
-        def step(s: Column, x: Column, b0=b0, b1=b1, b2=b2, a1=a1, a2=a2) -> Column:
-            y = F.lit(b0) * x + s["p"]
-            p, q = F.lit(b1) * x - F.lit(a1) * y + s["q"], F.lit(b2) * x - F.lit(a2) * y
-            return F.struct(F.concat(s["y"], F.array(y)).alias("y"), p.alias("p"), q.alias("q"))
 
-        out = F.aggregate(out, rest, step, lambda s: s["y"])
-    return out
+def _section_step(b0: float, b1: float, b2: float, a1: float, a2: float):
+    def step(s: Column, x: Column) -> Column:
+        y = F.lit(b0) * x + s["p"]
+        p, q = F.lit(b1) * x - F.lit(a1) * y + s["q"], F.lit(b2) * x - F.lit(a2) * y
+        return F.struct(F.concat(s["y"], F.array(y)).alias("y"), p.alias("p"), q.alias("q"))
+
+    return step
 
 
 def filter_rows(sections: list[tuple[float, ...]]):

@@ -78,8 +78,9 @@ def onset_impulse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("onset_nonlinear", f"""WITH {MERGED_SQL},
-i AS (SELECT DISTINCT run_id, trial_type, floor(onset_s)::BIGINT + unnest(range(greatest(1, round(duration_s)::BIGINT))) AS t FROM m),
-v AS (SELECT a.run_id, a.trial_type, a.t, coalesce(sum((1 - 0.6658) * exp(-0.7 * (a.t - b.t - 1))), 0) AS past
+j AS (SELECT run_id, trial_type, event_idx, floor(onset_s)::BIGINT AS t0, unnest(range(greatest(1, round(duration_s)::BIGINT))) AS second FROM m),
+i AS (SELECT run_id, trial_type, t0 + second AS t, arg_max((second = 0)::INT, event_idx) AS first FROM j GROUP BY ALL),
+v AS (SELECT a.run_id, a.trial_type, a.t, coalesce(sum((1 - 0.6658) * exp(-0.7 * (a.t + a.first - b.t - 1))), 0) AS past
       FROM i a LEFT JOIN i b ON a.run_id = b.run_id AND a.trial_type = b.trial_type AND b.t < a.t GROUP BY ALL)
 SELECT run_id, trial_type, t AS sample, round(greatest(0, 1 - past), 6) AS value FROM v WHERE t < {int(RUN_LEN_S)}""")
 def onset_nonlinear(spark: SparkSession, sf_dir: str) -> DataFrame:
