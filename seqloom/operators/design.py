@@ -88,14 +88,22 @@ def convolve(onsets: DataFrame, basis: DataFrame, frame_s: float, run_len_s: flo
     """
     steps = int(frame_s / resolution_s)
     n_frames = int(run_len_s / resolution_s) // steps
-    reach = basis.agg(F.max("sample").alias("__reach"))
+    size = basis.agg(F.max("sample").alias("reach"), F.max("basis_idx").alias("k")).first()  # of a table as long as the response
+    if size["k"] is None:
+        return onsets.limit(0).select(RUN, "trial_type", F.col("sample").alias("frame"), F.lit(0).alias("basis_idx"), "value")
     first = F.expr(f"(sample + {steps - 1}) div {steps}")
-    last = F.least(F.expr(f"(sample + __reach) div {steps}"), F.lit(n_frames - 1))
-    spread = onsets.crossJoin(F.broadcast(reach)).withColumn("__first", first).withColumn("__last", last)
-    spread = spread.where("__first <= __last").withColumn("frame", F.explode(F.sequence("__first", "__last")))
+    last = F.least(F.expr(f"(sample + {size['reach']}) div {steps}"), F.lit(n_frames - 1))
+    spread = onsets.withColumn("__first", first).withColumn("__last", last).where("__first <= __last")
+    spread = spread.withColumn("frame", F.explode(F.sequence("__first", "__last")))
     hits = spread.select(RUN, "trial_type", "frame", (F.col("frame") * steps - F.col("sample")).alias("lag"), F.col("value").alias("__v"))
-    joined = hits.join(F.broadcast(basis.withColumnRenamed("sample", "lag")), "lag")
-    return joined.groupBy(RUN, "trial_type", "frame", "basis_idx").agg(F.sum(F.col("__v") * F.col("weight")).alias("value"))
+    # all functions of a lag side by side, so that a hit is one row
+    indices = range(size["k"] + 1)
+    by_lag = basis.groupBy(F.col("sample").alias("lag")).agg(*[F.sum(F.when(F.col("basis_idx") == k, F.col("weight"))).alias(f"__w{k}") for k in indices])
+    sums = hits.join(F.broadcast(by_lag), "lag").groupBy(RUN, "trial_type", "frame").agg(
+        *[F.sum(F.col("__v") * F.col(f"__w{k}")).alias(f"__s{k}") for k in indices]
+    )
+    values = F.posexplode(F.array(*[f"__s{k}" for k in indices])).alias("basis_idx", "value")
+    return sums.select(RUN, "trial_type", "frame", values)
 
 
 def stimulus_design(
