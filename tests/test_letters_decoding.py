@@ -63,6 +63,18 @@ def test_viterbi_against_all_paths(spark):
         assert found[run] == "".join(max(product("abc", repeat=5), key=score))
 
 
+def test_blocks_of_a_long_run(spark):
+    r = np.random.default_rng(11)
+    df, rows = _probabilities(spark, r, 2, 40, "abcd")
+    df = df.where("NOT (run_id = 1 AND pos BETWEEN 10 AND 20)")  # places may be missing
+    bigrams = spark.createDataFrame([(x, y, float(v)) for x in "abcd" for y, v in zip("abcd", r.dirichlet(np.ones(4)), strict=True)], BIGRAM)
+    whole = decoding.decode_letters(df, bigrams, block=1000).orderBy("run_id", "pos").collect()
+    for block in (1, 7, 40):
+        assert decoding.decode_letters(df, bigrams, block=block).orderBy("run_id", "pos").collect() == whole
+    assert len(whole) == 69
+    assert decoding.decode_letters(df.limit(0), bigrams).count() == 0
+
+
 def test_grammar_decoding_against_all_paths(spark):
     r = np.random.default_rng(5)
     df, rows = _probabilities(spark, r, 5, 5)
