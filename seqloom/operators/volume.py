@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from seqloom.sources.storage import cut_lineage
 
 XYZ = ["x", "y", "z"]
+#: Edge of the tiles that one task works on at a time: 4096 cells at most.
+TILE = 16
 
 
 def mask_and(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> DataFrame:
@@ -86,23 +89,52 @@ def grow(mask: DataFrame, distance: int, shape: tuple[int, int, int], by: list[s
     return moved.select(*(by or []), *held).distinct()
 
 
+#: Cells of a kernel that may be sent to the tasks.
+KERNEL_LIMIT = 100_000
+
+
 def smooth(image: DataFrame, kernel: DataFrame, keep: list[str] | None = None, within: DataFrame | None = None) -> DataFrame:
     """Convolution with a kernel (dx, dy, dz, weight), 0 outside the volume, at the cells of the image.
 
-    Each cell is sent to the cells that its kernel reaches and summed there; sums are combined before
-    the shuffle. Only cells that the image has (or ``within``) are returned.
+    Cells go to their tile of 16 x 16 x 16 and to the tiles beside it that the kernel reaches, not once
+    for each cell of the kernel; a task convolves one tile of one frame. Only cells that the image has
+    (or ``within``) are returned; ``keep`` names columns of these cells to return too. A cell stands in
+    the image once.
     """
     keys = [c for c in ("run_id",) if c in image.columns]
-    spread = image.crossJoin(F.broadcast(kernel)).select(
-        *keys, "frame", *[(F.col(c) + F.col(f"d{c}")).alias(c) for c in XYZ], (F.col("value") * F.col("weight")).alias("value")
-    )
-    summed = spread.groupBy(*keys, "frame", *XYZ).agg(F.sum("value").alias("value"))
-    cells = (within if within is not None else image).select(*[k for k in keys if within is None], *XYZ, *(keep or [])).distinct()
-    return summed.join(cells, [*[k for k in keys if within is None], *XYZ])
+    rows = kernel.select("dx", "dy", "dz", "weight").limit(KERNEL_LIMIT + 1).collect()
+    if len(rows) > KERNEL_LIMIT:
+        raise ValueError(f"the kernel has more than {KERNEL_LIMIT} cells")
+    offsets, weights = np.array([r[:3] for r in rows], dtype=int).reshape(-1, 3), [float(r[3]) for r in rows]
+    half = int(np.abs(offsets).max(initial=0))
+    reach = [F.explode(F.sequence(F.floor((F.col(c) - half) / TILE), F.floor((F.col(c) + half) / TILE))).alias(f"__t{c}") for c in XYZ]
+    tiled = image.select(*keys, "frame", *[F.col(c).cast("long").alias(c) for c in XYZ], F.col("value").cast("double").alias("value"))
+    for r in reach:
+        tiled = tiled.select("*", r)
+    everywhere = within is not None
+
+    def convolve(group: pd.DataFrame) -> pd.DataFrame:
+        corner = np.array([group[f"__t{c}"].iloc[0] * TILE - half for c in XYZ])
+        at = group[XYZ].to_numpy() - corner
+        field = np.zeros((TILE + 2 * half,) * 3)
+        field[tuple(at.T)] = group["value"].to_numpy()
+        out = np.zeros((TILE,) * 3)
+        for (dx, dy, dz), w in zip(half - offsets, weights, strict=True):
+            out += w * field[dx : dx + TILE, dy : dy + TILE, dz : dz + TILE]
+        own = np.argwhere(np.ones_like(out)) if everywhere else at[((at >= half) & (at < half + TILE)).all(axis=1)] - half
+        found = {c: group[c].iloc[0] for c in [*keys, "frame"]} | {c: own[:, k] + corner[k] + half for k, c in enumerate(XYZ)}
+        return pd.DataFrame({**found, "value": out[tuple(own.T)]}, index=range(len(own)))
+
+    kinds = {c: image.schema[c].dataType.simpleString() for c in [*keys, "frame"]}
+    schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "x long, y long, z long, value double"])
+    summed = tiled.groupBy(*keys, "frame", "__tx", "__ty", "__tz").applyInPandas(convolve, schema)
+    summed = summed.select(*keys, "frame", *[F.col(c).cast(image.schema[c].dataType).alias(c) for c in XYZ], "value")
+    if within is None and not keep:
+        return summed
+    on = [*([] if within is not None else keys), *XYZ]
+    return summed.join((within if within is not None else image).select(*on, *(keep or [])).distinct(), on)
 
 
-#: Edge of a tile in which components are found at once: 4096 cells at most.
-TILE = 16
 #: Half of the 26 neighbours of a cell: the others are their mirror images.
 _FORWARD = [d for d in product((-1, 0, 1), repeat=3) if d > (0, 0, 0)]
 
