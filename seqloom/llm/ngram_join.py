@@ -112,70 +112,58 @@ def _class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-_SCAN = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary())])
-_KEYS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary())])
+_SCAN = pa.schema(
+    [("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()),
+     ("bucket", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary())]
+)
+_SCAN_SQL = "kind string, doc_id long, n long, cls long, sketch binary, bucket int, keys binary, classes binary"
 _MET = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+#: Keys that a task holds before it gives them out.
+HELD_KEYS = 1_000_000
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members (doc, size, class), and each class that is new to this task with its bit sketch."""
-    hashes, seen = WordHashes(), set()
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            some = batch.slice(lo, 1024)
-            rows = []
-            for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, hashes)
-                cls = _class_of(s) if len(s) else None
-                rows.append(("member", doc, len(s), cls, None))
-                if len(s) and cls not in seen and doc is not None:
-                    seen.add(cls)
-                    rows.append(("class", doc, len(s), cls, bit_sketch(s)))
-            if len(seen) > 1_000_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCAN, strict=True)], schema=_SCAN)
-
-
-def _key_blocks(buckets: int):
-    """Keys of each class that is new to this task, by bucket: 32 bits of the key beside the class."""
+def _blocks_by_bucket(keys: list[np.ndarray], classes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """The keys, 32 bits of each beside its class, as one row for each bucket."""
+    k, c = np.concatenate(keys), np.concatenate(classes)
+    bucket = (k >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    k, c, bucket = (k[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), c[order], bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    spans = list(zip(first.tolist(), np.append(first[1:], len(k)).tolist(), strict=True))
+    none = [None] * len(spans)
+    columns = [["keys"] * len(spans), none, none, none, none, bucket[first].tolist(), [k[a:b].tobytes() for a, b in spans], [c[a:b].tobytes() for a, b in spans]]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SCAN, strict=True)], schema=_SCAN)
+
+
+def _scan(buckets: int):
+    """Members (doc, size, class); of each class that is new to this task its bit sketch and its meeting keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         keys, classes, held = [], [], 0
-
-        def flush():
-            k, c = np.concatenate(keys), np.concatenate(classes)
-            bucket = (k >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            k, c, bucket = (k[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), c[order], bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            last = np.append(first[1:], len(k))
-            spans = list(zip(first.tolist(), last.tolist(), strict=True))
-            keys.clear(), classes.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[first].astype(np.int32)), pa.array([k[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([c[i:j].tobytes() for i, j in spans], pa.binary())],
-                schema=_KEYS,
-            )
-
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, hashes)
-                if not len(s):
-                    continue
-                cls = _class_of(s)
-                if cls in seen:
-                    continue
-                seen.add(cls)
-                keys.append(meeting_keys(s))
-                classes.append(np.full(len(keys[-1]), cls, dtype="<i8"))
-                held += len(keys[-1])
-                if held > 2_000_000:
-                    yield flush()
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
+                rows = []
+                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    s = shingle_set(text, hashes)
+                    cls = _class_of(s) if len(s) else None
+                    rows.append(("member", doc, len(s), cls, None, None, None, None))
+                    if len(s) and cls not in seen and doc is not None:
+                        seen.add(cls)
+                        rows.append(("class", doc, len(s), cls, bit_sketch(s), None, None, None))
+                        keys.append(meeting_keys(s))
+                        classes.append(np.full(len(keys[-1]), cls, dtype="<i8"))
+                        held += len(keys[-1])
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCAN, strict=True)], schema=_SCAN)
+                if held > HELD_KEYS:
+                    yield _blocks_by_bucket(keys, classes, buckets)
+                    keys.clear(), classes.clear()
                     held = 0
-            if len(seen) > 1_000_000:
-                seen.clear()
         if keys:
-            yield flush()
+            yield _blocks_by_bucket(keys, classes, buckets)
 
     return run
 
@@ -349,15 +337,14 @@ def near_duplicates(
     """
     spark = df.sparkSession
     docs = texts(df, id_col, text_col)
-    scanned = materialise(
-        docs.mapInArrow(_scan, "kind string, doc_id long, n long, cls long, sketch binary"), "shingle-classes", partition_by="kind"
-    )
+    n = tasks(spark)
+    # one pass over the texts gives members, classes and keys
+    scanned = materialise(docs.mapInArrow(_scan(4 * n), _SCAN_SQL), "shingle-classes", partition_by="kind")
     members = scanned.where("kind = 'member'").select("doc_id", "n", "cls")
     classes = scanned.where("kind = 'class'").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
-    n = tasks(spark)
-    met = docs.mapInArrow(_key_blocks(4 * n), "bucket int, keys binary, classes binary").repartition(n, "bucket")
+    met = scanned.where("kind = 'keys'").select("bucket", "keys", "classes").repartition(n, "bucket")
     met = materialise(met.mapInArrow(_meet(small_group), "kind string, a long, b long"), "meetings", partition_by="kind")
     candidates = met.where("kind = 'pair'").select("a", "b").distinct()
     candidates = materialise(_filter_pairs(candidates, classes), "candidates")
