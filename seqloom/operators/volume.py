@@ -89,6 +89,8 @@ def grow(mask: DataFrame, distance: int, shape: tuple[int, int, int], by: list[s
     return moved.select(*(by or []), *held).distinct()
 
 
+#: Frames of a tile that are convolved together.
+FRAMES = 32
 #: Cells of a kernel that may be sent to the tasks.
 KERNEL_LIMIT = 100_000
 
@@ -97,7 +99,7 @@ def smooth(image: DataFrame, kernel: DataFrame, keep: list[str] | None = None, w
     """Convolution with a kernel (dx, dy, dz, weight), 0 outside the volume, at the cells of the image.
 
     Cells go to their tile of 16 x 16 x 16 and to the tiles beside it that the kernel reaches, not once
-    for each cell of the kernel; a task convolves one tile of one frame. Only cells that the image has
+    for each cell of the kernel; a task convolves a tile of 32 frames at a time. Only cells that the image has
     (or ``within``) are returned; ``keep`` names columns of these cells to return too. A cell stands in
     the image once.
     """
@@ -116,18 +118,24 @@ def smooth(image: DataFrame, kernel: DataFrame, keep: list[str] | None = None, w
     def convolve(group: pd.DataFrame) -> pd.DataFrame:
         corner = np.array([group[f"__t{c}"].iloc[0] * TILE - half for c in XYZ])
         at = group[XYZ].to_numpy() - corner
-        field = np.zeros((TILE + 2 * half,) * 3)
-        field[tuple(at.T)] = group["value"].to_numpy()
-        out = np.zeros((TILE,) * 3)
+        frames, frame = np.unique(group["frame"].to_numpy(), return_inverse=True)
+        field = np.zeros((len(frames), *(TILE + 2 * half,) * 3))
+        field[(frame, *at.T)] = group["value"].to_numpy()
+        out = np.zeros((len(frames), *(TILE,) * 3))
         for (dx, dy, dz), w in zip(half - offsets, weights, strict=True):
-            out += w * field[dx : dx + TILE, dy : dy + TILE, dz : dz + TILE]
-        own = np.argwhere(np.ones_like(out)) if everywhere else at[((at >= half) & (at < half + TILE)).all(axis=1)] - half
-        found = {c: group[c].iloc[0] for c in [*keys, "frame"]} | {c: own[:, k] + corner[k] + half for k, c in enumerate(XYZ)}
+            out += w * field[:, dx : dx + TILE, dy : dy + TILE, dz : dz + TILE]
+        if everywhere:
+            own = np.argwhere(np.ones(out.shape, dtype=bool))
+        else:
+            inside = ((at >= half) & (at < half + TILE)).all(axis=1)
+            own = np.concatenate([frame[inside][:, None], at[inside] - half], axis=1)
+        found = {c: group[c].iloc[0] for c in keys} | {"frame": frames[own[:, 0]]} | {c: own[:, k + 1] + corner[k] + half for k, c in enumerate(XYZ)}
         return pd.DataFrame({**found, "value": out[tuple(own.T)]}, index=range(len(own)))
 
     kinds = {c: image.schema[c].dataType.simpleString() for c in [*keys, "frame"]}
     schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "x long, y long, z long, value double"])
-    summed = tiled.groupBy(*keys, "frame", "__tx", "__ty", "__tz").applyInPandas(convolve, schema)
+    some = F.floor(F.col("frame") / FRAMES).alias("__frames")
+    summed = tiled.groupBy(*keys, some, "__tx", "__ty", "__tz").applyInPandas(convolve, schema)
     summed = summed.select(*keys, "frame", *[F.col(c).cast(image.schema[c].dataType).alias(c) for c in XYZ], "value")
     if within is None and not keep:
         return summed
