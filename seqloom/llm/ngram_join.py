@@ -79,8 +79,9 @@ def meeting_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(shingles: np.ndarray) -> bytes:
-    """Each shingle flips one of 2**k bits, 64 to 8192, at least two for each shingle where that is possible."""
-    bits = 1 << min(13, max(6, _band(2 * len(shingles))))
+    """Each shingle flips one of 2**k bits, 256 to 32768, at least eight for each shingle where that is
+    possible, so that the distance of two sketches is seldom below the symmetric difference."""
+    bits = 1 << min(15, max(8, _band(8 * len(shingles))))
     at = mix64(shingles ^ np.uint64(0xE7037ED1A0B428DB)) & np.uint64(bits - 1)
     flips = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
@@ -298,23 +299,30 @@ def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, blo
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         n, label, cls = (pdf[c].to_numpy() for c in ("n", "label", "cls"))
         least = min(map(len, pdf["sketch"]))
-        bits = np.stack([_folded(s, least) for s in pdf["sketch"]])
+        wide = np.stack([_folded(s, least) for s in pdf["sketch"]])
+        # all pairs by a quarter of the bits; only those that these allow by all bits
+        narrow = np.stack([_folded(s, max(8, least // 4)) for s in pdf["sketch"]])
         x, y = np.flatnonzero(pdf["x"]), np.flatnonzero(pdf["y"])
         found = [np.zeros((0, 2), np.int64)]
         far = [np.zeros(0)]
         for lo in range(0, len(x) if len(y) else 0, 32):
             some = x[lo : lo + 32]
-            distance = np.bitwise_count(bits[some][:, None] ^ bits[y][None]).sum(axis=2, dtype=np.int64)
             n1, n2 = n[some][:, None], n[y][None]
-            ok = (7 * distance <= n1 + n2) & (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)) & (label[some][:, None] != label[y][None])
-            ratio = np.where(ok, distance / (n1 + n2), np.inf)
+            ok = (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)) & (label[some][:, None] != label[y][None])
+            distance = np.zeros(ok.shape, np.int64)
+            for part in range(narrow.shape[1]):
+                distance += np.bitwise_count(narrow[some, part][:, None] ^ narrow[y, part][None])
+            i, k = np.nonzero(ok & (7 * distance <= n1 + n2))
+            distance = np.bitwise_count(wide[some[i]] ^ wide[y[k]]).sum(axis=1, dtype=np.int64)
+            both = n[some[i]] + n[y[k]]
+            near = 7 * distance <= both
+            i, k, ratio = i[near], k[near], (distance / both)[near]
             if best:
-                nearest = ratio.argmin(axis=1)
-                ok = np.zeros_like(ok)
-                ok[np.arange(len(some)), nearest] = np.isfinite(ratio[np.arange(len(some)), nearest])
-            i, k = np.nonzero(ok)
+                order = np.lexsort((k, ratio, i))
+                first = np.concatenate([[True], i[order][1:] != i[order][:-1]]) if len(order) else np.zeros(0, bool)
+                i, k, ratio = i[order][first], k[order][first], ratio[order][first]
             found.append(np.stack([cls[some[i]], cls[y[k]]], axis=1))
-            far.append(ratio[i, k])
+            far.append(ratio)
         out = pd.DataFrame(np.concatenate(found), columns=["z", "x"])
         out["far"] = np.concatenate(far)
         return out
