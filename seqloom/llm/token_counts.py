@@ -29,8 +29,8 @@ FAN = 512
 def write_flat_tokens(
     df: DataFrame, path: str, tokenizer_path: str, end_id: int, block_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
-    """Write each partition's texts as one flat file under kind=tokens, and under kind=names the id
-    of each document by its place in the file (no offsets or lengths).
+    """Write each partition's texts as one flat file in rows of kind tokens, and in rows of kind names
+    the id of each document by its place in the file (no offsets or lengths).
 
     Markers of the tokenizer that stand in a text are encoded as ordinary text, so that only the
     ends of documents have ``end_id``.
@@ -69,7 +69,8 @@ def write_flat_tokens(
             yield tokens(rest)
 
     out = texts(df, id_col, text_col).withColumn("file", F.spark_partition_id()).mapInArrow(flatten, FLAT)
-    out.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    # not partitioned by kind: that would sort the blocks; who reads one kind skips the other's columns
+    out.write.option("compression", "zstd").parquet(path)
 
 
 _SCAN = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int64()), ("ends", pa.list_(pa.int64()))])
@@ -85,8 +86,9 @@ def count_tokens(blocks: DataFrame, end_id: int) -> DataFrame:
     def scan(batches):
         for batch in batches:
             counts, ends = [], []
-            for payload in batch.column(2).to_pylist():
-                ids = np.frombuffer(payload or b"", dtype="<u4")
+            for payload in batch.column(2):
+                # a view of the batch, not a copy
+                ids = np.frombuffer(payload.as_buffer(), dtype="<u4") if payload.is_valid else np.zeros(0, "<u4")
                 counts.append(len(ids))
                 ends.append(np.flatnonzero(ids == end_id))
             yield pa.RecordBatch.from_arrays(
