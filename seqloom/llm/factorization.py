@@ -95,6 +95,29 @@ def _entries(term_lists: list, stats: np.ndarray | None, model: Model):
     return rows, columns, values
 
 
+def _sorted_terms(features: list[np.ndarray]) -> np.ndarray:
+    """All terms of all rows in one sorted array, which is the only copy."""
+    flat = np.concatenate(features) if features else np.zeros(0, np.uint64)
+    flat.sort()
+    return flat
+
+
+def _counted(flat: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms that ``least`` rows have at least, and how many have each."""
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(flat)))
+    enough = counts >= least
+    return flat[first[enough]], counts[enough]
+
+
+def _columns(features: np.ndarray, known: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Columns of the terms that are known (sorted), in the order of ``features``."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, features), len(known) - 1)
+    return columns[at[known[at] == features]]
+
+
 def fit(
     features: list[np.ndarray], stats: np.ndarray | None, labels: np.ndarray, rank: int = 6, max_terms: int = 8192,
     least_rows: int = 5, epochs: int = 30, step: float = 0.05, decay: float = 2e-3, seed: int = 7,
@@ -103,17 +126,14 @@ def fit(
     ``max_terms`` whose shares in the two classes differ most for their counts."""
     y = labels.astype(float)
     n, n_pos = len(y), float(y.sum())
-    owner = np.repeat(np.arange(n), [len(f) for f in features])
-    flat = np.concatenate(features) if n else np.zeros(0, np.uint64)
-    ids, inverse = np.unique(flat, return_inverse=True)
-    total = np.bincount(inverse, minlength=len(ids))
-    pos = np.bincount(inverse, weights=y[owner], minlength=len(ids))
+    ids, total = _counted(_sorted_terms(features), least_rows)
+    positive = _sorted_terms([f for f, label in zip(features, y, strict=True) if label > 0])
+    pos = (np.searchsorted(positive, ids, "right") - np.searchsorted(positive, ids, "left")).astype(float)
+    del positive
     share = n_pos / max(n, 1)
     z = (pos - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
-    good = np.flatnonzero((total >= least_rows) & (np.abs(z) >= 4))
+    good = np.flatnonzero(np.abs(z) >= 4)
     good = good[np.argsort(-np.abs(z[good]), kind="stable")][:max_terms]
-    column = np.full(len(ids), -1, dtype=np.int64)
-    column[good] = np.arange(len(good))
     terms = {int(ids[g]): k for k, g in enumerate(good.tolist())}
     width = 0 if stats is None else stats.shape[1]
     r = np.random.default_rng(seed)
@@ -121,10 +141,8 @@ def fit(
     model = Model(terms, base, np.zeros(len(good) + width), r.normal(0, 0.02, (len(good) + width, rank)))
     if width:
         model.mean, model.scale = (stats.mean(axis=0), stats.std(axis=0) + 1e-6) if n else (np.zeros(width), np.ones(width))
-    used = column[inverse]
-    keep = used >= 0
-    counts = np.bincount(owner[keep], minlength=n)
-    lists = np.split(used[keep], np.cumsum(counts)[:-1]) if n else []
+    order = np.argsort(ids[good])
+    lists = [_columns(f, ids[good][order], order) for f in features]
     weight = np.where(y > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)) ** 0.5  # half way to equal classes
     slots = [[np.zeros_like(p), np.zeros_like(p)] for p in (model.linear, model.factors)]
     bias_slot, t = [0.0, 0.0], 0
@@ -206,7 +224,8 @@ def fit_on_labels(
     found = sample.select("doc_id", "text", "n_chars", "label").mapInArrow(
         lambda batches: _features(batches, with_stats), "label int, terms binary, stats array<double>"
     ).toArrow()
-    terms = [np.frombuffer(t, dtype=np.uint64) for t in found.column("terms").to_pylist()]
+    # views of what Arrow holds
+    terms = [np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in found.column("terms")]
     stats = np.array(found.column("stats").to_pylist(), dtype=float).reshape(len(terms), STATISTICS) if with_stats else None
     return fit(terms, stats, np.array(found.column("label").to_pylist(), dtype=float), **options)
 
