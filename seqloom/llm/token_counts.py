@@ -37,7 +37,8 @@ def write_flat_tokens(
     """
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = library_cache(tokenizer_path, specials_as_text=True)
+        # fewer pieces than elsewhere: blocks, texts and pieces are in memory together
+        cache = library_cache(tokenizer_path, specials_as_text=True, limit=200_000)
         end = np.array([end_id], dtype="<u4").tobytes()
         rest, block, doc_no, file = b"", 0, 0, 0
 

@@ -148,9 +148,9 @@ class LibraryPieces(dict):
         return [b"".join(map(get, pieces(t))) for t in texts]
 
 
-def library_cache(path: str, specials_as_text: bool = False) -> LibraryPieces:
-    """The pieces of one tokenizer; one cache for each worker process."""
-    key = (path, specials_as_text)
+def library_cache(path: str, specials_as_text: bool = False, limit: int = 600_000) -> LibraryPieces:
+    """The pieces of one tokenizer; one cache of ``limit`` pieces (about 0.4 KB each) for each worker process."""
+    key = (path, specials_as_text, limit)
     if key not in _loaded:
-        _loaded[key] = LibraryPieces(path, specials_as_text)
+        _loaded[key] = LibraryPieces(path, specials_as_text, limit)
     return _loaded[key]
