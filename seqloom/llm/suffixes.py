@@ -8,9 +8,9 @@
 3. The others get the words around them: WINDOW - 1 before and WINDOW + SEED after. That is all that
    can be needed: any suffix kept inside a passage of LEAST words or more sees LEAST common words.
 4. They are sorted by seed and following words over ranges (a frequent seed is spread over many
-   tasks), neighbours of other documents are compared, and matches extended right and left.
-   In small groups of one seed all pairs are neighbours. Larger groups, and those that reach the
-   end of a range, are sorted once more by seed and preceding words and compared in that order.
+   tasks). Each of the WINDOW windows of LEAST words that hold a row's seed is hashed, and those that
+   two documents have under one seed are kept: exact, and without pairs of rows. A task knows this of
+   the seeds that lie inside its range; windows of the seeds at its ends are counted over all ranges.
 5. The stretches are united per document.
 """
 
@@ -19,19 +19,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialise, tasks, texts
+from seqloom.llm.common import materialise, mix64, tasks, texts
 from seqloom.llm.shingles import WordHashes, windows, words_of
 
 LEAST, SEED, WINDOW = 50, 20, 31
 BEFORE, AFTER = WINDOW - 1, WINDOW + SEED
-#: Groups of one seed up to this size are compared in all pairs.
-SMALL_GROUP = 24
+#: Rows whose windows a task hashes at once, if a group of one seed isn't larger.
+ROWS = 16_384
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -158,68 +158,39 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CONTEXT, strict=True)], schema=_CONTEXT)
 
 
-def _matrix(rows: list[bytes], width: int, marks: np.ndarray) -> np.ndarray:
-    """Words as rows of a matrix; beyond a text's ends stand values that no other row has."""
-    out = np.repeat((marks.astype(np.uint64) + np.uint64(1 << 32))[:, None], width, axis=1)
-    for i, r in enumerate(rows):
-        w = np.frombuffer(r, "<u4")
-        out[i, : len(w)] = w
-    return out
+#: Odd multipliers, one for each doubling of a run and one for each run that is put together.
+_ODD = mix64(np.arange(1, 129, dtype=np.uint64)).reshape(2, 64) | np.uint64(1)
 
 
-def _common(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """How many values rows i and j of x have in common from the left."""
-    out = np.zeros(len(i), np.int64)
-    for lo in range(0, len(i), 20_000):
-        differ = x[i[lo : lo + 20_000]] != x[j[lo : lo + 20_000]]
-        out[lo : lo + 20_000] = np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1])
-    return out
+def _runs(x: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every run of ``width`` successive rows of x, by runs of powers of two."""
+    out, done, level, size = None, 0, x, 1
+    while True:
+        bit = size.bit_length() - 1
+        if width & size:
+            rows = len(x) - done - size + 1
+            out = level if out is None else out[:rows] * _ODD[1, bit] + level[done : done + rows]
+            done += size
+        if done == width:
+            return mix64(out)
+        level = level[:-size] * _ODD[0, bit] + level[size:]
+        size *= 2
+
 
+def _matrix(rows: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join([r.ljust(4 * width, b"\0") for r in rows]), "<u4").reshape(len(rows), width)
 
-def _neighbours(doc: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row in ``order`` with the nearest before it, and the nearest after it, of another document."""
-    d = doc[order]
-    starts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(d))))
-    before = starts[run] - 1
-    after = np.append(starts[1:], len(d))[run]
-    at = np.arange(len(d))
-    i = np.concatenate([at[before >= 0], at[after < len(d)]])
-    j = np.concatenate([before[before >= 0], after[after < len(d)]])
-    return order[i], order[j]
-
-
-def stretches(key: np.ndarray, doc: np.ndarray, places: list[list[int]], following: list[bytes], preceding: list[bytes], least: int) -> np.ndarray:
-    """Rows (doc, start, end) of words common with another document around sorted suffixes."""
-    n = len(key)
-    right, left = _matrix(following, AFTER, np.arange(n)), _matrix(preceding, BEFORE, np.arange(n))
-    first, size = _groups(key)
-    i, j = [], []
-    for m in np.unique(size[(size > 1) & (size <= SMALL_GROUP)]).tolist():
-        at = first[size == m]
-        x, y = np.triu_indices(m, 1)
-        i.append((at[:, None] + x).ravel())
-        j.append((at[:, None] + y).ravel())
-    for g in np.flatnonzero(size > SMALL_GROUP).tolist():
-        a, b = _neighbours(doc, np.arange(first[g], first[g] + size[g]))
-        i.append(a)
-        j.append(b)
-    if not i:
-        return np.zeros((0, 3), np.int64)
-    i, j = np.concatenate(i), np.concatenate(j)
-    other = doc[i] != doc[j]
-    i, j = i[other], j[other]
-    b, a = _common(right, i, j), _common(left, i, j)
-    good = a + b >= least
-    rows = np.concatenate([i[good], j[good]])
-    spans = np.unique(np.stack([rows, np.tile(a[good], 2), np.tile(b[good], 2)], axis=1), axis=0)
-    counts = np.array([len(p) for p in places], dtype=np.int64)
-    flat = np.array([x for p in places for x in p], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(counts)])
-    each = counts[spans[:, 0]]
-    which = np.repeat(np.arange(len(spans)), each)
-    at = flat[np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each) + starts[spans[which, 0]]]
-    return np.unique(np.stack([doc[spans[which, 0]], at - spans[which, 1], at + spans[which, 2]], axis=1), axis=0)
+
+def _held_windows(key: np.ndarray, following: list[bytes], preceding: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, hash) of the windows of ``least`` words that hold a row's seed and lie inside its
+    text; they start at most BEFORE words before the seed."""
+    words = np.concatenate([_matrix(preceding, BEFORE)[:, ::-1], _matrix(following, AFTER)], axis=1)
+    found = _runs(np.ascontiguousarray(words.T[: BEFORE + least], dtype=np.uint64), least)
+    found = mix64(found ^ mix64(key.view(np.uint64))).T
+    start = np.arange(-BEFORE, 1)
+    before, after = (np.array([len(x) // 4 for x in side])[:, None] for side in (preceding, following))
+    row, at = np.nonzero((start >= -before) & (start + least <= after))
+    return row, start[at], found[row, at]
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,66 +198,77 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(key)))
 
 
-_OUT = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("part", pa.int32()), ("last", pa.bool_()),
-                  ("key", pa.int64()), ("following", pa.binary()), ("preceding", pa.binary()), ("places", pa.list_(pa.int32()))])
-_OUT_DDL = "kind string, doc_id long, start long, stop long, part int, last boolean, key long, following binary, preceding binary, places array<int>"
+_OUT = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("high", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()),
+                  ("key", pa.int64()), ("hash", pa.int64()), ("places", pa.list_(pa.int32()))])
+_OUT_DDL = "kind string, doc_id long, high long, start long, stop long, key long, hash long, places array<int>"
+
+
+def _out(kind: str, **columns) -> Iterator[pa.RecordBatch]:
+    n = len(columns["doc_id"])
+    columns["kind"] = pa.repeat(kind, n)
+    arrays = [c if isinstance(c := columns.get(f.name), pa.Array) else pa.nulls(n, f.type) if c is None else pa.array(c, f.type) for f in _OUT]
+    batch = pa.RecordBatch.from_arrays(arrays, schema=_OUT)
+    for lo in range(0, n, 20_000):
+        yield batch.slice(lo, 20_000)
 
 
-def _compare(least: int, again: bool):
-    """Stretches of one range; the range's ends as ``edge``; the rows to sort once more as ``again``."""
+def _compare(least: int):
+    """Stretches of one range as ``span``; windows of the seeds at its ends as ``open``: those that two
+    of its documents have once, with the least and greatest document, the others with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         whole = pa.Table.from_batches(parts)
-        key, doc, part = (whole.column(c).to_numpy() for c in ("key", "doc_id", "part"))
-        lists = [whole.column(c).to_pylist() for c in ("following", "preceding", "places")]
-        found = stretches(key, doc, lists[2], lists[0], lists[1], least)
-        none = [None] * len(found)
-        spans = [["span"] * len(found), found[:, 0], found[:, 1], found[:, 2], *[none] * 6]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(spans, _OUT, strict=True)], schema=_OUT)
-
-        def rows(kind, chosen, last):
-            data = [(kind, int(doc[i]), None, None, int(part[i]), e, int(key[i]), *(x[i] for x in lists)) for i, e in zip(chosen, last, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*data), _OUT, strict=True)], schema=_OUT)
-
-        # the first and the last row meet their neighbours in other ranges
-        yield rows("edge", [0, len(key) - 1], [False, True])
-        if again:
-            first, size = _groups(key)
-            wide = (size > SMALL_GROUP) | (first == 0) | (first + size == len(key))
-            chosen = np.flatnonzero(np.repeat(wide, size)).tolist()
-            for lo in range(0, len(chosen), 10_000):
-                some = chosen[lo : lo + 10_000]
-                yield rows("again", some, [None] * len(some))
-
-    return run
-
-
-def _compare_edges(least: int):
-    """The last row of each range with the first of the next; two rows for each range are all there is."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "last"], kind="stable").reset_index(drop=True)
-        found = [np.zeros((0, 3), np.int64)]
-        for i in range(1, len(pdf)):
-            two = pdf.iloc[i - 1 : i + 1]
-            if two["key"].nunique() == 1 and two["part"].nunique() == 2:
-                found.append(
-                    stretches(two["key"].to_numpy(), two["doc_id"].to_numpy(), [list(p) for p in two["places"]], list(two["following"]), list(two["preceding"]), least)
-                )
-        return pd.DataFrame(np.concatenate(found), columns=["doc_id", "start", "stop"])
+        keys, docs = whole.column("key").to_numpy(), whole.column("doc_id").to_numpy()
+        first, size = _groups(keys)
+        ends, lo = first + size, 0
+        while lo < len(keys):
+            hi = int(ends[np.searchsorted(ends, min(lo + ROWS, len(keys)))])
+            some = whole.slice(lo, hi - lo).combine_chunks()
+            key, doc, places = keys[lo:hi], docs[lo:hi], some.column("places").combine_chunks()
+            places = places if isinstance(places, pa.Array) else places.chunk(0)
+            row, start, found = _held_windows(key, some.column("following").to_pylist(), some.column("preceding").to_pylist(), least)
+            lo = hi
+            if not len(row):
+                continue
+            order = np.argsort(found, kind="stable")
+            row, start, found = row[order], start[order], found[order]
+            k, d = key[row], doc[row]
+            head = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (k[1:] != k[:-1])]))
+            low, high = np.minimum.reduceat(d, head), np.maximum.reduceat(d, head)
+            shared = np.repeat(low != high, np.diff(np.append(head, len(row))))
+            # all windows of a row hold its seed, so together they are one stretch
+            held = np.zeros((len(key), WINDOW), dtype=bool)
+            held[row[shared], start[shared] + BEFORE] = True
+            chosen = np.flatnonzero(held.any(axis=1))
+            left, right = held[chosen].argmax(axis=1) - BEFORE, least - held[chosen, ::-1].argmax(axis=1)
+            at = places.take(pa.array(chosen))
+            each, at = pc.list_value_length(at).to_numpy(), at.flatten().to_numpy().astype(np.int64)
+            yield from _out("span", doc_id=np.repeat(doc[chosen], each), start=at + np.repeat(left, each), stop=at + np.repeat(right, each))
+            border = (k == keys[0]) | (k == keys[-1])
+            known = (low != high) & border[head]
+            yield from _out("open", doc_id=low[known], high=high[known], key=k[head][known], hash=found[head][known].view(np.int64))
+            lone = border & ~shared
+            begin = start[lone].astype(np.int64)
+            yield from _out("open", doc_id=d[lone], high=d[lone], start=begin, stop=begin + least, key=k[lone],
+                            hash=found[lone].view(np.int64), places=places.take(pa.array(row[lone])))
 
     return run
 
 
-def _sorted_pass(around: DataFrame, order: list[str], n: int, least: int, again: bool) -> tuple[DataFrame, DataFrame]:
-    ranged = around.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    found = materialise(ranged.mapInArrow(_compare(least, again), _OUT_DDL), "stretches", partition_by="kind")
-    edges = found.where("kind = 'edge'").select(F.lit(1).alias("all"), "part", "last", "key", "doc_id", "places", "following", "preceding")
-    at_edges = edges.groupBy("all").applyInPandas(_compare_edges(least), "doc_id long, start long, stop long")
-    return found.where("kind = 'span'").select("doc_id", "start", "stop").union(at_edges), found
+def _stretches(around: DataFrame, n: int, least: int) -> DataFrame:
+    """doc_id, start, stop of words that another document has too, in passages of ``least`` words or more."""
+    order = ["key", "following", "preceding", "doc_id"]
+    ranged = around.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    found = materialise(ranged.mapInArrow(_compare(least), _OUT_DDL), "stretches", partition_by="kind")
+    # a range has few rows of one window, as its documents that share it are one row
+    same = Window.partitionBy("key", "hash")
+    met = found.where("kind = 'open'").withColumn("least_doc", F.min("doc_id").over(same)).withColumn("greatest_doc", F.max("high").over(same))
+    met = met.where("least_doc != greatest_doc AND places IS NOT NULL").withColumn("place", F.explode("places"))
+    met = met.select("doc_id", (F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("stop")).alias("stop"))
+    return found.where("kind = 'span'").select("doc_id", "start", "stop").union(met)
 
 
 def repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,9 +291,7 @@ def repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     around = packed.join(by_doc, "doc_id").select("doc_id", "packed", "places", "keys")
     around = around.mapInArrow(_contexts, "key long, following binary, preceding binary, doc_id long, places array<int>")
     around = materialise(around, "suffixes")
-    spans, found = _sorted_pass(around, ["key", "following", "preceding", "doc_id"], n, least, True)
-    rest = found.where("kind = 'again'").select("key", "following", "preceding", "doc_id", "places")
-    spans = spans.union(_sorted_pass(rest, ["key", "preceding", "following", "doc_id"], n, least, False)[0])
+    spans = _stretches(around, n, least)
     # unite what overlaps or touches
     line = Window.partitionBy("doc_id").orderBy("start", "stop")
     reach = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))

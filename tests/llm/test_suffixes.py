@@ -53,6 +53,25 @@ def test_against_brute_force(spark, seed):
     assert sorted(map(tuple, repeated_passages(df).collect())) == brute(rows)
 
 
+def near_copies(seed, n=150, length=300):
+    """Copies of one text in each of which other words are changed, so that a seed's partners differ by place."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10_000)}" for _ in range(length)]
+    return [(i, " ".join(w if r.random() > 0.03 else f"x{i}y{k}" for k, w in enumerate(base))) for i in range(n)]
+
+
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_near_copies_of_differing_edits(spark, partitions):
+    rows = near_copies(partitions)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sorted(map(tuple, found)) == brute(rows)
+
+
 def test_minimisers_cover_every_window():
     r = np.random.default_rng(0)
     h = r.integers(0, 2**63, 500).astype(np.uint64)
