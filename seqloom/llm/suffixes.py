@@ -5,10 +5,11 @@
    words or more keep the same suffixes inside it.
 2. Suffixes whose first SEED words occur once in all are dropped. Tasks combine what they have
    first, so that a frequent seed sends a row or two from each task and not each place.
-3. The others get the words around them: WINDOW - 1 before and WINDOW + SEED after. That is all that
-   can be needed: any suffix kept inside a passage of LEAST words or more sees LEAST common words.
+3. The others get the words around them: WINDOW - 1 before and, from the seed on, as many as a passage
+   must have at least. That is all that can be needed: the first LEAST words of any passage hold a kept
+   suffix, which begins at most WINDOW - 1 words after it.
 4. They are sorted by seed and following words over ranges (a frequent seed is spread over many
-   tasks). Each of the WINDOW windows of LEAST words that hold a row's seed is hashed, and those that
+   tasks). Each of the WINDOW windows of that many words that hold a row's seed is hashed, and those that
    two documents have under one seed are kept: exact, and without pairs of rows. A task knows this of
    the seeds that lie inside its range; windows of the seeds at its ends are counted over all ranges.
 5. The stretches are united per document.
@@ -29,7 +30,7 @@ from seqloom.llm.common import materialise, mix64, tasks, texts
 from seqloom.llm.shingles import WordHashes, windows, words_of
 
 LEAST, SEED, WINDOW = 50, 20, 31
-BEFORE, AFTER = WINDOW - 1, WINDOW + SEED
+BEFORE = WINDOW - 1
 #: Rows whose windows a task hashes at once, if a group of one seed isn't larger.
 ROWS = 16_384
 
@@ -143,19 +144,23 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "packed"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(after: int):
     """(doc, packed text, places, keys) to rows of places with 32-bit hashes of the words around them."""
-    hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
-    for batch in batches:
-        for doc, packed, places, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = (hashes.of(words_of(unpack.decompress(packed, max_output_size=1 << 31).decode("utf-8", "surrogatepass"))) >> np.uint64(32)).astype("<u4")
-            back = words[::-1]
-            n = len(words)
-            same: dict[tuple, list[int]] = {}  # places with the same words around them are one row
-            for p, k in dict(zip(places, keys, strict=True)).items():
-                same.setdefault((k, words[p : p + AFTER].tobytes(), back[n - p : n - p + BEFORE].tobytes()), []).append(p)
-            rows = [(*around, doc, ps) for around, ps in same.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CONTEXT, strict=True)], schema=_CONTEXT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for doc, packed, places, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = (hashes.of(words_of(unpack.decompress(packed, max_output_size=1 << 31).decode("utf-8", "surrogatepass"))) >> np.uint64(32)).astype("<u4")
+                back = words[::-1]
+                n = len(words)
+                same: dict[tuple, list[int]] = {}  # places with the same words around them are one row
+                for p, k in dict(zip(places, keys, strict=True)).items():
+                    same.setdefault((k, words[p : p + after].tobytes(), back[n - p : n - p + BEFORE].tobytes()), []).append(p)
+                rows = [(*around, doc, ps) for around, ps in same.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CONTEXT, strict=True)], schema=_CONTEXT)
+
+    return run
 
 
 #: Odd multipliers, one for each doubling of a run and one for each run that is put together.
@@ -184,8 +189,8 @@ def _matrix(rows: list[bytes], width: int) -> np.ndarray:
 def _held_windows(key: np.ndarray, following: list[bytes], preceding: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, hash) of the windows of ``least`` words that hold a row's seed and lie inside its
     text; they start at most BEFORE words before the seed."""
-    words = np.concatenate([_matrix(preceding, BEFORE)[:, ::-1], _matrix(following, AFTER)], axis=1)
-    found = _runs(np.ascontiguousarray(words.T[: BEFORE + least], dtype=np.uint64), least)
+    words = np.concatenate([_matrix(preceding, BEFORE)[:, ::-1], _matrix(following, least)], axis=1)
+    found = _runs(np.ascontiguousarray(words.T, dtype=np.uint64), least)
     found = mix64(found ^ mix64(key.view(np.uint64))).T
     start = np.arange(-BEFORE, 1)
     before, after = (np.array([len(x) // 4 for x in side])[:, None] for side in (preceding, following))
@@ -289,7 +294,7 @@ def repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     by_doc = by_doc.select("doc_id", F.col("found.place").alias("places"), F.col("found.key").alias("keys"))
     packed = docs.where("doc_id IS NOT NULL").mapInArrow(_pack, "doc_id long, packed binary")
     around = packed.join(by_doc, "doc_id").select("doc_id", "packed", "places", "keys")
-    around = around.mapInArrow(_contexts, "key long, following binary, preceding binary, doc_id long, places array<int>")
+    around = around.mapInArrow(_contexts(least), "key long, following binary, preceding binary, doc_id long, places array<int>")
     around = materialise(around, "suffixes")
     spans = _stretches(around, n, least)
     # unite what overlaps or touches

@@ -72,6 +72,14 @@ def test_near_copies_of_differing_edits(spark, partitions):
     assert sorted(map(tuple, found)) == brute(rows)
 
 
+@pytest.mark.parametrize("least", [75, 100])
+def test_longer_passages(spark, least):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows, least)
+    assert want and sorted(map(tuple, repeated_passages(df, least).collect())) == want
+
+
 def test_minimisers_cover_every_window():
     r = np.random.default_rng(0)
     h = r.integers(0, 2**63, 500).astype(np.uint64)
