@@ -113,11 +113,16 @@ def _class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def _mark(data: bytes) -> int:
+    """Tells the texts of one id apart."""
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
 _SCAN = pa.schema(
-    [("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()),
+    [("kind", pa.string()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()),
      ("bucket", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary())]
 )
-_SCAN_SQL = "kind string, doc_id long, n long, cls long, sketch binary, bucket int, keys binary, classes binary"
+_SCAN_SQL = "kind string, doc_id long, mark long, n long, cls long, sketch binary, bucket int, keys binary, classes binary"
 _MET = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
 #: Keys that a task holds before it gives them out.
 HELD_KEYS = 1_000_000
@@ -132,7 +137,7 @@ def _blocks_by_bucket(keys: list[np.ndarray], classes: list[np.ndarray], buckets
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     spans = list(zip(first.tolist(), np.append(first[1:], len(k)).tolist(), strict=True))
     none = [None] * len(spans)
-    columns = [["keys"] * len(spans), none, none, none, none, bucket[first].tolist(), [k[a:b].tobytes() for a, b in spans], [c[a:b].tobytes() for a, b in spans]]
+    columns = [["keys"] * len(spans), none, none, none, none, none, bucket[first].tolist(), [k[a:b].tobytes() for a, b in spans], [c[a:b].tobytes() for a, b in spans]]
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SCAN, strict=True)], schema=_SCAN)
 
 
@@ -149,10 +154,11 @@ def _scan(buckets: int):
                 for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     s = shingle_set(text, hashes)
                     cls = _class_of(s) if len(s) else None
-                    rows.append(("member", doc, len(s), cls, None, None, None, None))
+                    rows.append(("member", doc, None, len(s), cls, None, None, None, None))
                     if len(s) and cls not in seen and doc is not None:
                         seen.add(cls)
-                        rows.append(("class", doc, len(s), cls, bit_sketch(s), None, None, None))
+                        mark = _mark(text.encode("utf-8", "surrogatepass"))
+                        rows.append(("class", doc, mark, len(s), cls, bit_sketch(s), None, None, None))
                         keys.append(meeting_keys(s))
                         classes.append(np.full(len(keys[-1]), cls, dtype="<i8"))
                         held += len(keys[-1])
@@ -228,14 +234,16 @@ def _filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link. The texts travel compressed, two for each pair."""
+    """The pairs (a, b) of classes whose whole sets link. The texts travel compressed, two for each pair:
+    of each class the one text that stands for it, however many rows have its id or repeat it."""
 
     def pack(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        schema = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("packed", pa.binary())])
         for batch in batches:
-            data = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], schema=schema)
+            data = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            marks = pa.array([_mark(t) for t in data], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), marks, pa.array([squeeze.compress(t) for t in data], pa.binary())], schema=schema)
 
     def compare(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -253,6 +261,8 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
             found = []
             for a, b, cls, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if open_ and open_[:2] == (a, b):
+                    if open_[2] == cls:
+                        raise ValueError(f"two texts of class {cls} in one pair")
                     if linked(set_of(open_[2], open_[3]), set_of(cls, data)):
                         found.append((a, b))
                     open_ = None
@@ -261,9 +271,10 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], schema=schema)
 
     wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls"))
-    wanted = wanted.join(classes.select("cls", "doc_id"), "cls")
-    packed = docs.where("doc_id IS NOT NULL").mapInArrow(pack, "doc_id long, packed binary")
-    sent = wanted.join(packed, "doc_id").select("a", "b", "cls", "packed")
+    wanted = wanted.join(classes.select("cls", "doc_id", "mark"), "cls")
+    packed = docs.where("doc_id IS NOT NULL").mapInArrow(pack, "doc_id long, mark long, packed binary")
+    packed = packed.dropDuplicates(["doc_id", "mark"])
+    sent = wanted.join(packed, ["doc_id", "mark"]).select("a", "b", "cls", "packed")
     n = tasks(pairs.sparkSession)
     return sent.repartition(n, "a", "b").sortWithinPartitions("a", "b", "cls").mapInArrow(compare, "a long, b long")
 
@@ -350,8 +361,9 @@ def near_duplicates(
     scanned = materialise(docs.mapInArrow(_scan(4 * n), _SCAN_SQL), "shingle-classes", partition_by="kind")
     members = scanned.where("kind = 'member'").select("doc_id", "n", "cls")
     classes = scanned.where("kind = 'class'").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min(F.struct("doc_id", "mark")).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
+    classes = classes.select("cls", "of.doc_id", "of.mark", "n", "sketch")
     met = scanned.where("kind = 'keys'").select("bucket", "keys", "classes").repartition(n, "bucket")
     met = materialise(met.mapInArrow(_meet(small_group), "kind string, a long, b long"), "meetings", partition_by="kind")
     candidates = met.where("kind = 'pair'").select("a", "b").distinct()

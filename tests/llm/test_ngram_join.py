@@ -118,6 +118,31 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert ngram_join.near_duplicates(df.where("false")).collect() == []
 
 
+def just_below():
+    """Two texts that don't link, but meet and pass the filter."""
+    for seed in range(2000):
+        r = random.Random(seed)
+        a = [f"w{i}" for i in range(1000)]
+        b = list(a)
+        for k in r.sample(range(1000), 30):
+            b[k] = f"x{k}"
+        x, y = (shingle_set(" ".join(t), WordHashes()) for t in (a, b))
+        meet = len(np.intersect1d(ngram_join.meeting_keys(x), ngram_join.meeting_keys(y)))
+        if meet and not ngram_join.linked(x, y) and ngram_join.may_link(len(x), len(y), ngram_join.bit_sketch(x), ngram_join.bit_sketch(y)):
+            return " ".join(a), " ".join(b)
+    raise AssertionError("no such pair")
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_repeats_beside_a_candidate_that_does_not_link(spark, other):
+    a, b = just_below()
+    again = [" ".join(f"{c}{i}" for i in range(80)) for c in "pq"] if other else [a, b]
+    rows = [(4, a), (4, again[0]), (9, b), (9, again[1])]
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+    assert {row.component_id for row in found} == {4, 9}
+
+
 def test_components(spark):
     r = random.Random(0)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5), (None, 3)]
