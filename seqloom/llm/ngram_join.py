@@ -3,13 +3,16 @@
 Two texts link when 100 * |A & B| >= 75 * |A | B|; then |A ^ B| <= (|A| + |B|) / 7 =: D.
 
 * Texts with one set are one class; from there on classes are joined, each once.
-* Candidates. Sizes fall into bands (powers of two). A band deals its shingles into P > D parts and
-  XORs the hashes of each part into a sketch of the part. At most D parts hold a shingle that only
-  one of two linked texts has; the sketches of all others agree. So linked texts meet at the sketch
-  of a part. A text stands in its own band and in the next one if a partner can lie there. Bands
-  above 2**9 deal a sample of the shingles, the same for all texts, with P large enough for the
-  share of differing shingles in the sample to stay below it by 5.5 standard deviations. Sets of up
-  to 16 shingles meet at one of their first |A| - ceil(0.75 |A|) + 1 shingles in hash order.
+* Keys. Sizes fall into bands (powers of two). A band deals its shingles into P > D parts and XORs the
+  hashes of each part into a sketch of the part, which is a key. At most D parts hold a shingle that
+  only one of two linked texts has; the sketches of all others agree. A text stands in its own band
+  and in the next one if a partner can lie there. Should a text have no more than D parts with
+  shingles, its empty parts are keys too. Sets of up to 16 shingles have their shingles as keys.
+* Prefixes. Of the keys of a linked text at most D are its own, so in any order that is the same for
+  all texts its first D + 1 keys hold one of its partner. The order is by the number of classes that
+  have a key: keys that one class alone has come first and need no partner, and a frequent key (of a
+  passage that many texts quote) is used by those texts alone that have too few others. Nothing is
+  lost by this, whatever the counts are.
 * Filter. Each class has a bit sketch: every shingle flips one bit. The Hamming distance of two
   sketches is at most |A ^ B|, so pairs beyond D are dropped; the longer sketch is folded first.
 * Verification compares the whole sets, made again from the texts.
@@ -29,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import materialise, mix64, tasks, texts
@@ -40,7 +43,11 @@ from seqloom.llm.shingles import WordHashes, shingle_set
 SMALL_GROUP = 48
 #: Members of a larger group that one task compares with as many others.
 BLOCK = 2048
-SMALL_SET, SAMPLED_BAND = 16, 9
+#: Pairs of one class that a task verifies in one go; the class's text is sent once for each.
+VERIFY_BLOCK = 256
+SMALL_SET = 16
+#: The size of a key whose classes were not counted, as a task alone had many of them.
+UNCOUNTED = 2**31 - 1
 
 
 def _band(size: int) -> int:
@@ -48,34 +55,35 @@ def _band(size: int) -> int:
 
 
 def _parts(band: int) -> int:
-    """The number of parts into which a band deals shingles; see the module's text."""
-    size = 1 << min(band, SAMPLED_BAND)
-    differing = 2 * size / 7
-    if band <= SAMPLED_BAND:
-        return int(differing * (2.0 if band <= 6 else 1.3)) + 1
-    return int((differing + 5.5 * differing**0.5) * 1.35) + 1
+    """The number of parts into which a band deals shingles; more than two linked sets can differ in."""
+    return int(2 * (1 << band) / 7 * (2.0 if band <= 6 else 1.3)) + 1
 
 
-def meeting_keys(shingles: np.ndarray) -> np.ndarray:
-    """The keys at which a sorted set of shingle hashes can meet its partners."""
+def key_sets(shingles: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(band, how many keys a link may leave without partner, keys) of a sorted set of shingle hashes.
+
+    Small sets are band 0. Of linked sets' keys in the band of the larger one one at least agrees,
+    also among the first (that number + 1) of each in any common order.
+    """
     n, found = len(shingles), []
     if n <= SMALL_SET:
-        found.append(mix64(shingles[: n - (3 * n + 3) // 4 + 1] ^ np.uint64(0x5BD1E995)))
-    for band in {_band(n), _band(4 * n // 3)}:
+        found.append((0, n // 4, mix64(shingles ^ np.uint64(0x5BD1E995))))
+    for band in sorted({_band(n), _band(4 * n // 3)}):
         if 1 << band <= SMALL_SET:
             continue
-        level = max(0, band - SAMPLED_BAND)
-        used = shingles[(shingles & np.uint64((1 << level) - 1)) == 0] if level else shingles
-        if not len(used):
-            continue
         parts = _parts(band)
-        part = (mix64(used ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(20)) % np.uint64(parts)
+        part = (mix64(shingles ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(20)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         part = part[order]
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        sketches = np.bitwise_xor.reduceat(used[order], first)
-        found.append(mix64(sketches ^ mix64(part[first] + np.uint64(band << 32))))
-    return np.concatenate(found)
+        sketches, at = np.bitwise_xor.reduceat(shingles[order], first), part[first]
+        differing = (n + min(4 * n // 3, 1 << band)) // 7
+        if len(at) <= differing:
+            at = np.concatenate([at, np.setdiff1d(np.arange(parts, dtype=np.uint64), at)])
+            sketches = np.concatenate([sketches, np.zeros(len(at) - len(sketches), np.uint64)])
+            differing = parts
+        found.append((band, differing, mix64(sketches ^ mix64(at + np.uint64(band << 32)))))
+    return found
 
 
 def bit_sketch(shingles: np.ndarray) -> bytes:
@@ -109,117 +117,186 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def _class_of(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+_SCAN_SQL = (
+    "kind string, doc_id long, mark long, n long, cls long, cls2 long, sets array<struct<band: int, keys: int, own: int>>, "
+    "sketch binary, packed binary, bucket int, bands binary, keys binary, classes binary"
+)
+_SETS = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.int32()), ("own", pa.int32())]))
+_SCAN = pa.schema(
+    [("kind", pa.string()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("sets", _SETS),
+     ("sketch", pa.binary()), ("packed", pa.binary()), ("bucket", pa.int32()), ("bands", pa.binary()), ("keys", pa.binary()), ("classes", pa.binary())]
+)
+#: Keys that a task holds before it gives them out, and that a task which counts them holds before it
+#: looks for frequent ones.
+HELD_KEYS = 1_000_000
+#: In a byte of ``bands``: the key is frequent in the task that sends it.
+FREQUENT = 0x80
 
 
-def _mark(data: bytes) -> int:
-    """Tells the texts of one id apart."""
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _SCAN], schema=_SCAN)
 
 
-_SCAN = pa.schema(
-    [("kind", pa.string()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()),
-     ("bucket", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary())]
-)
-_SCAN_SQL = "kind string, doc_id long, mark long, n long, cls long, sketch binary, bucket int, keys binary, classes binary"
-_MET = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
-#: Keys that a task holds before it gives them out.
-HELD_KEYS = 1_000_000
+def _heads(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin in a sorted array, and their lengths."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(x)))
 
 
-def _blocks_by_bucket(keys: list[np.ndarray], classes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """The keys, 32 bits of each beside its class, as one row for each bucket."""
-    k, c = np.concatenate(keys), np.concatenate(classes)
-    bucket = (k >> np.uint64(32)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    k, c, bucket = (k[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), c[order], bucket[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    spans = list(zip(first.tolist(), np.append(first[1:], len(k)).tolist(), strict=True))
-    none = [None] * len(spans)
-    columns = [["keys"] * len(spans), none, none, none, none, none, bucket[first].tolist(), [k[a:b].tobytes() for a, b in spans], [c[a:b].tobytes() for a, b in spans]]
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SCAN, strict=True)], schema=_SCAN)
+def _places(keys: np.ndarray, band: int, buckets: int) -> np.ndarray:
+    """Bucket, band and 32 bits of each key in one number; from here on they are the key."""
+    return np.unique((keys >> np.uint64(32)) % np.uint64(buckets) << np.uint64(37) | np.uint64(band << 32) | keys & np.uint64(0xFFFFFFFF))
 
 
-def _scan(buckets: int):
-    """Members (doc, size, class); of each class that is new to this task its bit sketch and its meeting keys."""
+def _blocks(keys: list[np.ndarray], classes: list[np.ndarray], small_group: int) -> Iterator[pa.RecordBatch]:
+    """What a task holds as one row for each bucket. Keys that it has in more than ``small_group``
+    classes don't go to their bucket but for one, marked as frequent; so no bucket gets all of a hot key."""
+    k, c = np.concatenate(keys), np.concatenate(classes)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first, size = _heads(k)
+    hot = np.repeat(size > small_group, size)
+    mark = np.zeros(len(k), np.uint8)
+    mark[hot] = FREQUENT
+    lead = np.zeros(len(k), bool)
+    lead[first] = True
+    for kind, some in (("keys", ~hot | lead), ("hot", hot)):
+        kk, cc, mm = k[some], c[some], mark[some]
+        bucket = (kk >> np.uint64(37)).astype(np.int64)
+        bands = ((kk >> np.uint64(32)) & np.uint64(31)).astype(np.uint8) | mm
+        at, size = _heads(bucket)
+        low = (kk & np.uint64(0xFFFFFFFF)).astype("<u4")
+        for lo in range(0, len(at), 1024):
+            yield _batch([
+                {"kind": kind, "bucket": int(bucket[a]), "bands": bands[a : a + m].tobytes(), "keys": low[a : a + m].tobytes(), "classes": cc[a : a + m].tobytes()}
+                for a, m in zip(at[lo : lo + 1024].tolist(), size[lo : lo + 1024].tolist(), strict=True)
+            ])
+
+
+def _scan(buckets: int, small_group: int):
+    """Members (doc, text's mark, size, class); of each class that is new to this task its text, its bit
+    sketch and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen, squeeze = WordHashes(), set(), zstandard.ZstdCompressor(level=1)
         keys, classes, held = [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                some = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
                 rows = []
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                for doc, text, mark in zip(*(c.to_pylist() for c in some.columns), strict=True):
                     s = shingle_set(text, hashes)
-                    cls = _class_of(s) if len(s) else None
-                    rows.append(("member", doc, None, len(s), cls, None, None, None, None))
-                    if len(s) and cls not in seen and doc is not None:
-                        seen.add(cls)
-                        mark = _mark(text.encode("utf-8", "surrogatepass"))
-                        rows.append(("class", doc, mark, len(s), cls, bit_sketch(s), None, None, None))
-                        keys.append(meeting_keys(s))
-                        classes.append(np.full(len(keys[-1]), cls, dtype="<i8"))
-                        held += len(keys[-1])
+                    digest = xxhash.xxh3_128_digest(s.tobytes())
+                    cls, cls2 = (int.from_bytes(x, "little", signed=True) for x in (digest[:8], digest[8:])) if len(s) else (None, None)
+                    rows.append({"kind": "member", "doc_id": doc, "mark": mark, "n": len(s), "cls": cls, "cls2": cls2})
+                    if len(s) and digest not in seen and doc is not None:
+                        seen.add(digest)
+                        sets = []
+                        for band, differing, found in key_sets(s):
+                            at = _places(found, band, buckets)
+                            sets.append({"band": band, "keys": len(at), "own": differing})
+                            keys.append(at)
+                            classes.append(np.full(len(at), cls, dtype="<i8"))
+                            held += len(at)
+                        packed = squeeze.compress(text.encode("utf-8", "surrogatepass"))
+                        rows.append({"kind": "class", "doc_id": doc, "mark": mark, "n": len(s), "cls": cls, "cls2": cls2, "sets": sets, "sketch": bit_sketch(s), "packed": packed})
                 if len(seen) > 1_000_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCAN, strict=True)], schema=_SCAN)
+                yield _batch(rows)
                 if held > HELD_KEYS:
-                    yield _blocks_by_bucket(keys, classes, buckets)
+                    yield from _blocks(keys, classes, small_group)
                     keys.clear(), classes.clear()
                     held = 0
         if keys:
-            yield _blocks_by_bucket(keys, classes, buckets)
+            yield from _blocks(keys, classes, small_group)
 
     return run
 
 
-def _meet(small_group: int):
-    """Pairs of classes that share a key; of large groups the first with each other, and the group."""
+_MET = pa.schema([("cls", pa.int64()), ("band", pa.int32()), ("key", pa.int64()), ("size", pa.int32())])
+_MET_SQL = "cls long, band int, key long, size int"
+
+
+def _met(k: np.ndarray, c: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    band = ((k >> np.uint64(32)) & np.uint64(31)).astype(np.int32)
+    for lo in range(0, len(k), 100_000):
+        some = slice(lo, lo + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(band[some]), pa.array(k[some].view(np.int64)), pa.array(size[some].astype(np.int32))], schema=_MET)
+
+
+def _opened(bucket: int, bands: bytes, keys: bytes, classes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, classes, and whether a key is marked as frequent."""
+    b = np.frombuffer(bands, np.uint8)
+    k = np.uint64(bucket << 37) | (b & 31).astype(np.uint64) << np.uint64(32) | np.frombuffer(keys, "<u4").astype(np.uint64)
+    return k, np.frombuffer(classes, "<i8"), b >= FREQUENT
+
+
+def _frequent_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            k, c, _ = _opened(*row)
+            yield from _met(k, c, np.full(len(k), UNCOUNTED))
+
+
+def _shared_keys(small_group: int, limit: int = 4 * HELD_KEYS):
+    """Keys that two classes have, with their number of classes (UNCOUNTED if a task that sent them, or
+    this one when it held ``limit`` keys, found the key frequent). A row may come twice if UNCOUNTED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for bucket, k, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                held.setdefault(bucket, []).append((np.frombuffer(k, "<u4"), np.frombuffer(c, "<i8")))
-        for bucket, chunks in held.items():
-            k, c = np.concatenate([x for x, _ in chunks]), np.concatenate([x for _, x in chunks])
-            chunks.clear()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        frequent = np.zeros(0, np.uint64)
+        n, room = 0, limit
+
+        def sorted_():
+            k, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((c, k))
             k, c = k[order], c[order]
             fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-            k, c = k[fresh], c[fresh]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.append(first, len(k)))
-            a, b = [], []
-            for n in np.unique(size[(size > 1) & (size <= small_group)]).tolist():
-                at = first[size == n]
-                i, j = np.triu_indices(n, 1)
-                a.append(c[at[:, None] + i].ravel())
-                b.append(c[at[:, None] + j].ravel())
-            large = np.flatnonzero(size > small_group)
-            groups = []
-            for g in large.tolist():
-                members = c[first[g] : first[g] + size[g]]
-                a.append(np.full(len(members) - 1, members[0]))
-                b.append(members[1:])
-                groups.append((np.full(len(members), (bucket << 32) | int(k[first[g]]), dtype=np.int64), members))
-            if a:
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-                for lo in range(0, len(pairs), 200_000):
-                    some = pairs[lo : lo + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(some)), pa.array(some[:, 0]), pa.array(some[:, 1])], schema=_MET)
-            for key, members in groups:
-                yield pa.RecordBatch.from_arrays([pa.array(["group"] * len(members)), pa.array(key), pa.array(members)], schema=_MET)
+            return k[fresh], c[fresh]
+
+        for batch in batches:
+            for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                k, c, marked = _opened(*row)
+                if marked.any():
+                    frequent = np.union1d(frequent, k[marked])
+                held.append((k, c))
+                n += len(k)
+            if n > room:
+                k, c = sorted_()
+                first, size = _heads(k)
+                frequent = np.union1d(frequent, k[first[size > small_group]])
+                hot = np.isin(k, frequent)
+                yield from _met(k[hot], c[hot], np.full(int(hot.sum()), UNCOUNTED))
+                held.append((k[~hot], c[~hot]))
+                n = len(held[0][0])
+                room = max(limit, 2 * n)
+        if not held:
+            return
+        k, c = sorted_()
+        first, size = _heads(k)
+        size[np.isin(k[first], frequent)] = UNCOUNTED
+        size = np.repeat(size, np.diff(np.append(first, len(k))))
+        shared = size > 1
+        yield from _met(k[shared], c[shared], size[shared])
 
     return run
 
 
+def _prefixes(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, key, size): of each class and band the rarest keys, as many as hold one of each partner."""
+    sets = classes.select("node", "cls", F.explode("sets").alias("s")).select("node", "cls", "s.*")
+    rows = met.join(sets, ["cls", "band"])
+    same = Window.partitionBy("node", "band")
+    # a row that comes twice has one rank
+    ranked = rows.withColumn("rank", F.dense_rank().over(same.orderBy("size", "key"))).withColumn("shared", F.max("rank").over(same))
+    return ranked.where("rank <= own + 1 - (keys - shared)").select("node", "key", "size")
+
+
 def _filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those whose sizes and bit sketches allow a link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    side = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     first = pairs.join(side("a").select("a", "n_a"), "a").join(side("b").select("b", "n_b"), "b")
     first = first.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b")
     joined = first.join(side("a"), "a").join(side("b"), "b")
@@ -233,50 +310,33 @@ def _filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link. The texts travel compressed, two for each pair:
-    of each class the one text that stands for it, however many rows have its id or repeat it."""
-
-    def pack(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("packed", pa.binary())])
-        for batch in batches:
-            data = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            marks = pa.array([_mark(t) for t in data], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), marks, pa.array([squeeze.compress(t) for t in data], pa.binary())], schema=schema)
+def _verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets link. The pairs of one a go to blocks of about
+    VERIFY_BLOCK; a's text, compressed, is sent once for each of them."""
 
     def compare(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        hashes, open_, unpack = WordHashes(), None, zstandard.ZstdDecompressor()
-        last: dict[int, np.ndarray] = {}
-
-        def set_of(cls, data):
-            if cls not in last:
-                if len(last) > 64:
-                    last.pop(next(iter(last)))
-                last[cls] = shingle_set(unpack.decompress(data, max_output_size=1 << 31).decode("utf-8", "surrogatepass"), hashes)
-            return last[cls]
-
+        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        open_, root = None, np.zeros(0, np.uint64)
         for batch in batches:
             found = []
-            for a, b, cls, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if open_ and open_[:2] == (a, b):
-                    if open_[2] == cls:
-                        raise ValueError(f"two texts of class {cls} in one pair")
-                    if linked(set_of(open_[2], open_[3]), set_of(cls, data)):
-                        found.append((a, b))
-                    open_ = None
-                else:
-                    open_ = (a, b, cls, data)
+            for a, block, node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = shingle_set(unpack.decompress(data, max_output_size=1 << 31).decode("utf-8", "surrogatepass"), hashes)
+                if node == a:
+                    open_, root = (a, block), s
+                elif open_ != (a, block):
+                    raise ValueError(f"class {a} is not there for its pairs")
+                elif linked(root, s):
+                    found.append((a, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], schema=schema)
 
-    wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls"))
-    wanted = wanted.join(classes.select("cls", "doc_id", "mark"), "cls")
-    packed = docs.where("doc_id IS NOT NULL").mapInArrow(pack, "doc_id long, mark long, packed binary")
-    packed = packed.dropDuplicates(["doc_id", "mark"])
-    sent = wanted.join(packed, ["doc_id", "mark"]).select("a", "b", "cls", "packed")
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK).alias("blocks"))
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    wanted = dealt.select("a", "block", F.col("b").alias("node")).union(dealt.select("a", "block", F.col("a").alias("node")).distinct())
+    sent = wanted.join(classes.select("node", "packed"), "node").withColumn("other", F.col("node") != F.col("a"))
     n = tasks(pairs.sparkSession)
-    return sent.repartition(n, "a", "b").sortWithinPartitions("a", "b", "cls").mapInArrow(compare, "a long, b long")
+    sent = sent.repartition(n, "a", "block").sortWithinPartitions("a", "block", "other", "node")
+    return sent.select("a", "block", "node", "packed").mapInArrow(compare, "a long, b long")
 
 
 def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, block: int, best: bool) -> DataFrame:
@@ -286,9 +346,8 @@ def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, blo
     compared with all members of other components, in blocks of about ``block`` by ``block``. With
     ``best`` only the nearest partner of each such member is returned.
     """
-    named = groups.join(labels, groups.b == labels.node, "left").select(
-        F.col("a").alias("key"), F.col("b").alias("cls"), F.coalesce("label", "b").alias("label")
-    )
+    named = groups.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    named = named.select("key", "node", F.coalesce("label", "node").alias("label"))
     counts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     sizes = counts.groupBy("key").agg(
         F.sum("m").alias("size"), F.max("m").alias("top"), F.max_by("label", F.struct("m", "label")).alias("main")
@@ -296,8 +355,8 @@ def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, blo
     open_ = sizes.where("size > top").select(
         "key", "main", F.ceil((F.col("size") - F.col("top")) / block).cast("int").alias("m_blocks"), F.ceil(F.col("size") / block).cast("int").alias("blocks")
     )
-    rows = named.join(open_, "key").join(classes.select("cls", "n", "sketch"), "cls")
-    rows = rows.withColumn("minor", F.col("label") != F.col("main")).withColumn("h", F.xxhash64("cls"))
+    rows = named.join(open_, "key").join(classes.select("node", "n", "sketch"), "node")
+    rows = rows.withColumn("minor", F.col("label") != F.col("main")).withColumn("h", F.xxhash64("node"))
     # i: block of the members outside the largest component; j: block of all members
     rows = rows.withColumn(
         "at",
@@ -308,7 +367,7 @@ def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, blo
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, label, cls = (pdf[c].to_numpy() for c in ("n", "label", "cls"))
+        n, label, node = (pdf[c].to_numpy() for c in ("n", "label", "node"))
         least = min(map(len, pdf["sketch"]))
         wide = np.stack([_folded(s, least) for s in pdf["sketch"]])
         # all pairs by a quarter of the bits; only those that these allow by all bits
@@ -332,76 +391,99 @@ def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, blo
                 order = np.lexsort((k, ratio, i))
                 first = np.concatenate([[True], i[order][1:] != i[order][:-1]]) if len(order) else np.zeros(0, bool)
                 i, k, ratio = i[order][first], k[order][first], ratio[order][first]
-            found.append(np.stack([cls[some[i]], cls[y[k]]], axis=1))
+            found.append(np.stack([node[some[i]], node[y[k]]], axis=1))
             far.append(ratio)
         out = pd.DataFrame(np.concatenate(found), columns=["z", "x"])
         out["far"] = np.concatenate(far)
         return out
 
-    rows = rows.select("key", "cls", "label", "n", "sketch", "at.i", "at.j", "at.x", "at.y")
+    rows = rows.select("key", "node", "label", "n", "sketch", "at.i", "at.j", "at.x", "at.y")
     met = rows.groupBy("key", "i", "j").applyInPandas(compare, "z long, x long, far double")
     if best:
         met = met.groupBy("z").agg(F.min(F.struct("far", "x")).alias("to")).select("z", "to.x")
     return met.select(F.least("z", "x").alias("a"), F.greatest("z", "x").alias("b")).distinct()
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_group: int = SMALL_GROUP, block: int = BLOCK
-) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``df``.
-
-    component_id is the smallest doc_id that links reach. A null, empty or blank text has no
-    shingles and links with nothing. Rows with equal ids or texts are kept as they are; rows with a
-    null id get the component of their text, null if no row with an id has it. Other columns are ignored.
-    """
-    spark = df.sparkSession
-    docs = texts(df, id_col, text_col)
-    n = tasks(spark)
+def _components(df: DataFrame, id_col: str, text_col: str, small_group: int, block: int, held: int) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, component_id for every row of ``df``."""
+    n = tasks(df.sparkSession)
+    docs = texts(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     # one pass over the texts gives members, classes and keys
-    scanned = materialise(docs.mapInArrow(_scan(4 * n), _SCAN_SQL), "shingle-classes", partition_by="kind")
-    members = scanned.where("kind = 'member'").select("doc_id", "n", "cls")
-    classes = scanned.where("kind = 'class'").groupBy("cls").agg(
-        F.min(F.struct("doc_id", "mark")).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
-    )
-    classes = classes.select("cls", "of.doc_id", "of.mark", "n", "sketch")
-    met = scanned.where("kind = 'keys'").select("bucket", "keys", "classes").repartition(n, "bucket")
-    met = materialise(met.mapInArrow(_meet(small_group), "kind string, a long, b long"), "meetings", partition_by="kind")
-    candidates = met.where("kind = 'pair'").select("a", "b").distinct()
-    candidates = materialise(_filter_pairs(candidates, classes), "candidates")
-    # first each class with its first candidate; then what these links leave open
+    scanned = materialise(docs.mapInArrow(_scan(4 * n, small_group), _SCAN_SQL), "shingle-classes", partition_by="kind")
+    members = scanned.where("kind = 'member'").select("doc_id", "mark", "n", "cls", "cls2")
+    copies = scanned.where("kind = 'class'").select("cls", "cls2", "doc_id", "mark", "n", "sets", "sketch", "packed")
+    # of each class the one text that stands for it, however many rows have its id or repeat it
+    classes = copies.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "mark")).alias("of"), F.first("n").alias("n"), F.first("sets").alias("sets"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "cls", "cls2", "of.*", "n", "sets")
+    classes = materialise(classes, "classes")
+    blocks = ["bucket", "bands", "keys", "classes"]
+    met = scanned.where("kind = 'keys'").select(*blocks).repartition(n, "bucket").mapInArrow(_shared_keys(small_group, held), _MET_SQL)
+    met = met.union(scanned.where("kind = 'hot'").select(*blocks).mapInArrow(_frequent_keys, _MET_SQL))
+    met = materialise(_prefixes(met, classes), "meetings")
+    # only classes that meet others go on, with their sketches and texts
+    meeting = classes.join(met.select("node").distinct(), "node").select("node", "cls", "cls2", "doc_id", "mark")
+    meeting = copies.join(meeting, ["cls", "cls2", "doc_id", "mark"]).select("node", "n", "sketch", "packed").dropDuplicates(["node"])
+    meeting = materialise(meeting, "meeting-classes")
+    small = met.where(F.col("size") <= small_group).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("m")).where("size(m) > 1")
+    small = small.select(
+        F.explode(F.expr("flatten(transform(sequence(0, size(m) - 2), i -> transform(slice(m, i + 2, size(m)), x -> struct(m[i] AS a, x AS b))))")).alias("p")
+    ).select("p.*")
+    large = met.where(F.col("size") > small_group).select("key", "node").distinct()
+    first = large.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    groups = materialise(large.join(first, "key").select("key", "a", "node"), "meeting-groups")
+    stars = groups.where("a != node").select("a", F.col("node").alias("b"))
+    candidates = materialise(_filter_pairs(small.union(stars).distinct(), meeting), "candidates")
+    # first each class with its first candidate; then what these leave open
     first = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    stars = materialise(_verify(first, classes, docs), "links")
-    root = stars.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    links = materialise(_verify(first, meeting), "links")
+    root = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
     rest = candidates.join(first, ["a", "b"], "left_anti")
     rest = rest.join(root.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
     rest = rest.join(root.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
     rest = materialise(rest.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"), "candidates")
-    links = stars
     if not rest.isEmpty():
-        links = links.union(materialise(_verify(rest, classes, docs), "links"))
+        links = links.union(materialise(_verify(rest, meeting), "links"))
     labels = components(links)
-    groups = met.where("kind = 'group'").select("a", "b")
+    groups = groups.select("key", "node")
     if not groups.isEmpty():
         # the nearest partners join most of what is left; then every pair that may still matter
         for best in (True, False):
-            more = materialise(_within_groups(groups, labels, classes, block, best), "candidates")
+            more = materialise(_within_groups(groups, labels, meeting, block, best), "candidates")
             if more.isEmpty():
                 break
-            links = links.union(materialise(_verify(more, classes, docs), "links"))
+            links = links.union(materialise(_verify(more, meeting), "links"))
             labels = components(links)
     # the smallest document of each component, by way of the classes
-    smallest = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    smallest = smallest.join(labels, F.col("cls") == F.col("node"), "left")
-    smallest = smallest.select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
+    smallest = members.where("cls IS NOT NULL").groupBy("cls", "cls2").agg(F.min("doc_id").alias("doc_id"))
+    smallest = smallest.join(classes.select("node", "cls", "cls2"), ["cls", "cls2"]).join(labels, "node", "left")
+    smallest = smallest.select("cls", "cls2", "doc_id", F.coalesce("label", "node").alias("label"))
     least = smallest.groupBy("label").agg(F.min("doc_id").alias("component"))
-    of_class = materialise(smallest.join(least, "label").select("cls", "component"), "class-components")
-    return members.join(of_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    of_class = materialise(smallest.join(least, "label").select("cls", "cls2", "component"), "class-components")
+    return members.join(of_class, ["cls", "cls2"], "left").select(
+        "doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_group: int = SMALL_GROUP, block: int = BLOCK, held: int = 4 * HELD_KEYS
+) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``df``.
+
+    component_id is the smallest doc_id that links reach. A null, empty or blank text has no
+    shingles and links with nothing. Rows with equal ids or texts are kept as they are; rows with a
+    null id get the component of their text, null if no row with an id has it. Other columns are
+    ignored. The other parameters change the work, not the result.
+    """
+    return _components(df, id_col, text_col, small_group, block, held).drop("mark")
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component, with all their columns; null ids stay."""
-    found = near_duplicates(df, id_col, text_col).where("doc_id != component_id")
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``df`` whose id is the smallest of their component, with all their columns.
+
+    Each row goes by its own text: of several texts of one id those alone go that link with a smaller
+    id. Rows with a null id stay, as do empty texts and rows that repeat the one that stays.
+    """
+    found = _components(df, id_col, text_col, SMALL_GROUP, BLOCK, 4 * HELD_KEYS).where("doc_id != component_id")
+    gone = found.select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    same = (F.col(id_col).cast("long") == F.col("__gone")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__mark"))
+    return df.join(gone, same, "left_anti")

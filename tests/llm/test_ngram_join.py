@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from seqloom.llm import ngram_join
+from seqloom.llm.common import mix64
 from seqloom.llm.components import components
 from seqloom.llm.shingles import WordHashes, shingle_set, words_of
 
@@ -39,6 +40,22 @@ def brute(rows):
     return sorted(((d, len(sets[i]), least.get(root(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=str)
 
 
+def meet(a, b):
+    """Whether a key of both is among the first own + 1 of each, in a few orders."""
+    for order in range(3):
+        first = []
+        for s in (a, b):
+            found = set()
+            for band, own, keys in ngram_join.key_sets(s):
+                keys = np.unique(keys)
+                keys = keys[np.argsort(mix64(keys + np.uint64(order)))] if order else keys
+                found |= {(band, k) for k in keys[: own + 1].tolist()}
+            first.append(found)
+        if not first[0] & first[1]:
+            return False
+    return True
+
+
 def corpus(seed, n=150):
     r = random.Random(seed)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
@@ -74,7 +91,8 @@ def test_against_brute_force(spark, seed):
     texts = corpus(seed) + ODD
     rows = list(zip(random.Random(seed).sample(range(10_000), len(texts)), texts, strict=True))
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n long, cls string").repartition(5)
-    found = ngram_join.near_duplicates(df, small_group=3 if seed == 2 else 48, block=4)
+    small = {"small_group": 3, "block": 4, "held": 500} if seed == 2 else {}
+    found = ngram_join.near_duplicates(df, **small)
     assert sorted(map(tuple, found.collect()), key=str) == brute(rows)
 
 
@@ -92,14 +110,14 @@ def test_meeting_and_sketch_bounds():
             assert ngram_join.hamming(ngram_join.bit_sketch(a), ngram_join.bit_sketch(b)) <= distance
             if ngram_join.linked(a, b):
                 n += 1
-                assert len(np.intersect1d(ngram_join.meeting_keys(a), ngram_join.meeting_keys(b)))
+                assert meet(a, b)
                 assert ngram_join.may_link(len(a), len(b), ngram_join.bit_sketch(a), ngram_join.bit_sketch(b))
     assert n > 200
 
 
 def test_pairs_at_the_threshold_meet():
     r = np.random.default_rng(3)
-    for trial in range(400):
+    for _ in range(400):
         n = int(r.choice([7, 14, 17, 28, 64, 128, 250, 300, 512, 513, 600, 1100, 2500, 6000]))
         both = r.integers(0, 2**63, n).astype(np.uint64)
         spare = n // 3  # |A | B| = n + spare: as far apart as a link allows
@@ -107,7 +125,21 @@ def test_pairs_at_the_threshold_meet():
         extra = r.integers(0, 2**63, spare).astype(np.uint64)
         a, b = np.unique(np.concatenate([both, extra[:cut]])), np.unique(np.concatenate([both, extra[cut:]]))
         assert ngram_join.linked(a, b)
-        assert len(np.intersect1d(ngram_join.meeting_keys(a), ngram_join.meeting_keys(b)))
+        assert meet(a, b)
+
+
+def test_empty_parts_are_keys_where_they_are_needed():
+    """Sets dealt into so few parts that D of them are all: only empty parts can agree."""
+    r = np.random.default_rng(4)
+    band, parts = 5, ngram_join._parts(5)
+    deal = lambda x: (mix64(x ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(20)) % np.uint64(parts)
+    pool = r.integers(0, 2**63, 4000).astype(np.uint64)
+    pool = pool[deal(pool) < 7]
+    a = np.unique(pool[:28])
+    b = np.unique(np.concatenate([a[4:], pool[100:104]]))
+    assert ngram_join.linked(a, b) and len(np.unique(deal(a))) <= 2 * 28 // 7
+    own = {x: own for x, own, _ in ngram_join.key_sets(a)}
+    assert own[band] == parts and meet(a, b)
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
@@ -127,8 +159,7 @@ def just_below():
         for k in r.sample(range(1000), 30):
             b[k] = f"x{k}"
         x, y = (shingle_set(" ".join(t), WordHashes()) for t in (a, b))
-        meet = len(np.intersect1d(ngram_join.meeting_keys(x), ngram_join.meeting_keys(y)))
-        if meet and not ngram_join.linked(x, y) and ngram_join.may_link(len(x), len(y), ngram_join.bit_sketch(x), ngram_join.bit_sketch(y)):
+        if meet(x, y) and not ngram_join.linked(x, y) and ngram_join.may_link(len(x), len(y), ngram_join.bit_sketch(x), ngram_join.bit_sketch(y)):
             return " ".join(a), " ".join(b)
     raise AssertionError("no such pair")
 
