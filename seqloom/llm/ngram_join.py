@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ BLOCK = 2048
 #: Pairs of one class that a task verifies in one go; the class's text is sent once for each.
 VERIFY_BLOCK = 256
 SMALL_SET = 16
-#: The size of a key whose classes were not counted, as a task alone had many of them.
+#: The size of a key that was not counted, as a task alone had many classes with it.
 UNCOUNTED = 2**31 - 1
 
 
@@ -118,19 +119,18 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 _SCAN_SQL = (
-    "kind string, doc_id long, mark long, n long, cls long, cls2 long, sets array<struct<band: int, keys: int, own: int>>, "
-    "sketch binary, packed binary, bucket int, bands binary, keys binary, classes binary"
+    "kind string, doc_id long, mark long, n long, cls long, cls2 long, ref long, sets array<struct<band: int, keys: int, own: int>>, "
+    "sketch binary, packed binary, bucket int, bands binary, keys binary, places binary, marked binary"
 )
 _SETS = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.int32()), ("own", pa.int32())]))
 _SCAN = pa.schema(
-    [("kind", pa.string()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("sets", _SETS),
-     ("sketch", pa.binary()), ("packed", pa.binary()), ("bucket", pa.int32()), ("bands", pa.binary()), ("keys", pa.binary()), ("classes", pa.binary())]
+    [("kind", pa.string()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("ref", pa.int64()), ("sets", _SETS),
+     ("sketch", pa.binary()), ("packed", pa.binary()), ("bucket", pa.int32()), ("bands", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("marked", pa.binary())]
 )
-#: Keys that a task holds before it gives them out, and that a task which counts them holds before it
-#: looks for frequent ones.
-HELD_KEYS = 1_000_000
-#: In a byte of ``bands``: the key is frequent in the task that sends it.
-FREQUENT = 0x80
+_BLOCK = ["bucket", "ref", "bands", "keys", "places", "marked"]
+#: Keys that a task holds before it gives them out (those of at most HELD_SETS classes), and that a task
+#: which counts them holds before it looks for frequent ones.
+HELD_KEYS, HELD_SETS = 1_000_000, 1 << 16
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -143,43 +143,48 @@ def _heads(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(x)))
 
 
-def _places(keys: np.ndarray, band: int, buckets: int) -> np.ndarray:
+def _placed(keys: np.ndarray, band: int, buckets: int) -> np.ndarray:
     """Bucket, band and 32 bits of each key in one number; from here on they are the key."""
     return np.unique((keys >> np.uint64(32)) % np.uint64(buckets) << np.uint64(37) | np.uint64(band << 32) | keys & np.uint64(0xFFFFFFFF))
 
 
-def _blocks(keys: list[np.ndarray], classes: list[np.ndarray], small_group: int) -> Iterator[pa.RecordBatch]:
-    """What a task holds as one row for each bucket. Keys that it has in more than ``small_group``
-    classes don't go to their bucket but for one, marked as frequent; so no bucket gets all of a hot key."""
-    k, c = np.concatenate(keys), np.concatenate(classes)
+def _blocks(ref: int, sets: list[np.ndarray], places: list[int], small_group: int) -> Iterator[pa.RecordBatch]:
+    """What a task holds as one row for each bucket: how many keys of each band, 32 bits of each key, and
+    the place of its class among those from ``ref`` on. Keys that the task has in more than
+    ``small_group`` classes don't go to their bucket but for one, marked; so no bucket gets all of a hot key."""
+    k = np.concatenate(sets)
+    c = np.repeat(np.array(places, "<u2"), [len(x) for x in sets])
     order = np.argsort(k, kind="stable")
     k, c = k[order], c[order]
     first, size = _heads(k)
     hot = np.repeat(size > small_group, size)
-    mark = np.zeros(len(k), np.uint8)
-    mark[hot] = FREQUENT
     lead = np.zeros(len(k), bool)
     lead[first] = True
     for kind, some in (("keys", ~hot | lead), ("hot", hot)):
-        kk, cc, mm = k[some], c[some], mark[some]
-        bucket = (kk >> np.uint64(37)).astype(np.int64)
-        bands = ((kk >> np.uint64(32)) & np.uint64(31)).astype(np.uint8) | mm
-        at, size = _heads(bucket)
-        low = (kk & np.uint64(0xFFFFFFFF)).astype("<u4")
+        kk, cc, marked = k[some], c[some], hot[some]
+        at, size = _heads(kk >> np.uint64(37))
+        low, bands = (kk & np.uint64(0xFFFFFFFF)).astype("<u4"), ((kk >> np.uint64(32)) & np.uint64(31)).astype(np.int64)
         for lo in range(0, len(at), 1024):
-            yield _batch([
-                {"kind": kind, "bucket": int(bucket[a]), "bands": bands[a : a + m].tobytes(), "keys": low[a : a + m].tobytes(), "classes": cc[a : a + m].tobytes()}
-                for a, m in zip(at[lo : lo + 1024].tolist(), size[lo : lo + 1024].tolist(), strict=True)
-            ])
+            rows = []
+            for a, m in zip(at[lo : lo + 1024].tolist(), size[lo : lo + 1024].tolist(), strict=True):
+                of = slice(a, a + m)
+                rows.append({
+                    "kind": kind, "bucket": int(kk[a] >> np.uint64(37)), "ref": ref, "bands": np.bincount(bands[of]).astype("<u4").tobytes(),
+                    "keys": low[of].tobytes(), "places": cc[of].tobytes(), "marked": np.flatnonzero(marked[of]).astype("<u4").tobytes(),
+                })
+            yield _batch(rows)
 
 
 def _scan(buckets: int, small_group: int):
     """Members (doc, text's mark, size, class); of each class that is new to this task its text, its bit
-    sketch and its keys."""
+    sketch and its keys, under a number (ref) of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, squeeze = WordHashes(), set(), zstandard.ZstdCompressor(level=1)
-        keys, classes, held = [], [], 0
+        ref = TaskContext.get().partitionId() << 36
+        held: list[np.ndarray] = []
+        places: list[int] = []
+        n, classes = 0, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
@@ -193,28 +198,28 @@ def _scan(buckets: int, small_group: int):
                         seen.add(digest)
                         sets = []
                         for band, differing, found in key_sets(s):
-                            at = _places(found, band, buckets)
-                            sets.append({"band": band, "keys": len(at), "own": differing})
-                            keys.append(at)
-                            classes.append(np.full(len(at), cls, dtype="<i8"))
-                            held += len(at)
+                            held.append(_placed(found, band, buckets))
+                            places.append(classes)
+                            sets.append({"band": band, "keys": len(held[-1]), "own": differing})
+                            n += len(held[-1])
                         packed = squeeze.compress(text.encode("utf-8", "surrogatepass"))
-                        rows.append({"kind": "class", "doc_id": doc, "mark": mark, "n": len(s), "cls": cls, "cls2": cls2, "sets": sets, "sketch": bit_sketch(s), "packed": packed})
+                        rows.append({"kind": "class", "doc_id": doc, "mark": mark, "n": len(s), "cls": cls, "cls2": cls2, "ref": ref | classes, "sets": sets, "sketch": bit_sketch(s), "packed": packed})
+                        classes += 1
+                        if n > HELD_KEYS or classes == HELD_SETS:
+                            yield from _blocks(ref, held, places, small_group)
+                            held.clear(), places.clear()
+                            n, classes, ref = 0, 0, ref + HELD_SETS
                 if len(seen) > 1_000_000:
                     seen.clear()
                 yield _batch(rows)
-                if held > HELD_KEYS:
-                    yield from _blocks(keys, classes, small_group)
-                    keys.clear(), classes.clear()
-                    held = 0
-        if keys:
-            yield from _blocks(keys, classes, small_group)
+        if held:
+            yield from _blocks(ref, held, places, small_group)
 
     return run
 
 
-_MET = pa.schema([("cls", pa.int64()), ("band", pa.int32()), ("key", pa.int64()), ("size", pa.int32())])
-_MET_SQL = "cls long, band int, key long, size int"
+_MET = pa.schema([("ref", pa.int64()), ("band", pa.int32()), ("key", pa.int64()), ("size", pa.int32())])
+_MET_SQL = "ref long, band int, key long, size int"
 
 
 def _met(k: np.ndarray, c: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -224,11 +229,11 @@ def _met(k: np.ndarray, c: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(band[some]), pa.array(k[some].view(np.int64)), pa.array(size[some].astype(np.int32))], schema=_MET)
 
 
-def _opened(bucket: int, bands: bytes, keys: bytes, classes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, classes, and whether a key is marked as frequent."""
-    b = np.frombuffer(bands, np.uint8)
-    k = np.uint64(bucket << 37) | (b & 31).astype(np.uint64) << np.uint64(32) | np.frombuffer(keys, "<u4").astype(np.uint64)
-    return k, np.frombuffer(classes, "<i8"), b >= FREQUENT
+def _opened(bucket: int, ref: int, bands: bytes, keys: bytes, places: bytes, marked: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and refs of a block, and those of its keys that are marked."""
+    counts = np.frombuffer(bands, "<u4")
+    k = np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(32), counts) | np.uint64(bucket << 37) | np.frombuffer(keys, "<u4").astype(np.uint64)
+    return k, np.frombuffer(places, "<u2").astype(np.int64) + ref, k[np.frombuffer(marked, "<u4")]
 
 
 def _frequent_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +244,8 @@ def _frequent_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _shared_keys(small_group: int, limit: int = 4 * HELD_KEYS):
-    """Keys that two classes have, with their number of classes (UNCOUNTED if a task that sent them, or
-    this one when it held ``limit`` keys, found the key frequent). A row may come twice if UNCOUNTED."""
+    """Keys that two refs have, with their number of refs (UNCOUNTED if a task that sent them, or this
+    one when it held ``limit`` keys, found the key frequent)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -250,16 +255,14 @@ def _shared_keys(small_group: int, limit: int = 4 * HELD_KEYS):
         def sorted_():
             k, c = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((c, k))
-            k, c = k[order], c[order]
-            fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-            return k[fresh], c[fresh]
+            order = np.argsort(k, kind="stable")
+            return k[order], c[order]
 
         for batch in batches:
             for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 k, c, marked = _opened(*row)
-                if marked.any():
-                    frequent = np.union1d(frequent, k[marked])
+                if len(marked):
+                    frequent = np.union1d(frequent, marked)
                 held.append((k, c))
                 n += len(k)
             if n > room:
@@ -275,22 +278,23 @@ def _shared_keys(small_group: int, limit: int = 4 * HELD_KEYS):
             return
         k, c = sorted_()
         first, size = _heads(k)
+        each = size.copy()
         size[np.isin(k[first], frequent)] = UNCOUNTED
-        size = np.repeat(size, np.diff(np.append(first, len(k))))
+        size = np.repeat(size, each)
         shared = size > 1
         yield from _met(k[shared], c[shared], size[shared])
 
     return run
 
 
-def _prefixes(met: DataFrame, classes: DataFrame) -> DataFrame:
+def _prefixes(met: DataFrame, refs: DataFrame) -> DataFrame:
     """(node, key, size): of each class and band the rarest keys, as many as hold one of each partner."""
-    sets = classes.select("node", "cls", F.explode("sets").alias("s")).select("node", "cls", "s.*")
-    rows = met.join(sets, ["cls", "band"])
+    sets = refs.select("node", "ref", F.explode("sets").alias("s")).select("node", "ref", "s.*")
+    rows = met.join(sets, ["ref", "band"])
     same = Window.partitionBy("node", "band")
-    # a row that comes twice has one rank
+    # a key that comes from several refs of a class has one rank
     ranked = rows.withColumn("rank", F.dense_rank().over(same.orderBy("size", "key"))).withColumn("shared", F.max("rank").over(same))
-    return ranked.where("rank <= own + 1 - (keys - shared)").select("node", "key", "size")
+    return ranked.where("rank <= own + 1 - (keys - shared)").select("node", "key", "size").distinct()
 
 
 def _filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -411,18 +415,15 @@ def _components(df: DataFrame, id_col: str, text_col: str, small_group: int, blo
     # one pass over the texts gives members, classes and keys
     scanned = materialise(docs.mapInArrow(_scan(4 * n, small_group), _SCAN_SQL), "shingle-classes", partition_by="kind")
     members = scanned.where("kind = 'member'").select("doc_id", "mark", "n", "cls", "cls2")
-    copies = scanned.where("kind = 'class'").select("cls", "cls2", "doc_id", "mark", "n", "sets", "sketch", "packed")
+    copies = scanned.where("kind = 'class'").select("ref", "cls", "cls2", "doc_id", "mark", "n", "sets", "sketch", "packed")
     # of each class the one text that stands for it, however many rows have its id or repeat it
-    classes = copies.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "mark")).alias("of"), F.first("n").alias("n"), F.first("sets").alias("sets"))
-    classes = classes.select(F.monotonically_increasing_id().alias("node"), "cls", "cls2", "of.*", "n", "sets")
+    classes = copies.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "mark", "ref"))["ref"].alias("node"))
     classes = materialise(classes, "classes")
-    blocks = ["bucket", "bands", "keys", "classes"]
-    met = scanned.where("kind = 'keys'").select(*blocks).repartition(n, "bucket").mapInArrow(_shared_keys(small_group, held), _MET_SQL)
-    met = met.union(scanned.where("kind = 'hot'").select(*blocks).mapInArrow(_frequent_keys, _MET_SQL))
-    met = materialise(_prefixes(met, classes), "meetings")
+    met = scanned.where("kind = 'keys'").select(*_BLOCK).repartition(n, "bucket").mapInArrow(_shared_keys(small_group, held), _MET_SQL)
+    met = met.union(scanned.where("kind = 'hot'").select(*_BLOCK).mapInArrow(_frequent_keys, _MET_SQL))
+    met = materialise(_prefixes(met, copies.select("ref", "cls", "cls2", "sets").join(classes, ["cls", "cls2"])), "meetings")
     # only classes that meet others go on, with their sketches and texts
-    meeting = classes.join(met.select("node").distinct(), "node").select("node", "cls", "cls2", "doc_id", "mark")
-    meeting = copies.join(meeting, ["cls", "cls2", "doc_id", "mark"]).select("node", "n", "sketch", "packed").dropDuplicates(["node"])
+    meeting = copies.join(met.select(F.col("node").alias("ref")).distinct(), "ref").select(F.col("ref").alias("node"), "n", "sketch", "packed")
     meeting = materialise(meeting, "meeting-classes")
     small = met.where(F.col("size") <= small_group).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("m")).where("size(m) > 1")
     small = small.select(
