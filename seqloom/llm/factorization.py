@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import materialise, tasks
+
 #: Punctuation at the ends of a word; the word inside is a term of its own.
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’…"
 _LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -95,54 +97,20 @@ def _entries(term_lists: list, stats: np.ndarray | None, model: Model):
     return rows, columns, values
 
 
-def _sorted_terms(features: list[np.ndarray]) -> np.ndarray:
-    """All terms of all rows in one sorted array, which is the only copy."""
-    flat = np.concatenate(features) if features else np.zeros(0, np.uint64)
-    flat.sort()
-    return flat
-
-
-def _counted(flat: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct terms that ``least`` rows have at least, and how many have each."""
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(first, len(flat)))
-    enough = counts >= least
-    return flat[first[enough]], counts[enough]
-
-
-def _columns(features: np.ndarray, known: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Columns of the terms that are known (sorted), in the order of ``features``."""
-    if not len(known):
-        return np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(known, features), len(known) - 1)
-    return columns[at[known[at] == features]]
-
-
 def fit(
-    features: list[np.ndarray], stats: np.ndarray | None, labels: np.ndarray, rank: int = 6, max_terms: int = 8192,
-    least_rows: int = 5, epochs: int = 30, step: float = 0.05, decay: float = 2e-3, seed: int = 7,
+    terms: dict[int, int], lists: list[np.ndarray], stats: np.ndarray | None, labels: np.ndarray, rank: int = 6, epochs: int = 30,
+    step: float = 0.05, decay: float = 2e-3, seed: int = 7,
 ) -> Model:
-    """Fit by Adam on mini-batches. Only terms in ``least_rows`` rows at least are learned, of them the
-    ``max_terms`` whose shares in the two classes differ most for their counts."""
+    """Fit by Adam on mini-batches. ``terms`` has the column of each term to be learned, ``lists`` the
+    columns of the terms that each row has."""
     y = labels.astype(float)
     n, n_pos = len(y), float(y.sum())
-    ids, total = _counted(_sorted_terms(features), least_rows)
-    positive = _sorted_terms([f for f, label in zip(features, y, strict=True) if label > 0])
-    pos = (np.searchsorted(positive, ids, "right") - np.searchsorted(positive, ids, "left")).astype(float)
-    del positive
     share = n_pos / max(n, 1)
-    z = (pos - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
-    good = np.flatnonzero(np.abs(z) >= 4)
-    good = good[np.argsort(-np.abs(z[good]), kind="stable")][:max_terms]
-    terms = {int(ids[g]): k for k, g in enumerate(good.tolist())}
-    width = 0 if stats is None else stats.shape[1]
+    width = len(terms) + (0 if stats is None else stats.shape[1])
     r = np.random.default_rng(seed)
-    base = math.log((n_pos + 1) / (n - n_pos + 1))
-    model = Model(terms, base, np.zeros(len(good) + width), r.normal(0, 0.02, (len(good) + width, rank)))
-    if width:
-        model.mean, model.scale = (stats.mean(axis=0), stats.std(axis=0) + 1e-6) if n else (np.zeros(width), np.ones(width))
-    order = np.argsort(ids[good])
-    lists = [_columns(f, ids[good][order], order) for f in features]
+    model = Model(terms, math.log((n_pos + 1) / (n - n_pos + 1)), np.zeros(width), r.normal(0, 0.02, (width, rank)))
+    if stats is not None:
+        model.mean, model.scale = (stats.mean(axis=0), stats.std(axis=0) + 1e-6) if n else (np.zeros(stats.shape[1]), np.ones(stats.shape[1]))
     weight = np.where(y > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)) ** 0.5  # half way to equal classes
     slots = [[np.zeros_like(p), np.zeros_like(p)] for p in (model.linear, model.factors)]
     bias_slot, t = [0.0, 0.0], 0
@@ -184,50 +152,98 @@ def _inputs(df: DataFrame, id_col: str, text_col: str, n_chars_col: str | None)
     )
 
 
-def _features(batches: Iterator[pa.RecordBatch], with_stats: bool) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list[int]] = {}
-    for batch in batches:
-        if len(known) > 200_000:
-            known.clear()
-        hashes, stats = [], []
-        for text, n_chars in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = text.lower().split()
-            found: set[int] = set()
-            for w in set(words):
-                if w not in known:
-                    known[w] = [_hash(t) for t in terms_of(w)]
-                found.update(known[w])
-            hashes.append(np.fromiter(found, dtype=np.uint64, count=len(found)).tobytes())
-            stats.append(statistics_of(text, words, n_chars) if with_stats else [])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(3), pa.array(hashes, pa.binary()), pa.array(stats, pa.list_(pa.float64()))], names=["label", "terms", "stats"]
-        )
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int64())), ("stats", pa.list_(pa.float64()))])
+_COLUMNS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("columns", pa.binary()), ("stats", pa.list_(pa.float64()))])
+
+
+def _features(with_stats: bool):
+    """Terms, as signed 64-bit hashes, and statistics of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                if len(known) > 200_000:
+                    known.clear()
+                hashes, stats = [], []
+                for text, n_chars in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
+                    words = text.lower().split()
+                    found: set[int] = set()
+                    for w in set(words):
+                        if w not in known:
+                            known[w] = [_hash(t) for t in terms_of(w)]
+                        found.update(known[w])
+                    hashes.append(np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64))
+                    stats.append(statistics_of(text, words, n_chars) if with_stats else [])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(hashes, _FEATURES.field(2).type), pa.array(stats, _FEATURES.field(3).type)], schema=_FEATURES)
+
+    return run
+
+
+def _chosen_columns(terms: np.ndarray):
+    """Rows of ``_features`` with the columns (places in ``terms``) of their terms as 16-bit numbers."""
+    order = np.argsort(terms)
+    known = terms[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.column(2):
+                x = row.values.to_numpy()
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                found.append(np.sort(order[at[known[at] == x]] if len(known) else at[:0]).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), batch.column(3)], schema=_COLUMNS)
+
+    return run
+
+
+def _telling_terms(features: DataFrame, max_terms: int, least_rows: int, frequent: int) -> np.ndarray:
+    """Terms to be learned: those in ``least_rows`` rows at least whose shares in the two classes differ
+    most for their counts, and, as a term may tell something only beside another, the ``frequent`` most
+    frequent of the others. They are counted in Spark; ``max_terms`` at most come to the driver."""
+    n, n_pos = features.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    share = n_pos / max(n, 1)
+    counts = features.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("pos"))
+    z = (F.col("pos") - F.col("rows") * share) / F.sqrt(F.greatest(F.col("rows") * (share * (1 - share)), F.lit(1e-9)))
+    counts = counts.where(F.col("rows") >= least_rows).select("term", "rows", F.abs(z).alias("z"))
+    strong = counts.where("z >= 4").orderBy(F.desc("z"), "term").limit(max_terms - frequent)
+    others = counts.where("z < 4").orderBy(F.desc("rows"), "term").limit(frequent)
+    found = strong.unionByName(others).select("term").toArrow().column(0).to_numpy()
+    return np.sort(found)
 
 
 def fit_on_labels(
     df: DataFrame, labels: DataFrame, label_col: str, modulus: int, remainder: int, max_rows: int = 8000, with_stats: bool = True,
-    id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", **options,
+    id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", max_terms: int = 8192, least_rows: int = 5,
+    frequent: int = 256, **options,
 ) -> Model:
-    """Fit on at most ``max_rows`` labelled rows that aren't held out, chosen by a hash of their id.
+    """Fit on at most ``max_rows`` labelled rows that aren't held out: those whose ids have the least hashes.
 
-    ``max_rows`` bounds what comes to the driver. Rows without a label or id are not learned from;
-    of several labels of one id the largest counts. With no labelled rows every score is 0.5.
+    Terms of the sample are made and counted in Spark. The driver gets ``max_terms`` terms and, of each
+    row, the columns of those alone. Rows without a label or id are not learned from; of several
+    labels of one id the largest counts, of several texts the one with the least hash. With no labelled
+    rows every score is 0.5.
     """
     usable = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out("doc_id", modulus, remainder))
     n = usable.count()
-    share = min(1.0, 0.97 * max_rows / n) if n else 1.0
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).limit(max_rows)
+    # a few more than wanted by a bound on the hash, of these the least
+    share = min(1.0, (max_rows + 10 * max_rows**0.5) / n) if n else 1.0
+    few = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    few = few.groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = few.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(max_rows)
     # at most max_rows rows of two numbers
-    sample = _inputs(df, id_col, text_col, n_chars_col).join(F.broadcast(chosen), "doc_id").limit(max_rows)
-    found = sample.select("doc_id", "text", "n_chars", "label").mapInArrow(
-        lambda batches: _features(batches, with_stats), "label int, terms binary, stats array<double>"
-    ).toArrow()
-    # views of what Arrow holds
-    terms = [np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in found.column("terms")]
-    stats = np.array(found.column("stats").to_pylist(), dtype=float).reshape(len(terms), STATISTICS) if with_stats else None
-    return fit(terms, stats, np.array(found.column("label").to_pylist(), dtype=float), **options)
+    sample = _inputs(df, id_col, text_col, n_chars_col).join(F.broadcast(chosen), "doc_id").repartition(tasks(df.sparkSession), "doc_id")
+    one = sample.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "n_chars")).alias("d"))
+    rows = one.select("doc_id", "label", "d.text", "d.n_chars")
+    features = materialise(rows.mapInArrow(_features(with_stats), "doc_id long, label int, terms array<long>, stats array<double>"), "sample-terms")
+    terms = _telling_terms(features, max_terms, least_rows, frequent)
+    found = features.mapInArrow(_chosen_columns(terms), "doc_id long, label int, columns binary, stats array<double>").orderBy("doc_id").toArrow()
+    lists = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in found.column("columns")]
+    stats = np.array(found.column("stats").to_pylist(), dtype=float).reshape(len(lists), STATISTICS) if with_stats else None
+    columns = {h: k for k, h in enumerate(terms.view(np.uint64).tolist())}
+    return fit(columns, lists, stats, np.array(found.column("label").to_pylist(), dtype=float), **options)
 
 
 def score(

@@ -14,12 +14,17 @@ MODULUS, REMAINDER, THRESHOLD = 3, 1, 0.7
 
 def score_toxicity(df: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``df``. Of its columns only doc_id and
-    text are read; of ``labels`` doc_id and toxic."""
+    text are read; of ``labels`` doc_id and toxic.
+
+    A null text is scored as an empty one. A null id stays null; repeated rows and ids are scored
+    each by its own text. ``max_rows`` bounds the sample that is learned from, nothing else."""
     return factorization.classify(df, _model(df, labels, max_rows), MODULUS, REMAINDER, THRESHOLD, n_chars_col=None)
 
 
 def reject_toxic(df: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
-    """The rows of ``df`` that ``score_toxicity`` predicts 0 for, with all their columns."""
+    """The rows of ``df`` that ``score_toxicity`` predicts 0 for, with all their columns.
+
+    Each row goes by its own text, whatever its id; a null or empty text is scored like any other."""
     return factorization.below(df, _model(df, labels, max_rows), THRESHOLD)
 
 

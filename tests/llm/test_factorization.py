@@ -1,8 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import factorization, quality, toxicity
 
@@ -16,14 +18,52 @@ def test_sum_of_squares_identity():
     assert got == pytest.approx(0.3 + model.linear @ x + pairs)
 
 
-def test_it_learns_a_pair_of_terms():
+@pytest.mark.parametrize("kind", ["and", "xor"])
+def test_it_learns_a_pair_of_terms(spark, kind):
+    """In xor neither term tells anything alone."""
     r = np.random.default_rng(2)
-    a, b = r.random(4000) < 0.5, r.random(4000) < 0.5
-    features = [np.array([1] * int(x) + [2] * int(y) + [3 + i % 3], dtype=np.uint64) for i, (x, y) in enumerate(zip(a, b, strict=True))]
-    model = factorization.fit(features, None, (a & b).astype(float), epochs=40)
-    lists = [[model.terms[h] for h in map(int, f) if h in model.terms] for f in features]
-    score = model.raw(*factorization._entries(lists, None, model), len(lists)) > 0
-    assert (score == (a & b)).mean() > 0.99
+    a, b = r.random(3000) < 0.5, r.random(3000) < 0.5
+    toxic = a & b if kind == "and" else a ^ b
+    rows = [(i, " ".join(["plain"] * 2 + ["insult"] * int(x) + ["group"] * int(y) + [f"w{i % 7}"])) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic.tolist())], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.score_toxicity(docs, labels).collect()}
+    assert np.mean([(got[i].score > 0.5) == t for i, t in enumerate(toxic.tolist()) if got[i].held_out]) > 0.98
+
+
+def explicit_score(model, text, n_chars):
+    """By every pair of features of one text, with words, marks and statistics looked up one by one."""
+    words = set(text.lower().split())
+    features = {model.terms[factorization._hash(t)]: 1.0 for w in words for t in factorization.terms_of(w) if factorization._hash(t) in model.terms}
+    if len(model.mean):
+        for k, x in enumerate(factorization.statistics_of(text, text.lower().split(), n_chars)):
+            features[len(model.terms) + k] = min(4.0, max(-4.0, (x - model.mean[k]) / model.scale[k]))
+    raw = model.bias + sum(model.linear[i] * x for i, x in features.items())
+    for i, x in features.items():
+        for j, y in features.items():
+            if i < j:
+                raw += sum(model.factors[i, f] * model.factors[j, f] for f in range(model.factors.shape[1])) * x * y
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, raw))))
+
+
+@pytest.mark.parametrize("kind", ["quality", "toxic"])
+def test_scores_of_texts_against_every_pair(spark, kind):
+    docs, labels, _ = _corpus(spark, 300)
+    with_stats = kind == "quality"
+    model = factorization.fit_on_labels(docs, labels, kind, 4, 2, with_stats=with_stats)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in factorization.score(docs, model).collect())
+    rows = [(r.doc_id is None, r.doc_id or 0, explicit_score(model, r.text or "", r.n_chars)) for r in docs.collect()]
+    assert np.allclose([x[2] for x in got], [x[2] for x in sorted(rows)], atol=1e-9)
+    again = factorization.fit_on_labels(docs.repartition(3), labels.repartition(2), kind, 4, 2, with_stats=with_stats)
+    assert again.terms == model.terms and np.array_equal(again.factors, model.factors)  # the order of rows is of no matter
+
+
+def test_the_sample_is_bounded(spark):
+    docs, labels, _ = _corpus(spark, 400)
+    docs = docs.union(docs.where("doc_id = 5").withColumn("text", F.concat("text", F.lit(" other")))).union(docs)
+    model = factorization.fit_on_labels(docs, labels, "toxic", 3, 1, max_rows=50, with_stats=False, max_terms=30, frequent=10)
+    assert 10 <= len(model.terms) <= 30
+    assert len(factorization.fit_on_labels(docs, labels, "toxic", 3, 1, max_rows=0, with_stats=False).terms) == 0
 
 
 def _corpus(spark, n=1500):
