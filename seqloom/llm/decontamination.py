@@ -3,12 +3,13 @@
 The benchmark is a stated query set: it is taken in blocks of bounded size, and every text is held
 against each block. Runs of LEAST words that a text shares with an item are the seeds that join the
 two. For such pairs the longest common run of unmarked words is marked again and again (running
-Karp-Rabin: window hashes of one length, halved until LEAST), and the item counts as leaked if the
-marked tiles, in whatever order they stand in the text, cover at least THRESHOLD of its words.
+Karp-Rabin: window hashes of one length, doubled and halved to the longest), and the item counts as
+leaked if the marked tiles, in whatever order they stand in the text, cover at least THRESHOLD of its words.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import mix64, texts
+from seqloom.llm.common import materialise, mix64, texts
 
 LEAST, THRESHOLD = 5, 0.6
 #: Characters of items that one block may hold; a longer item is a block of its own.
@@ -57,47 +58,60 @@ def _runs(free: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(sums[width:] - sums[:-width] == width)
 
 
+def _longest(text: np.ndarray, item: np.ndarray, free_t: np.ndarray, free_i: np.ndarray, least: int, most: int) -> int:
+    """The length, up to ``most``, of the longest run of free words that both have; 0 if it is below ``least``."""
+
+    def common(width: int) -> bool:
+        at_t, at_i = _runs(free_t, width), _runs(free_i, width)
+        return bool(len(at_t) and len(at_i) and np.isin(_rolling(item, width)[at_i], _rolling(text, width)[at_t]).any())
+
+    if most < least or not common(least):
+        return 0
+    width = 2 * least
+    while width <= most and common(width):
+        width *= 2
+    lo, hi = width // 2, min(width, most + 1)  # lo is common, hi is not
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if common(mid) else (lo, mid)
+    return lo
+
+
 def tiles(text: np.ndarray, item: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Tiles (place in the text, place in the item, length) by greedy tiling, in order of marking.
 
     Ids below zero match nothing. Of equal lengths the first in the text, then in the item, is marked.
+    All tiles of one length are marked in one pass over the text, in which each place of the item is
+    looked at once; so repetitive texts cost no more than others.
     """
     free_t, free_i = text >= 0, item >= 0
     found: list[tuple[int, int, int]] = []
-    width = max(least, min(len(text), len(item)))
-    while True:
-        matches = []
+    most = min(len(text), len(item))
+    while width := _longest(text, item, free_t, free_i, least, most):
         at_t, at_i = _runs(free_t, width), _runs(free_i, width)
-        if len(at_t) and len(at_i):
-            hash_t, hash_i = _rolling(text, width)[at_t], _rolling(item, width)[at_i]
-            by_hash: dict[int, list[int]] = {}
-            for h, i in zip(hash_i.tolist(), at_i.tolist(), strict=True):
-                by_hash.setdefault(h, []).append(i)
-            near = np.isin(hash_t, hash_i)
-            for t, h in zip(at_t[near].tolist(), hash_t[near].tolist(), strict=True):
-                for i in by_hash[h]:
-                    if (text[t : t + width] != item[i : i + width]).any():
-                        continue
-                    if t and i and free_t[t - 1] and free_i[i - 1] and text[t - 1] == item[i - 1]:
-                        continue  # inside a longer match that begins before
-                    n = width
-                    while t + n < len(text) and i + n < len(item) and free_t[t + n] and free_i[i + n] and text[t + n] == item[i + n]:
-                        n += 1
-                    matches.append((-n, t, i))
-        marked_short = False
-        matches.sort()
-        for n, t, i in matches:
-            n = -n
-            if free_t[t : t + n].all() and free_i[i : i + n].all():
-                free_t[t : t + n] = free_i[i : i + n] = False
-                found.append((t, i, n))
-            else:
-                marked_short = True  # part of it was marked: what is left may match again
-        if marked_short:
-            continue
-        if width == least:
-            return found
-        width = max(least, width // 2)
+        hash_t, hash_i = _rolling(text, width)[at_t], _rolling(item, width)[at_i]
+        near = np.isin(hash_t, hash_i)
+        waiting: dict[int, deque[int]] = {}
+        for h, i in zip(hash_i.tolist(), at_i.tolist(), strict=True):
+            waiting.setdefault(h, deque()).append(i)
+        end = 0
+        for t, h in zip(at_t[near].tolist(), hash_t[near].tolist(), strict=True):
+            if t < end:
+                continue
+            places = waiting[h]
+            # tiles of this pass have one length, so a place is free if both its ends are
+            while places and not (free_i[places[0]] and free_i[places[0] + width - 1]):
+                places.popleft()
+            if not places:
+                continue
+            i = places[0]
+            if (text[t : t + width] != item[i : i + width]).any():
+                continue  # the hashes agree, the words don't
+            end = t + width
+            free_t[t:end] = free_i[i : i + width] = False
+            found.append((t, i, width))
+        most = width - 1
+    return found
 
 
 class _Block:
@@ -174,9 +188,9 @@ class _Block:
                 yield doc, item_id, n, len(item), len(found)
 
 
-LEAKS = "doc_id long, item_id long, covered_words long, item_words long, tiles long, coverage double"
+LEAKS = "doc_id long, mark long, item_id long, covered_words long, item_words long, tiles long, coverage double"
 _LEAKS = pa.schema(
-    [("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered_words", pa.int64()), ("item_words", pa.int64()), ("tiles", pa.int64()), ("coverage", pa.float64())]
+    [("doc_id", pa.int64()), ("mark", pa.int64()), ("item_id", pa.int64()), ("covered_words", pa.int64()), ("item_words", pa.int64()), ("tiles", pa.int64()), ("coverage", pa.float64())]
 )
 
 
@@ -187,18 +201,26 @@ def leaks(
     """One row for each text and item that it leaks; texts that leak nothing have no row.
 
     Items with fewer than ``least`` words, null items and null texts leak nothing. Of each repeated
-    row of a text or an item there is a row. ``benchmark`` may be of any size: it is read in blocks
-    of about ``block_chars`` characters, each of which goes to the tasks whole.
+    row of a text or an item there is a row; null ids stay null. Other columns are ignored.
+    ``benchmark`` may be of any size: it is read in blocks of about ``block_chars`` characters, each of
+    which goes to the tasks whole; the driver holds one of them.
     """
+    return _leaks(df, benchmark, least, threshold, block_chars, id_col, text_col, item_col, item_text_col).drop("mark")
+
+
+def _leaks(df, benchmark, least, threshold, block_chars, id_col, text_col, item_col, item_text_col) -> DataFrame:
+    """``leaks`` with a hash of the text, which tells rows of one id apart."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(total // block_chars) + 1
-    docs = texts(df, id_col, text_col)
+    docs = texts(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     found = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = [(r.item_id, r.text) for r in part.collect()]  # about block_chars characters
         hits = docs.mapInArrow(_search(rows, least, threshold), LEAKS)
+        if blocks > 1:
+            hits = materialise(hits, "leaks")  # and the block is no longer needed
         found = hits if found is None else found.unionByName(hits)
     return found
 
@@ -209,16 +231,24 @@ def _search(items: list[tuple[int, str]], least: int, threshold: float):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                docs = some.column(0).to_pylist()
-                rows = [(docs[d], i, n, m, t, n / m) for d, i, n, m, t in block.hits(some.column(1).to_pylist(), threshold)]
+                docs, marks = some.column(0).to_pylist(), some.column(2).to_pylist()
+                rows = [(docs[d], marks[d], i, n, m, t, n / m) for d, i, n, m, t in block.hits(some.column(1).to_pylist(), threshold)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LEAKS, strict=True)], schema=_LEAKS)
 
     return run
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` that leak no item, with all their columns; rows with a null id stay."""
-    id_col = options.get("id_col", "doc_id")
-    found = leaks(df, benchmark, **options).select(F.col("doc_id").alias("__leaked")).where("__leaked IS NOT NULL").distinct()
-    return df.join(found, df[id_col].cast("long") == found["__leaked"], "left_anti")
+def decontaminate(
+    df: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``df`` that leak no item, with all their columns.
+
+    Each row goes by its own text: of several texts of one id those that leak nothing stay, and a row
+    with a null id goes if it leaks. Null and empty texts stay.
+    """
+    found = _leaks(df, benchmark, least, threshold, block_chars, id_col, text_col, item_col, item_text_col)
+    found = found.select(F.col("doc_id").alias("__leaked"), F.col("mark").alias("__mark")).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__leaked")) & (F.xxhash64(text) == F.col("__mark")), "left_anti")

@@ -83,5 +83,26 @@ def test_leaks_against_brute_force(spark):
     leaked = {d for d, *_ in want if d is not None} | {103}
     left = decontaminate(df, bench)
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(d for d, _ in docs if d is not None and d not in leaked)
-    assert left.columns == df.columns and left.where("doc_id IS NULL").count() == 1
+    assert left.columns == df.columns and left.where("doc_id IS NULL").count() == 0  # it leaks as row 103 does
     assert leaks(df.where("false"), bench).collect() == [] and leaks(df, bench.where("false")).collect() == []
+
+
+def test_rows_go_by_their_own_text(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, "so " + item), (1, "an innocent text with the id of one that leaks"), (None, item), (None, "innocent too"), (2, None), (3, ""), (4, item), (4, item)]
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, item_id string, mark int")
+    bench = spark.createDataFrame([(9, item), (10, None)], "item_id long, text string")
+    left = decontaminate(df, bench)
+    assert left.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+    assert decontaminate(df.where("false"), bench).collect() == [] and decontaminate(df, bench.where("false")).count() == len(rows)
+
+
+def test_long_repetitive_texts_take_no_square():
+    r = random.Random(1)
+    for period in (1, 2, 7):
+        text, item = np.arange(100_000) % period, np.arange(3_000) % period
+        found = tiles(text, item, 5)
+        assert sum(t[2] for t in found) == len(item)
+    noise = np.array([r.randrange(3) for _ in range(100_000)])
+    assert sum(t[2] for t in tiles(noise, noise[5_000:6_000][::-1].copy(), 5)) > 0
