@@ -9,6 +9,7 @@ words that fail are merged step by step.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -91,16 +92,27 @@ class WordBpe:
         return ok
 
     def exact(self, symbols: list[str]) -> list[int]:
-        """Merging step by step: the lowest rank first, of equal ranks the leftmost."""
+        """Merging step by step: the lowest rank first, of equal ranks the leftmost. Pairs wait in a heap
+        and symbols are linked to their neighbours, so a word of n letters takes n log n steps."""
         self.merged += 1
-        s = list(symbols)
-        while len(s) > 1:
-            best = min((self.ranks.get((s[i], s[i + 1]), 1 << 40), i) for i in range(len(s) - 1))
-            if best[0] == 1 << 40:
-                break
-            i = best[1]
-            s[i : i + 2] = [s[i] + s[i + 1]]
-        return [self.vocab[x] for x in s]
+        s: list[str | None] = list(symbols)
+        n, ranks = len(s), self.ranks
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(ranks[pair], i, *pair) for i, pair in enumerate(zip(s, s[1:])) if pair in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, i, x, y = heapq.heappop(heap)
+            j = after[i]
+            if s[i] != x or j >= n or s[j] != y:
+                continue  # one of the two has been merged since
+            s[i], s[j] = x + y, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < n and (rank := ranks.get((s[left], s[right]))) is not None:
+                    heapq.heappush(heap, (rank, left, s[left], s[right]))
+        return [self.vocab[x] for x in s if x is not None]
 
     def symbols(self, word: str) -> list[str]:
         s = [self.letters[b] for b in word.encode("utf-8")]
@@ -225,7 +237,10 @@ def _run(df: DataFrame, path: str, id_col: str, text_col: str, decoded: bool) ->
 
 def digests(df: DataFrame, tokenizer_path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): ``encode_decode`` with the digests made
-    where the ids are, so that texts, and ids unless asked for, don't leave the worker."""
+    where the ids are, so that texts, and ids unless asked for, don't leave the worker.
+
+    Every row gives a row, repeated ones too; a null or empty text has no ids and the digests of
+    nothing; a null id stays null. Other columns are ignored."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:

@@ -16,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder that the driver and every executor can reach.
 
-    It lies in ``spark.checkpoint.dir``; where that is unset (as on a laptop), in the warehouse.
+    It lies in ``spark.checkpoint.dir``. Where that is unset it lies in the warehouse, if all tasks run
+    on this machine or the warehouse is no local folder; otherwise there is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        local = base.startswith(("file:", "/")) or ":" not in base
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

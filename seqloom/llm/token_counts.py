@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import texts
+from seqloom.llm.common import materialise, texts
 from seqloom.llm.vocabulary import library_cache
 
 FLAT = "kind string, file int, block long, payload binary, doc_no long, doc_id long"
@@ -33,7 +33,9 @@ def write_flat_tokens(
     the id of each document by its place in the file (no offsets or lengths).
 
     Markers of the tokenizer that stand in a text are encoded as ordinary text, so that only the
-    ends of documents have ``end_id``.
+    ends of documents have ``end_id``. A null or empty text is a document without ids. Repeated rows
+    and ids are documents of their own, a null id stays null; an empty table gives no rows. Other
+    columns are ignored.
     """
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +76,9 @@ def write_flat_tokens(
     out.write.option("compression", "zstd").parquet(path)
 
 
-_SCAN = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int64()), ("ends", pa.list_(pa.int64()))])
+#: Where documents end in a block, and where they begin (-1: before the block).
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+_SCAN = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int64()), ("n_ends", pa.int64()), ("last_end", pa.int64()), ("spans", _SPANS)])
 
 
 def count_tokens(blocks: DataFrame, end_id: int) -> DataFrame:
@@ -92,20 +96,24 @@ def count_tokens(blocks: DataFrame, end_id: int) -> DataFrame:
                 ids = np.frombuffer(payload.as_buffer(), dtype="<u4") if payload.is_valid else np.zeros(0, "<u4")
                 counts.append(len(ids))
                 ends.append(np.flatnonzero(ids == end_id))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(ends, _SCAN.field(3).type)], schema=_SCAN
-            )
+            n_ends = np.array([len(e) for e in ends], dtype=np.int64)
+            begins = [np.concatenate([[-1], e[:-1] + 1]) if len(e) else e for e in ends]
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (begins, ends)], fields=list(_SPANS.value_type))
+            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_ends)]).astype(np.int32)), flat)
+            last = pa.array([int(e[-1]) if len(e) else None for e in ends], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(n_ends), last, spans], schema=_SCAN)
 
     scanned = blocks.select(F.col("file").cast("int"), F.col("block").cast("long"), "payload").mapInArrow(
-        scan, "file int, block long, n_ids long, ends array<long>"
+        scan, "file int, block long, n_ids long, n_ends long, last_end long, spans array<struct<begin: long, end: long>>"
     )
-    scanned = scanned.withColumn("upper", F.floor(F.col("block") / FAN)).withColumn("n_ends", F.size("ends").cast("long"))
+    # the blocks are searched once; what follows reads the ends alone
+    scanned = materialise(scanned, "document-ends").withColumn("upper", F.floor(F.col("block") / FAN))
     # ids and ends so far, and the last end, before each block: first within its group of blocks
     inner = Window.partitionBy("file", "upper").orderBy("block")
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
     local = scanned.withColumn("ids_before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     local = local.withColumn("ends_before", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
-    local = local.withColumn("last", F.when(F.col("n_ends") > 0, F.col("ids_before") + F.element_at("ends", -1)))
+    local = local.withColumn("last", F.col("ids_before") + F.col("last_end"))
     local = local.withColumn("open", F.last("last", ignorenulls=True).over(before))
     # then of the groups, one row each
     groups = local.groupBy("file", "upper").agg(F.sum("n_ids").alias("g_ids"), F.sum("n_ends").alias("g_ends"), F.max("last").alias("g_last"))
@@ -119,12 +127,11 @@ def count_tokens(blocks: DataFrame, end_id: int) -> DataFrame:
     both = both.withColumn("base", F.col("ids0") + F.col("ids_before"))
     opened = F.coalesce(F.col("ids0") + F.col("open"), F.col("open0"), F.lit(-1)) + 1
     both = both.withColumn("opened", opened).withColumn("doc0", F.col("ends0") + F.col("ends_before"))
-    marked = both.select("file", "doc0", "base", "opened", F.posexplode("ends").alias("k", "end"), "ends")
-    closed = marked.select(
+    closed = both.select("file", "doc0", "base", "opened", F.posexplode("spans").alias("k", "span")).select(
         "file",
         (F.col("doc0") + F.col("k")).alias("doc_no"),
-        F.when(F.col("k") == 0, F.col("opened")).otherwise(F.col("base") + F.expr("ends[k - 1]") + 1).alias("start"),
-        (F.col("base") + F.col("end")).alias("stop"),
+        F.when(F.col("k") == 0, F.col("opened")).otherwise(F.col("base") + F.col("span.begin")).alias("start"),
+        (F.col("base") + F.col("span.end")).alias("stop"),
         F.lit(True).alias("closed"),
     )
     # what is left after the last end of a file
