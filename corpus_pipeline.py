@@ -1,4 +1,8 @@
-"""A pipeline from raw documents to token ids: each stage is one operator of ``seqloom.llm``."""
+"""A pipeline from raw documents to token ids: each stage is one operator of ``seqloom.llm``.
+
+A stage decides by a row's own text. Null and empty texts, null ids, repeated rows and ids, further
+columns and empty tables go through every stage; what each stage does with them its function says.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,28 @@ from seqloom.llm.queries import tokenizer_path
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the factorisation machine (10) finds toxic."""
+    """Without the documents that the factorisation machine (10) finds toxic; a null text is scored as empty."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts (7)."""
+    """One document of each group of equal texts (7). All null and empty texts are one group; rows with a null id stay."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (9)."""
+    """The document with the smallest id of each group of near copies (9). Empty texts, rows with a null id
+    and rows that repeat the one that stays, stay."""
     return ngram_join.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold most of a benchmark item (2)."""
+    """Without the documents that hold most of a benchmark item (2). Null and empty texts stay."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document and the digests of ids and of the text decoded from them (5)."""
+    """Ids of each document and the digests of ids and of the text decoded from them (5): a row for each row."""
     return bpe.digests(docs, tokenizer_path(), with_ids=True)
 
 

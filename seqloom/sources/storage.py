@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``; where that is unset, as on a laptop, in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in ``spark.checkpoint.dir``. Where that is unset, as on a laptop, it lies in the
+    warehouse; on a cluster that is an error if the warehouse is a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        local = base.startswith(("file:", "/")) or ":" not in base
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
