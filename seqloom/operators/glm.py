@@ -127,40 +127,118 @@ def fit(
     dof is frames minus the rank of the design. Series that are null, of another length or with NaN give
     null estimates and a null sum of squares.
     """
-    x = np.ascontiguousarray(design, dtype=float)
-    n, r = x.shape
-    if ar_order < 0:
-        raise ValueError("the order can't be negative")
-    first, dof = np.linalg.pinv(x), n - int(np.linalg.matrix_rank(x))
-    plain_cov = np.linalg.pinv(x.T @ x)
+    solver = _Solver(np.ascontiguousarray(design, dtype=float), ar_order, ar_sse)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), block):
                 some = batch.iloc[lo : lo + block]
-                y = np.stack([np.asarray(v, dtype=float) if v is not None and len(v) == n else np.full(n, np.nan) for v in some["ts"]])
-                beta = y @ first.T
-                e = y - beta @ x.T
-                lags = np.stack([(e[:, : n - k] * e[:, k:]).sum(axis=1) for k in range(ar_order + 1)], axis=1)
-                a = np.stack([np.asarray(v, dtype=float) for v in some["ar"]]) if ar else _solve_yule_walker(lags)
-                cov = np.broadcast_to(plain_cov, (len(some), r, r))
-                if a.shape[1]:
-                    xw = _look_ahead(np.broadcast_to(x, (len(some), n, r)), a)
-                    cov = np.linalg.pinv(xw.transpose(0, 2, 1) @ xw)
-                    beta = (cov @ (xw.transpose(0, 2, 1) @ _look_ahead(y, a)[:, :, None]))[:, :, 0]
-                if ar_sse:
-                    more = [(e[:, : n - k] * e[:, k:]).sum(axis=1) for k in range(1, a.shape[1] + 1)]
-                    sse = lags[:, 0] + sum(a[:, k] * v for k, v in enumerate(more))
-                else:
-                    sse = (_look_ahead(e, a) ** 2).sum(axis=1)
-                yield pd.DataFrame({
-                    key: some["key"].to_numpy(), "beta": list(beta), "cov": [[list(q) for q in c] for c in cov], "ar": list(a), "sse": sse, "dof": dof,
-                })
+                yield pd.DataFrame({key: some["key"].to_numpy(), **solver.estimates(some["ts"], some["ar"] if ar else None)})
 
     rows = series.select(F.col(key).alias("key"), F.col(ts).alias("ts"), *([F.col(ar).alias("ar")] if ar else []))
     return rows.mapInPandas(run, f"{key} {series.schema[key].dataType.simpleString()}, {FIT_SCHEMA}")
 
 
+class _Solver:
+    """Estimates of series under one design."""
+
+    def __init__(self, x: np.ndarray, ar_order: int, ar_sse: bool):
+        if ar_order < 0:
+            raise ValueError("the order can't be negative")
+        self.x, self.order, self.ar_sse = x, ar_order, ar_sse
+        self.first, self.dof = np.linalg.pinv(x), len(x) - int(np.linalg.matrix_rank(x))
+        self.plain_cov = np.linalg.pinv(x.T @ x)
+
+    def estimates(self, ts: pd.Series, known_ar: pd.Series | None) -> dict:
+        x, (n, r) = self.x, self.x.shape
+        y = np.stack([np.asarray(v, dtype=float) if v is not None and len(v) == n else np.full(n, np.nan) for v in ts])
+        beta = y @ self.first.T
+        e = y - beta @ x.T
+        lags = np.stack([(e[:, : n - k] * e[:, k:]).sum(axis=1) for k in range(self.order + 1)], axis=1)
+        a = _solve_yule_walker(lags) if known_ar is None else np.stack([np.asarray(v, dtype=float) for v in known_ar])
+        cov = np.broadcast_to(self.plain_cov, (len(y), r, r))
+        if a.shape[1]:
+            xw = _look_ahead(np.broadcast_to(x, (len(y), n, r)), a)
+            cov = np.linalg.pinv(xw.transpose(0, 2, 1) @ xw)
+            beta = (cov @ (xw.transpose(0, 2, 1) @ _look_ahead(y, a)[:, :, None]))[:, :, 0]
+        if self.ar_sse:
+            more = [(e[:, : n - k] * e[:, k:]).sum(axis=1) for k in range(1, a.shape[1] + 1)]
+            sse = lags[:, 0] + sum(a[:, k] * v for k, v in enumerate(more))
+        else:
+            sse = (_look_ahead(e, a) ** 2).sum(axis=1)
+        return {"beta": list(beta), "cov": [[list(q) for q in c] for c in cov], "ar": list(a), "sse": sse, "dof": self.dof}
+
+    def parameters(self, ts: pd.Series) -> list:
+        """Only the autoregression of the residuals."""
+        n = len(self.x)
+        y = np.stack([np.asarray(v, dtype=float) if v is not None and len(v) == n else np.full(n, np.nan) for v in ts])
+        e = y - y @ self.first.T @ self.x.T
+        return list(_solve_yule_walker(np.stack([(e[:, : n - k] * e[:, k:]).sum(axis=1) for k in range(self.order + 1)], axis=1)))
+
+
+def packed_designs(design: DataFrame, n_frames: int, run: str = "run_id") -> DataFrame:
+    """The long designs of many runs (run, frame, reg_idx, value) as one row for each run: run, x (the
+    matrix by rows, 0 where there is no row). Every run has the columns that any run has."""
+    width = design.agg((F.max("reg_idx") + 1).cast("int").alias("w")).first()["w"] or 0
+    if 8 * n_frames * width > DESIGN_LIMIT:
+        raise ValueError(f"a design of {n_frames} frames and {width} regressors is too large for a task")
+    place = (F.col("frame") * width + F.col("reg_idx")).cast("int")
+    cells = design.where(F.col("value") != 0).select(run, place.alias("at"), F.col("value").cast("double").alias("value"))
+    # as large as a run, whatever the number of series
+    rows = cells.groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(n_frames * width - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    return rows.select(run, F.lit(width).alias("width"), x.alias("x"))
+
+
+def fit_runs(
+    series: DataFrame, designs: DataFrame, ar_order: int = 4, keys: tuple[str, ...] = ("voxel_id",), run: str = "run_id", ts: str = "ts",
+    ar: str | None = None, ar_sse: bool = False, ar_only: bool = False, per_block: int = 4096, batch_rows: int = 256,
+) -> DataFrame:
+    """As ``fit`` for series of many runs, each with its own design (a row of ``packed_designs``).
+
+    A run's series are dealt into blocks of about ``per_block``, to each of which the design goes once,
+    so a run may have any number of series. Returns run, keys and the columns of ``fit``; with ``ar_only``
+    run, keys and ar, without whitening. Series of runs without a design have no row.
+    """
+    held = [F.col(c) for c in keys]
+    counts = series.groupBy(run).agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("__blocks"))
+    rows = series.join(counts, run).select(
+        run, F.pmod(F.xxhash64(*held), F.col("__blocks")).cast("int").alias("__block"), F.lit(1).alias("__kind"), *held,
+        F.col(ts).alias("ts"), (F.col(ar) if ar else F.lit(None)).cast("array<double>").alias("ar"), F.lit(None).cast("int").alias("width"),
+    )
+    empty = [F.lit(None).cast(series.schema[c].dataType).alias(c) for c in keys]
+    sent = designs.join(counts, run).select(
+        run, F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"), F.lit(0).alias("__kind"), *empty,
+        F.col("x").alias("ts"), F.lit(None).cast("array<double>").alias("ar"), F.col("width"),
+    )
+    n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = rows.unionByName(sent).repartition(n, run, "__block").sortWithinPartitions(run, "__block", "__kind")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        solver, of = None, None
+        for batch in batches:
+            where = list(zip(batch[run], batch["__block"], strict=True))
+            lo = 0
+            while lo < len(batch):
+                if batch["__kind"].iloc[lo] == 0:
+                    if of is None or of[0] != where[lo][0]:
+                        solver = _Solver(np.asarray(batch["ts"].iloc[lo], dtype=float).reshape(-1, int(batch["width"].iloc[lo])), ar_order, ar_sse)
+                    of = where[lo]
+                    lo += 1
+                    continue
+                hi = lo
+                while hi < min(len(batch), lo + batch_rows) and where[hi] == where[lo] and batch["__kind"].iloc[hi]:
+                    hi += 1
+                some = batch.iloc[lo:hi]
+                if of == where[lo]:
+                    found = {"ar": solver.parameters(some["ts"])} if ar_only else solver.estimates(some["ts"], some["ar"] if ar else None)
+                    yield pd.DataFrame({c: some[c].to_numpy() for c in (run, *keys)} | found)
+                lo = hi
+
+    kinds = ", ".join(f"{c} {series.schema[c].dataType.simpleString()}" for c in (run, *keys))
+    return both.mapInPandas(solve, f"{kinds}, {'ar array<double>' if ar_only else FIT_SCHEMA}")
+
+
 def boosted(beta: Column | str, weights: Column | str, boost_masks: Column | str) -> Column:
     """A contrast's estimate with the strength of derivatives: for each mask the sign of its first
     estimate, times the root of the sum of squares, times the sum of its weights; summed over masks."""
@@ -183,15 +261,16 @@ def t_value(estimate: Column | str, error_variance: Column | str, factor: Column
     return F.when(root == 0, odd).otherwise(e / F.nullif(root, F.lit(0.0)))
 
 
-def t_map(fits: DataFrame, contrast: DataFrame, boost: bool = False, key: str = "voxel_id") -> DataFrame:
-    """key, contrast_id, estimate, t for every fit and contrast (a small table: contrast_id, weights
+def t_map(fits: DataFrame, contrast: DataFrame, boost: bool = False, key: str | list[str] = "voxel_id") -> DataFrame:
+    """key (or keys), contrast_id, estimate, t for every fit and contrast (a small table: contrast_id, weights
     and, with ``boost``, boost_masks). Weights are padded with zeros; the error variance is sse / dof."""
+    keys = [key] if isinstance(key, str) else key
     joined = fits.crossJoin(F.broadcast(contrast)).withColumn("__c", A.pad("weights", F.size("beta")))
     estimate = boosted("beta", "__c", "boost_masks") if boost else A.dot("__c", "beta")
     parts = joined.select(
-        key, "contrast_id", estimate.alias("estimate"), (F.col("sse") / F.col("dof")).alias("__v"), A.quadratic("__c", "cov").alias("__q")
+        *keys, "contrast_id", estimate.alias("estimate"), (F.col("sse") / F.col("dof")).alias("__v"), A.quadratic("__c", "cov").alias("__q")
     )
-    return parts.select(key, "contrast_id", "estimate", t_value("estimate", "__v", "__q").alias("t"))
+    return parts.select(*keys, "contrast_id", "estimate", t_value("estimate", "__v", "__q").alias("t"))
 
 
 def interpolate_outliers(cells: DataFrame, outliers: DataFrame, key: str = "voxel_id", run: str | None = None) -> DataFrame:

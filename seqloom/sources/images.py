@@ -69,17 +69,23 @@ def read_images(spark: SparkSession, path: str, skip_zero: bool = False) -> Data
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Feature files: path, period, frames array<array<float>>. A header of >IIHH is followed by floats."""
+    """Feature files: path, period, frames array<array<float>>."""
+    return features_of(spark.read.format("binaryFile").load(path).select("path", "content"), "path")
+
+
+def features_of(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """key, period, frames of the bytes of feature files. A header of >IIHH is followed by floats."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for p, content in zip(batch["path"], batch["content"], strict=True):
-                n, period, size, _ = struct.unpack(">IIHH", bytes(content)[:12])
-                rows.append((p, period, [list(r) for r in np.frombuffer(content, ">f4", n * size // 4, 12).reshape(n, -1).astype("f4")]))
-            yield pd.DataFrame(rows, columns=["path", "period", "frames"])
+            for p, raw in zip(batch[key], batch[content], strict=True):
+                n, period, size, _ = struct.unpack(">IIHH", bytes(raw)[:12])
+                rows.append((p, period, [list(r) for r in np.frombuffer(raw, ">f4", n * size // 4, 12).reshape(n, -1).astype("f4")]))
+            yield pd.DataFrame(rows, columns=[key, "period", "frames"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, period long, frames array<array<float>>")
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, content).mapInPandas(run, f"{key} {kind}, period long, frames array<array<float>>")
 
 
 def feature_bytes(df: DataFrame, frames: str = "frames", length_ms: float | None = None, out: str = "content") -> DataFrame:

@@ -27,12 +27,17 @@ def write_separated(df: DataFrame, path: str, sep: str = "\t") -> None:
     df.write.mode("overwrite").option("sep", sep).option("header", True).option("quote", "").csv(path)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A file is one document (an object, or an array of rows), or with ``lines`` a document a line."""
+    return spark.read.json(path, multiLine=not lines)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, pretty: bool = False) -> None:
+    """A document for each row, on a line of its own; ``pretty`` breaks it into indented lines."""
+    if pretty:
+        write_text(df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value")), path)
+    else:
+        df.write.mode("overwrite").json(path)
 
 
 def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
