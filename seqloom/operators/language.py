@@ -18,14 +18,15 @@ def tokens(text: Column, pattern: str = r"[ \t\n\x0b\x0c\r]+") -> Column:
 def ngram_counts(df: DataFrame, n: int, token_col: str = "tokens") -> DataFrame:
     """(history, next, count): n-grams of each row's token array; the history has n - 1 tokens.
 
-    Grams are made inside each row and counted before they are shuffled.
+    Grams are made inside each row, from the array beside itself moved by one, and counted before they
+    are shuffled.
     """
     t = F.col(token_col)
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-    grams = df.select(F.explode(F.transform(starts, lambda i: F.slice(t, i, F.lit(n)))).alias("g"))
-    return grams.select(F.array_join(F.slice("g", 1, n - 1), " ").alias("history"), F.element_at("g", n).alias("next")).groupBy(
-        "history", "next"
-    ).agg(F.count(F.lit(1)).alias("count"))
+    m = F.greatest(F.size(t) - (n - 1), F.lit(0))
+    names = [f"t{i}" for i in range(n)]
+    grams = df.select(F.inline(F.arrays_zip(*[F.slice(t, i + 1, m) for i in range(n)])).alias(*names))
+    history = F.concat_ws(" ", *names[:-1]) if n > 1 else F.lit("")
+    return grams.select(history.alias("history"), F.col(names[-1]).alias("next")).groupBy("history", "next").agg(F.count(F.lit(1)).alias("count"))
 
 
 def ngram_probabilities(counts: DataFrame, use_log: bool = False) -> DataFrame:

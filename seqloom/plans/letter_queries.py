@@ -105,9 +105,23 @@ def bigram_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(letters.weight_by_bigrams(p, grid), "p")
 
 
-@query("viterbi_bigram")
+#: The best path to each letter of each place, by place; of equal steps the one from the first letter.
+_VITERBI_SQL = _BIGRAM_SQL.replace("WITH", "WITH RECURSIVE", 1) + """,
+k AS (SELECT letter, row_number() OVER (ORDER BY letter) AS k FROM (SELECT DISTINCT letter FROM b)),
+moves AS (SELECT x.k AS a, y.k AS b, log10(grid.p) AS w FROM grid JOIN k x ON x.letter = grid.prev JOIN k y ON y.letter = grid.next),
+s AS (SELECT run_id, pos, dense_rank() OVER (PARTITION BY run_id ORDER BY pos) AS i, k, letter, log10(p) AS s FROM p JOIN k USING (letter)),
+v AS (SELECT run_id, i, k, s, [{'pos': pos, 'letter': letter}] AS path FROM s WHERE i = 1
+  UNION ALL
+  SELECT s.run_id, s.i, s.k, o.best.s + s.s, list_append(o.best.path, {'pos': s.pos, 'letter': s.letter})
+  FROM (SELECT v.run_id, v.i + 1 AS i, m.b AS k, max({'s': v.s + m.w, 'k': -v.k, 'path': v.path}) AS best FROM v JOIN moves m ON m.a = v.k GROUP BY ALL) o
+  JOIN s ON s.run_id = o.run_id AND s.i = o.i AND s.k = o.k),
+best AS (SELECT run_id, i, max({'s': s, 'k': -k, 'path': path}) AS f FROM v GROUP BY run_id, i QUALIFY i = max(i) OVER (PARTITION BY run_id)),
+u AS (SELECT run_id, unnest(f.path) AS c FROM best)
+SELECT run_id, c.pos AS pos, c.letter AS letter FROM u"""
+
+
+@query("viterbi_bigram", _VITERBI_SQL)
 def viterbi_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against all paths of short runs in the tests."""
     return decoding.decode_letters(letters.letter_probabilities(_p_on(spark, sf_dir), book(spark)), role_bigrams(spark, sf_dir))
 
 
@@ -166,9 +180,15 @@ def bigram_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(language.ngram_probabilities(_bigrams(spark, sf_dir), use_log=True), "p")
 
 
-@query("bigram_discounted")
+@query("bigram_discounted", _NGRAM_SQL + """,
+cc AS (SELECT count AS r, count(*)::DOUBLE AS n FROM n WHERE count <= 8 GROUP BY count),
+c AS (SELECT coalesce(8 * (SELECT n FROM cc WHERE r = 8), 0) / (SELECT n FROM cc WHERE r = 1) AS common),
+d AS (SELECT a.r, ((a.r + 1) * b.n / a.n / a.r - common) / (1 - common) AS d FROM cc a JOIN cc b ON b.r = a.r + 1, c WHERE a.r <= 7 AND common <> 1),
+w AS (SELECT history, next, count, count * CASE WHEN d.d > 0 AND d.d < 1 THEN d.d ELSE 1 END AS kept FROM n LEFT JOIN d ON d.r = n.count)
+SELECT history, next, round(kept / sum(count) OVER (PARTITION BY history), 6) AS p,
+  round(1 - sum(kept) OVER (PARTITION BY history) / sum(count) OVER (PARTITION BY history), 6) AS backoff FROM w""".replace("w AS (SELECT history", "kept AS (SELECT history").replace("FROM w", "FROM kept"))
 def bigram_discounted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities with the Good-Turing discount; held against plain Python in the tests."""
+    """Probabilities with the Good-Turing discount."""
     return rounded(language.discounted_probabilities(_bigrams(spark, sf_dir)), "p", "backoff")
 
 

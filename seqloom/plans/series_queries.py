@@ -95,6 +95,26 @@ def gls_autoregressive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.select("voxel_id", F.round(F.col("beta")[0], 6).alias("b0"), F.round(F.col("beta")[1], 8).alias("b1"), F.round("sse", 6).alias("sse"), "dof")
 
 
+def _gls_1_sql() -> str:
+    """Whitened by the residuals' autoregression of order 1, then two equations for each series."""
+    ahead = lambda x: f"{x} + a * coalesce(lead({x}) OVER (PARTITION BY voxel_id ORDER BY frame), 0)"
+    return f"""WITH {CELLS_SQL},
+g AS (SELECT voxel_id, regr_intercept(value, frame) AS b0, regr_slope(value, frame) AS b1 FROM c GROUP BY voxel_id),
+e AS (SELECT voxel_id, frame, value, value - b0 - b1 * frame AS e FROM c JOIN g USING (voxel_id)),
+l AS (SELECT *, e * lead(e) OVER (PARTITION BY voxel_id ORDER BY frame) AS e1 FROM e),
+ar AS (SELECT voxel_id, -sum(e1) / sum(e * e) AS a FROM l GROUP BY voxel_id),
+j AS (SELECT e.*, a, 1::DOUBLE AS one, frame::DOUBLE AS t FROM e JOIN ar USING (voxel_id)),
+w AS (SELECT voxel_id, {ahead('value')} AS y, {ahead('one')} AS u, {ahead('t')} AS v, {ahead('e')} AS q FROM j),
+m AS (SELECT voxel_id, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(u * y) AS uy, sum(v * y) AS vy, sum(q * q) AS sse FROM w GROUP BY voxel_id)
+SELECT voxel_id, round((vv * uy - uv * vy) / (uu * vv - uv * uv), 6) AS b0, round((uu * vy - uv * uy) / (uu * vv - uv * uv), 8) AS b1, round(sse, 6) AS sse, 62 AS dof FROM m"""
+
+
+@query("gls_order_1", _gls_1_sql())
+def gls_order_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = glm.fit(series(spark, sf_dir), _line_design(), ar_order=1)
+    return fits.select("voxel_id", F.round(F.col("beta")[0], 6).alias("b0"), F.round(F.col("beta")[1], 8).alias("b1"), F.round("sse", 6).alias("sse"), "dof")
+
+
 @query("valid_voxels", f"WITH {SERIES_SQL} SELECT voxel_id FROM s WHERE len(list_filter(ts, lambda q: NOT q > -0.25)) = 0 AND NOT list_contains(ts, 0)")
 def valid_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glm.in_every_frame(glm.in_every_frame(series(spark, sf_dir)), -0.25).select("voxel_id")
