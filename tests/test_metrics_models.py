@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import classifier, hmm, metrics
+from seqloom.operators import classifier, decoding, hmm, language, metrics
 
 
 def _align(spark, a, b, **options):
@@ -148,3 +148,135 @@ def test_context_tokens_and_tying(spark):
     wide.mean[3] += 2
     tied = hmm.tie_states(wide, {"a+b": 1, "b-a": 3})
     assert np.allclose(tied.mean[2], m.mean[0] + 1.5) and np.allclose(tied.mean[2], tied.mean[3])
+
+
+def _brute_hmm(m, frames, penalty, most):
+    """The best score of each token sequence of up to ``most`` tokens, by trying all paths of states."""
+    n, k = m.means.shape[:2]
+    t, s = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
+    b = m.log_density(np.array(frames), t, s).reshape(len(frames), n, k)
+    with np.errstate(divide="ignore"):
+        stay, skip, on = np.log(m.stay), np.log(m.skip), np.log(1 - m.stay - m.skip)
+    best = {}
+
+    def walk(i, token, state, score, sequence):
+        score += b[i, token, state]
+        if i == len(frames) - 1:
+            if state == k - 1:
+                best[sequence] = max(best.get(sequence, -np.inf), score)
+            return
+        walk(i + 1, token, state, score + stay[token, state], sequence)
+        if state + 1 < k:
+            walk(i + 1, token, state + 1, score + on[token, state], sequence)
+        if state + 2 < k and np.isfinite(skip[token, state]):
+            walk(i + 1, token, state + 2, score + skip[token, state], sequence)
+        if state == k - 1 and len(sequence) < most:
+            for other in range(n):
+                walk(i + 1, other, 0, score + on[token, state] + penalty, (*sequence, other))
+
+    for token in range(n):
+        walk(0, token, 0, 0.0, (token,))
+    return sorted(((score, [m.tokens[i] for i in sequence]) for sequence, score in best.items()), key=lambda x: -x[0])
+
+
+@pytest.mark.parametrize("full,mixtures", [(False, 1), (True, 2)])
+def test_n_best_against_all_paths(spark, full, mixtures):
+    r = np.random.default_rng(5)
+    shape = (3, 2, mixtures, 2) if mixtures > 1 else (3, 2, 2)
+    var = r.uniform(0.5, 2, shape)
+    if full:
+        var = var[..., None] * np.eye(2) + 0.2
+    m = hmm.TokenModels(list("abc"), r.normal(size=shape), var, np.full((3, 2), 0.5), np.full((3, 2), 0.1))
+    frames = r.normal(size=(6, 2)).tolist()
+    want = _brute_hmm(m, frames, -0.7, 6)
+    df = spark.createDataFrame([(1, frames), (2, []), (3, frames[:1])], "utterance_id int, frames array<array<double>>")
+    model = hmm.HmmModel(m, -0.7)
+    rows = {x.utterance_id: x.decoded for x in model.n_best(df, 8).collect()}
+    assert [x.tokens for x in rows[1]] == [w for _, w in want[:8]] and np.allclose([x.score for x in rows[1]], [w for w, _ in want[:8]])
+    assert rows[2] == [] and rows[3] == []
+    one = {x.utterance_id: x.decoded for x in model.transform(df).collect()}
+    assert one[1] == want[0][1] and one[2] == [] and one[3] is None
+    text = hmm.definition_text(m, "b")
+    assert ("<InvCovar> 2" in text) == full and ("<NumMixes> 2" in text) == (mixtures > 1)
+
+
+def test_mixtures_and_full_covariances_are_learned(spark):
+    r = np.random.default_rng(1)
+    cov = np.array([[1.0, 0.8], [0.8, 1.0]])
+    rows = []
+    for i in range(80):
+        centre = r.choice([-4.0, 4.0], 12)
+        rows.append((i, (r.multivariate_normal([0, 0], cov, 12) + centre[:, None]).tolist(), ["a"]))
+    df = spark.createDataFrame(rows, "utterance_id int, frames array<array<double>>, tokens array<string>")
+    m = hmm.HmmTrainer(n_states=1, n_passes=12, n_mixtures=2, full_covariance=True).fit(df).models
+    order = m.means[0, 0, :, 0].argsort()
+    assert np.allclose(m.means[0, 0, order], [[-4, -4], [4, 4]], atol=0.3) and np.allclose(m.weight, 0.5, atol=0.1)
+    assert np.allclose(m.variances[0, 0], cov, atol=0.25)
+
+
+def test_spans_contexts_and_ties(spark):
+    r = np.random.default_rng(2)
+    means = {"a": 0.0, "b": 4.0, "c": -4.0}
+    rows = []
+    for i in range(60):
+        tokens, frames, ends, before = r.permutation(list("abc")).tolist(), [], [], None
+        for t in tokens:
+            for _ in range(int(r.integers(2, 9))):
+                frames.append([float(r.normal(means[t] + (1.5 if before == "b" else 0), 0.3))])
+            ends.append(len(frames))
+            before = t
+        rows.append((i, frames, tokens, ends))
+    df = spark.createDataFrame(rows, "utterance_id int, frames array<array<double>>, tokens array<string>, ends array<int>")
+    spans = hmm.token_spans(df).collect()
+    assert len(spans) == 180 and sum(len(x.frames) for x in spans) == sum(len(x[1]) for x in rows)
+    odd = spark.createDataFrame([([[1.0]], ["a"], [2]), ([[1.0]], ["a"], None), ([], [], [])], "frames array<array<double>>, tokens array<string>, ends array<int>")
+    assert hmm.token_spans(odd).count() == 0
+    cut = hmm.reestimate(df, hmm.flat_start(df, 1), uniform=True)
+    assert np.allclose(cut.mean[cut.tokens.index("b"), 0, 0], 4.0, atol=0.2)  # by the spans, not by thirds
+    model = hmm.HmmTrainer(n_states=1, n_passes=2, left=True, context_passes=2).fit(df)
+    assert {"a", "b-a", "c-a"} <= set(model.models.tokens)
+    at = model.models.tokens.index
+    assert np.allclose([model.models.mean[at(x), 0, 0] for x in ("b-a", "c-a", "b-c")], [1.5, 0, -2.5], atol=0.25)
+    got = model.transform(df).collect()
+    assert sum(x.decoded == x.tokens for x in got) >= 50
+    tied = hmm.HmmTrainer(n_states=1, n_passes=2, left=True, right=True, context_passes=1, tie_below=1e9).fit(df).models
+    same = [tied.mean[i] for i, t in enumerate(tied.tokens) if t in ("a-b+c", "c-b", "b+a")]
+    assert len(same) == 3 and all(np.array_equal(x, same[0]) for x in same)
+
+
+def test_penalty_tuned_over_folds(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(24):
+        tokens = r.choice(["a", "b"], 3).tolist()
+        rows.append((i, [[float(r.normal(3.0 * (t == "b"), 0.8))] for t in tokens for _ in range(4)], tokens))
+    df = spark.createDataFrame(rows, "utterance_id int, frames array<array<double>>, tokens array<string>")
+    model = hmm.PenaltyTunedHmm(hmm.HmmTrainer(n_states=2, n_passes=2), n_splits=2, low=-30.0, high=30.0, n_calls=3).fit(df)
+    assert model.insertion_penalty == 0.0 and 0 < model.accuracy <= 1
+    assert {(x.truth, x.pred) for x in model.confusion.collect()} >= {("a", "a"), ("b", "b")}
+
+
+def test_tuned_decoder(spark):
+    r = np.random.default_rng(3)
+    book = spark.createDataFrame([("a", "l", 1), ("b", "l", 0)], "letter string, region string, bit int")
+    rows, letters = [], []
+    for run in range(4):
+        text = r.choice(list("ab"), 10)
+        for pos in range(10):
+            letters.append((run, pos, str(text[pos])))
+            if pos:
+                t = 2 * int(text[pos - 1] == "a") + int(text[pos] == "a")
+                rows.append((run, pos, "l", (r.normal(0, 0.2, 2) + np.array([t // 2, t % 2])).tolist(), t, run % 2))
+    df = spark.createDataFrame(rows, "run_id int, pos int, region string, x array<double>, transition int, sub int")
+    truth = spark.createDataFrame(letters, "run_id int, pos int, letter string")
+    bigrams = spark.createDataFrame([(x, y, 0.5) for x in "ab" for y in "ab"], "prev string, next string, p double")
+    nodes, edges = language.word_loop(spark, ["a", "b"])
+    lattice = decoding.Lattice.of(nodes, language.without_nulls(nodes, edges), {"a": ["a"], "b": ["b"]})
+    plain = classifier.TransitionDecoder(book, ["l"], {"l": {"n_features": 40}}, bigrams, lattice)
+    search = classifier.Search(n_calls=1)
+    model = classifier.TunedTransitionDecoder(plain, truth, search, n_splits=None, n_calls=2).fit(df)
+    assert set(model.region_params["l"]) == {"n_features", "C", "gamma"} and model.penalty in (-20.0, 0.0)
+    for cm in (model.naive_confusion, model.viterbi_confusion):
+        n = {(x.truth, x.pred): x.n for x in cm.collect()}
+        assert sum(n.values()) == 40 and n["a", "a"] + n["b", "b"] >= 36
+    assert model.decode(df).grammar.count() == 40
