@@ -63,16 +63,19 @@ def naive_letter_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("on_probabilities", f"""WITH {LETTERS_SQL},
-t AS (SELECT run_id, pos, 'left' AS region, (n % 7) / 28::DOUBLE AS p1, (n % 5) / 20::DOUBLE AS p2, (n % 11) / 44::DOUBLE AS p3 FROM l WHERE pos > 0),
+t AS (SELECT run_id, pos, region, (n % a) / (4 * a)::DOUBLE AS p1, (n % b) / (4 * b)::DOUBLE AS p2, (n % c) / (4 * c)::DOUBLE AS p3
+  FROM l CROSS JOIN (VALUES ('left', 7, 5, 11), ('right', 5, 11, 7)) k(region, a, b, c)),
 o AS (SELECT run_id, pos, region, p2 + p3 AS off, p1 + p3 AS "on" FROM t UNION ALL SELECT run_id, min(pos) - 1, region, NULL, NULL FROM t GROUP BY run_id, region),
 n AS (SELECT *, lead(off) OVER (PARTITION BY run_id, region ORDER BY pos) AS nxt FROM o)
 SELECT run_id, pos, region, round((coalesce(nxt, "on") + coalesce("on", nxt)) / 2, 6) AS p_on FROM n""")
 def on_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n")
-    rows = letter_rows(spark, sf_dir).where("pos > 0").select(
-        "run_id", "pos", F.lit("left").alias("region"), (n % 7 / 28.0).alias("p1"), (n % 5 / 20.0).alias("p2"), (n % 11 / 44.0).alias("p3")
-    )
-    return rounded(letters.on_probabilities(rows), "p_on")
+    n, rows = F.col("n"), letter_rows(spark, sf_dir)
+    share = lambda m: n % m / (4.0 * m)
+    sides = [
+        rows.select("run_id", "pos", F.lit(region).alias("region"), *[share(m).alias(f"p{i}") for i, m in enumerate(primes, 1)])
+        for region, primes in (("left", (7, 5, 11)), ("right", (5, 11, 7)))
+    ]
+    return rounded(letters.on_probabilities(sides[0].unionByName(sides[1])), "p_on")
 
 
 _BIGRAM_SQL = _P_SQL + """,

@@ -133,9 +133,9 @@ def motion_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("relative_change", f"""WITH {SERIES_SQL} SELECT voxel_id, unnest(range(len(ts)))::INT AS frame,
-  round(unnest(list_transform(ts, lambda q: (q - ts[1]) / ts[1])), 6) AS value FROM s WHERE ts[1] <> 0""")
+  round(unnest(list_transform(ts, lambda q: CASE WHEN ts[1] <> 0 THEN (q - ts[1]) / ts[1] WHEN q = 0 THEN 'NaN'::DOUBLE WHEN q > 0 THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END)), 6) AS value FROM s""")
 def relative_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = series(spark, sf_dir).where("ts[0] <> 0").select("voxel_id", A.relative_to_first("ts").alias("ts"))
+    rows = series(spark, sf_dir).select("voxel_id", A.relative_to_first("ts").alias("ts"))
     return rounded(glm.to_cells(rows), "value")
 
 

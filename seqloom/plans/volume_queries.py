@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,12 +51,21 @@ def roi_overlap_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.exclusive_regions(_roi(spark, sf_dir), by=["sub"]).select("sub", "region_idx", *_XYZ)
 
 
-@query("mask_without_overlap", f"""WITH {_ROI_SQL}, m AS (SELECT DISTINCT region_idx, x, y, z FROM h WHERE region_idx < 2)
-SELECT region_idx, x, y, z FROM m WHERE (x, y, z) NOT IN (SELECT (x, y, z) FROM m GROUP BY x, y, z HAVING count(*) > 1)""")
+@query("mask_without_overlap", f"""WITH {_ROI_SQL}, m AS (SELECT DISTINCT region_idx, x, y, z FROM h),
+p AS (SELECT a.region_idx AS a, b.region_idx AS b FROM (SELECT DISTINCT region_idx FROM m) a JOIN (SELECT DISTINCT region_idx FROM m) b ON a.region_idx < b.region_idx)
+SELECT a, b, region_idx, x, y, z FROM p JOIN m ON m.region_idx IN (a, b)
+WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.region_idx = a + b - m.region_idx AND o.x = m.x AND o.y = m.y AND o.z = m.z)""")
 def mask_without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of regions (a, b) without the cells that both have."""
     roi = _roi(spark, sf_dir).select("region_idx", *_XYZ).distinct()
-    a, b = volume.without_overlap(roi.where("region_idx = 0"), roi.where("region_idx = 1"))
-    return a.unionByName(b)
+    found = None
+    for a, b in combinations(range(8), 2):  # the view has eight regions
+        parts = volume.without_overlap(roi.where(F.col("region_idx") == a), roi.where(F.col("region_idx") == b))
+        pair = parts[0].unionByName(parts[1]).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "region_idx", *_XYZ)
+        found = pair if found is None else found.unionByName(pair)
+    # pairs of which one region has no cells aren't pairs
+    there = roi.select("region_idx").distinct()
+    return found.join(there.select(F.col("region_idx").alias("a")), "a", "left_semi").join(there.select(F.col("region_idx").alias("b")), "b", "left_semi")
 
 
 _COMPONENTS_SQL = f"""WITH RECURSIVE {_ROI_SQL},
@@ -80,10 +91,44 @@ def roi_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.clean_components(_roi(spark, sf_dir).select("region_idx", *_XYZ), ["region_idx"])
 
 
-@query("regions_from_t")
+#: As _COMPONENTS_SQL for each subject, then without overlap among the first six regions.
+_REGIONS_OF_T_SQL = f"""WITH RECURSIVE {_ROI_SQL},
+m AS (SELECT DISTINCT sub, region_idx, x, y, z FROM h),
+e AS (SELECT a.sub, a.region_idx, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM m a JOIN m b
+  ON a.sub = b.sub AND a.region_idx = b.region_idx AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
+reach AS (SELECT sub, region_idx, x, y, z, (x * 1000 + y)::BIGINT * 100000 + z AS src FROM m
+  UNION SELECT e.sub, e.region_idx, bx, by_, bz, src FROM reach r JOIN e ON r.sub = e.sub AND r.region_idx = e.region_idx AND r.x = ax AND r.y = ay AND r.z = az),
+comp AS (SELECT sub, region_idx, x, y, z, min(src) AS c FROM reach GROUP BY ALL),
+size AS (SELECT sub, region_idx, c, count(*) AS n FROM comp GROUP BY ALL),
+big AS (SELECT *, max(n) OVER (PARTITION BY sub, region_idx) AS top FROM size),
+kept AS (SELECT comp.* FROM comp JOIN big USING (sub, region_idx, c) WHERE n > floor(top * 0.5)),
+k AS (SELECT *, count(*) FILTER (WHERE region_idx < 6) OVER w AS n, max(CASE WHEN region_idx < 6 THEN region_idx END) OVER w AS last FROM kept WINDOW w AS (PARTITION BY sub, x, y, z))
+SELECT sub, region_idx, x, y, z FROM k WHERE region_idx >= 6 OR (n % 2 = 1 AND region_idx = last)"""
+
+
+@query("regions_from_t", _REGIONS_OF_T_SQL)
 def regions_from_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threshold, large components and overlap in one; each part has its SQL above."""
-    return volume.regions_from_t(region_t(spark, sf_dir), ["sub"], q=0.8)
+    """Threshold, large components and overlap in one."""
+    return volume.regions_from_t(region_t(spark, sf_dir), ["sub"], q=0.8).select("sub", "region_idx", *_XYZ)
+
+
+@query("aggregated_regions", _COMPONENTS_SQL.replace("m AS (SELECT DISTINCT region_idx, x, y, z FROM h)", """u AS (SELECT region_idx, x, y, 0 AS z, count(*) AS votes FROM h GROUP BY ALL),
+m AS (SELECT u.region_idx, x, y, z FROM u JOIN (SELECT region_idx, quantile_cont(votes, 0.8) AS enough FROM u GROUP BY ALL) USING (region_idx) WHERE votes >= enough)""") + """
+SELECT region_idx, x, y, z FROM comp JOIN big USING (region_idx, c) WHERE n > floor(top * 0.5)""")
+def aggregated_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One set of regions from those of all cells of a column in a plane: enough votes, large components."""
+    roi = _roi(spark, sf_dir).withColumn("z", F.lit(0)).select("region_idx", *_XYZ)
+    return volume.aggregate_regions(roi.withColumn("k", F.lit(1)), ["k"], first_n=None).select("region_idx", *_XYZ)
+
+
+@query("filtered_image", f"""WITH {CELLS_SQL},
+ok AS (SELECT x, y, z FROM c GROUP BY ALL HAVING min(value) > -0.25)
+SELECT x, y, z, frame, round(value, 6) AS value FROM c JOIN ok USING (x, y, z) WHERE abs(x - y) <= 4""")
+def filtered_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a mask whose every frame exceeds a threshold."""
+    image = cells(spark, sf_dir).select(*_XYZ, "frame", "value")
+    mask = image.where("abs(x - y) <= 4").select(*_XYZ).distinct()
+    return rounded(volume.filter_image(image, mask, threshold=-0.25), "value").select(*_XYZ, "frame", "value")
 
 
 @query("mask_bbox", f"WITH {_ROI_SQL} SELECT region_idx, " + ", ".join(f"{f}({c}) AS {f}_{c}" for c in _XYZ for f in ("min", "max")) + " FROM h GROUP BY region_idx")
@@ -91,12 +136,14 @@ def mask_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.mask_range(_roi(spark, sf_dir), ["region_idx"])
 
 
-@query("mask_grown", f"""WITH {_ROI_SQL}, m AS (SELECT DISTINCT x, y, z FROM h WHERE region_idx = 0),
+@query("mask_grown", f"""WITH {_ROI_SQL}, m AS (SELECT DISTINCT region_idx, x, y, z FROM h),
+top AS (SELECT max(z) AS nz FROM c),
 o AS (SELECT d * i AS i, d * j AS j, d * k AS k FROM range(0, 3) q(d) CROSS JOIN range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(j) CROSS JOIN range(-1, 2) c2(k))
-SELECT DISTINCT least(greatest(x + i, 0), 7)::INT AS x, least(greatest(y + j, 0), 7)::INT AS y, least(greatest(z + k, 0), 7)::INT AS z FROM m CROSS JOIN o""")
+SELECT DISTINCT region_idx, least(greatest(x + i, 0), 7)::INT AS x, least(greatest(y + j, 0), 7)::INT AS y, least(greatest(z + k, 0), nz)::INT AS z FROM m CROSS JOIN o CROSS JOIN top""")
 def mask_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = _roi(spark, sf_dir).where("region_idx = 0").select(*_XYZ).distinct()
-    return volume.grow(mask, 2, (8, 8, 8))
+    """Every region grown by two cells inside the volume."""
+    deep = series(spark, sf_dir).agg(F.max("z").alias("z")).first()["z"]
+    return volume.grow(_roi(spark, sf_dir).select("region_idx", *_XYZ).distinct(), 2, (8, 8, deep + 1), ["region_idx"])
 
 
 @query("smooth3d", f"""WITH {CELLS_SQL},
@@ -109,12 +156,13 @@ def smooth3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(volume.smooth(cells(spark, sf_dir).select(*_XYZ, "frame", "value"), kernel), "value").select(*_XYZ, "frame", "value")
 
 
-@query("calibration_mask", f"""WITH {_ROI_SQL}, motor AS (SELECT DISTINCT x, y, z FROM c WHERE voxel_id % 3 <> 0)
+@query("calibration_mask", f"""WITH {_ROI_SQL}, motor AS (SELECT DISTINCT x, y, z FROM s WHERE list_sum(ts) > 0)
 SELECT g.sub, g.region_idx, m.x, m.y, m.z FROM (SELECT DISTINCT sub, region_idx FROM h) g CROSS JOIN motor m
 WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.sub = g.sub AND h.x = m.x AND h.y = m.y AND h.z = m.z)""")
 def calibration_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    motor = series(spark, sf_dir).where("voxel_id % 3 <> 0").select(*_XYZ)
-    return volume.calibration_cells(_roi(spark, sf_dir), motor, ["sub"]).select("sub", "region_idx", *_XYZ)
+    """The motor mask is that of the cells whose mean is positive."""
+    total = F.aggregate("ts", F.lit(0.0), lambda a, b: a + b)
+    return volume.calibration_cells(_roi(spark, sf_dir), series(spark, sf_dir).where(total > 0).select(*_XYZ).distinct(), ["sub"]).select("sub", "region_idx", *_XYZ)
 
 
 @query("roi_mean_signal", f"""WITH {_ROI_SQL}
