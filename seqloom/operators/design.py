@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.scalar import fwhm_to_sigma
+from seqloom.operators.events import epoch_spans, sampled_onsets
 
 RUN = "run_id"
 
@@ -106,6 +107,52 @@ def convolve(onsets: DataFrame, basis: DataFrame, frame_s: float, run_len_s: flo
     return sums.select(RUN, "trial_type", "frame", values)
 
 
+def convolve_epochs(
+    merged: DataFrame, basis: DataFrame, frame_s: float, run_len_s: float, resolution_s: float = 0.01, method: str = "epoch"
+) -> DataFrame:
+    """What ``convolve`` gives for the ``epoch`` or ``epoch_2s`` onsets of merged events, without their samples.
+
+    An epoch is a box, so at a frame it adds the difference of two running sums of the basis: a row for
+    each frame that an event reaches, whatever the resolution. Runs in which events of a type overlap
+    (there the later one counts) are sampled.
+    """
+    steps = int(frame_s / resolution_s)
+    n_samples = int(run_len_s / resolution_s)
+    n_frames = n_samples // steps
+    size = basis.agg(F.max("sample").alias("reach"), F.max("basis_idx").alias("k")).first()  # of a table as long as the response
+    if size["k"] is None:
+        return convolve(sampled_onsets(merged, run_len_s, resolution_s, method), basis, frame_s, run_len_s, resolution_s)
+    start, stop, value = epoch_spans(resolution_s, method)
+    spans = merged.select(RUN, "trial_type", "event_idx", "onset_s", "duration_s", start.alias("start"), stop.alias("stop")).where("stop > start")
+    spans = spans.withColumn("__v", value)
+    earlier = Window.partitionBy(RUN, "trial_type").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(RUN, "trial_type")
+    marked = spans.withColumn("__meets", F.coalesce(F.max("stop").over(earlier) > F.col("start"), F.lit(False)))
+    marked = marked.withColumn("__overlap", F.max("__meets").over(whole))
+    boxes = marked.where("NOT __overlap").select(
+        RUN, "trial_type", F.greatest("start", F.lit(0)).alias("a"), F.least("stop", F.lit(n_samples)).alias("z"), "__v"
+    ).where("z > a")
+    last = F.least(F.expr(f"(z - 1 + {size['reach']}) div {steps}"), F.lit(n_frames - 1))
+    hits = boxes.withColumn("__first", F.expr(f"(a + {steps - 1}) div {steps}")).withColumn("__last", last).where("__first <= __last")
+    hits = hits.withColumn("frame", F.explode(F.sequence("__first", "__last")))
+    lag = lambda c: F.least(F.col("frame") * steps - F.col(c), F.lit(size["reach"])).alias(f"__lag_{c}")
+    hits = hits.select(RUN, "trial_type", "frame", "__v", lag("a"), lag("z"))
+    indices = range(size["k"] + 1)
+    so_far = Window.orderBy("sample").rowsBetween(Window.unboundedPreceding, 0)  # over a table as long as the response
+    wide = basis.groupBy("sample").agg(*[F.sum(F.when(F.col("basis_idx") == k, F.col("weight"))).alias(f"__w{k}") for k in indices])
+    sums = wide.select("sample", *[F.sum(f"__w{k}").over(so_far).alias(f"__c{k}") for k in indices])
+    side = lambda c: F.broadcast(sums.select(F.col("sample").alias(f"__lag_{c}"), *[F.col(f"__c{k}").alias(f"__{c}{k}") for k in indices]))
+    met = hits.join(side("a"), "__lag_a").join(side("z"), "__lag_z", "left")
+    totals = met.groupBy(RUN, "trial_type", "frame").agg(
+        *[F.sum(F.col("__v") * (F.col(f"__a{k}") - F.coalesce(f"__z{k}", F.lit(0.0)))).alias(f"__s{k}") for k in indices]
+    )
+    values = F.posexplode(F.array(*[f"__s{k}" for k in indices])).alias("basis_idx", "value")
+    found = totals.select(RUN, "trial_type", "frame", values)
+    rest = marked.where("__overlap").select(RUN, "trial_type", "event_idx", "onset_s", "duration_s")
+    sampled = convolve(sampled_onsets(rest, run_len_s, resolution_s, method), basis, frame_s, run_len_s, resolution_s)
+    return found.unionByName(sampled.select(*found.columns))
+
+
 def stimulus_design(
     spark: SparkSession, stimuli: DataFrame, n_frames: int, sampling_hz: float, cutoff_hz: float = 1 / 128, resolution_s: float = 0.1
 ) -> DataFrame:

@@ -75,6 +75,15 @@ def _sample(seconds: Column, resolution_s: float) -> Column:
     return F.floor(seconds / F.lit(resolution_s)).cast("long")
 
 
+def epoch_spans(resolution_s: float, method: str) -> tuple[Column, Column, Column]:
+    """First sample, end and height (from columns start and stop) of an event's box of area 1."""
+    if method not in ("epoch", "epoch_2s"):
+        raise ValueError(f"unknown method {method!r}")
+    length = F.lit(2) if method == "epoch_2s" else F.col("duration_s")
+    height = F.lit(1.0) / F.nullif(F.col("stop") - F.col("start"), F.lit(0))
+    return _sample(F.col("onset_s"), resolution_s), _sample(F.col("onset_s") + length, resolution_s), height
+
+
 def sampled_onsets(
     events: DataFrame, run_len_s: float, resolution_s: float = 0.01, method: str = "nonlinear"
 ) -> DataFrame:
@@ -92,14 +101,9 @@ def sampled_onsets(
     if method == "impulse":
         stop = _sample(F.col("onset_s") + F.col("duration_s"), resolution_s)
         step, value = int(4 / resolution_s), F.lit(1.0)
-    elif method == "epoch_2s":
-        stop, step = _sample(F.col("onset_s") + 2, resolution_s), 1
-        value = F.lit(1.0) / F.nullif(F.col("stop") - F.col("start"), F.lit(0))
-    elif method == "epoch":
-        stop, step = _sample(F.col("onset_s") + F.col("duration_s"), resolution_s), 1
-        value = F.lit(1.0) / F.nullif(F.col("stop") - F.col("start"), F.lit(0))
     else:
-        raise ValueError(f"unknown method {method!r}")
+        start, stop, value = epoch_spans(resolution_s, method)
+        step = 1
     spans = events.withColumn("start", start).withColumn("stop", stop).where("stop > start")
     samples = spans.select(*keys, "event_idx", value.alias("value"), F.explode(F.expr(f"sequence(start, stop - 1, {step}L)")).alias("sample"))
     inside = samples.where((F.col("sample") >= 0) & (F.col("sample") < int(run_len_s / resolution_s)))

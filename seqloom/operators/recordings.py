@@ -25,9 +25,11 @@ def run_designs(
     """
     run_len_s = n_frames * frame_s
     merged = events.merge_adjacent(event_rows, ignore)
-    onsets = events.sampled_onsets(merged, run_len_s, resolution_s, method)
     basis = design.scaled_basis(design.response_basis(spark, resolution_s))
-    shaped = design.convolve(onsets, basis, frame_s, run_len_s, resolution_s)
+    if method in ("epoch", "epoch_2s"):
+        shaped = design.convolve_epochs(merged, basis, frame_s, run_len_s, resolution_s, method)
+    else:
+        shaped = design.convolve(events.sampled_onsets(merged, run_len_s, resolution_s, method), basis, frame_s, run_len_s, resolution_s)
     # as many types as the experiment has
     types = merged.select("trial_type").distinct().withColumn("k", F.row_number().over(Window.orderBy("trial_type")) - 1)
     types = cut_lineage(types, "types")

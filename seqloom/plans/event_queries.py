@@ -125,7 +125,19 @@ SELECT run_id, trial_type, f.frame, basis_idx, round(sum(os.value * weight), 6)
 FROM os JOIN (SELECT unnest(range({int(RUN_LEN_S)} // 2)) AS frame) f ON f.frame * 2 >= os.sample AND f.frame * 2 < os.sample + 32
 JOIN sb ON sb.sample = f.frame * 2 - os.sample GROUP BY ALL""")
 def design_convolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    onsets = events.sampled_onsets(events.merge_adjacent(event_rows(spark, sf_dir)), RUN_LEN_S, 1.0, "epoch")
+    basis = design.scaled_basis(design.response_basis(spark, 1.0))
+    return rounded(design.convolve_epochs(events.merge_adjacent(event_rows(spark, sf_dir)), basis, 2.0, RUN_LEN_S, 1.0), "value")
+
+
+@query("impulse_convolved", _sampled("onset_s + duration_s", "1::DOUBLE", 4).replace("WITH", f"WITH {_SCALED_SQL},", 1).replace(
+    "SELECT run_id, trial_type, sample, round(arg_max(value, event_idx), 6) AS value FROM u",
+    ", os AS (SELECT run_id, trial_type, sample, arg_max(value, event_idx) AS value FROM u", 1) + f""")
+SELECT run_id, trial_type, f.frame, basis_idx, round(sum(os.value * weight), 6) AS value
+FROM os JOIN (SELECT unnest(range({int(RUN_LEN_S)} // 2)) AS frame) f ON f.frame * 2 >= os.sample AND f.frame * 2 < os.sample + 32
+JOIN sb ON sb.sample = f.frame * 2 - os.sample GROUP BY ALL""")
+def impulse_convolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impulses every four seconds of an event, by way of their samples."""
+    onsets = events.sampled_onsets(events.merge_adjacent(event_rows(spark, sf_dir)), RUN_LEN_S, 1.0, "impulse")
     basis = design.scaled_basis(design.response_basis(spark, 1.0))
     return rounded(design.convolve(onsets, basis, 2.0, RUN_LEN_S, 1.0), "value")
 

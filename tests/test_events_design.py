@@ -103,3 +103,17 @@ def test_contrasts(spark):
     rows = design.contrasts(df, per_type=2).orderBy("contrast_id").collect()
     assert [r.name for r in rows] == ["a", "b", "a - b"]
     assert rows[2].weights == [0.5, 0.5, -0.5, -0.5] and rows[2].boost_masks == [[True, True, False, False], [False, False, True, True]]
+
+
+@pytest.mark.parametrize("method", ["epoch", "epoch_2s"])
+def test_boxes_are_what_their_samples_give(spark, method):
+    """With events that overlap, reach over the run's end, begin before it, or have no length."""
+    rows = [(1, "a", 0, 0.0, 7.3), (1, "a", 1, 20.0, 0.0), (1, "a", 2, 30.5, 40.0), (1, "b", 0, 3.0, 9.0), (1, "b", 1, 5.0, 2.0), (1, "b", 2, 6.0, 20.0),
+            (2, "a", 0, -3.0, 5.0), (2, "a", 1, 57.9, 30.0), (2, "a", 2, 61.0, 4.0), (3, "a", 0, 10.0, 1.0), (3, "a", 1, 11.0, 1.0)]
+    merged = spark.createDataFrame(rows, "run_id int, trial_type string, event_idx int, onset_s double, duration_s double")
+    basis = design.scaled_basis(design.response_basis(spark, 0.1))
+    want = design.convolve(events.sampled_onsets(merged, 60.0, 0.1, method), basis, 2.0, 60.0, 0.1)
+    got = design.convolve_epochs(merged, basis, 2.0, 60.0, 0.1, method)
+    of = lambda df: {(r.run_id, r.trial_type, r.frame, r.basis_idx): r.value for r in df.collect()}
+    a, b = of(want), of(got)
+    assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-9 for k in a) and len(a) > 100
