@@ -38,6 +38,16 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two or three numbers that may be broadcast: with them some 100 MB in an executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(thin: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcasting if it has BROADCAST_ROWS rows at
+    most. Then the other side of its join stays where it is; beyond that both are shuffled."""
+    return F.broadcast(thin) if thin.count() <= BROADCAST_ROWS else thin
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns, named doc_id and text; a null text is empty."""
     return df.select(

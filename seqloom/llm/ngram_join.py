@@ -30,13 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialise, mix64, tasks, texts
+from seqloom.llm.common import if_small, materialise, mix64, tasks, texts
 from seqloom.llm.components import components
 from seqloom.llm.shingles import WordHashes, shingle_set
 
@@ -118,16 +119,15 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-_SCAN_SQL = (
-    "kind string, doc_id long, mark long, n long, cls long, cls2 long, ref long, sets array<struct<band: int, keys: int, own: int>>, "
-    "sketch binary, packed binary, bucket int, bands binary, keys binary, places binary, marked binary"
-)
 _SETS = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.int32()), ("own", pa.int32())]))
-_SCAN = pa.schema(
-    [("kind", pa.string()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("ref", pa.int64()), ("sets", _SETS),
-     ("sketch", pa.binary()), ("packed", pa.binary()), ("bucket", pa.int32()), ("bands", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("marked", pa.binary())]
-)
+_PLAIN = [("kind", pa.string()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("ref", pa.int64()), ("sets", _SETS)]
+_SCAN = pa.schema([*_PLAIN, ("bucket", pa.int32()), ("bands", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("marked", pa.binary())])
+_MET = pa.schema([*_PLAIN, ("band", pa.int32()), ("key", pa.int64()), ("size", pa.int32())])
+#: What tells the keys of a block.
 _BLOCK = ["bucket", "ref", "bands", "keys", "places", "marked"]
+_PLAIN_SQL = "kind string, doc_id long, mark long, n long, cls long, cls2 long, ref long, sets array<struct<band: int, keys: int, own: int>>"
+_SCAN_SQL = f"{_PLAIN_SQL}, bucket int, bands binary, keys binary, places binary, marked binary"
+_MET_SQL = f"{_PLAIN_SQL}, band int, key long, size int"
 #: Keys that a task holds before it gives them out (those of at most HELD_SETS classes), and that a task
 #: which counts them holds before it looks for frequent ones.
 HELD_KEYS, HELD_SETS = 1_000_000, 1 << 16
@@ -176,24 +176,25 @@ def _blocks(ref: int, sets: list[np.ndarray], places: list[int], small_group: in
 
 
 def _scan(buckets: int, small_group: int):
-    """Members (doc, text's mark, size, class); of each class that is new to this task its text, its bit
-    sketch and its keys, under a number (ref) of its own."""
+    """Members (doc, text's mark, size, class), classes that are new to this task, under a number (ref)
+    of its own, and the keys of these. Members and classes are dealt evenly to the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, squeeze = WordHashes(), set(), zstandard.ZstdCompressor(level=1)
+        hashes, seen = WordHashes(), set()
         ref = TaskContext.get().partitionId() << 36
         held: list[np.ndarray] = []
         places: list[int] = []
-        n, classes = 0, 0
+        n, classes, turn = 0, 0, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
                 rows = []
                 for doc, text, mark in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    turn = (turn + 1) % buckets
                     s = shingle_set(text, hashes)
                     digest = xxhash.xxh3_128_digest(s.tobytes())
                     cls, cls2 = (int.from_bytes(x, "little", signed=True) for x in (digest[:8], digest[8:])) if len(s) else (None, None)
-                    rows.append({"kind": "member", "doc_id": doc, "mark": mark, "n": len(s), "cls": cls, "cls2": cls2})
+                    rows.append({"kind": "member", "doc_id": doc, "mark": mark, "n": len(s), "cls": cls, "cls2": cls2, "bucket": turn})
                     if len(s) and digest not in seen and doc is not None:
                         seen.add(digest)
                         sets = []
@@ -202,8 +203,7 @@ def _scan(buckets: int, small_group: int):
                             places.append(classes)
                             sets.append({"band": band, "keys": len(held[-1]), "own": differing})
                             n += len(held[-1])
-                        packed = squeeze.compress(text.encode("utf-8", "surrogatepass"))
-                        rows.append({"kind": "class", "doc_id": doc, "mark": mark, "n": len(s), "cls": cls, "cls2": cls2, "ref": ref | classes, "sets": sets, "sketch": bit_sketch(s), "packed": packed})
+                        rows.append({"kind": "class", "doc_id": doc, "mark": mark, "n": len(s), "cls": cls, "cls2": cls2, "ref": ref | classes, "sets": sets, "bucket": turn})
                         classes += 1
                         if n > HELD_KEYS or classes == HELD_SETS:
                             yield from _blocks(ref, held, places, small_group)
@@ -218,15 +218,12 @@ def _scan(buckets: int, small_group: int):
     return run
 
 
-_MET = pa.schema([("ref", pa.int64()), ("band", pa.int32()), ("key", pa.int64()), ("size", pa.int32())])
-_MET_SQL = "ref long, band int, key long, size int"
-
-
-def _met(k: np.ndarray, c: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _met(k: np.ndarray, refs: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
     band = ((k >> np.uint64(32)) & np.uint64(31)).astype(np.int32)
     for lo in range(0, len(k), 100_000):
         some = slice(lo, lo + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(band[some]), pa.array(k[some].view(np.int64)), pa.array(size[some].astype(np.int32))], schema=_MET)
+        columns = {"kind": pa.repeat("met", len(k[some])), "ref": refs[some], "band": band[some], "key": k[some].view(np.int64), "size": size[some].astype(np.int32)}
+        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(k[some]), f.type) for f in _MET], schema=_MET)
 
 
 def _opened(bucket: int, ref: int, bands: bytes, keys: bytes, places: bytes, marked: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,16 +233,9 @@ def _opened(bucket: int, ref: int, bands: bytes, keys: bytes, places: bytes, mar
     return k, np.frombuffer(places, "<u2").astype(np.int64) + ref, k[np.frombuffer(marked, "<u4")]
 
 
-def _frequent_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-            k, c, _ = _opened(*row)
-            yield from _met(k, c, np.full(len(k), UNCOUNTED))
-
-
 def _shared_keys(small_group: int, limit: int = 4 * HELD_KEYS):
-    """Keys that two refs have, with their number of refs (UNCOUNTED if a task that sent them, or this
-    one when it held ``limit`` keys, found the key frequent)."""
+    """Members and classes as they come; keys that two refs have, with their number of refs (UNCOUNTED if
+    a task that sent them, or this one when it held ``limit`` keys, found the key frequent)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -259,8 +249,16 @@ def _shared_keys(small_group: int, limit: int = 4 * HELD_KEYS):
             return k[order], c[order]
 
         for batch in batches:
-            for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            kind = batch.column(0)
+            plain = batch.filter(pc.is_in(kind, pa.array(["member", "class"])))
+            if plain.num_rows:
+                yield pa.RecordBatch.from_arrays([*plain.columns[: len(_PLAIN)], *[pa.nulls(plain.num_rows, f.type) for f in list(_MET)[len(_PLAIN) :]]], schema=_MET)
+            blocks = batch.filter(pc.is_in(kind, pa.array(["keys", "hot"]))).select(["kind", *_BLOCK])
+            for what, *row in zip(*(col.to_pylist() for col in blocks.columns), strict=True):
                 k, c, marked = _opened(*row)
+                if what == "hot":
+                    yield from _met(k, c, np.full(len(k), UNCOUNTED))
+                    continue
                 if len(marked):
                     frequent = np.union1d(frequent, marked)
                 held.append((k, c))
@@ -287,6 +285,22 @@ def _shared_keys(small_group: int, limit: int = 4 * HELD_KEYS):
     return run
 
 
+_PACKED = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("packed", pa.binary())])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) to the class's size, bit sketch and compressed text."""
+    hashes, squeeze = WordHashes(), zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            some = batch.slice(lo, 512)
+            texts_ = some.column(1).to_pylist()
+            sets = [shingle_set(t, hashes) for t in texts_]
+            packed = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in texts_]
+            columns = [some.column(0), [len(s) for s in sets], [bit_sketch(s) for s in sets], packed]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
+
+
 def _prefixes(met: DataFrame, refs: DataFrame) -> DataFrame:
     """(node, key, size): of each class and band the rarest keys, as many as hold one of each partner."""
     sets = refs.select("node", "ref", F.explode("sets").alias("s")).select("node", "ref", "s.*")
@@ -408,23 +422,48 @@ def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, blo
     return met.select(F.least("z", "x").alias("a"), F.greatest("z", "x").alias("b")).distinct()
 
 
+def _labelled(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between classes as links between the components that are known."""
+    for side in ("a", "b"):
+        of = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+        links = links.join(of, side, "left")
+    links = links.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    return links.where("a != b").distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after one step along the links: what is joined is connected, though not all that is."""
+    step = _labelled(links, labels)
+    least = step.select(F.greatest("a", "b").alias("old"), F.least("a", "b").alias("new")).groupBy("old").agg(F.min("new").alias("new"))
+    own = labels.select("node", "label").union(least.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("old").alias("label")))
+    return own.join(least, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of the labels' and these links."""
+    over = components(_labelled(links, labels)).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    own = labels.select("node", "label").union(over.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("old").alias("label")))
+    return materialise(own.join(over, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
 def _components(df: DataFrame, id_col: str, text_col: str, small_group: int, block: int, held: int) -> DataFrame:
     """doc_id, mark (a hash of the text), n_shingles, component_id for every row of ``df``."""
     n = tasks(df.sparkSession)
     docs = texts(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
-    # one pass over the texts gives members, classes and keys
-    scanned = materialise(docs.mapInArrow(_scan(4 * n, small_group), _SCAN_SQL), "shingle-classes", partition_by="kind")
+    # one pass over the texts gives members, classes and keys; of the keys those that are shared are kept
+    scanned = docs.mapInArrow(_scan(4 * n, small_group), _SCAN_SQL).repartition(n, "bucket").mapInArrow(_shared_keys(small_group, held), _MET_SQL)
+    scanned = materialise(scanned, "shingle-classes", partition_by="kind")
     members = scanned.where("kind = 'member'").select("doc_id", "mark", "n", "cls", "cls2")
-    copies = scanned.where("kind = 'class'").select("ref", "cls", "cls2", "doc_id", "mark", "n", "sets", "sketch", "packed")
+    copies = scanned.where("kind = 'class'").select("ref", "cls", "cls2", "doc_id", "mark", "sets")
     # of each class the one text that stands for it, however many rows have its id or repeat it
-    classes = copies.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "mark", "ref"))["ref"].alias("node"))
-    classes = materialise(classes, "classes")
-    met = scanned.where("kind = 'keys'").select(*_BLOCK).repartition(n, "bucket").mapInArrow(_shared_keys(small_group, held), _MET_SQL)
-    met = met.union(scanned.where("kind = 'hot'").select(*_BLOCK).mapInArrow(_frequent_keys, _MET_SQL))
-    met = materialise(_prefixes(met, copies.select("ref", "cls", "cls2", "sets").join(classes, ["cls", "cls2"])), "meetings")
+    classes = copies.groupBy("cls", "cls2").agg(F.min(F.struct("doc_id", "mark", "ref")).alias("of"))
+    classes = materialise(classes.select("cls", "cls2", "of.doc_id", "of.mark", F.col("of.ref").alias("node")), "classes")
+    refs = copies.select("ref", "cls", "cls2", "sets").join(classes.select("cls", "cls2", "node"), ["cls", "cls2"])
+    met = materialise(_prefixes(scanned.where("kind = 'met'").select("ref", "band", "key", "size"), refs), "meetings")
     # only classes that meet others go on, with their sketches and texts
-    meeting = copies.join(met.select(F.col("node").alias("ref")).distinct(), "ref").select(F.col("ref").alias("node"), "n", "sketch", "packed")
-    meeting = materialise(meeting, "meeting-classes")
+    meeting = materialise(classes.join(met.select("node").distinct(), "node").select("node", "doc_id", "mark"), "meeting-classes")
+    meeting = docs.join(if_small(meeting), ["doc_id", "mark"]).select("node", "text").mapInArrow(_pack, "node long, n long, sketch binary, packed binary")
+    meeting = materialise(meeting.dropDuplicates(["node"]), "meeting-texts")
     small = met.where(F.col("size") <= small_group).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("m")).where("size(m) > 1")
     small = small.select(
         F.explode(F.expr("flatten(transform(sequence(0, size(m) - 2), i -> transform(slice(m, i + 2, size(m)), x -> struct(m[i] AS a, x AS b))))")).alias("p")
@@ -448,12 +487,17 @@ def _components(df: DataFrame, id_col: str, text_col: str, small_group: int, blo
     groups = groups.select("key", "node")
     if not groups.isEmpty():
         # the nearest partners join most of what is left; then every pair that may still matter
+        near, more = labels, None
         for best in (True, False):
-            more = materialise(_within_groups(groups, labels, meeting, block, best), "candidates")
-            if more.isEmpty():
+            met_late = materialise(_within_groups(groups, near, meeting, block, best), "candidates")
+            if met_late.isEmpty():
                 break
-            links = links.union(materialise(_verify(more, meeting), "links"))
-            labels = components(links)
+            found = materialise(_verify(met_late, meeting), "links")
+            more = found if more is None else more.union(found)
+            if best:
+                near = materialise(_merged(labels, found), "labels")
+        if more is not None:
+            labels = _joined(labels, more)
     # the smallest document of each component, by way of the classes
     smallest = members.where("cls IS NOT NULL").groupBy("cls", "cls2").agg(F.min("doc_id").alias("doc_id"))
     smallest = smallest.join(classes.select("node", "cls", "cls2"), ["cls", "cls2"]).join(labels, "node", "left")
@@ -485,6 +529,6 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     id. Rows with a null id stay, as do empty texts and rows that repeat the one that stays.
     """
     found = _components(df, id_col, text_col, SMALL_GROUP, BLOCK, 4 * HELD_KEYS).where("doc_id != component_id")
-    gone = found.select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    gone = materialise(found.select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct(), "near-copies")
     same = (F.col(id_col).cast("long") == F.col("__gone")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__mark"))
-    return df.join(gone, same, "left_anti")
+    return df.join(if_small(gone), same, "left_anti")
