@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialise, mix64, texts
+from seqloom.llm.common import if_small, materialise, mix64, texts
 
 LEAST, THRESHOLD = 5, 0.6
 #: Characters of items that one block may hold; a longer item is a block of its own.
@@ -249,6 +249,6 @@ def decontaminate(
     with a null id goes if it leaks. Null and empty texts stay.
     """
     found = _leaks(df, benchmark, least, threshold, block_chars, id_col, text_col, item_col, item_text_col)
-    found = found.select(F.col("doc_id").alias("__leaked"), F.col("mark").alias("__mark")).distinct()
+    found = materialise(found.select(F.col("doc_id").alias("__leaked"), F.col("mark").alias("__mark")).distinct(), "leaking")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__leaked")) & (F.xxhash64(text) == F.col("__mark")), "left_anti")
+    return df.join(if_small(found), F.col(id_col).cast("long").eqNullSafe(F.col("__leaked")) & (F.xxhash64(text) == F.col("__mark")), "left_anti")

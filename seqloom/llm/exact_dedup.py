@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialise, texts
+from seqloom.llm.common import if_small, materialise, texts
 
 #: Shares into which each group is split by a hash of the row's id: one bit of a long for each.
 SALTS = 64
@@ -94,14 +94,14 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     found = materialise(exact_duplicates(df, id_col, text_col).select("doc_id", "kept", "text_sha256"), "copies")
     by_id = found.groupBy("doc_id").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("n")).where("NOT any_kept OR n > 1")
-    special = by_id.select(F.col("doc_id").alias("__id"), "any_kept")
+    special = materialise(by_id.select(F.col("doc_id").alias("__id"), "any_kept"), "copies")
     of_id = F.col(id_col).cast("long") == F.col("__id")
-    plain = df.join(special.drop("any_kept"), of_id, "left_anti")
+    plain = df.join(if_small(special.drop("any_kept")), of_id, "left_anti")
     # ids of several rows: of each kept text the longest row stays
     repeated = special.where("any_kept").drop("any_kept")
     if repeated.isEmpty():
         return plain
-    repeated = df.join(repeated, of_id)
+    repeated = df.join(if_small(repeated), of_id)
     repeated = repeated.withColumn("__sha", F.sha2(normalised(F.coalesce(F.col(text_col), F.lit(""))), 256))
     order = Window.partitionBy("__id", "__sha").orderBy(F.char_length(F.coalesce(F.col(text_col), F.lit(""))).desc())
     repeated = repeated.withColumn("__place", F.row_number().over(order)).where("__place = 1")
