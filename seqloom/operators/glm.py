@@ -276,11 +276,10 @@ def t_map(fits: DataFrame, contrast: DataFrame, boost: bool = False, key: str |
 def interpolate_outliers(cells: DataFrame, outliers: DataFrame, key: str = "voxel_id", run: str | None = None) -> DataFrame:
     """Values at outlier frames from a line between the nearest other frames, the nearest one at the ends.
 
-    ``cells`` has key, frame, value; ``outliers`` has frame and, if ``run`` is given, that column, and is
-    of the size of one run's frames for each run.
+    ``cells`` has key, frame, value; ``outliers`` has frame and, if ``run`` is given, that column.
     """
     on = ["frame", *([run] if run else [])]
-    marked = cells.join(F.broadcast(outliers.select(*on).distinct().withColumn("__out", F.lit(True))), on, "left")
+    marked = cells.join(outliers.select(*on).distinct().withColumn("__out", F.lit(True)), on, "left")
     good = F.when(F.col("__out").isNull(), F.struct("frame", "value"))
     keys = [key, *([run] if run else [])]
     back = Window.partitionBy(*keys).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)

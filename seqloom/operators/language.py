@@ -57,6 +57,34 @@ def discounted_probabilities(counts: DataFrame, cutoff: int = 7) -> DataFrame:
     )
 
 
+def backoff_model(df: DataFrame, n: int, token_col: str = "tokens", cutoff: int = 7) -> DataFrame:
+    """A back-off model of orders 1 to ``n``: order, history, next, p, weight.
+
+    p is the discounted frequency of ``discounted_probabilities`` (of order 1 the plain one). ``weight``
+    is what the model of the next lower order is multiplied by for tokens not seen after history + next,
+    so that all of them sum to 1; it is null for the highest order and 1 for a gram that is no history.
+    """
+    counts = [ngram_counts(df, k, token_col) for k in range(1, n + 1)]
+    orders = [cut_lineage(ngram_probabilities(counts[0]).select("history", "next", "p"), "backoff")]
+    out = None
+    for k in range(2, n + 1):
+        found = cut_lineage(discounted_probabilities(counts[k - 1], cutoff), "backoff")
+        # what the lower order gives to the tokens seen after a history, which lacks its first token there
+        shorter = F.expr("array_join(slice(split(history, ' '), 2, size(split(history, ' '))), ' ')") if k > 2 else F.lit("")
+        lower = orders[-1].select(F.col("history").alias("__h"), F.col("next").alias("__n"), F.col("p").alias("__p"))
+        met = found.withColumn("__s", shorter).join(lower, (F.col("__s") == F.col("__h")) & (F.col("next") == F.col("__n")))
+        weights = met.groupBy("history").agg(F.sum("__p").alias("seen"), F.max("backoff").alias("left"))
+        left = 1 - F.col("seen")
+        weights = weights.select(F.col("history").alias("__gram"), F.when(left > 1e-12, F.greatest(F.col("left"), F.lit(0.0)) / left).otherwise(0.0).alias("weight"))
+        gram = F.concat_ws(" ", *(["history"] if k > 2 else []), "next")
+        below = orders[-1].withColumn("__g", gram).join(weights, F.col("__g") == F.col("__gram"), "left")
+        part = below.select(F.lit(k - 1).alias("order"), "history", "next", "p", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+        out = part if out is None else out.unionByName(part)
+        orders.append(found.select("history", "next", "p"))
+    last = orders[-1].select(F.lit(n).alias("order"), "history", "next", "p", F.lit(None).cast("double").alias("weight"))
+    return last if out is None else out.unionByName(last)
+
+
 def arpa_ngrams(lines: DataFrame, use_log: bool = True, space_token: str = "_space_") -> DataFrame:
     """n-grams of an ARPA file (line_no, value): n, history, next, p.
 

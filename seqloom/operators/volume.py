@@ -100,8 +100,8 @@ def smooth(image: DataFrame, kernel: DataFrame, keep: list[str] | None = None, w
 
     Cells go to their tile of 16 x 16 x 16 and to the tiles beside it that the kernel reaches, not once
     for each cell of the kernel; a task convolves a tile of 32 frames at a time. Only cells that the image has
-    (or ``within``) are returned; ``keep`` names columns of these cells to return too. A cell stands in
-    the image once.
+    (or ``within``, in every frame of every run) are returned; ``keep`` names columns of these cells to
+    return too. A cell stands in the image once.
     """
     keys = [c for c in ("run_id",) if c in image.columns]
     rows = kernel.select("dx", "dy", "dz", "weight").limit(KERNEL_LIMIT + 1).collect()
@@ -139,8 +139,11 @@ def smooth(image: DataFrame, kernel: DataFrame, keep: list[str] | None = None, w
     summed = summed.select(*keys, "frame", *[F.col(c).cast(image.schema[c].dataType).alias(c) for c in XYZ], "value")
     if within is None and not keep:
         return summed
-    on = [*([] if within is not None else keys), *XYZ]
-    return summed.join((within if within is not None else image).select(*on, *(keep or [])).distinct(), on)
+    if within is None:
+        return summed.join(image.select(*keys, *XYZ, *(keep or [])).distinct(), [*keys, *XYZ])
+    # cells that nothing reaches are 0
+    grid = within.select(*XYZ, *(keep or [])).distinct().crossJoin(image.select(*keys, "frame").distinct())
+    return grid.join(summed, [*keys, "frame", *XYZ], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 #: Half of the 26 neighbours of a cell: the others are their mirror images.
@@ -196,7 +199,7 @@ def components(mask: DataFrame, by: list[str] | None = None) -> DataFrame:
     return cells.join(named, ["__key", *XYZ]).drop("__key")
 
 
-def contract(links: DataFrame) -> DataFrame:
+def contract(links: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component) of the nodes that have links (u, v): the smallest name that each one reaches.
 
     Each round a node hooks on to the smallest name among its neighbours' and follows that name's own
@@ -204,7 +207,7 @@ def contract(links: DataFrame) -> DataFrame:
     """
     both = cut_lineage(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     names = cut_lineage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("name")).withColumnRenamed("u", "node"))
-    while True:
+    for _ in range(limit):
         near = both.join(names.withColumnRenamed("node", "v"), "v").select("u", "name")
         # what a node offers to itself and to the node that its name stands for
         offers = near.unionByName(names.select(F.col("node").alias("u"), "name"))
@@ -217,6 +220,7 @@ def contract(links: DataFrame) -> DataFrame:
         names = new
         if not changed:
             return names.withColumnRenamed("name", "component")
+    raise RuntimeError(f"no fixed point after {limit} rounds")
 
 
 def clean_components(mask: DataFrame, by: list[str] | None = None, ratio: float = 0.5) -> DataFrame:
@@ -251,7 +255,7 @@ def regions_from_t(
 def calibration_cells(roi: DataFrame, motor: DataFrame, by: list[str], region_masks: DataFrame | None = None) -> DataFrame:
     """Motor cells in no region of the run, for each of its regions, inside the region's mask if given."""
     runs = roi.select(*by).distinct()
-    free = mask_minus(runs.crossJoin(F.broadcast(motor.select(*XYZ))), roi.select(*by, *XYZ).distinct(), [*by, *XYZ])
+    free = mask_minus(runs.crossJoin(motor.select(*XYZ)), roi.select(*by, *XYZ).distinct(), [*by, *XYZ])
     regions = roi.select(*by, "region_idx").distinct()
     out = regions.join(free, by)
     return mask_and(out, region_masks, ["region_idx", *XYZ]) if region_masks is not None else out

@@ -195,6 +195,22 @@ def bigram_discounted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(language.discounted_probabilities(_bigrams(spark, sf_dir)), "p", "backoff")
 
 
+@query("backoff_bigrams", _NGRAM_SQL + """,
+cc AS (SELECT count AS r, count(*)::DOUBLE AS n FROM n WHERE count <= 8 GROUP BY count),
+c AS (SELECT coalesce(8 * (SELECT n FROM cc WHERE r = 8), 0) / (SELECT n FROM cc WHERE r = 1) AS common),
+d AS (SELECT a.r, ((a.r + 1) * b.n / a.n / a.r - common) / (1 - common) AS d FROM cc a JOIN cc b ON b.r = a.r + 1, c WHERE a.r <= 7 AND common <> 1),
+kept AS (SELECT history, next, count, count * CASE WHEN d.d > 0 AND d.d < 1 THEN d.d ELSE 1 END AS kept FROM n LEFT JOIN d ON d.r = n.count),
+two AS (SELECT history, next, kept / sum(count) OVER (PARTITION BY history) AS p, 1 - sum(kept) OVER (PARTITION BY history) / sum(count) OVER (PARTITION BY history) AS rest FROM kept),
+uc AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM w) GROUP BY token),
+one AS (SELECT token, n / (sum(n) OVER ())::DOUBLE AS p FROM uc),
+bw AS (SELECT history, CASE WHEN 1 - sum(one.p) > 1e-12 THEN greatest(max(rest), 0) / (1 - sum(one.p)) ELSE 0 END AS weight FROM two JOIN one ON one.token = two.next GROUP BY history)
+SELECT 1 AS "order", '' AS history, token AS next, round(p, 8) AS p, round(coalesce(weight, 1), 5) AS weight FROM one LEFT JOIN bw ON bw.history = token
+UNION ALL SELECT 2, history, next, round(p, 8), NULL FROM two""")
+def backoff_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(language.tokens(F.col("text")).alias("tokens"))
+    return rounded(rounded(language.backoff_model(docs, 2), "p", digits=8), "weight", digits=5)
+
+
 @query("softmax_letters", f"""WITH {LETTERS_SQL}, m AS (SELECT *, exp(ln(10) * (n / 1000::DOUBLE - max(n / 1000::DOUBLE) OVER (PARTITION BY run_id))) AS e FROM l)
 SELECT run_id, pos, round(e / sum(e) OVER (PARTITION BY run_id), 6) AS p FROM m""")
 def softmax_letters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,3 +156,27 @@ def test_arpa_and_lattice_text(spark):
     nodes, edges = language.lattice(spark.createDataFrame([("N=2 L=1",), ("I=0 W=yes",), ("I=1 W=!NULL",), ("J=0 S=1 E=0",)], "value string"))
     assert [tuple(r) for r in nodes.orderBy("id").collect()] == [(0, "yes"), (1, "!NULL")] and tuple(edges.first()) == (1, 0)
     assert language.log10_table(spark.createDataFrame([(0.0,)], "p double")).first().p == float("-inf")
+
+
+def test_backoff_model_sums_to_one(spark):
+    """Of every history, seen tokens and those that are left to the lower orders."""
+    r = np.random.default_rng(0)
+    rows = [(r.choice(list("aaabbcde"), int(r.integers(0, 30))).tolist(),) for _ in range(60)]
+    model = language.backoff_model(spark.createDataFrame(rows, "tokens array<string>"), 3, cutoff=3).collect()
+    p = {(x.order, x.history, x.next): x.p for x in model}
+    weight = {f"{x.history} {x.next}".strip(): x.weight for x in model if x.order < 3}
+    alphabet = sorted({t for (row,) in rows for t in row})
+
+    def chance(history, token):
+        k = len(history) + 1
+        if (k, " ".join(history), token) in p:
+            return p[k, " ".join(history), token]
+        return weight.get(" ".join(history), 1.0) * chance(history[1:], token) if history else 0.0
+
+    histories = {tuple(x.history.split()) for x in model}
+    for history in histories:
+        assert abs(sum(chance(list(history), t) for t in alphabet) - 1) < 1e-9 or not any(
+            (len(history) + 1, " ".join(history), t) not in p for t in alphabet
+        )
+    assert len(histories) > 20 and {x.order for x in model} == {1, 2, 3}
+    assert all(x.weight is None for x in model if x.order == 3)

@@ -22,6 +22,9 @@ def test_text_and_json(spark, tmp_path):
     assert [r.value for r in tables.read_lines(spark, str(tmp_path / "t")).orderBy("line_no").collect()][:2] == ["one", "two"]
     tables.write_json(spark.createDataFrame([(1, "x")], "a int, b string").coalesce(1), str(tmp_path / "j"))
     assert tuple(tables.read_json(spark, str(tmp_path / "j")).first()) == (1, "x")
+    tables.write_json(spark.createDataFrame([(1, "x")], "a int, b string").coalesce(1), str(tmp_path / "p"), pretty=True)
+    assert len(tables.read_lines(spark, str(tmp_path / "p")).where("trim(value) <> ''").collect()) == 4  # braces and two fields
+    assert tuple(tables.read_json(spark, str(tmp_path / "p")).first()) == (1, "x")
 
 
 def test_names_of_recordings(spark):

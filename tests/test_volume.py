@@ -125,3 +125,11 @@ def test_image_filter(spark):
     assert volume.filter_image(image, _cells(spark, [(2, 0, 0)]), kernel=kernel, threshold=0.5).count() == 2
     atlas = spark.createDataFrame([(0, 0, 0, 13), (1, 0, 0, 14), (2, 0, 0, 1)], XYZ + ", label int")
     assert volume.labelled_mask(atlas, [13, 14]).count() == 2
+
+
+def test_smoothing_within_gives_zero_where_nothing_reaches(spark):
+    image = spark.createDataFrame([(0, 0, 0, 0, 1.0), (0, 0, 0, 1, 2.0)], "x int, y int, z int, frame int, value double")
+    kernel = spark.createDataFrame([(0, 0, 0, 0.5), (1, 0, 0, 0.25)], "dx int, dy int, dz int, weight double")
+    within = spark.createDataFrame([(1, 0, 0), (100, 0, 0), (0, 0, 0)], "x int, y int, z int")
+    got = {(r.x, r.frame): r.value for r in volume.smooth(image, kernel, within=within).collect()}
+    assert got == {(0, 0): 0.5, (0, 1): 1.0, (1, 0): 0.25, (1, 1): 0.5, (100, 0): 0.0, (100, 1): 0.0}
