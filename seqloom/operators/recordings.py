@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import design, events, glm, volume
+from seqloom.sources import images, tables
 from seqloom.sources.storage import cut_lineage
 
 RUN = "run_id"
@@ -68,39 +69,39 @@ def _smoothed(series: DataFrame, kernel: DataFrame, ts: str = "ts") -> DataFrame
 
 
 def fit_images(
-    images: DataFrame, designs: DataFrame, n_frames: int, mask: DataFrame | None = None, threshold: float = 0.0, image_kernel: DataFrame | None = None,
+    series: DataFrame, designs: DataFrame, n_frames: int, mask: DataFrame | None = None, threshold: float = 0.0, image_kernel: DataFrame | None = None,
     ar_kernel: DataFrame | None = None, ar_order: int = 4, ar: str | None = None, ar_only: bool = False, ar_sse: bool = False,
 ) -> DataFrame:
-    """Models of all runs' images (run_id, voxel_id, x, y, z, ts) in a mask: run_id, voxel_id and the columns of ``glm.fit``.
+    """Models of all runs' images (``series``: run_id, voxel_id, x, y, z, ts) in a mask: run_id, voxel_id and the columns of ``glm.fit``.
 
     Without a mask (x, y, z) it is the cells above ``threshold`` in every frame of the run. With a kernel
     the image is cut to the box around the mask, widened by the widest kernel's reach, and smoothed there.
     With ``ar_kernel`` autoregressions are estimated in the mask grown by that reach, smoothed, and used in
-    the mask. ``ar`` names a column of ``images`` with known parameters, which replace order and smoothing.
+    the mask. ``ar`` names a column of ``series`` with known parameters, which replace order and smoothing.
     ``ar_only`` stops at the parameters.
     """
     if ar:
         ar_kernel = None
     here = [RUN, *volume.XYZ]
-    inside = glm.in_every_frame(images, threshold).select(*here) if mask is None else images.join(mask.select(*volume.XYZ).distinct(), volume.XYZ, "left_semi").select(*here)
+    inside = glm.in_every_frame(series, threshold).select(*here) if mask is None else series.join(mask.select(*volume.XYZ).distinct(), volume.XYZ, "left_semi").select(*here)
     far = _reach(image_kernel, ar_kernel)
     if far:
         inside = cut_lineage(inside, "mask")
         box = volume.mask_range(inside, [RUN])
         near = " AND ".join(f"{c} BETWEEN min_{c} - {far} AND max_{c} + {far}" for c in volume.XYZ)
-        images = images.join(box, RUN).where(near).drop(*[c for c in box.columns if c != RUN])
-    known = images.select(*here, F.col(ar).alias("ar")) if ar else None
-    images = images.select(RUN, "voxel_id", *volume.XYZ, "ts")
+        series = series.join(box, RUN).where(near).drop(*[c for c in box.columns if c != RUN])
+    known = series.select(*here, F.col(ar).alias("ar")) if ar else None
+    series = series.select(RUN, "voxel_id", *volume.XYZ, "ts")
     if image_kernel is not None:
-        images = cut_lineage(_smoothed(images, image_kernel), "smoothed")
+        series = cut_lineage(_smoothed(series, image_kernel), "smoothed")
     packed = cut_lineage(glm.packed_designs(designs, n_frames), "designs")
     keys = ("voxel_id", *volume.XYZ)
     if ar_kernel is not None:
-        shape = images.agg(*[(F.max(c) + 1).alias(c) for c in volume.XYZ]).first()
+        shape = series.agg(*[(F.max(c) + 1).alias(c) for c in volume.XYZ]).first()
         grown = volume.grow(inside, far, tuple(int(v or 0) for v in shape), [RUN])
-        first = glm.fit_runs(images.join(grown, here, "left_semi"), packed, ar_order, keys, ar_only=True)
+        first = glm.fit_runs(series.join(grown, here, "left_semi"), packed, ar_order, keys, ar_only=True)
         known = _smoothed(first, ar_kernel, "ar").select(*here, "ar")
-    rows = images.join(inside, here, "left_semi")
+    rows = series.join(inside, here, "left_semi")
     if known is not None:
         rows = rows.join(known, here)
         if ar_only:
@@ -119,19 +120,51 @@ class Analysis:
 
 
 def analyse(
-    spark: SparkSession, images: DataFrame, event_rows: DataFrame, n_frames: int, frame_s: float, voxel_mm: tuple[float, float, float] = (2.0, 2.0, 2.0),
+    spark: SparkSession, runs: DataFrame, event_rows: DataFrame, n_frames: int, frame_s: float, voxel_mm: tuple[float, float, float] = (2.0, 2.0, 2.0),
     confound_rows: DataFrame | None = None, mask: DataFrame | None = None, threshold: float = 0.0, fwhm_mm: float = 2.0, ar_fwhm_mm: float = 0.0,
     ar_order: int = 4, boost: bool = True, resolution_s: float = 0.01, method: str = "nonlinear",
 ) -> Analysis:
     """From images, events and confounds of many runs to t maps of each type and each pair of types.
 
-    ``images``: run_id, voxel_id, x, y, z, ts; ``event_rows`` as in ``operators.events``; ``confound_rows``
+    ``runs`` are the images: run_id, voxel_id, x, y, z, ts; ``event_rows`` as in ``operators.events``; ``confound_rows``
     as ``design.confounds`` returns them. ``frame_s`` and ``voxel_mm`` stand in an image's header. A width
     (full width at half maximum) of 0 is no smoothing. t: run_id, voxel_id, contrast_id, estimate, t.
     """
     kernel = lambda fwhm: design.smoothing_kernel(spark, (fwhm,) * 3, voxel_mm) if fwhm > 0 else None
     designs = cut_lineage(run_designs(spark, event_rows, n_frames, frame_s, confound_rows, resolution_s=resolution_s, method=method), "run-designs")
-    fits = fit_images(images, designs, n_frames, mask, threshold, kernel(fwhm_mm), kernel(ar_fwhm_mm), ar_order)
+    fits = fit_images(runs, designs, n_frames, mask, threshold, kernel(fwhm_mm), kernel(ar_fwhm_mm), ar_order)
     contrasts = design.contrasts(events.merge_adjacent(event_rows))
     fits = cut_lineage(fits, "fits")
     return Analysis(designs, contrasts, fits, glm.t_map(fits, contrasts, boost, [RUN, "voxel_id"]))
+
+
+def image_runs(spark: SparkSession, path: str, skip_zero: bool = False) -> DataFrame:
+    """Cells of all images under ``path`` with what their names tell: run_id, sub, x, y, z, frame, value.
+
+    run_id is subject, session, task and run, with a line between those that the name has.
+    """
+    cells = images.read_images(spark, path, skip_zero)
+    named = cells.select(*tables.recording_fields("path"), *volume.XYZ, "frame", "value")
+    return named.select(F.concat_ws("_", "sub", "ses", "task", "run").alias(RUN), "sub", *volume.XYZ, "frame", "value")
+
+
+@dataclass(frozen=True)
+class Labelled:
+    """Features (run_id, sub, region_idx, frame, value) and labels (run_id, row_idx, letter, region, bit) of runs."""
+
+    features: DataFrame
+    labels: DataFrame
+
+
+def features_and_labels(
+    cells: DataFrame, event_rows: DataFrame, roi: DataFrame, calibration: DataFrame, book: DataFrame | None = None
+) -> Labelled:
+    """Calibrated mean signals of the runs in ``cells`` (rows of ``image_runs``) and the labels of their events.
+
+    ``roi`` and ``calibration`` have sub, region_idx, x, y, z; a run of a subject without regions is an
+    error. For a test set give the code book that was learned from the training set's events.
+    """
+    volume.assert_known_subjects(cells.select("sub").distinct(), roi)
+    runs = cells.select(RUN).distinct()
+    labels = events.label_events(event_rows.join(runs, RUN, "left_semi"), book)
+    return Labelled(volume.region_features(cells, roi, calibration, ["sub"]), labels.select(RUN, "row_idx", "letter", "region", "bit"))

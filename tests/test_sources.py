@@ -2,8 +2,10 @@ import gzip
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from seqloom.operators import recordings
 from seqloom.sources import images, tables
 
 
@@ -71,3 +73,31 @@ def test_features_and_labels(spark, tmp_path):
     assert text.first().value == '"1.lab"\n0 100 a\n100 250 l-b+r\n.'
     lines = text.select(F.lit("p").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     assert [r.token for r in images.read_label_tokens(lines).orderBy("pos").collect()] == ["a", "b"]
+
+
+def test_from_image_files_to_features_and_labels(spark, tmp_path):
+    r = np.random.default_rng(1)
+    folder = tmp_path / "derivatives" / "prep"
+    folder.mkdir(parents=True)
+    values = {}
+    for sub in ("01", "02"):
+        values[sub] = r.uniform(5, 9, size=(3, 4, 2, 5)).astype("f4")
+        (folder / f"sub-{sub}_ses-1_task-spell_run-2_space-MNI_desc-preproc_bold.nii.gz").write_bytes(gzip.compress(_image(values[sub])))
+    cells = recordings.image_runs(spark, str(folder))
+    assert {tuple(x) for x in cells.select("run_id", "sub").distinct().collect()} == {("01_1_spell_2", "01"), ("02_1_spell_2", "02")}
+    roi = spark.createDataFrame([(s, 0, x, 0, 0) for s in values for x in (0, 1)], "sub string, region_idx int, x int, y int, z int")
+    rest = spark.createDataFrame([(s, 0, 2, 3, 1) for s in values], "sub string, region_idx int, x int, y int, z int")
+    rows = [(f"{s}_1_spell_2", i, t, letter, float(i), 1.0) for s in values for i, (t, letter) in enumerate([("left", "a"), ("right", "b")])]
+    rows.append(("elsewhere", 0, "left", "a", 0.0, 1.0))
+    ev = spark.createDataFrame(rows, "run_id string, row_idx long, trial_type string, letter string, onset double, duration double")
+    found = recordings.features_and_labels(cells, ev, roi, rest)
+    got = {(x["sub"], x.frame): x.value for x in found.features.collect()}
+    for sub, v in values.items():
+        v = v.astype(float) * 2 + 1
+        region, other = v[:2, 0, 0].mean(axis=0), v[2, 3, 1]
+        want = (region - region[0]) / region[0] - (other - other[0]) / other[0]
+        assert np.allclose([got[sub, f] for f in range(5)], want)
+    labels = {(x.run_id, x.row_idx, x.region): x.bit for x in found.labels.collect()}
+    assert len(labels) == 8 and labels["01_1_spell_2", 0, "left"] == 1 and labels["01_1_spell_2", 0, "right"] == 0
+    with pytest.raises(KeyError):
+        recordings.features_and_labels(cells, ev, roi.where("sub = '01'"), rest)
