@@ -45,8 +45,8 @@ from seqloom.llm.shingles import WordHashes, shingle_set
 SMALL_GROUP = 48
 #: Members of a larger group that one task compares with as many others.
 BLOCK = 2048
-#: Pairs of one class that a task verifies in one go; the class's text is sent once for each.
-VERIFY_BLOCK = 256
+#: Pairs of one class that a task compares in one go; the class's sketch or text is sent once for each.
+PAIR_BLOCK = 256
 SMALL_SET = 16
 #: The size of a key that was not counted, as a task alone had many classes with it.
 UNCOUNTED = 2**31 - 1
@@ -311,50 +311,52 @@ def _prefixes(met: DataFrame, refs: DataFrame) -> DataFrame:
     return ranked.where("rank <= own + 1 - (keys - shared)").select("node", "key", "size").distinct()
 
 
-def _filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose sizes and bit sketches allow a link."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    first = pairs.join(side("a").select("a", "n_a"), "a").join(side("b").select("b", "n_b"), "b")
-    first = first.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b")
-    joined = first.join(side("a"), "a").join(side("b"), "b")
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, opened, agree) -> DataFrame:
+    """The pairs (a, b) of which ``agree`` is true of what ``opened`` makes of both classes' rows (node, n,
+    data). The pairs of one a go to blocks of about PAIR_BLOCK; a's row is sent once for each of them."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, root, open_row = None, None, opened()
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(2, 6)]
-            keep = [may_link(n_a, n_b, x, y) for n_a, x, n_b, y in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, batch.num_rows, 1024):
+                found = []
+                for a, block, node, n, data in zip(*(c.to_pylist() for c in batch.slice(lo, 1024).columns), strict=True):
+                    one = open_row(n, data)
+                    if node == a:
+                        open_, root = (a, block), one
+                    elif open_ != (a, block):
+                        raise ValueError(f"class {a} is not there for its pairs")
+                    elif agree(root, one):
+                        found.append((a, node))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], schema=_PAIRS)
+
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).alias("blocks"))
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    wanted = dealt.select("a", "block", F.col("b").alias("node")).union(dealt.select("a", "block", F.col("a").alias("node")).distinct())
+    sent = wanted.join(classes, "node").withColumn("other", F.col("node") != F.col("a"))
+    sent = sent.repartition(tasks(pairs.sparkSession), "a", "block").sortWithinPartitions("a", "block", "other", "node")
+    return sent.select("a", "block", "node", "n", "data").mapInArrow(run, "a long, b long")
 
-    return joined.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long")
+
+def _filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose sizes and bit sketches allow a link."""
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b")
+    opened = lambda: lambda n, sketch: (n, sketch)
+    return _compared(sized, classes.select("node", "n", F.col("sketch").alias("data")), opened, lambda x, y: may_link(x[0], y[0], x[1], y[1]))
 
 
 def _verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link. The pairs of one a go to blocks of about
-    VERIFY_BLOCK; a's text, compressed, is sent once for each of them."""
+    """The pairs (a, b) of classes whose whole sets, made again from the texts, link."""
 
-    def compare(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def opened():
         hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
-        open_, root = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            found = []
-            for a, block, node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingle_set(unpack.decompress(data, max_output_size=1 << 31).decode("utf-8", "surrogatepass"), hashes)
-                if node == a:
-                    open_, root = (a, block), s
-                elif open_ != (a, block):
-                    raise ValueError(f"class {a} is not there for its pairs")
-                elif linked(root, s):
-                    found.append((a, node))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], schema=schema)
-
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK).alias("blocks"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
-    wanted = dealt.select("a", "block", F.col("b").alias("node")).union(dealt.select("a", "block", F.col("a").alias("node")).distinct())
-    sent = wanted.join(classes.select("node", "packed"), "node").withColumn("other", F.col("node") != F.col("a"))
-    n = tasks(pairs.sparkSession)
-    sent = sent.repartition(n, "a", "block").sortWithinPartitions("a", "block", "other", "node")
-    return sent.select("a", "block", "node", "packed").mapInArrow(compare, "a long, b long")
+        return lambda n, packed: shingle_set(unpack.decompress(packed, max_output_size=1 << 31).decode("utf-8", "surrogatepass"), hashes)
+
+    return _compared(pairs, classes.select("node", "n", F.col("packed").alias("data")), opened, linked)
 
 
 def _within_groups(groups: DataFrame, labels: DataFrame, classes: DataFrame, block: int, best: bool) -> DataFrame:
