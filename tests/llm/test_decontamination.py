@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from seqloom.llm import common
 from seqloom.llm.decontamination import decontaminate, leaks, tiles, words_of
 
 
@@ -87,7 +88,9 @@ def test_leaks_against_brute_force(spark):
     assert leaks(df.where("false"), bench).collect() == [] and leaks(df, bench.where("false")).collect() == []
 
 
-def test_rows_go_by_their_own_text(spark):
+@pytest.mark.parametrize("rows_to_broadcast", [1_000_000, 0])
+def test_rows_go_by_their_own_text(spark, monkeypatch, rows_to_broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows_to_broadcast)
     item = "one two three four five six seven eight nine ten"
     rows = [(1, "so " + item), (1, "an innocent text with the id of one that leaks"), (None, item), (None, "innocent too"), (2, None), (3, ""), (4, item), (4, item)]
     df = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, item_id string, mark int")

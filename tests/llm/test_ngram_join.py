@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from seqloom.llm import ngram_join
+from seqloom.llm import common, ngram_join
 from seqloom.llm.common import mix64
 from seqloom.llm.components import components
 from seqloom.llm.shingles import WordHashes, shingle_set, words_of
@@ -196,3 +196,15 @@ def test_components(spark):
 
 def test_words():
     assert words_of("Aé\xa0B\x1cc  ÀD") == ["aé\xa0b\x1cc", "Àd"]
+
+
+@pytest.mark.parametrize("rows_to_broadcast", [1_000_000, 0])
+def test_near_copies_go_row_by_row(spark, monkeypatch, rows_to_broadcast):
+    """Of two texts of one id only the near copy goes; rows that repeat what stays, stay."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows_to_broadcast)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (5, text + " end"), (5, "an innocent text of the same id"), (None, text), (7, None), (8, "")]
+    df = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, mark string, node int")
+    left = ngram_join.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([r for r in rows if r != rows[2]], key=str)
