@@ -164,7 +164,8 @@ def compress(
     the vectors with the smallest ids (rows that repeat an id count each, in order of their components;
     null ids come last) and move ``rounds`` times. Code and error are null for vectors of another
     size than that with the smallest id, and for those with a component beyond LARGEST / scale: neither
-    takes part in the codebooks. Null labels are one label. An empty table has no rows.
+    takes part in the codebooks. A size that is no multiple of ``parts`` is filled up with zeros. Null labels
+    are one label. An empty table has no rows.
     """
     if not 1 <= entries <= 256:
         raise ValueError("an entry's number is one byte: entries must be 1 to 256")
