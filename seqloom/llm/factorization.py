@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialise, tasks
+from seqloom.llm.common import if_small, materialise, tasks
 
 #: Punctuation at the ends of a word; the word inside is a term of its own.
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’…"
@@ -220,18 +220,23 @@ def fit_on_labels(
 ) -> Model:
     """Fit on at most ``max_rows`` labelled rows that aren't held out: those whose ids have the least hashes.
 
-    Terms of the sample are made and counted in Spark. The driver gets ``max_terms`` terms and, of each
-    row, the columns of those alone. Rows without a label or id are not learned from; of several
-    labels of one id the largest counts, of several texts the one with the least hash. With no labelled
-    rows every score is 0.5.
+    Terms of the sample are made and counted in Spark. The driver gets ``max_terms`` terms (65536 at most)
+    and, of each row, the columns of those alone. Rows without a label or id are not learned from, and labels
+    whose id has no row are not counted or chosen, however many there are; of several labels of one id the
+    largest counts, of several texts the one with the least hash. With no labelled rows every score is 0.5.
     """
+    if max_terms > 1 << 16:
+        raise ValueError("columns are 16-bit numbers: max_terms must be 65536 at most")
     usable = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out("doc_id", modulus, remainder))
-    n = usable.count()
+    usable = materialise(usable.groupBy("doc_id").agg(F.max("label").alias("label")), "usable-labels")
+    # only what has a row; the ids of all rows are shuffled only where labels are too many to be broadcast
+    ids = df.select(F.col(id_col).cast("long").alias("doc_id"))
+    met = materialise(ids.join(if_small(usable), "doc_id").distinct(), "labelled-rows")
+    n = met.count()
     # a few more than wanted by a bound on the hash, of these the least
     share = min(1.0, (max_rows + 10 * max_rows**0.5) / n) if n else 1.0
-    few = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    few = few.groupBy("doc_id").agg(F.max("label").alias("label"))
+    few = met.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     chosen = few.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(max_rows)
     # at most max_rows rows of two numbers
     sample = _inputs(df, id_col, text_col, n_chars_col).join(F.broadcast(chosen), "doc_id").repartition(tasks(df.sparkSession), "doc_id")

@@ -66,6 +66,24 @@ def test_the_sample_is_bounded(spark):
     assert len(factorization.fit_on_labels(docs, labels, "toxic", 3, 1, max_rows=0, with_stats=False).terms) == 0
 
 
+@pytest.mark.parametrize("kind", ["quality", "toxic"])
+def test_labels_without_a_row_take_no_place_in_the_sample(spark, kind):
+    docs, labels, truth = _corpus(spark)
+    foreign = spark.range(10**6, 10**6 + 20_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "cast(id % 2 AS int) AS toxic", "'x' AS lang")
+    modulus, remainder, column = (4, 2, 6) if kind == "quality" else (3, 1, 5)
+    model = factorization.fit_on_labels(docs, labels, kind, modulus, remainder, max_rows=200, with_stats=kind == "quality")
+    more = factorization.fit_on_labels(docs, labels.unionByName(foreign), kind, modulus, remainder, max_rows=200, with_stats=kind == "quality")
+    assert more.terms == model.terms and np.array_equal(more.linear, model.linear)
+    rows = factorization.classify(docs, more, modulus, remainder, 0.5).collect()
+    assert np.mean([r.predicted == truth[r.doc_id][column] for r in rows if r.held_out and r.doc_id in truth]) > 0.95
+
+
+def test_too_many_terms_are_refused(spark):
+    docs, labels, _ = _corpus(spark, 20)
+    with pytest.raises(ValueError):
+        factorization.fit_on_labels(docs, labels, "toxic", 3, 1, max_terms=70_000)
+
+
 def _corpus(spark, n=1500):
     r = random.Random(0)
     words = [a + b for a in ("an", "the", "or", "in", "re", "st") for b in ("ing", "ed", "er", "ly", "ou", "ha")]
