@@ -8,30 +8,36 @@
 3. The others get the words around them: WINDOW - 1 before and, from the seed on, as many as a passage
    must have at least. That is all that can be needed: the first LEAST words of any passage hold a kept
    suffix, which begins at most WINDOW - 1 words after it.
-4. They are sorted by seed and following words over ranges (a frequent seed is spread over many
-   tasks). Each of the WINDOW windows of that many words that hold a row's seed is hashed, and those that
-   two documents have under one seed are kept: exact, and without pairs of rows. A task knows this of
-   the seeds that lie inside its range; windows of the seeds at its ends are counted over all ranges.
-5. The stretches are united per document.
+4. They are sorted by seed and following words over ranges (a frequent seed is spread over many tasks)
+   and neighbours are compared. For each reach to the left, the suffixes of a seed that share so many
+   preceding words stand in the order of their following words, and each is extended to the right with the
+   nearest suffix of another document on either side, which has the longest common prefix of all. A match is
+   kept if reach and prefix make ``least`` words. Words themselves are compared, not hashes of them.
+5. The seeds at the two ends of a range may go on in others, where their neighbours are not at hand. Their
+   windows of ``least`` words are counted over all ranges: one row for those that two documents of the
+   range have, a row for each of the others.
+6. The stretches are united per document.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialise, mix64, tasks, texts
+from seqloom.llm.common import materialise, tasks, texts
 from seqloom.llm.shingles import WordHashes, windows, words_of
 
 LEAST, SEED, WINDOW = 50, 20, 31
 BEFORE = WINDOW - 1
-#: Rows whose windows a task hashes at once, if a group of one seed isn't larger.
+#: Rows that a task compares at once, if a group of one seed isn't larger.
 ROWS = 16_384
 
 
@@ -115,26 +121,36 @@ def _suffixes(buckets: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes whose seed stands in two documents."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for bucket, shared, k, d, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows = np.frombuffer(k, "<u8"), np.frombuffer(d, "<i8"), np.frombuffer(p, "<i4")
-            if shared:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[0].view("<i8"))], schema=_FOUND)
-            else:
-                held.setdefault(bucket, []).append(rows)
-    for chunks in held.values():
+    """Suffixes whose seed stands in two documents. Rows come in order of buckets, of which one is held."""
+
+    def of(chunks):
         k, d, p = (np.concatenate([c[i] for c in chunks]) for i in range(3))
         order = np.argsort(k, kind="stable")
         k, d, p = k[order], d[order], p[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         mixed = np.maximum.reduceat(d, first) != np.minimum.reduceat(d, first)
         keep = np.repeat(mixed, np.diff(np.append(first, len(k))))
-        yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(p[keep]), pa.array(k[keep].view("<i8"))], schema=_FOUND)
+        return pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(p[keep]), pa.array(k[keep].view("<i8"))], schema=_FOUND)
+
+    held, held_bucket = [], None
+    for batch in batches:
+        for bucket, shared, k, d, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = np.frombuffer(k, "<u8"), np.frombuffer(d, "<i8"), np.frombuffer(p, "<i4")
+            if shared:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[0].view("<i8"))], schema=_FOUND)
+                continue
+            if bucket != held_bucket and held:
+                yield of(held)
+                held = []
+            held_bucket = bucket
+            held.append(rows)
+    if held:
+        yield of(held)
 
 
 _CONTEXT = pa.schema([("key", pa.int64()), ("following", pa.binary()), ("preceding", pa.binary()), ("doc_id", pa.int64()), ("places", pa.list_(pa.int32()))])
+#: Bytes of a word that go as they are; a longer one goes as its SHA-256, which is longer than that too.
+LONG_WORD = 64
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,68 +160,134 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "packed"])
 
 
+def _joined(words: list[bytes]) -> tuple[bytes, list[int]]:
+    """The words with a blank after each, and where each begins, and the end."""
+    return b" ".join(words) + b" ", np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]).tolist()
+
+
 def _contexts(after: int):
-    """(doc, packed text, places, keys) to rows of places with 32-bit hashes of the words around them."""
+    """(doc, packed text, places, keys) to rows of places with the words around them: those from the
+    place on, and those before it from the nearest on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for doc, packed, places, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = (hashes.of(words_of(unpack.decompress(packed, max_output_size=1 << 31).decode("utf-8", "surrogatepass"))) >> np.uint64(32)).astype("<u4")
-                back = words[::-1]
+                words = [w.encode("utf-8", "surrogatepass") for w in words_of(unpack.decompress(packed, max_output_size=1 << 31).decode("utf-8", "surrogatepass"))]
+                words = [w if len(w) <= LONG_WORD else b"\0" + hashlib.sha256(w).hexdigest().encode() for w in words]
                 n = len(words)
+                ahead, at = _joined(words)
+                back, back_at = _joined(words[::-1])
                 same: dict[tuple, list[int]] = {}  # places with the same words around them are one row
                 for p, k in dict(zip(places, keys, strict=True)).items():
-                    same.setdefault((k, words[p : p + after].tobytes(), back[n - p : n - p + BEFORE].tobytes()), []).append(p)
+                    same.setdefault((k, ahead[at[p] : at[min(p + after, n)]], back[back_at[n - p] : back_at[min(n - p + BEFORE, n)]]), []).append(p)
                 rows = [(*around, doc, ps) for around, ps in same.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CONTEXT, strict=True)], schema=_CONTEXT)
 
     return run
 
 
-#: Odd multipliers, one for each doubling of a run and one for each run that is put together.
-_ODD = mix64(np.arange(1, 129, dtype=np.uint64)).reshape(2, 64) | np.uint64(1)
-
-
-def _runs(x: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of every run of ``width`` successive rows of x, by runs of powers of two."""
-    out, done, level, size = None, 0, x, 1
-    while True:
-        bit = size.bit_length() - 1
-        if width & size:
-            rows = len(x) - done - size + 1
-            out = level if out is None else out[:rows] * _ODD[1, bit] + level[done : done + rows]
-            done += size
-        if done == width:
-            return mix64(out)
-        level = level[:-size] * _ODD[0, bit] + level[size:]
-        size *= 2
-
-
-def _matrix(rows: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join([r.ljust(4 * width, b"\0") for r in rows]), "<u4").reshape(len(rows), width)
-
-
-def _held_windows(key: np.ndarray, following: list[bytes], preceding: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, hash) of the windows of ``least`` words that hold a row's seed and lie inside its
-    text; they start at most BEFORE words before the seed."""
-    words = np.concatenate([_matrix(preceding, BEFORE)[:, ::-1], _matrix(following, least)], axis=1)
-    found = _runs(np.ascontiguousarray(words.T, dtype=np.uint64), least)
-    found = mix64(found ^ mix64(key.view(np.uint64))).T
-    start = np.arange(-BEFORE, 1)
-    before, after = (np.array([len(x) // 4 for x in side])[:, None] for side in (preceding, following))
-    row, at = np.nonzero((start >= -before) & (start + least <= after))
-    return row, start[at], found[row, at]
+def _shared_words(rows: list[bytes]) -> np.ndarray:
+    """How many words each row has in common with the one before it, from their beginnings on; 0 for the first."""
+    out = np.zeros(len(rows), dtype=np.int64)
+    for lo in range(1, len(rows), ROWS):
+        some = rows[lo - 1 : lo + ROWS]
+        width = max(1, max(map(len, some)))
+        cells = np.frombuffer(b"".join([r.ljust(width, b"\n") for r in some]), np.uint8).reshape(len(some), width)
+        differs = cells[1:] != cells[:-1]
+        same = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+        out[lo : lo + ROWS] = ((cells[1:] == 32) & (np.arange(width) < same[:, None])).sum(axis=1)
+    return out
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return first, np.diff(np.append(first, len(key)))
+def _count_words(rows: list[bytes]) -> np.ndarray:
+    return np.array([r.count(b" ") for r in rows], dtype=np.int64)
+
+
+class _Least:
+    """The least of any stretch x[lo:hi], hi > lo, by tables of stretches of 1, 2, 4 ... values."""
+
+    def __init__(self, x: np.ndarray):
+        self.levels = [x]
+        while 2 ** len(self.levels) <= len(x):
+            half = 2 ** (len(self.levels) - 1)
+            self.levels.append(np.minimum(self.levels[-1][:-half], self.levels[-1][half:]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        level = np.frexp(hi - lo)[1] - 1
+        out = np.empty(len(lo), dtype=np.int64)
+        for k in np.unique(level):
+            rows = level == k
+            out[rows] = np.minimum(self.levels[k][lo[rows]], self.levels[k][hi[rows] - 2**k])
+        return out
+
+
+class _Neighbours:
+    """Suffixes in order of seed and following words: what each shares with others of its seed."""
+
+    def __init__(self, key: np.ndarray, doc: np.ndarray, following: list[bytes], preceding: list[bytes], least: int):
+        self.doc, self.least, n = doc, least, len(key)
+        new_seed = np.concatenate([[True], key[1:] != key[:-1]])
+        right = np.minimum(_shared_words(following), least)
+        right[new_seed] = 0
+        self.right = _Least(right)
+        seed = np.cumsum(new_seed).tolist()
+        self.back = np.array(sorted(range(n), key=lambda i: (seed[i], preceding[i])), dtype=np.int64)
+        self.left = _shared_words([preceding[i] for i in self.back])
+        seeds = np.array(seed)[self.back]
+        self.left[np.concatenate([[True], seeds[1:] != seeds[:-1]])] = -1
+
+    def groups(self, reach: int) -> np.ndarray:
+        """A number for each row, equal for rows of a seed that share ``reach`` preceding words."""
+        out = np.empty(len(self.back), dtype=np.int64)
+        out[self.back] = np.cumsum(self.left < reach)
+        return out
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows with a match of ``least`` words in another document, and how far it goes to the left and right."""
+        n = len(self.doc)
+        left, right = np.full(n, -1), np.zeros(n, dtype=np.int64)
+        active = np.arange(n)
+        for reach in range(BEFORE + 1):
+            group = self.groups(reach)[active]
+            order = np.argsort(group, kind="stable")
+            rows, group = active[order], group[order]
+            doc = self.doc[rows]
+            border = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (doc[1:] != doc[:-1])]))
+            size = np.diff(np.append(border, len(rows)))
+            before, after = np.repeat(border, size) - 1, np.repeat(border + size, size)
+            has_before = (before >= 0) & (group[before] == group)
+            has_after = after < len(rows)
+            has_after[has_after] = group[after[has_after]] == group[has_after]
+            best = np.zeros(len(rows), dtype=np.int64)
+            best[has_before] = self.right.of(rows[before[has_before]] + 1, rows[has_before] + 1)
+            best[has_after] = np.maximum(best[has_after], self.right.of(rows[has_after] + 1, rows[after[has_after]] + 1))
+            found = best >= self.least - reach
+            left[rows[found]] = reach
+            right[rows[found]] = np.maximum(right[rows[found]], best[found])
+            active = np.sort(rows[has_before | has_after])
+            if not len(active):
+                break
+        rows = np.flatnonzero(left >= 0)
+        return rows, left[rows], right[rows]
+
+    def windows(self, chosen: np.ndarray, before: np.ndarray, after: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each reach: the ``chosen`` rows whose texts hold a window of ``least`` words from there on, with
+        equal windows side by side, and where each group of equal windows begins."""
+        for reach in range(BEFORE + 1):
+            rows = chosen[(before >= reach) & (after >= self.least - reach)]
+            if len(rows):
+                group = self.groups(reach)[rows]
+                order = np.argsort(group, kind="stable")
+                rows, group = rows[order], group[order]
+                same = group[1:] == group[:-1]
+                same[same] = self.right.of(rows[:-1][same] + 1, rows[1:][same] + 1) >= self.least - reach
+                yield reach, rows, np.flatnonzero(np.concatenate([[True], ~same]))
 
 
 _OUT = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("high", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()),
-                  ("key", pa.int64()), ("hash", pa.int64()), ("places", pa.list_(pa.int32()))])
-_OUT_DDL = "kind string, doc_id long, high long, start long, stop long, key long, hash long, places array<int>"
+                  ("window", pa.binary()), ("places", pa.list_(pa.int32()))])
+_OUT_DDL = "kind string, doc_id long, high long, start long, stop long, window binary, places array<int>"
 
 
 def _out(kind: str, **columns) -> Iterator[pa.RecordBatch]:
@@ -217,48 +299,54 @@ def _out(kind: str, **columns) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo, 20_000)
 
 
+def _first_words(row: bytes, n: int) -> bytes:
+    return b" ".join(row.split(b" ", n)[:n])
+
+
 def _compare(least: int):
-    """Stretches of one range as ``span``; windows of the seeds at its ends as ``open``: those that two
-    of its documents have once, with the least and greatest document, the others with their places."""
+    """Stretches of one range as ``span``; windows of the seeds at its ends as ``open``: those that two of
+    its documents have once, with the least and greatest document, the others with their places."""
+
+    def compared(table: pa.Table, ends: tuple) -> Iterator[pa.RecordBatch]:
+        key, doc = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
+        following, preceding = table.column("following").to_pylist(), table.column("preceding").to_pylist()
+        places = pa.concat_arrays(table.column("places").chunks)
+        near = _Neighbours(key, doc, following, preceding, least)
+        rows, left, right = near.matches()
+        at = places.take(pa.array(rows))
+        each, at = pc.list_value_length(at).to_numpy(), at.flatten().to_numpy().astype(np.int64)
+        yield from _out("span", doc_id=np.repeat(doc[rows], each), start=at - np.repeat(left, each), stop=at + np.repeat(right, each))
+        chosen = np.flatnonzero(np.isin(key, ends))
+        before, after = (_count_words([side[i] for i in chosen]) for side in (preceding, following))
+        for reach, rows, first in near.windows(chosen, before, after):
+            size = np.diff(np.append(first, len(rows)))
+            low, high = np.minimum.reduceat(doc[rows], first), np.maximum.reduceat(doc[rows], first)
+            heads = rows[first]
+            names = [xxhash.xxh3_128_digest(_first_words(preceding[i], reach) + b"\n" + _first_words(following[i], least - reach)) for i in heads.tolist()]
+            met = np.flatnonzero(low != high)
+            yield from _out("open", doc_id=low[met], high=high[met], window=[names[k] for k in met.tolist()])
+            lone = np.repeat(low == high, size)
+            of = np.repeat(np.arange(len(first)), size)[lone].tolist()
+            begin = np.full(len(of), -reach)
+            yield from _out("open", doc_id=doc[rows[lone]], high=doc[rows[lone]], start=begin, stop=begin + least, window=[names[k] for k in of], places=places.take(pa.array(rows[lone])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        whole = pa.Table.from_batches(parts)
-        keys, docs = whole.column("key").to_numpy(), whole.column("doc_id").to_numpy()
-        first, size = _groups(keys)
-        ends, lo = first + size, 0
-        while lo < len(keys):
-            hi = int(ends[np.searchsorted(ends, min(lo + ROWS, len(keys)))])
-            some = whole.slice(lo, hi - lo).combine_chunks()
-            key, doc, places = keys[lo:hi], docs[lo:hi], some.column("places").combine_chunks()
-            places = places if isinstance(places, pa.Array) else places.chunk(0)
-            row, start, found = _held_windows(key, some.column("following").to_pylist(), some.column("preceding").to_pylist(), least)
-            lo = hi
-            if not len(row):
+        held, rows, first = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            order = np.argsort(found, kind="stable")
-            row, start, found = row[order], start[order], found[order]
-            k, d = key[row], doc[row]
-            head = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (k[1:] != k[:-1])]))
-            low, high = np.minimum.reduceat(d, head), np.maximum.reduceat(d, head)
-            shared = np.repeat(low != high, np.diff(np.append(head, len(row))))
-            # all windows of a row hold its seed, so together they are one stretch
-            held = np.zeros((len(key), WINDOW), dtype=bool)
-            held[row[shared], start[shared] + BEFORE] = True
-            chosen = np.flatnonzero(held.any(axis=1))
-            left, right = held[chosen].argmax(axis=1) - BEFORE, least - held[chosen, ::-1].argmax(axis=1)
-            at = places.take(pa.array(chosen))
-            each, at = pc.list_value_length(at).to_numpy(), at.flatten().to_numpy().astype(np.int64)
-            yield from _out("span", doc_id=np.repeat(doc[chosen], each), start=at + np.repeat(left, each), stop=at + np.repeat(right, each))
-            border = (k == keys[0]) | (k == keys[-1])
-            known = (low != high) & border[head]
-            yield from _out("open", doc_id=low[known], high=high[known], key=k[head][known], hash=found[head][known].view(np.int64))
-            lone = border & ~shared
-            begin = start[lone].astype(np.int64)
-            yield from _out("open", doc_id=d[lone], high=d[lone], start=begin, stop=begin + least, key=k[lone],
-                            hash=found[lone].view(np.int64), places=places.take(pa.array(row[lone])))
+            last = batch.column(0)[batch.num_rows - 1].as_py()
+            first = batch.column(0)[0].as_py() if first is None else first
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= ROWS and held[0].column(0)[0].as_py() != last:
+                table = pa.Table.from_batches(held)
+                whole = int(np.searchsorted(table.column("key").to_numpy(), last))
+                yield from compared(table.slice(0, whole), (first,))
+                held = table.slice(whole).to_batches()
+                rows = table.num_rows - whole
+        if held:
+            yield from compared(pa.Table.from_batches(held), (first, held[-1].column(0)[held[-1].num_rows - 1].as_py()))
 
     return run
 
@@ -269,7 +357,7 @@ def _stretches(around: DataFrame, n: int, least: int) -> DataFrame:
     ranged = around.repartitionByRange(n, *order).sortWithinPartitions(*order)
     found = materialise(ranged.mapInArrow(_compare(least), _OUT_DDL), "stretches", partition_by="kind")
     # a range has few rows of one window, as its documents that share it are one row
-    same = Window.partitionBy("key", "hash")
+    same = Window.partitionBy("window")
     met = found.where("kind = 'open'").withColumn("least_doc", F.min("doc_id").over(same)).withColumn("greatest_doc", F.max("high").over(same))
     met = met.where("least_doc != greatest_doc AND places IS NOT NULL").withColumn("place", F.explode("places"))
     met = met.select("doc_id", (F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("stop")).alias("stop"))
@@ -288,8 +376,8 @@ def repeated_passages(df: DataFrame, least: int = LEAST, id_col: str = "doc_id",
         raise ValueError(f"least must be {LEAST} at least")
     n = tasks(df.sparkSession)
     docs = texts(df, id_col, text_col)
-    rows = docs.mapInArrow(_suffixes(4 * n), "bucket int, shared boolean, key binary, doc_id binary, place binary")
-    shared = rows.repartition(n, "bucket").mapInArrow(_shared, "doc_id long, place int, key long")
+    rows = docs.mapInArrow(_suffixes(16 * n), "bucket int, shared boolean, key binary, doc_id binary, place binary")
+    shared = rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "doc_id long, place int, key long")
     by_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("place", "key")).alias("found"))
     by_doc = by_doc.select("doc_id", F.col("found.place").alias("places"), F.col("found.key").alias("keys"))
     packed = docs.where("doc_id IS NOT NULL").mapInArrow(_pack, "doc_id long, packed binary")
