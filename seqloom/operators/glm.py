@@ -15,14 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from seqloom.functions import arrays as A
 
 #: Bytes of a design that may be sent to the tasks.
 DESIGN_LIMIT = 64 << 20
+#: Contrasts that may be sent to the tasks.
+CONTRAST_LIMIT = 100_000
 FIT_SCHEMA = "beta array<double>, cov array<array<double>>, ar array<double>, sse double, dof int"
+CONTRAST_SCHEMA = "beta array<double>, estimates array<double>, t array<double>, ar array<double>, sse double, dof int"
 
 
 def in_every_frame(df: DataFrame, threshold: float | None = None, ts: str = "ts") -> DataFrame:
@@ -149,7 +155,7 @@ class _Solver:
         self.first, self.dof = np.linalg.pinv(x), len(x) - int(np.linalg.matrix_rank(x))
         self.plain_cov = np.linalg.pinv(x.T @ x)
 
-    def estimates(self, ts: pd.Series, known_ar: pd.Series | None) -> dict:
+    def estimates(self, ts: pd.Series, known_ar: pd.Series | None, contrasts: Contrasts | None = None) -> dict:
         x, (n, r) = self.x, self.x.shape
         y = np.stack([np.asarray(v, dtype=float) if v is not None and len(v) == n else np.full(n, np.nan) for v in ts])
         beta = y @ self.first.T
@@ -166,7 +172,11 @@ class _Solver:
             sse = lags[:, 0] + sum(a[:, k] * v for k, v in enumerate(more))
         else:
             sse = (_look_ahead(e, a) ** 2).sum(axis=1)
-        return {"beta": list(beta), "cov": [[list(q) for q in c] for c in cov], "ar": list(a), "sse": sse, "dof": self.dof}
+        found = {"beta": list(beta), "ar": list(a), "sse": sse, "dof": self.dof}
+        if contrasts is None:
+            return found | {"cov": [[list(q) for q in c] for c in cov]}
+        estimates, t = contrasts.values(beta, cov, sse, self.dof)
+        return found | {"estimates": list(estimates), "t": list(t)}
 
     def parameters(self, ts: pd.Series) -> list:
         """Only the autoregression of the residuals."""
@@ -177,39 +187,72 @@ class _Solver:
 
 
 def packed_designs(design: DataFrame, n_frames: int, run: str = "run_id") -> DataFrame:
-    """The long designs of many runs (run, frame, reg_idx, value) as one row for each run: run, x (the
-    matrix by rows, 0 where there is no row). Every run has the columns that any run has."""
+    """The long designs of many runs (run, frame, reg_idx, value) as one row for each run: run, n_frames, width,
+    places (frame * width + reg_idx) and x, the values there; elsewhere the matrix is 0. Every run has the
+    columns that any run has."""
     width = design.agg((F.max("reg_idx") + 1).cast("int").alias("w")).first()["w"] or 0
     if 8 * n_frames * width > DESIGN_LIMIT:
         raise ValueError(f"a design of {n_frames} frames and {width} regressors is too large for a task")
     place = (F.col("frame") * width + F.col("reg_idx")).cast("int")
     cells = design.where(F.col("value") != 0).select(run, place.alias("at"), F.col("value").cast("double").alias("value"))
     # as large as a run, whatever the number of series
-    rows = cells.groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"))
-    x = F.transform(F.sequence(F.lit(0), F.lit(n_frames * width - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    return rows.select(run, F.lit(width).alias("width"), x.alias("x"))
+    rows = cells.groupBy(run).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("m"))
+    return rows.select(run, F.lit(n_frames).alias("n_frames"), F.lit(width).alias("width"), F.col("m.at").alias("places"), F.col("m.value").alias("x"))
+
+
+class Contrasts:
+    """A small table of contrasts (contrast_id, weights and, for ``boost``, boost_masks) for evaluation in tasks."""
+
+    def __init__(self, table: DataFrame, boost: bool):
+        rows = table.select("contrast_id", "weights", *(["boost_masks"] if boost else [])).limit(CONTRAST_LIMIT + 1).collect()
+        if len(rows) > CONTRAST_LIMIT:
+            raise ValueError(f"there are more than {CONTRAST_LIMIT} contrasts")
+        rows.sort(key=lambda r: r[0])
+        self.ids, self.kind = [r[0] for r in rows], table.schema["contrast_id"].dataType
+        self.weights = [np.array(r[1], dtype=float) for r in rows]
+        self.masks = [[np.array(m, dtype=bool) for m in r[2]] for r in rows] if boost else None
+
+    def values(self, beta: np.ndarray, cov: np.ndarray, sse: np.ndarray, dof: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates and t of rows of beta (series x regressors) and cov; weights are padded with zeros."""
+        n, r = beta.shape
+        w = np.zeros((len(self.ids), r))
+        for k, c in enumerate(self.weights):
+            w[k, : len(c)] = c[:r]
+        estimates = beta @ w.T if self.masks is None else np.zeros((n, len(w)))
+        for k, masks in enumerate(self.masks or []):
+            for mask in masks:
+                inside = np.flatnonzero(mask[:r])
+                strength = np.sqrt((beta[:, inside] ** 2).sum(axis=1))
+                estimates[:, k] += np.sign(beta[:, inside[0]]) * strength * w[k, inside].sum() if len(inside) else np.nan
+        estimates[:, [k for k, c in enumerate(self.weights) if len(c) > r]] = np.nan  # there is no such regressor
+        factor = ((w @ cov) * w).sum(axis=2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return estimates, estimates / np.sqrt((sse / dof)[:, None] * factor)
 
 
 def fit_runs(
     series: DataFrame, designs: DataFrame, ar_order: int = 4, keys: tuple[str, ...] = ("voxel_id",), run: str = "run_id", ts: str = "ts",
     ar: str | None = None, ar_sse: bool = False, ar_only: bool = False, per_block: int = 4096, batch_rows: int = 256,
+    contrasts: Contrasts | None = None,
 ) -> DataFrame:
     """As ``fit`` for series of many runs, each with its own design (a row of ``packed_designs``).
 
     A run's series are dealt into blocks of about ``per_block``, to each of which the design goes once,
     so a run may have any number of series. Returns run, keys and the columns of ``fit``; with ``ar_only``
-    run, keys and ar, without whitening. Series of runs without a design have no row.
+    run, keys and ar, without whitening. With ``contrasts`` the covariance stays in the task: in its place
+    there are estimates and t, one of each for each contrast. Series of runs without a design have no row.
     """
     held = [F.col(c) for c in keys]
     counts = series.groupBy(run).agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("__blocks"))
     rows = series.join(counts, run).select(
         run, F.pmod(F.xxhash64(*held), F.col("__blocks")).cast("int").alias("__block"), F.lit(1).alias("__kind"), *held,
-        F.col(ts).alias("ts"), (F.col(ar) if ar else F.lit(None)).cast("array<double>").alias("ar"), F.lit(None).cast("int").alias("width"),
+        F.col(ts).alias("ts"), (F.col(ar) if ar else F.lit(None)).cast("array<double>").alias("ar"), F.lit(None).cast("array<int>").alias("places"),
+        F.lit(None).cast("int").alias("n_frames"), F.lit(None).cast("int").alias("width"),
     )
     empty = [F.lit(None).cast(series.schema[c].dataType).alias(c) for c in keys]
     sent = designs.join(counts, run).select(
         run, F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"), F.lit(0).alias("__kind"), *empty,
-        F.col("x").alias("ts"), F.lit(None).cast("array<double>").alias("ar"), F.col("width"),
+        F.col("x").alias("ts"), F.lit(None).cast("array<double>").alias("ar"), "places", "n_frames", "width",
     )
     n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = rows.unionByName(sent).repartition(n, run, "__block").sortWithinPartitions(run, "__block", "__kind")
@@ -222,7 +265,10 @@ def fit_runs(
             while lo < len(batch):
                 if batch["__kind"].iloc[lo] == 0:
                     if of is None or of[0] != where[lo][0]:
-                        solver = _Solver(np.asarray(batch["ts"].iloc[lo], dtype=float).reshape(-1, int(batch["width"].iloc[lo])), ar_order, ar_sse)
+                        shape = int(batch["n_frames"].iloc[lo]), int(batch["width"].iloc[lo])
+                        x = np.zeros(shape[0] * shape[1])
+                        x[np.asarray(batch["places"].iloc[lo], dtype=int)] = batch["ts"].iloc[lo]
+                        solver = _Solver(x.reshape(shape), ar_order, ar_sse)
                     of = where[lo]
                     lo += 1
                     continue
@@ -231,12 +277,13 @@ def fit_runs(
                     hi += 1
                 some = batch.iloc[lo:hi]
                 if of == where[lo]:
-                    found = {"ar": solver.parameters(some["ts"])} if ar_only else solver.estimates(some["ts"], some["ar"] if ar else None)
+                    found = {"ar": solver.parameters(some["ts"])} if ar_only else solver.estimates(some["ts"], some["ar"] if ar else None, contrasts)
                     yield pd.DataFrame({c: some[c].to_numpy() for c in (run, *keys)} | found)
                 lo = hi
 
     kinds = ", ".join(f"{c} {series.schema[c].dataType.simpleString()}" for c in (run, *keys))
-    return both.mapInPandas(solve, f"{kinds}, {'ar array<double>' if ar_only else FIT_SCHEMA}")
+    found = "ar array<double>" if ar_only else FIT_SCHEMA if contrasts is None else CONTRAST_SCHEMA
+    return both.mapInPandas(solve, f"{kinds}, {found}")
 
 
 def boosted(beta: Column | str, weights: Column | str, boost_masks: Column | str) -> Column:
@@ -263,14 +310,39 @@ def t_value(estimate: Column | str, error_variance: Column | str, factor: Column
 
 def t_map(fits: DataFrame, contrast: DataFrame, boost: bool = False, key: str | list[str] = "voxel_id") -> DataFrame:
     """key (or keys), contrast_id, estimate, t for every fit and contrast (a small table: contrast_id, weights
-    and, with ``boost``, boost_masks). Weights are padded with zeros; the error variance is sse / dof."""
+    and, with ``boost``, boost_masks). Weights are padded with zeros; the error variance is sse / dof.
+
+    With ``boost`` an estimate has the strength of derivatives: for each mask the sign of its first
+    estimate, times the root of the sum of squares, times the sum of its weights; summed over masks. All
+    contrasts of a fit are evaluated where the fit is, so its covariance is sent nowhere. t is
+    estimate / sqrt(variance * factor) as IEEE gives it for a root of 0; a fit that is null gives nulls.
+    """
     keys = [key] if isinstance(key, str) else key
-    joined = fits.crossJoin(F.broadcast(contrast)).withColumn("__c", A.pad("weights", F.size("beta")))
-    estimate = boosted("beta", "__c", "boost_masks") if boost else A.dot("__c", "beta")
-    parts = joined.select(
-        *keys, "contrast_id", estimate.alias("estimate"), (F.col("sse") / F.col("dof")).alias("__v"), A.quadratic("__c", "cov").alias("__q")
-    )
-    return parts.select(*keys, "contrast_id", "estimate", t_value("estimate", "__v", "__q").alias("t"))
+    some = Contrasts(contrast, boost)
+    rows = fits.select(*keys, "beta", "cov", "sse", "dof")
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("contrast_id", some.kind), T.StructField("estimate", T.DoubleType()), T.StructField("t", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(len(keys)).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            for r in np.unique(size).tolist():
+                at = np.flatnonzero(size == r)
+                for lo in range(0, len(at), 1024):
+                    part = batch.take(pa.array(at[lo : lo + 1024]))
+                    n, m = part.num_rows, len(some.ids)
+                    flat = lambda c: c.flatten().to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
+                    sse, dof = (part.column(len(keys) + k).to_numpy(zero_copy_only=False).astype(float) for k in (2, 3))
+                    if r > 0 and part.column(len(keys) + 1).null_count == 0:
+                        cov = flat(part.column(len(keys) + 1).flatten()).reshape(n, r, r)
+                        estimate, t = some.values(flat(part.column(len(keys))).reshape(n, r), cov, sse, dof)
+                    else:
+                        estimate = t = np.full((n, m), np.nan)
+                    estimate, t, gone = estimate.ravel(), t.ravel(), np.isnan(estimate).ravel()
+                    held = part.take(pa.array(np.repeat(np.arange(n), m)))
+                    columns = [held.column(k) for k in range(len(keys))] + [pa.array(some.ids * n, to_arrow_type(some.kind)), pa.array(estimate, mask=gone), pa.array(t, mask=gone)]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def interpolate_outliers(cells: DataFrame, outliers: DataFrame, key: str = "voxel_id", run: str | None = None) -> DataFrame:

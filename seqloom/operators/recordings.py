@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.operators import design, events, glm, volume
 from seqloom.sources import images, tables
@@ -71,6 +72,7 @@ def _smoothed(series: DataFrame, kernel: DataFrame, ts: str = "ts") -> DataFrame
 def fit_images(
     series: DataFrame, designs: DataFrame, n_frames: int, mask: DataFrame | None = None, threshold: float = 0.0, image_kernel: DataFrame | None = None,
     ar_kernel: DataFrame | None = None, ar_order: int = 4, ar: str | None = None, ar_only: bool = False, ar_sse: bool = False,
+    contrasts: glm.Contrasts | None = None,
 ) -> DataFrame:
     """Models of all runs' images (``series``: run_id, voxel_id, x, y, z, ts) in a mask: run_id, voxel_id and the columns of ``glm.fit``.
 
@@ -78,7 +80,7 @@ def fit_images(
     the image is cut to the box around the mask, widened by the widest kernel's reach, and smoothed there.
     With ``ar_kernel`` autoregressions are estimated in the mask grown by that reach, smoothed, and used in
     the mask. ``ar`` names a column of ``series`` with known parameters, which replace order and smoothing.
-    ``ar_only`` stops at the parameters.
+    ``ar_only`` stops at the parameters. With ``contrasts`` estimates and t stand in place of the covariance.
     """
     if ar:
         ar_kernel = None
@@ -106,12 +108,13 @@ def fit_images(
         rows = rows.join(known, here)
         if ar_only:
             return rows.select(RUN, "voxel_id", "ar")
-    return glm.fit_runs(rows, packed, ar_order, ar="ar" if known is not None else None, ar_sse=ar_sse, ar_only=ar_only)
+    return glm.fit_runs(rows, packed, ar_order, ar="ar" if known is not None else None, ar_sse=ar_sse, ar_only=ar_only, contrasts=contrasts)
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """What ``analyse`` gives: tables, none of which is computed before it is read."""
+    """What ``analyse`` gives. ``fits`` has run_id, voxel_id, beta, ar, sse, dof and the estimates and t of all
+    contrasts; ``t`` a row for each fit and contrast. For covariances call ``fit_images``."""
 
     designs: DataFrame
     contrasts: DataFrame
@@ -132,10 +135,14 @@ def analyse(
     """
     kernel = lambda fwhm: design.smoothing_kernel(spark, (fwhm,) * 3, voxel_mm) if fwhm > 0 else None
     designs = cut_lineage(run_designs(spark, event_rows, n_frames, frame_s, confound_rows, resolution_s=resolution_s, method=method), "run-designs")
-    fits = fit_images(runs, designs, n_frames, mask, threshold, kernel(fwhm_mm), kernel(ar_fwhm_mm), ar_order)
-    contrasts = design.contrasts(events.merge_adjacent(event_rows))
+    contrasts = cut_lineage(design.contrasts(events.merge_adjacent(event_rows)), "contrasts")
+    some = glm.Contrasts(contrasts, boost)
+    fits = fit_images(runs, designs, n_frames, mask, threshold, kernel(fwhm_mm), kernel(ar_fwhm_mm), ar_order, contrasts=some)
     fits = cut_lineage(fits, "fits")
-    return Analysis(designs, contrasts, fits, glm.t_map(fits, contrasts, boost, [RUN, "voxel_id"]))
+    ids = F.array(*[F.lit(i) for i in some.ids]).cast(T.ArrayType(some.kind)).alias("ids")
+    each = fits.select(RUN, "voxel_id", F.inline(F.arrays_zip(ids, "estimates", "t")).alias("contrast_id", "estimate", "t"))
+    t = F.when(F.col("t").isNull() & F.col("estimate").isNotNull(), F.lit(float("nan"))).otherwise(F.col("t"))
+    return Analysis(designs, contrasts, fits, each.withColumn("t", t))
 
 
 def image_runs(spark: SparkSession, path: str, skip_zero: bool = False) -> DataFrame:
