@@ -23,7 +23,7 @@ def _plain(content: bytes) -> bytes:
     return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
-def _header(raw: bytes) -> tuple[str, tuple, tuple, str, int, float, float]:
+def header_of(raw: bytes) -> tuple[str, tuple, tuple, str, int, float, float]:
     """Byte order, sizes, spacings, number format, offset, slope, intercept."""
     order = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
     dim = struct.unpack(order + "8h", raw[40:56])
@@ -40,7 +40,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for p, content in zip(batch["path"], batch["content"], strict=True):
-                _, dim, pixdim, *_ = _header(_plain(bytes(content))[:352])
+                _, dim, pixdim, *_ = header_of(_plain(bytes(content))[:352])
                 rows.append((p, *(int(d) for d in dim[1:4]), int(dim[4]) if dim[0] > 3 else 1, *(float(x) for x in pixdim[1:5])))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADER.split(", ")])
 
@@ -54,7 +54,7 @@ def read_images(spark: SparkSession, path: str, skip_zero: bool = False) -> Data
         for batch in batches:
             for p, content in zip(batch["path"], batch["content"], strict=True):
                 raw = _plain(bytes(content))
-                order, dim, _, kind, offset, slope, intercept = _header(raw)
+                order, dim, _, kind, offset, slope, intercept = header_of(raw)
                 nx, ny, nz = dim[1:4]
                 kind = np.dtype(order + kind)
                 x, y, z = (a.ravel(order="F") for a in np.indices((nx, ny, nz)))
