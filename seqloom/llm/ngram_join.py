@@ -235,12 +235,13 @@ def _opened(bucket: int, ref: int, bands: bytes, keys: bytes, places: bytes, mar
 
 def _shared_keys(small_group: int, limit: int = 4 * HELD_KEYS):
     """Members and classes as they come; keys that two refs have, with their number of refs (UNCOUNTED if
-    a task that sent them, or this one when it held ``limit`` keys, found the key frequent)."""
+    a task that sent them, or this one when it held ``limit`` keys, found the key frequent). Rows come in
+    order of buckets, of which one is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         frequent = np.zeros(0, np.uint64)
-        n, room = 0, limit
+        n, room, bucket = 0, limit, None
 
         def sorted_():
             k, c = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -248,6 +249,18 @@ def _shared_keys(small_group: int, limit: int = 4 * HELD_KEYS):
             order = np.argsort(k, kind="stable")
             return k[order], c[order]
 
+        def of_bucket():
+            nonlocal frequent, n, room
+            if held:
+                k, c = sorted_()
+                first, size = _heads(k)
+                each = size.copy()
+                size[np.isin(k[first], frequent)] = UNCOUNTED
+                size = np.repeat(size, each)
+                shared = size > 1
+                yield from _met(k[shared], c[shared], size[shared])
+            frequent, n, room = np.zeros(0, np.uint64), 0, limit
+
         for batch in batches:
             kind = batch.column(0)
             plain = batch.filter(pc.is_in(kind, pa.array(["member", "class"])))
@@ -259,28 +272,23 @@ def _shared_keys(small_group: int, limit: int = 4 * HELD_KEYS):
                 if what == "hot":
                     yield from _met(k, c, np.full(len(k), UNCOUNTED))
                     continue
+                if row[0] != bucket:
+                    yield from of_bucket()
+                    bucket = row[0]
                 if len(marked):
                     frequent = np.union1d(frequent, marked)
                 held.append((k, c))
                 n += len(k)
-            if n > room:
-                k, c = sorted_()
-                first, size = _heads(k)
-                frequent = np.union1d(frequent, k[first[size > small_group]])
-                hot = np.isin(k, frequent)
-                yield from _met(k[hot], c[hot], np.full(int(hot.sum()), UNCOUNTED))
-                held.append((k[~hot], c[~hot]))
-                n = len(held[0][0])
-                room = max(limit, 2 * n)
-        if not held:
-            return
-        k, c = sorted_()
-        first, size = _heads(k)
-        each = size.copy()
-        size[np.isin(k[first], frequent)] = UNCOUNTED
-        size = np.repeat(size, each)
-        shared = size > 1
-        yield from _met(k[shared], c[shared], size[shared])
+                if n > room:
+                    k, c = sorted_()
+                    first, size = _heads(k)
+                    frequent = np.union1d(frequent, k[first[size > small_group]])
+                    hot = np.isin(k, frequent)
+                    yield from _met(k[hot], c[hot], np.full(int(hot.sum()), UNCOUNTED))
+                    held.append((k[~hot], c[~hot]))
+                    n = len(held[0][0])
+                    room = max(limit, 2 * n)
+        yield from of_bucket()
 
     return run
 
@@ -453,7 +461,8 @@ def _components(df: DataFrame, id_col: str, text_col: str, small_group: int, blo
     n = tasks(df.sparkSession)
     docs = texts(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     # one pass over the texts gives members, classes and keys; of the keys those that are shared are kept
-    scanned = docs.mapInArrow(_scan(4 * n, small_group), _SCAN_SQL).repartition(n, "bucket").mapInArrow(_shared_keys(small_group, held), _MET_SQL)
+    scanned = docs.mapInArrow(_scan(4 * n, small_group), _SCAN_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
+    scanned = scanned.mapInArrow(_shared_keys(small_group, held), _MET_SQL)
     scanned = materialise(scanned, "shingle-classes", partition_by="kind")
     members = scanned.where("kind = 'member'").select("doc_id", "mark", "n", "cls", "cls2")
     copies = scanned.where("kind = 'class'").select("ref", "cls", "cls2", "doc_id", "mark", "sets")
