@@ -2,13 +2,14 @@
 
 Runs are long tables ``run_id, frame, feature, value`` or one array of frames for each run and
 feature. Recursive filters work on arrays with a fold, so they need neither Python nor a shuffle
-once a run's frames are in one array.
+once a run's frames are in one array; ``filter_long_runs`` cuts runs into blocks instead, so that no row holds one.
 """
 
 from __future__ import annotations
 
 import cmath
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.sources.storage import cut_lineage
+
 RUN = "run_id"
 
 
@@ -109,6 +112,98 @@ def filter_rows(sections: list[tuple[float, ...]]):
     return run
 
 
+def state_space(sections: list[tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The sections one after another as one linear system with two numbers of state for each section:
+    s' = A s + B x, y = C s + D x."""
+    n = 2 * len(sections)
+    a, b, c, d = np.zeros((n, n)), np.zeros(n), np.zeros(n), 1.0
+    for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+        # what comes into this section is c s + d x
+        p, q = 2 * k, 2 * k + 1
+        out_c, out_d = b0 * c, b0 * d
+        out_c[p] += 1
+        for row, bk, ak, nxt in ((p, b1, a1, q), (q, b2, a2, None)):
+            a[row] = bk * c - ak * out_c
+            b[row] = bk * d - ak * out_d
+            if nxt is not None:
+                a[row, nxt] += 1
+        c, d = out_c, out_d
+    return a, b, c, d
+
+
+def filter_long_runs(cells: DataFrame, sections: list[tuple[float, ...]], keys: tuple[str, ...] = (RUN,), block: int = 4096) -> DataFrame:
+    """The causal filter of runs of any length: keys, frame, value for every row of ``cells`` (keys, frame, value).
+
+    A run's values stand in order of frame, whatever gaps the numbers have. Each block is filtered from rest;
+    what the state before it adds is A^t of that state, and the states at the beginnings of blocks follow
+    from each other by one matrix for a block's length and the block's own end, a few numbers for each
+    block, which are chained in order. No task holds a run. Values that are null or NaN give NaN from there on.
+    """
+    a, b, c, d = state_space(sections)
+    n = len(b)
+    # C A^t for the places of a block: what a state before it adds to them
+    reach = np.zeros((block, n))
+    row = c.copy()
+    for t in range(block):
+        reach[t] = row
+        row = row @ a
+    rows = cells.select(*keys, F.col("frame").cast("long").alias("frame"), F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"))
+    part = rows.withColumn("__block", F.floor(F.col("frame") / block))
+    packed = part.groupBy(*keys, "__block").agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("__v"))
+    packed = packed.select(*keys, "__block", F.col("__v.frame").alias("__frames"), F.col("__v.value").alias("__values"))
+    kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
+
+    def from_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = np.array([len(v) for v in batch["__values"]])
+            ends, values = [None] * len(batch), [None] * len(batch)
+            for size in np.unique(sizes).tolist():  # blocks of one length at once
+                at = np.flatnonzero(sizes == size)
+                x = np.stack([np.asarray(batch["__values"].iloc[i], dtype=float) for i in at])
+                state, y = np.zeros((len(at), n)), np.empty_like(x)
+                for t in range(size):
+                    y[:, t] = state @ c + d * x[:, t]
+                    state = state @ a.T + x[:, t, None] * b
+                for i, e, v in zip(at.tolist(), state, y, strict=True):
+                    ends[i], values[i] = e.tolist(), v
+            yield pd.DataFrame({**{k: batch[k] for k in keys}, "__block": batch["__block"], "__frames": batch["__frames"], "__y": values, "__end": ends})
+
+    ddl = f"{kinds}, __block long, __frames array<long>, __y array<double>, __end array<double>"
+    filtered = cut_lineage(packed.mapInPandas(from_rest, ddl), "filtered")
+    powers: dict[int, np.ndarray] = {}
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, state = None, np.zeros(n)
+        for batch in batches:
+            out = []
+            for key, size, end in zip(zip(*(batch[k] for k in keys), strict=True), batch["__n"], batch["__end"], strict=True):
+                key = tuple(None if pd.isna(v) else v for v in key)
+                if key != of:
+                    of, state = key, np.zeros(n)
+                out.append(state.tolist())
+                if size not in powers:
+                    powers[size] = np.linalg.matrix_power(a, int(size))
+                state = powers[size] @ state + np.asarray(end, dtype=float)
+            yield pd.DataFrame({**{k: batch[k] for k in keys}, "__block": batch["__block"], "__state": out})
+
+    thin = filtered.select(*keys, "__block", F.size("__y").alias("__n"), "__end").repartition(*keys).sortWithinPartitions(*keys, "__block")
+    states = thin.mapInPandas(chained, f"{kinds}, __block long, __state array<double>")
+
+    def corrected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = [np.asarray(y, dtype=float) + reach[: len(y)] @ np.asarray(s, dtype=float) for y, s in zip(batch["__y"], batch["__state"], strict=True)]
+            yield pd.DataFrame({**{k: batch[k] for k in keys}, "frame": batch["__frames"], "value": values})
+
+    same = None
+    for k in keys:  # a null key is a run too
+        one = filtered[k].eqNullSafe(states[k])
+        same = one if same is None else same & one
+    both = filtered.join(states, same & (filtered["__block"] == states["__block"])).select(*[filtered[k] for k in keys], "__frames", "__y", "__state")
+    done = both.mapInPandas(corrected, f"{kinds}, frame array<long>, value array<double>")
+    value = F.transform("value", lambda v: F.coalesce(v, F.lit(float("nan"))))
+    return done.select(*keys, F.inline(F.arrays_zip("frame", value.alias("value"))))
+
+
 class ButterworthFilter(Transformer):
     """Filters the array column ``inputCol`` of each row into ``outputCol``."""
 

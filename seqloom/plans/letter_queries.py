@@ -137,6 +137,16 @@ def viterbi_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoding.decode_with_lattice(p, role_bigrams(spark, sf_dir), lattice, -0.5)
 
 
+@query("grammar_long_run")
+def grammar_long_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations one after another as one run, decoded along the same lattice in blocks of 64 places."""
+    nodes, edges = language.word_loop(spark, ["su", "ua", "a", "u"])
+    lattice = decoding.Lattice.of(nodes, language.without_nulls(nodes, edges), {w: list(w) for w in ("su", "ua", "a", "u")})
+    p = letters.letter_probabilities(_p_on(spark, sf_dir), book(spark))
+    one = p.select(F.lit(0).alias("run_id"), (F.col("run_id") * 100_000 + F.col("pos")).alias("pos"), "letter", "p")
+    return decoding.decode_with_lattice(one, role_bigrams(spark, sf_dir), lattice, -0.5, block=64)
+
+
 @query("lattice_closure", """WITH RECURSIVE e(src, dst) AS (VALUES (4, 0), (0, 1), (0, 2), (1, 0), (2, 0), (0, 3)), null_(id) AS (VALUES (0)),
 p AS (SELECT src, dst FROM e WHERE src NOT IN (SELECT id FROM null_)
   UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src WHERE p.dst IN (SELECT id FROM null_))

@@ -191,3 +191,49 @@ SELECT voxel_id, (i - 1)::INT AS frame, round(v, 6) AS value FROM y"""
 def sos_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = signal.ButterworthFilter(None, 0.1, 1.0, order=2)
     return rounded(glm.to_cells(low.transform(series(spark, sf_dir)).select("voxel_id", "ts")), "value")
+
+
+def _response(sections: list[tuple[float, ...]], n: int) -> list[float]:
+    """What the sections make of a single 1 in n frames."""
+    a, b, c, d = signal.state_space(sections)
+    out, state = [d], b
+    for _ in range(n - 1):
+        out.append(float(c @ state))
+        state = a @ state
+    return out
+
+
+_HIGH, _BAND = signal.butterworth(2, 0.1, None, 1.0), signal.butterworth(2, 0.1, 0.3, 1.0)
+
+
+def _response_sql(sections: list[tuple[float, ...]]) -> str:
+    """The filter as a sum over what came before, for 64 frames."""
+    h = ", ".join(repr(v) for v in _response(sections, 64))
+    return f"""WITH {SERIES_SQL}, h AS (SELECT [{h}] AS h)
+SELECT voxel_id, (t - 1)::INT AS frame, round(list_sum(list_transform(range(1, t + 1), lambda q: ts[q] * h[t - q + 1])), 6) AS value
+FROM s CROSS JOIN h CROSS JOIN range(1, 65) r(t) WHERE t <= len(ts)"""
+
+
+@query("high_pass", _response_sql(_HIGH))
+def high_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passed = signal.ButterworthFilter(0.1, None, 1.0, order=2).transform(series(spark, sf_dir)).select("voxel_id", "ts")
+    return rounded(glm.to_cells(passed), "value")
+
+
+@query("band_pass", _response_sql(_BAND))
+def band_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passed = signal.ButterworthFilter(0.1, 0.3, 1.0, order=2).transform(series(spark, sf_dir)).select("voxel_id", "ts")
+    return rounded(glm.to_cells(passed), "value")
+
+
+#: After so many frames a response of the band-pass filter is below 1e-15.
+_TAPS = 400
+
+
+@query("filter_long_run", f"""WITH h AS (SELECT unnest([{", ".join(repr(v) for v in _response(_BAND, _TAPS))}]) AS h, unnest(range({_TAPS})) AS lag),
+x AS MATERIALIZED (SELECT row_number() OVER (ORDER BY event_id) - 1 AS n, event_id, value FROM events)
+SELECT a.event_id AS frame, round(sum(b.value * h.h), 6) AS value FROM x a JOIN h ON h.lag <= a.n JOIN x b ON b.n = a.n - h.lag GROUP BY a.event_id""")
+def filter_long_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of all events as one run, in blocks that many tasks filter."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit(0).alias("run_id"), F.col("event_id").alias("frame"), "value")
+    return rounded(signal.filter_long_runs(events, _BAND, block=512).select("frame", "value"), "value")

@@ -96,3 +96,53 @@ def test_trim_and_slice(spark):
     slices = signal.Slicer(event_len=4, n_labels=4, delay=1, extra=2).transform(df).orderBy("event_idx").collect()
     assert [s.window for s in slices] == [list(map(float, range(1 + 4 * i, 11 + 4 * i))) for i in range(3)]
     assert signal.Slicer(event_len=4, n_labels=1).transform(df).count() == 0
+
+
+def _long_rows(lengths, gaps=False, seed=0):
+    r = np.random.default_rng(seed)
+    out = {}
+    for run, n in enumerate(lengths):
+        frames = np.cumsum(r.integers(1, 5, n)) if gaps else np.arange(n)
+        out[run] = (frames, r.normal(size=n))
+    return out
+
+
+@pytest.mark.parametrize("cutoffs", [(None, 0.1), (0.05, None), (0.02, 0.2)])
+@pytest.mark.parametrize("order,block,gaps", [(1, 3, False), (4, 16, True), (3, 64, False)])
+def test_long_runs_equal_whole_ones(spark, cutoffs, order, block, gaps):
+    sections = signal.butterworth(order, *cutoffs, 1.0)
+    runs = _long_rows([1, block - 1, block, block + 1, 7 * block + 2, 900], gaps)
+    rows = [(k, int(f), float(v), "x") for k, (frames, values) in runs.items() for f, v in zip(frames, values, strict=True)]
+    df = spark.createDataFrame(rows, "run_id int, frame int, value double, feature string").repartition(5)
+    got = {(x.run_id, x.frame): x.value for x in signal.filter_long_runs(df, sections, ("run_id", "feature"), block).collect()}
+    arrays = spark.createDataFrame([(k, v.tolist()) for k, (_, v) in runs.items()], "run_id int, ts array<double>")
+    want = {x.run_id: x.y for x in arrays.select("run_id", signal.filter_rows(sections)("ts").alias("y")).collect()}
+    assert len(got) == len(rows)
+    for k, (frames, _) in runs.items():
+        assert np.allclose([got[k, int(f)] for f in frames], want[k], rtol=0, atol=1e-9)
+
+
+def test_long_runs_with_nulls(spark):
+    rows = [(None, f, 1.0) for f in range(10)] + [(1, f, None if f == 4 else 1.0) for f in range(10)]
+    df = spark.createDataFrame(rows, "run_id int, frame int, value double")
+    got = {(x.run_id, x.frame): x.value for x in signal.filter_long_runs(df, signal.butterworth(2, None, 0.1, 1.0), block=3).collect()}
+    assert all(np.isnan(got[1, f]) == (f >= 4) for f in range(10)) and all(got[None, f] == pytest.approx(got[1, f]) for f in range(4))
+    assert signal.filter_long_runs(df.where("false"), signal.butterworth(2, None, 0.1, 1.0)).collect() == []
+
+
+def test_one_run_of_a_million_frames_is_filtered_in_many_tasks(spark):
+    sections = signal.butterworth(2, 0.01, 0.2, 1.0)
+    df = spark.range(1_000_000).selectExpr("0 AS run_id", "id AS frame", "sin(id * 0.37) + (id % 11) / 7.0 AS value")
+    got = signal.filter_long_runs(df, sections, block=8192).orderBy("frame").select("value").toArrow().column(0).to_numpy()
+    t = np.arange(1_000_000)
+    x, state = np.sin(t * 0.37) + (t % 11) / 7.0, [(0.0, 0.0)] * len(sections)
+    for i in range(200_000):
+        v = x[i]
+        for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+            p, q = state[k]
+            y = b0 * v + p
+            state[k] = (b1 * v - a1 * y + q, b2 * v - a2 * y)
+            v = y
+        if i % 997 == 0 or i > 199_900:
+            assert abs(v - got[i]) < 1e-9
+    assert len(got) == 1_000_000
