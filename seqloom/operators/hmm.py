@@ -187,10 +187,16 @@ def _statistics(model: TokenModels, uniform: bool):
     return run
 
 
-def reestimate(utterances: DataFrame, model: TokenModels, uniform: bool = False, floor: float = 1e-3) -> TokenModels:
-    """One pass over all utterances. States and mixtures that no frame reaches stay as they are."""
+def statistics_rows(utterances: DataFrame, model: TokenModels, uniform: bool = False) -> DataFrame:
+    """Sums of each task's frames for each token, state and mixture that they reach."""
     ends = F.col("ends").cast("array<int>") if "ends" in utterances.columns else F.lit(None).cast("array<int>")
-    rows = utterances.select("frames", "tokens", ends.alias("ends")).mapInPandas(_statistics(model, uniform), _SUMS)
+    return utterances.select("frames", "tokens", ends.alias("ends")).mapInPandas(_statistics(model, uniform), _SUMS)
+
+
+def reestimate(utterances: DataFrame, model: TokenModels, uniform: bool = False, floor: float = 1e-3, ties: np.ndarray | None = None) -> TokenModels:
+    """One pass over all utterances. States and mixtures that no frame reaches stay as they are. ``ties`` has a
+    number for each [token, state]; states of one number are estimated from the sums of all of them."""
+    rows = statistics_rows(utterances, model, uniform)
     width = model.means.shape[3]
     total = lambda c, m: F.array(*[F.sum(F.get(c, F.lit(d))) for d in range(m)]).alias(c)
     sums = rows.groupBy("token", "state", "mixture").agg(
@@ -199,19 +205,28 @@ def reestimate(utterances: DataFrame, model: TokenModels, uniform: bool = False,
     out = model.copy()
     at = {t: i for i, t in enumerate(model.tokens)}
     reached, stays, skips = np.zeros_like(out.weight), np.zeros_like(out.stay), np.zeros_like(out.skip)
+    _, stands_for, number = (None, None, None) if ties is None else np.unique(ties.ravel(), return_index=True, return_inverse=True)
+    held: dict[tuple[int, int, int], list] = {}
     for r in sums.toLocalIterator():  # a row for each token, state and mixture
-        key, n = (at[r["token"]], r["state"], r["mixture"]), r["n"]
-        reached[key] = n
+        i, j = at[r["token"]], r["state"]
+        if ties is not None:
+            i, j = divmod(int(stands_for[number.ravel()[i * ties.shape[1] + j]]), ties.shape[1])
+        key = (i, j, r["mixture"])
+        reached[key] += r["n"]
         stays[key[:2]] += r["stay"]
         skips[key[:2]] += r["skip"]
-        if n > 1e-6:
-            mean = np.array(r["s"]) / n
+        one = held.setdefault(key, [0.0, 0.0])
+        one[0] += np.array(r["s"])
+        one[1] += np.array(r["ss"])
+    for key, (s, ss) in held.items():
+        if (n := reached[key]) > 1e-6:
+            mean = s / n
             out.means[key] = mean
             if model.full:
-                w, q = np.linalg.eigh(np.array(r["ss"]).reshape(width, width) / n - np.outer(mean, mean))
+                w, q = np.linalg.eigh(ss.reshape(width, width) / n - np.outer(mean, mean))
                 out.variances[key] = (q * np.maximum(w, floor)) @ q.T
             else:
-                out.variances[key] = np.maximum(np.array(r["ss"]) / n - mean**2, floor)
+                out.variances[key] = np.maximum(ss / n - mean**2, floor)
     for key in np.argwhere(reached.sum(axis=2) > 1e-6):
         key = tuple(key)
         n = reached[key].sum()
@@ -219,6 +234,11 @@ def reestimate(utterances: DataFrame, model: TokenModels, uniform: bool = False,
         out.weight[key] /= out.weight[key].sum()
         out.stay[key] = min(max(stays[key] / n, 1e-3), 0.999)
         out.skip[key] = min(skips[key] / n, 0.999 - out.stay[key]) if model.skip[key] > 0 else 0.0
+    if ties is not None:
+        source = stands_for[number.ravel()]
+        for x in (out.mean, out.variance, out.stay, out.skip, out.weight):
+            flat = x.reshape(-1, *x.shape[2:])
+            flat[:] = flat[source]
     return out
 
 
@@ -250,19 +270,27 @@ class HmmTrainer(Estimator):
 
     With ``left`` or ``right`` every token gets models for its neighbours, which are trained for
     ``context_passes``; those seen fewer than ``tie_below`` times share their states then, followed by
-    ``context_passes`` more.
+    ``context_passes`` more. With ``tree`` (the least occupancy and the least gain of a split) states are tied
+    by trees of questions instead (``state_trees``; ``questions`` are sets of neighbours to ask for besides single
+    ones), ``unseen`` context tokens get models by the trees, and the model has the ``trees``.
+
+    ``start`` has models to begin with for some tokens or all; the others begin flat.
     """
 
     def __init__(self, n_states: int = 8, skip: int = 0, n_passes: int = 6, insertion_penalty: float = 0.0, n_mixtures: int = 1, full_covariance: bool = False,
-                 isolated_passes: int = 2, left: bool = False, right: bool = False, context_passes: int = 2, tie_below: float | None = None):
+                 isolated_passes: int = 2, left: bool = False, right: bool = False, context_passes: int = 2, tie_below: float | None = None,
+                 tree: tuple[float, float] | None = None, questions: tuple = (), unseen: tuple[str, ...] = (), start: TokenModels | None = None):
         super().__init__()
         self.n_states, self.skip, self.n_passes, self.insertion_penalty = n_states, skip, n_passes, insertion_penalty
         self.n_mixtures, self.full_covariance, self.isolated_passes = n_mixtures, full_covariance, isolated_passes
         self.left, self.right, self.context_passes, self.tie_below = left, right, context_passes, tie_below
+        self.tree, self.questions, self.unseen, self.start = tree, questions, unseen, start
 
     def _fit(self, dataset: DataFrame) -> HmmModel:
         model = flat_start(dataset, self.n_states, self.skip, n_mixtures=self.n_mixtures, full=self.full_covariance)
         model = reestimate(dataset, model, uniform=True)
+        if self.start is not None:
+            model = with_start(model, self.start)
         if "ends" in dataset.columns:
             alone = token_spans(dataset)
             for _ in range(self.isolated_passes):
@@ -276,6 +304,17 @@ class HmmTrainer(Estimator):
             model = with_contexts(model, sorted(seen))
             for _ in range(self.context_passes):
                 model = reestimate(named, model)
+            if self.tree is not None:
+                from seqloom.operators import state_trees as trees
+
+                asked = trees.neighbour_questions({p for t in seen for p in context_parts(t) if p}, self.questions)
+                found = trees.StateTrees.of(trees.grow_trees(trees.context_statistics(named, model), asked, *self.tree))
+                model = found.tied(model, self.unseen)
+                for _ in range(self.context_passes):
+                    model = reestimate(named, model, ties=found.ties(model))
+                out = HmmModel(model, self.insertion_penalty, consistent=True)
+                out.trees = found
+                return out
             if self.tie_below is not None:
                 model = tie_states(model, seen, self.tie_below)
                 for _ in range(self.context_passes):
@@ -283,7 +322,19 @@ class HmmTrainer(Estimator):
         return HmmModel(model, self.insertion_penalty, consistent=self.left or self.right)
 
 
-def _parts(token: str) -> tuple[str | None, str, str | None]:
+def with_start(model: TokenModels, start: TokenModels) -> TokenModels:
+    """``model`` with what ``start`` has for its tokens; the shapes must agree."""
+    if start.mean.shape[1:] != model.mean.shape[1:] or start.full != model.full:
+        raise ValueError("the models to begin with have other states, mixtures, width or covariances")
+    out, at = model.copy(), {t: i for i, t in enumerate(start.tokens)}
+    known = [(i, at[t]) for i, t in enumerate(model.tokens) if t in at]
+    for mine, theirs in ((out.mean, start.mean), (out.variance, start.variance), (out.stay, start.stay), (out.skip, start.skip), (out.weight, start.weight)):
+        for i, j in known:
+            mine[i] = theirs[j]
+    return out
+
+
+def context_parts(token: str) -> tuple[str | None, str, str | None]:
     """Left neighbour, token, right neighbour; None where the name has none."""
     left, _, rest = token.rpartition("-")
     centre, _, right = rest.partition("+")
@@ -307,7 +358,7 @@ class HmmModel(Model):
             if self.follows is None:
                 return None, any_end, any_end
             return np.array([[(a, b) in self.follows for b in names] for a in names]), any_end, any_end
-        parts = [_parts(x) for x in names]
+        parts = [context_parts(x) for x in names]
         has_left, has_right = any(p[0] for p in parts), any(p[2] for p in parts)
         fits = lambda a, b: (not has_right or a[2] == b[1]) and (not has_left or b[0] == a[1])
         ok = np.array([[fits(a, b) and (self.follows is None or (a[1], b[1]) in self.follows) for b in parts] for a in parts])
@@ -322,7 +373,7 @@ class HmmModel(Model):
 
     def _named(self, tokens: list[int]) -> list[str]:
         names = [self.models.tokens[i] for i in tokens]
-        return [_parts(x)[1] for x in names] if self.consistent else names
+        return [context_parts(x)[1] for x in names] if self.consistent else names
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """A column ``decoded``: [] without frames, null where no path ends at the end of a token."""
