@@ -17,6 +17,8 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators import search
+
 #: Numbers in a model that may be sent to the tasks.
 MODEL_LIMIT = 8_000_000
 _SUMS = "token string, state int, mixture int, n double, s array<double>, ss array<double>, stay double, skip double, loglik double, utterances long"
@@ -508,14 +510,14 @@ def best_sequences(
 class PenaltyTunedHmm(Estimator):
     """The insertion penalty with the best mean accuracy over folds of utterances, and a model of all of them.
 
-    A trainer is fitted for each fold; the penalties of an even grid are tried on what was left out. A
+    A trainer is fitted for each fold; penalties are searched (``search``) on what was left out. A
     decoded utterance of another length than its tokens counts as wrong. The model has ``confusion``:
     truth, pred, n over all folds, of utterances of the right length.
     """
 
     def __init__(self, trainer: HmmTrainer, n_splits: int | None = None, low: float = -20.0, high: float = 0.0, n_calls: int = 16, key: str = "utterance_id"):
         super().__init__()
-        self.trainer, self.n_splits, self.grid, self.key = trainer, n_splits, (low, high, n_calls), key
+        self.trainer, self.n_splits, self.range, self.key = trainer, n_splits, (low, high, n_calls), key
 
     def _fit(self, dataset: DataFrame) -> HmmModel:
         key = F.col(self.key)
@@ -533,11 +535,15 @@ class PenaltyTunedHmm(Estimator):
 
         hits = F.when(F.size("decoded") == F.size("tokens"), F.aggregate(F.zip_with("tokens", "decoded", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)).otherwise(0)
         best, confusion = (-1.0, self.trainer.insertion_penalty), None
-        low, high, n_calls = self.grid
-        for penalty in np.linspace(low, high, n_calls) if models else ():
-            by_fold = decoded(float(penalty)).groupBy("fold").agg((F.sum(hits) / F.sum(F.size("tokens"))).alias("a"))
-            score = by_fold.agg(F.avg("a")).first()[0] or 0.0
-            best = max(best, (score, float(penalty)), key=lambda x: x[0])
+        low, high, n_calls = self.range
+
+        def score(penalty: float) -> float:
+            by_fold = decoded(penalty).groupBy("fold").agg((F.sum(hits) / F.sum(F.size("tokens"))).alias("a"))
+            return by_fold.agg(F.avg("a")).first()[0] or 0.0
+
+        if models and n_calls:
+            (penalty,), value, _ = search.maximise(score, [(low, high)], n_calls)
+            best = (value, penalty)
         if models:
             pairs = decoded(best[1]).where(F.size("decoded") == F.size("tokens")).select(F.inline(F.arrays_zip("tokens", "decoded")).alias("truth", "pred"))
             confusion = pairs.groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
