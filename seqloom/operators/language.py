@@ -85,6 +85,65 @@ def backoff_model(df: DataFrame, n: int, token_col: str = "tokens", cutoff: int
     return last if out is None else out.unionByName(last)
 
 
+def _without_first(order: int) -> Column:
+    """The history of an n-gram of ``order`` without its first token."""
+    return F.expr("array_join(slice(split(history, ' '), 2, size(split(history, ' '))), ' ')") if order > 2 else F.lit("")
+
+
+def modified_discounts(counts: DataFrame) -> tuple[float, float, float]:
+    """What is taken from counts of 1, 2 and more, by the numbers of n-grams that are counted 1 to 4 times. Where
+    these are missing or give no discount between 0 and the count, it is n1 / (n1 + 2 n2), or a half."""
+    rows = counts.where(F.col("count") <= 4).groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect()  # 4 rows at most
+    n = {r["count"]: r["n"] for r in rows}
+    plain = n[1] / (n[1] + 2 * n[2]) if n.get(1) and n.get(2) else 0.5
+    found = [k - (k + 1) * plain * n[k + 1] / n[k] if n.get(k) and n.get(k + 1) else plain for k in (1, 2, 3)]
+    return tuple(d if 0 < d < k else plain for k, d in enumerate(found, 1))
+
+
+def interpolated_model(df: DataFrame, n: int, token_col: str = "tokens") -> DataFrame:
+    """An interpolated model with modified discounts of orders 1 to ``n``: order, history, next, p, weight.
+
+    The highest order has its counts; an n-gram of a lower one counts once for each token that stands
+    before it, so that a frequent word of one context isn't taken to be likely in all. p is the discounted
+    share plus the history's ``weight`` times the probability of the next lower order, and of order 1 plus
+    a share of all tokens alike. For a token not seen after a history it is that weight times the lower
+    probability; so p sums to 1 over all tokens for every history. ``weight`` is that of history + next as a
+    history; it is null for the highest order and 1 for a gram that is no history.
+    """
+    raw = {k: cut_lineage(ngram_counts(df, k, token_col), "ngrams") for k in range(1, n + 1)}
+    vocabulary = raw[1].select("next")
+    size = vocabulary.count()
+    out, lower = None, None
+    for k in range(1, n + 1):
+        counts = raw[k]
+        if k < n:
+            counts = raw[k + 1].select(_without_first(k + 1).alias("history"), "next").groupBy("history", "next").agg(F.count(F.lit(1)).alias("count"))
+            counts = cut_lineage(counts, "continuations")
+        one, two, more = modified_discounts(counts)
+        c = F.col("count")
+        taken = F.when(c == 1, one).when(c == 2, two).otherwise(more)
+        totals = counts.groupBy("history").agg(F.sum("count").alias("total"), F.sum(taken).alias("taken"))
+        totals = cut_lineage(totals.select("history", "total", (F.col("taken") / F.col("total")).alias("gamma")), "histories")
+        shares = counts.join(totals, "history").select("history", "next", ((c - taken) / F.col("total")).alias("share"), "gamma")
+        if k == 1:
+            of_all = totals.select("gamma").first()
+            gamma = of_all[0] if of_all else 1.0
+            p = F.coalesce("share", F.lit(0.0)) + F.lit(gamma) / F.lit(max(1, size))
+            found = vocabulary.join(shares.select("next", "share"), "next", "left").select(F.lit("").alias("history"), "next", p.alias("p"))
+        else:
+            below = lower.select(F.col("history").alias("__h"), F.col("next").alias("__n"), F.col("p").alias("__p"))
+            met = shares.withColumn("__s", _without_first(k)).join(below, (F.col("__s") == F.col("__h")) & (F.col("next") == F.col("__n")))
+            found = met.select("history", "next", (F.col("share") + F.col("gamma") * F.col("__p")).alias("p"))
+            gram = F.concat_ws(" ", *(["history"] if k > 2 else []), "next")
+            weights = totals.select(F.col("history").alias("__gram"), "gamma")
+            part = lower.withColumn("__g", gram).join(weights, F.col("__g") == F.col("__gram"), "left")
+            part = part.select(F.lit(k - 1).alias("order"), "history", "next", "p", F.coalesce("gamma", F.lit(1.0)).alias("weight"))
+            out = part if out is None else out.unionByName(part)
+        lower = cut_lineage(found, "interpolated")
+    last = lower.select(F.lit(n).alias("order"), "history", "next", "p", F.lit(None).cast("double").alias("weight"))
+    return last if out is None else out.unionByName(last)
+
+
 def arpa_ngrams(lines: DataFrame, use_log: bool = True, space_token: str = "_space_") -> DataFrame:
     """n-grams of an ARPA file (line_no, value): n, history, next, p.
 

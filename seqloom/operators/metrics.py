@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,30 +17,75 @@ ALIGNMENT = (
 )
 
 
+#: Cells (truth x pred) whose steps are held at once; of more, half of the rows are halved again.
+STEPS = 4_000_000
+
+
+def _row(t: int, p: np.ndarray, above: np.ndarray, costs: tuple[int, int, int], order: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The next row of least costs, and the step into each of its cells (the first in ``order`` of equals)."""
+    m = len(p)
+    gone = above + costs[0]
+    met = np.empty(m + 1, dtype=np.int64)
+    met[0], met[1:] = np.iinfo(np.int64).max // 2, above[:-1] + np.where(p == t, 0, costs[1])
+    before = np.minimum(gone, met)
+    # insertions follow each other: the least of what lies to the left, by its distance
+    shift = np.arange(m + 1) * costs[2]
+    row = np.minimum.accumulate(before - shift) + shift
+    new = np.concatenate([[np.iinfo(np.int64).max // 2], row[:-1] + costs[2]])
+    step = np.zeros(m + 1, dtype=np.uint8)
+    taken = np.zeros(m + 1, dtype=bool)
+    for action in order:
+        here = ((gone, met, new)[action] == row) & ~taken
+        step[here] = action
+        taken |= here
+    return row, step
+
+
+def _steps(t: np.ndarray, p: np.ndarray, costs: tuple[int, int, int], order: tuple[int, int, int]) -> list[int]:
+    """The steps of the alignment of least cost that, from the end, takes the first in ``order`` among equals.
+
+    For long inputs the cell where this path enters the middle row is carried along the rows below it, and
+    both sides of that cell are aligned on their own: the same path, in memory of a row.
+    """
+    n, m = len(t), len(p)
+    if n < 2 or n * m <= STEPS:
+        above, steps = np.arange(m + 1) * costs[2], []
+        for x in t:
+            above, step = _row(x, p, above, costs, order)
+            steps.append(step)
+        path, i, j = [], n, m
+        while i or j:
+            action = 2 if i == 0 else 0 if j == 0 else int(steps[i - 1][j])
+            path.append(action)
+            i, j = i - (action != 2), j - (action != 0)
+        return path[::-1]
+    middle = n // 2
+    above, crossing = np.arange(m + 1) * costs[2], np.arange(m + 1)
+    for i, x in enumerate(t):
+        above, step = _row(x, p, above, costs, order)
+        if i >= middle:
+            step[0] = 0
+            came = np.where(step == 0, crossing, np.concatenate([[0], crossing[:-1]]))
+            # an insertion came from where the last other step of the row did
+            source = np.maximum.accumulate(np.where(step != 2, np.arange(m + 1), 0))
+            crossing = came[source]
+    at = int(crossing[m])
+    return _steps(t[:middle], p[:at], costs, order) + _steps(t[middle:], p[at:], costs, order)
+
+
 def _align(truth: list[str], pred: list[str], costs: tuple[int, int, int], order: tuple[int, int, int]) -> dict:
     """One alignment of least cost; among equal steps the earliest in ``order``."""
-    n, m = len(truth), len(pred)
-    rank = [order.index(a) for a in range(3)]
-    above = [j * costs[2] for j in range(m + 1)]
-    steps = [bytearray([2]) * (m + 1)]
-    for i, t in enumerate(truth, 1):
-        row, step = [i * costs[0]], bytearray(m + 1)
-        for j, p in enumerate(pred, 1):
-            options = (above[j] + costs[0], above[j - 1] + (0 if t == p else costs[1]), row[-1] + costs[2])
-            best = min((c, rank[a], a) for a, c in enumerate(options))
-            row.append(best[0])
-            step[j] = best[2]
-        above = row
-        steps.append(step)
-    pairs, i, j = [], n, m
-    while i or j:
-        action = 2 if i == 0 else 0 if j == 0 else steps[i][j]
-        i, j = i - (action != 2), j - (action != 0)
+    number = {x: k for k, x in enumerate(dict.fromkeys([*truth, *pred]))}
+    codes = [np.array([number[x] for x in side], dtype=np.int64) for side in (truth, pred)]
+    path = _steps(*codes, costs, order)
+    pairs, i, j = [], 0, 0
+    for action in path:
         pairs.append((truth[i] if action != 2 else None, pred[j] if action != 0 else None))
-    pairs.reverse()
+        i, j = i + (action != 2), j + (action != 0)
     hits = sum(t is not None and t == p for t, p in pairs)
-    gone, new = sum(p is None for _, p in pairs), sum(t is None for t, _ in pairs)
-    return {"dist": above[m], "hits": hits, "deletions": gone, "substitutions": len(pairs) - hits - gone - new, "insertions": new, "pairs": pairs}
+    gone, new = path.count(0), path.count(2)
+    other = len(pairs) - hits - gone - new
+    return {"dist": gone * costs[0] + other * costs[1] + new * costs[2], "hits": hits, "deletions": gone, "substitutions": other, "insertions": new, "pairs": pairs}
 
 
 def align(df: DataFrame, truth: str = "truth", pred: str = "pred", costs: tuple[int, int, int] = (7, 10, 7),
@@ -47,8 +93,8 @@ def align(df: DataFrame, truth: str = "truth", pred: str = "pred", costs: tuple[
     """Weighted edit distance of two token arrays, with counts and the aligned pairs.
 
     A pair without ``pred`` is a deletion, one without ``truth`` an insertion, those at the beginning
-    too. A style overrides costs and order. Null arrays count as empty. Time and memory go with the
-    product of the two lengths, row by row.
+    too. A style overrides costs and order. Null arrays count as empty. Time goes with the product of
+    the two lengths, memory with their sum.
     """
     costs, order = STYLES.get((style or "").lower(), (costs, order))
 

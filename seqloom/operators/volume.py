@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.quantiles import exact_quantiles
 from seqloom.sources.storage import cut_lineage
 
 XYZ = ["x", "y", "z"]
@@ -50,7 +51,7 @@ def mask_range(mask: DataFrame, by: list[str] | None = None) -> DataFrame:
 def above_quantile(values: DataFrame, by: list[str], value: str = "t", q: float = 0.98) -> DataFrame:
     """Cells above the q-quantile (linear between ranks) of their key's positive values; NaN isn't positive."""
     positive = (F.col(value) > 0) & ~F.isnan(value)
-    limits = values.where(positive).groupBy(*by).agg(F.percentile(value, F.lit(q)).alias("__limit"))
+    limits = exact_quantiles(values.where(positive), by, value, q, out="__limit")
     return values.where(positive).join(limits, by).where(F.col(value) > F.col("__limit")).drop("__limit")
 
 
@@ -61,7 +62,7 @@ def votes(masks: DataFrame, by: list[str]) -> DataFrame:
 
 def enough_votes(counts: DataFrame, by: list[str], q: float = 0.8) -> DataFrame:
     """Cells with at least the q-quantile of their key's votes."""
-    limits = counts.groupBy(*by).agg(F.percentile("votes", F.lit(q)).alias("__limit"))
+    limits = exact_quantiles(counts, by, "votes", q, out="__limit")
     return counts.join(limits, by).where(F.col("votes") >= F.col("__limit")).drop("__limit")
 
 

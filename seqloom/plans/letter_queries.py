@@ -175,7 +175,7 @@ def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NGRAM_SQL = r"""WITH w AS (SELECT list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0b\x0c\r]+'), lambda q: q <> '') AS t FROM documents WHERE text IS NOT NULL),
 g AS (SELECT unnest(t[:-2]) AS history, unnest(t[2:]) AS next FROM w WHERE len(t) >= 2),
-n AS (SELECT history, next, count(*) AS count FROM g GROUP BY ALL)"""
+n AS MATERIALIZED (SELECT history, next, count(*) AS count FROM g GROUP BY ALL)"""
 
 
 def _bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +221,32 @@ def backoff_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(language.backoff_model(docs, 2), "p", digits=8), "weight", digits=5)
 
 
+def _discount_sql(counts: str) -> str:
+    """d1, d2, d3 of ``language.modified_discounts`` from a table with a column count."""
+    of = lambda k: f"(SELECT count(*)::DOUBLE FROM {counts} WHERE count = {k})"
+    return f"""SELECT CASE WHEN n1 > 0 AND n2 > 0 AND 1 - 2 * y * n2 / n1 > 0 AND 1 - 2 * y * n2 / n1 < 1 THEN 1 - 2 * y * n2 / n1 ELSE y END AS d1,
+  CASE WHEN n2 > 0 AND n3 > 0 AND 2 - 3 * y * n3 / n2 > 0 AND 2 - 3 * y * n3 / n2 < 2 THEN 2 - 3 * y * n3 / n2 ELSE y END AS d2,
+  CASE WHEN n3 > 0 AND n4 > 0 AND 3 - 4 * y * n4 / n3 > 0 AND 3 - 4 * y * n4 / n3 < 3 THEN 3 - 4 * y * n4 / n3 ELSE y END AS d3
+  FROM (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END AS y FROM (SELECT {of(1)} AS n1, {of(2)} AS n2, {of(3)} AS n3, {of(4)} AS n4))"""
+
+
+@query("interpolated_bigrams", _NGRAM_SQL + f""",
+v AS (SELECT DISTINCT unnest(t) AS token FROM w),
+k AS MATERIALIZED (SELECT next AS token, count(*) AS count FROM n GROUP BY next),
+e1 AS ({_discount_sql("k")}), e2 AS ({_discount_sql("n")}),
+t1 AS (SELECT token, count, CASE count WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS d FROM k, e1),
+g1 AS (SELECT sum(count) AS total, sum(d) / sum(count) AS gamma FROM t1),
+one AS (SELECT v.token, coalesce((count - d) / total, 0) + gamma / (SELECT count(*) FROM v) AS p FROM v CROSS JOIN g1 LEFT JOIN t1 USING (token)),
+t2 AS (SELECT history, next, count, CASE count WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS d FROM n, e2),
+g2 AS (SELECT history, sum(count) AS total, sum(d) / sum(count) AS gamma FROM t2 GROUP BY history)
+SELECT 1 AS "order", '' AS history, token AS next, round(p, 8) AS p, round(coalesce(gamma, 1), 6) AS weight FROM one LEFT JOIN g2 ON g2.history = token
+UNION ALL SELECT 2, t2.history, t2.next, round((count - d) / total + gamma * one.p, 8), NULL FROM t2 JOIN g2 USING (history) JOIN one ON one.token = t2.next""")
+def interpolated_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An interpolated model of order 2 with modified discounts; order 3 is held against sums in the tests."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(language.tokens(F.col("text")).alias("tokens"))
+    return rounded(rounded(language.interpolated_model(docs, 2), "p", digits=8), "weight")
+
+
 @query("softmax_letters", f"""WITH {LETTERS_SQL}, m AS (SELECT *, exp(ln(10) * (n / 1000::DOUBLE - max(n / 1000::DOUBLE) OVER (PARTITION BY run_id))) AS e FROM l)
 SELECT run_id, pos, round(e / sum(e) OVER (PARTITION BY run_id), 6) AS p FROM m""")
 def softmax_letters(spark: SparkSession, sf_dir: str) -> DataFrame:

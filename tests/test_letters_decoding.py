@@ -180,3 +180,37 @@ def test_backoff_model_sums_to_one(spark):
         )
     assert len(histories) > 20 and {x.order for x in model} == {1, 2, 3}
     assert all(x.weight is None for x in model if x.order == 3)
+
+
+def test_interpolated_model_of_order_3(spark):
+    """Every history's probabilities sum to 1, and each is what its counts give."""
+    r = np.random.default_rng(0)
+    texts = [[str(w) for w in r.choice(list("abcde"), r.integers(0, 9), p=[0.4, 0.3, 0.15, 0.1, 0.05])] for _ in range(60)] + [["z"], []]
+    rows = language.interpolated_model(spark.createDataFrame([(t,) for t in texts], "tokens array<string>"), 3).collect()
+    known = {(x.order, tuple(x.history.split()), x.next): x for x in rows}
+    words = {w for t in texts for w in t}
+
+    def p(history, w):
+        k = len(history) + 1
+        if (k, history, w) in known:
+            return known[k, history, w].p
+        if not history:
+            return 0.0
+        lower = known.get((k - 1, history[:-1], history[-1]))
+        return (lower.weight if lower is not None else 1.0) * p(history[1:], w)
+
+    histories = {()} | {(w,) for w in words} | {(a, b) for a in words for b in words if (2, (a,), b) in known}
+    assert {(1, (), w) for w in words} <= set(known)
+    for h in histories:
+        assert sum(p(h, w) for w in words) == pytest.approx(1.0), h
+    grams = [tuple(t[i : i + 3]) for t in texts for i in range(len(t) - 2)]
+    counts = {g: grams.count(g) for g in grams}
+    n = [sum(c == k for c in counts.values()) for k in range(1, 5)]
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+    d = [x if 0 < x < k else y for k, x in enumerate(d, 1)]
+    for (a, b, c), m in counts.items():
+        after = [v for g, v in counts.items() if g[:2] == (a, b)]
+        gamma = sum(d[min(v, 3) - 1] for v in after) / sum(after)
+        assert known[3, (a, b), c].p == pytest.approx((m - d[min(m, 3) - 1]) / sum(after) + gamma * p((b,), c))
+    assert language.interpolated_model(spark.createDataFrame([], "tokens array<string>"), 2).collect() == []
