@@ -166,8 +166,8 @@ def arpa_ngrams(lines: DataFrame, use_log: bool = True, space_token: str = "_spa
 def lattice(text_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, symbol) and edges (src, dst) of a lattice in text form (one column ``value``)."""
     field = lambda name: F.regexp_extract("value", rf"(?:^|\s){name}=(\S+)", 1)
-    nodes = text_lines.where(F.col("value").rlike(r"^I=")).select(field("I").cast("int").alias("id"), field("W").alias("symbol"))
-    edges = text_lines.where(F.col("value").rlike(r"^J=")).select(field("S").cast("int").alias("src"), field("E").cast("int").alias("dst"))
+    nodes = text_lines.where(F.col("value").rlike(r"^I=")).select(field("I").try_cast("int").alias("id"), field("W").alias("symbol"))
+    edges = text_lines.where(F.col("value").rlike(r"^J=")).select(field("S").try_cast("int").alias("src"), field("E").try_cast("int").alias("dst"))
     return nodes, edges
 
 

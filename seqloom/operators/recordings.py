@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.operators import design, events, glm, volume
-from seqloom.sources import images, tables
+from seqloom.sources import image_parts, images, tables
 from seqloom.sources.storage import cut_lineage
 
 RUN = "run_id"
@@ -145,12 +145,13 @@ def analyse(
     return Analysis(designs, contrasts, fits, each.withColumn("t", t))
 
 
-def image_runs(spark: SparkSession, path: str, skip_zero: bool = False) -> DataFrame:
+def image_runs(spark: SparkSession, path: str, skip_zero: bool = False, in_parts: bool = False) -> DataFrame:
     """Cells of all images under ``path`` with what their names tell: run_id, sub, x, y, z, frame, value.
 
-    run_id is subject, session, task and run, with a line between those that the name has.
+    run_id is subject, session, task and run, with a line between those that the name has. With ``in_parts``
+    many tasks read a file (``image_parts``), which must then lie where ``pyarrow.fs`` reaches it.
     """
-    cells = images.read_images(spark, path, skip_zero)
+    cells = (image_parts.read_image_parts if in_parts else images.read_images)(spark, path, skip_zero)
     named = cells.select(*tables.recording_fields("path"), *volume.XYZ, "frame", "value")
     return named.select(F.concat_ws("_", "sub", "ses", "task", "run").alias(RUN), "sub", *volume.XYZ, "frame", "value")
 

@@ -2,9 +2,12 @@
 
 ``images.read_images`` takes a file as one cell, which Spark bounds at 2 GB, in one task. Here the driver
 reads headers alone; a plain file is cut into parts of about ``cellsPerTask`` cells, and a task seeks to its
-part and holds one frame or slab of it. Conditions on frame, x, y, z and path are pushed down: parts
-outside them are not read. A compressed file can't be entered in the middle, so it is one part, which is
-streamed frame by frame up to the last one asked for.
+part and holds one frame or slab of it. Frames and a box may be asked for; parts outside them are not read. A
+compressed file can't be entered in the middle, so it is one part, which is streamed frame by frame up to
+the last one asked for.
+
+What to read is told by options, not pushed down from filters: Spark 4.1 keeps the parts of the first scan of
+a Python source, so a DataFrame that stands twice in a plan with different filters would give wrong rows.
 
 Files are opened by ``pyarrow.fs`` (local or mounted folders, hdfs, s3, gs); for a store that Spark alone
 can reach there is ``images.read_images``.
@@ -24,9 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seqloom.sources.images import header_of
 
@@ -88,37 +89,10 @@ class ImagePartsReader(DataSourceReader):
         self.path = options["path"]
         self.per_task = max(1, int(options.get("cellspertask", CELLS_PER_TASK)))
         self.skip_zero = str(options.get("skipzero", "false")).lower() == "true"
-        self.bounds = {c: [0, 1 << 31] for c in ("x", "y", "z", "frame")}  # from, up to
-        self.only: set[str] | None = None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            column = getattr(f, "attribute", ("",))[0]
-            if isinstance(f, IsNotNull):
-                continue  # no cell has a null
-            if column == "path" and isinstance(f, (EqualTo, In)):
-                names = set(f.value) if isinstance(f, In) else {f.value}
-                self.only = names if self.only is None else self.only & names
-            elif column in self.bounds and isinstance(getattr(f, "value", None), int):
-                low, high = self.bounds[column]
-                if isinstance(f, EqualTo):
-                    self.bounds[column] = [max(low, f.value), min(high, f.value + 1)]
-                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.bounds[column][0] = max(low, f.value + isinstance(f, GreaterThan))
-                elif isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.bounds[column][1] = min(high, f.value + isinstance(f, LessThanOrEqual))
-                else:
-                    yield f
-            elif column in self.bounds and isinstance(f, In) and f.value and all(isinstance(v, int) for v in f.value):
-                low, high = self.bounds[column]
-                self.bounds[column] = [max(low, min(f.value)), min(high, max(f.value) + 1)]
-                yield f
-            else:
-                yield f
+        self.bounds = {c: tuple(map(int, options.get(f"{c}range", f"0:{1 << 31}").split(":"))) for c in ("x", "y", "z", "frame")}  # from, up to
 
     def partitions(self) -> list[Part]:
         system, files, prefix = list_images(self.path)
-        files = [f for f in files if self.only is None or prefix + f in self.only]
 
         def head(file: str) -> tuple[bytes, bool]:
             with system.open_input_stream(file, compression=None) as stream:
@@ -192,14 +166,20 @@ class ImageParts(DataSource):
         return ImagePartsReader(dict(self.options))
 
 
-def read_image_parts(spark: SparkSession, path: str, skip_zero: bool = False, cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
+def read_image_parts(
+    spark: SparkSession, path: str, skip_zero: bool = False, cells_per_task: int = CELLS_PER_TASK, **ranges: tuple[int, int],
+) -> DataFrame:
     """Cells path, x, y, z, frame, value of all images under ``path``, as ``images.read_images`` gives them.
 
-    Turns on the push-down of filters to Python data sources in this session.
+    ``ranges`` are (from, up to) of frame, x, y or z: ``read_image_parts(spark, path, frame=(0, 10))``.
     """
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ImageParts)
-    return spark.read.format("image_parts").option("cellsPerTask", cells_per_task).option("skipZero", str(skip_zero).lower()).load(path)
+    reader = spark.read.format("image_parts").option("cellsPerTask", cells_per_task).option("skipZero", str(skip_zero).lower())
+    for column, (low, high) in ranges.items():
+        if column not in ("frame", "x", "y", "z"):
+            raise ValueError(f"{column} is no axis of an image")
+        reader = reader.option(f"{column}Range", f"{max(0, low)}:{max(0, high)}")
+    return reader.load(path)
 
 
 def header_bytes(shape: tuple[int, int, int], n_frames: int, voxel_mm: tuple[float, float, float], frame_s: float) -> bytes:

@@ -44,13 +44,27 @@ def test_conditions(spark, folder, condition):
     assert rows(parts.where(condition)) == rows(whole.where(condition))
 
 
-def test_conditions_leave_parts_unread(spark, folder):
-    parts = image_parts.read_image_parts(spark, str(folder / "a.nii"), cells_per_task=20)
-    whole = parts.rdd.getNumPartitions()
-    assert whole == 7 * 6 and parts.where("frame < 2 AND z = 3").rdd.getNumPartitions() == 2
-    path = parts.first().path
-    both = image_parts.read_image_parts(spark, str(folder), cells_per_task=20)
-    assert both.where(f"path = '{path}'").rdd.getNumPartitions() == whole
+@pytest.mark.parametrize("ranges", [{"frame": (0, 2)}, {"frame": (3, 4), "z": (2, 5)}, {"x": (2, 9), "y": (0, 3)}, {"frame": (20, 30)}, {"z": (1, 2), "x": (-3, 1)}, {"y": (9, 12)}])
+def test_ranges(spark, folder, ranges):
+    whole = images.read_images(spark, str(folder / "*.nii*")).unionByName(images.read_images(spark, str(folder / "deep")))
+    condition = " AND ".join(f"{c} >= {a} AND {c} < {b}" for c, (a, b) in ranges.items())
+    assert rows(image_parts.read_image_parts(spark, str(folder), cells_per_task=40, **ranges)) == rows(whole.where(condition))
+
+
+def test_ranges_leave_parts_unread(spark, folder):
+    parts = lambda **ranges: image_parts.read_image_parts(spark, str(folder / "a.nii"), cells_per_task=20, **ranges).rdd.getNumPartitions()
+    assert parts() == 7 * 6 and parts(frame=(0, 2), z=(3, 4)) == 2
+    with pytest.raises(ValueError):
+        parts(t=(0, 1))
+
+
+def test_reads_with_other_conditions_stay_apart(spark, folder):
+    """A condition that one side of a plan gets by a join doesn't change the other side."""
+    cells = image_parts.read_image_parts(spark, str(folder / "a.nii")).select("x", "y", "z", "frame", "value")
+    places = cells.where("frame = 0").select("x", "y", "z")
+    low = places.where("z < 2")
+    both = cells.join(places, ["x", "y", "z"]).groupBy("frame").count().join(cells.join(low, ["x", "y", "z"]).groupBy("frame").count().withColumnRenamed("count", "low"), "frame")
+    assert {(r["count"], r.low) for r in both.collect()} == {(5 * 4 * 6, 5 * 4 * 2)}
 
 
 def test_a_large_file_is_read_where_it_is_asked_for(spark, tmp_path):
@@ -61,10 +75,10 @@ def test_a_large_file_is_read_where_it_is_asked_for(spark, tmp_path):
         f.seek(352 + 4 * (int(np.prod(shape)) * 700 + 5))
         f.write(np.float32(2.5).tobytes())
         f.truncate(352 + 4 * int(np.prod(shape)) * n)
-    cells = image_parts.read_image_parts(spark, str(tmp_path / "large.nii"), skip_zero=True, cells_per_task=12 * int(np.prod(shape)))
-    assert cells.rdd.getNumPartitions() == 64
-    assert [(r.x, r.y, r.z, r.frame, r.value) for r in cells.where("frame >= 690 AND frame < 710").collect()] == [(5, 0, 0, 700, 2.5)]
-    assert cells.where("frame < 10").count() == 0
+    cells = lambda **ranges: image_parts.read_image_parts(spark, str(tmp_path / "large.nii"), True, 12 * int(np.prod(shape)), **ranges)
+    assert cells().rdd.getNumPartitions() == 64
+    assert [(r.x, r.y, r.z, r.frame, r.value) for r in cells(frame=(690, 710)).collect()] == [(5, 0, 0, 700, 2.5)]
+    assert cells(frame=(0, 10)).count() == 0 and cells(frame=(0, 10)).rdd.getNumPartitions() == 1
 
 
 @pytest.mark.parametrize("compressed", [False, True])
