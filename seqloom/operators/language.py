@@ -148,11 +148,17 @@ def arpa_ngrams(lines: DataFrame, use_log: bool = True, space_token: str = "_spa
     """n-grams of an ARPA file (line_no, value): n, history, next, p.
 
     Back-off weights are left out, as are the marks of sentence ends; the token for a space becomes ' '.
-    The section of a line is that of the last heading before it; one file is as large as one model.
+    The section of a line is that of the last heading before it. Headings, one for each order, are read first;
+    the lines of a file then stay where they are, in as many tasks as it takes.
     """
     heading = F.regexp_extract("value", r"^\\(\d+)-grams:", 1)
-    last = F.last(F.when(heading != "", heading), ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("line_no"))
-    rows = lines.withColumn("n", last.cast("int")).withColumn("f", F.split(F.trim("value"), r"\s+"))
+    heads = lines.select("line_no", heading.alias("n")).where("n <> ''").orderBy("line_no").limit(1001).collect()
+    if len(heads) > 1000:
+        raise ValueError("a file of n-grams has more than 1000 headings")
+    section = F.lit(None).cast("int")
+    for at, n in heads:
+        section = F.when(F.col("line_no") >= at, F.lit(int(n))).otherwise(section)
+    rows = lines.withColumn("n", section).withColumn("f", F.split(F.trim("value"), r"\s+"))
     rows = rows.where("n IS NOT NULL AND value NOT LIKE '\\\\\\\\%' AND size(f) > n")
     words = F.transform(F.slice("f", F.lit(2), F.col("n")), lambda w: F.when(w == space_token, " ").otherwise(w))
     rows = rows.withColumn("w", words).where("NOT exists(w, x -> x IN ('<s>', '</s>'))")

@@ -17,7 +17,7 @@ def transition_labels(letters: DataFrame, book: DataFrame) -> DataFrame:
 
     The first letter of a run has no row. ``book`` (letter, region, bit) is as small as its alphabet.
     """
-    bits = letters.join(F.broadcast(book), "letter")
+    bits = letters.join(book, "letter")
     before = F.lag("bit").over(_order("region"))
     return bits.withColumn("transition", before * 2 + F.col("bit")).where("transition IS NOT NULL").select(RUN, "pos", "region", "transition")
 
@@ -46,7 +46,7 @@ def letters_from_bits(bits: DataFrame, book: DataFrame, bit: str = "bit_before",
     seen = bits.groupBy(RUN, "pos").agg(key.alias("bits"))
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region", "bit"))), lambda s: s["bit"].cast("string")), "")
     inverse = book.groupBy("letter").agg(words.alias("bits")).groupBy("bits").agg(F.max("letter").alias("letter"))
-    return seen.join(F.broadcast(inverse), "bits", "left").select(RUN, "pos", F.coalesce("letter", F.lit(unknown)).alias("letter"))
+    return seen.join(inverse, "bits", "left").select(RUN, "pos", F.coalesce("letter", F.lit(unknown)).alias("letter"))
 
 
 def on_probabilities(transitions: DataFrame, last_in_first: bool = False) -> DataFrame:
@@ -71,7 +71,7 @@ def on_probabilities(transitions: DataFrame, last_in_first: bool = False) -> Dat
 def letter_probabilities(p_on: DataFrame, book: DataFrame) -> DataFrame:
     """run_id, pos, letter, p: the product over regions of p_on where the letter has the bit, else 1 - p_on."""
     factor = F.when(F.col("bit") == 1, F.col("p_on")).otherwise(1 - F.col("p_on"))
-    joined = p_on.join(F.broadcast(book), "region")
+    joined = p_on.join(book, "region")
     return joined.groupBy(RUN, "pos", "letter").agg(F.product(factor).alias("p"))
 
 
@@ -89,14 +89,14 @@ def bigram_grid(letters: DataFrame, bigrams: DataFrame, default: Column | None =
     least = bigrams.where("p > 0").agg(F.min("p").alias("__least"))
     prev, nxt = letters.select(F.col("letter").alias("prev")).distinct(), letters.select(F.col("letter").alias("next")).distinct()
     grid = prev.crossJoin(F.broadcast(nxt)).crossJoin(F.broadcast(least))
-    return grid.join(F.broadcast(bigrams), ["prev", "next"], "left").select("prev", "next", F.coalesce("p", default if default is not None else F.col("__least")).alias("p"))
+    return grid.join(bigrams, ["prev", "next"], "left").select("prev", "next", F.coalesce("p", default if default is not None else F.col("__least")).alias("p"))
 
 
 def weight_by_bigrams(probabilities: DataFrame, grid: DataFrame) -> DataFrame:
     """p of each letter times what the unweighted probabilities one place before lead to; the first
     place stays. Not normalised."""
     moved = probabilities.select(RUN, (F.col("pos") + 1).alias("pos"), F.col("letter").alias("prev"), F.col("p").alias("__p"))
-    led = moved.join(F.broadcast(grid.withColumnRenamed("p", "__b")), "prev").groupBy(RUN, "pos", F.col("next").alias("letter")).agg(
+    led = moved.join(grid.withColumnRenamed("p", "__b"), "prev").groupBy(RUN, "pos", F.col("next").alias("letter")).agg(
         F.sum(F.col("__p") * F.col("__b")).alias("__led")
     )
     joined = probabilities.join(led, [RUN, "pos", "letter"], "left")

@@ -96,11 +96,27 @@ FRAMES = 32
 KERNEL_LIMIT = 100_000
 
 
+def rank_one(offsets: np.ndarray, weights: list[float], half: int) -> list[np.ndarray] | None:
+    """Three weights by axis whose product is the kernel, each over -half .. half; None if it is no such product."""
+    whole = np.zeros((2 * half + 1,) * 3)
+    for at, w in zip(offsets + half, weights, strict=True):
+        whole[tuple(at)] += w
+    i, j, k = np.unravel_index(np.abs(whole).argmax(), whole.shape)
+    top = whole[i, j, k]
+    if top == 0:
+        return None
+    found = [whole[:, j, k], whole[i, :, k] / top, whole[i, j, :] / top]
+    product_ = found[0][:, None, None] * found[1][None, :, None] * found[2][None, None, :]
+    return found if np.abs(product_ - whole).max() <= 1e-12 * abs(top) else None
+
+
 def smooth(image: DataFrame, kernel: DataFrame, keep: list[str] | None = None, within: DataFrame | None = None) -> DataFrame:
     """Convolution with a kernel (dx, dy, dz, weight), 0 outside the volume, at the cells of the image.
 
     Cells go to their tile of 16 x 16 x 16 and to the tiles beside it that the kernel reaches, not once
-    for each cell of the kernel; a task convolves a tile of 32 frames at a time. Only cells that the image has
+    for each cell of the kernel; a task convolves a tile of 32 frames at a time. A kernel that is a product of
+    one weight for each axis (as Gaussian ones are) takes three passes along the axes, 3 n products a cell in
+    place of n^3. Only cells that the image has
     (or ``within``, in every frame of every run) are returned; ``keep`` names columns of these cells to
     return too. A cell stands in the image once.
     """
@@ -110,6 +126,7 @@ def smooth(image: DataFrame, kernel: DataFrame, keep: list[str] | None = None, w
         raise ValueError(f"the kernel has more than {KERNEL_LIMIT} cells")
     offsets, weights = np.array([r[:3] for r in rows], dtype=int).reshape(-1, 3), [float(r[3]) for r in rows]
     half = int(np.abs(offsets).max(initial=0))
+    factors = rank_one(offsets, weights, half)
     reach = [F.explode(F.sequence(F.floor((F.col(c) - half) / TILE), F.floor((F.col(c) + half) / TILE))).alias(f"__t{c}") for c in XYZ]
     tiled = image.select(*keys, "frame", *[F.col(c).cast("long").alias(c) for c in XYZ], F.col("value").cast("double").alias("value"))
     for r in reach:
@@ -122,9 +139,15 @@ def smooth(image: DataFrame, kernel: DataFrame, keep: list[str] | None = None, w
         frames, frame = np.unique(group["frame"].to_numpy(), return_inverse=True)
         field = np.zeros((len(frames), *(TILE + 2 * half,) * 3))
         field[(frame, *at.T)] = group["value"].to_numpy()
-        out = np.zeros((len(frames), *(TILE,) * 3))
-        for (dx, dy, dz), w in zip(half - offsets, weights, strict=True):
-            out += w * field[:, dx : dx + TILE, dy : dy + TILE, dz : dz + TILE]
+        if factors is not None:
+            out = field
+            for axis, along in enumerate(factors, 1):
+                lead = (slice(None),) * axis
+                out = sum(w * out[(*lead, slice(2 * half - d, 2 * half - d + TILE))] for d, w in enumerate(along) if w)
+        else:
+            out = np.zeros((len(frames), *(TILE,) * 3))
+            for (dx, dy, dz), w in zip(half - offsets, weights, strict=True):
+                out += w * field[:, dx : dx + TILE, dy : dy + TILE, dz : dz + TILE]
         if everywhere:
             own = np.argwhere(np.ones(out.shape, dtype=bool))
         else:

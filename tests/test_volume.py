@@ -133,3 +133,21 @@ def test_smoothing_within_gives_zero_where_nothing_reaches(spark):
     within = spark.createDataFrame([(1, 0, 0), (100, 0, 0), (0, 0, 0)], "x int, y int, z int")
     got = {(r.x, r.frame): r.value for r in volume.smooth(image, kernel, within=within).collect()}
     assert got == {(0, 0): 0.5, (0, 1): 1.0, (1, 0): 0.25, (1, 1): 0.5, (100, 0): 0.0, (100, 1): 0.0}
+
+
+def test_kernels_by_axis(spark, monkeypatch):
+    """A product of weights by axis is found, and gives what all of its cells give; another kernel isn't one."""
+    r = np.random.default_rng(6)
+    axes = [r.normal(size=3), r.normal(size=5), r.normal(size=1)]
+    cells = [(i - 1, j - 2, 0, float(a * b * axes[2][0])) for i, a in enumerate(axes[0]) for j, b in enumerate(axes[1])]
+    found = volume.rank_one(np.array([c[:3] for c in cells]), [c[3] for c in cells], 2)
+    assert all(found[0][i + 2] * found[1][j + 2] * found[2][2] == pytest.approx(w) for i, j, _, w in cells)
+    assert volume.rank_one(np.array([c[:3] for c in cells]), [c[3] + (k == 4) for k, c in enumerate(cells)], 2) is None
+    assert volume.rank_one(np.zeros((1, 3), int), [0.0], 0) is None
+    image = [(int(x), int(y), int(z), int(t), float(r.normal())) for x, y, z, t in {tuple(r.integers(0, (20, 18, 3, 2))) for _ in range(300)}]
+    image = spark.createDataFrame(image, "x int, y int, z int, frame int, value double")
+    kernel = spark.createDataFrame(cells, "dx int, dy int, dz int, weight double")
+    rows = lambda: {tuple(x)[:4]: x.value for x in volume.smooth(image, kernel).select("frame", "x", "y", "z", "value").collect()}
+    by_axis = rows()
+    monkeypatch.setattr(volume, "rank_one", lambda *a: None)
+    assert by_axis == pytest.approx(rows()) and len(by_axis) == image.count()
