@@ -209,7 +209,7 @@ def _scan(buckets: int, small_group: int):
                             yield from _blocks(ref, held, places, small_group)
                             held.clear(), places.clear()
                             n, classes, ref = 0, 0, ref + HELD_SETS
-                if len(seen) > 1_000_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 yield _batch(rows)
         if held:

@@ -25,7 +25,7 @@ def words_of(text: str) -> list[str]:
 class WordHashes:
     """64-bit hashes of words; those met before are kept, up to a limit."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         self.known: dict[str, bytes] = {}
         self.limit = limit
 
