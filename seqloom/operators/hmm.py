@@ -616,3 +616,74 @@ def definition_text(model: TokenModels, token: str) -> str:
             table[j + 1, j + 3] = skip
     lines += [f"<TransP> {k + 2}", *(" ".join(f"{x:.6e}" for x in row) for row in table), "<EndHMM>"]
     return "\n".join(lines)
+
+
+def models_of_text(text: str) -> TokenModels:
+    """Models from definitions as ``definition_text`` writes them, of any number of tokens.
+
+    All must have the same states, mixtures, width and kind of covariance. Moves other than staying, going on
+    and skipping one state are refused.
+    """
+    words, at = text.split(), 0
+    found: dict[str, tuple[dict, dict, dict, np.ndarray]] = {}
+
+    def number() -> float:
+        nonlocal at
+        at += 1
+        return float(words[at - 1])
+
+    def numbers(n: int) -> np.ndarray:
+        nonlocal at
+        at += n
+        if at > len(words):
+            raise ValueError("a definition ends before its numbers do")
+        return np.array(words[at - n : at], dtype=float)
+
+    state, mixture, mean, spread, weight = 0, 0, {}, {}, {}
+    while at < len(words):
+        word = words[at]
+        at += 1
+        if word == "~h":
+            name, at = words[at].strip('"'), at + 1
+            mean, spread, weight = {}, {}, {}
+        elif word == "<State>":
+            state, mixture = int(number()) - 2, 0
+            weight[state, 0] = 1.0
+        elif word == "<Mixture>":
+            mixture = int(number()) - 1
+            weight[state, mixture] = number()
+        elif word == "<Mean>":
+            mean[state, mixture] = numbers(int(number()))
+        elif word == "<Variance>":
+            spread[state, mixture] = numbers(int(number()))
+        elif word == "<InvCovar>":
+            width = int(number())
+            inverse = np.zeros((width, width))
+            inverse[np.triu_indices(width)] = numbers(width * (width + 1) // 2)
+            spread[state, mixture] = np.linalg.inv(inverse + np.triu(inverse, 1).T)
+        elif word == "<TransP>":
+            n = int(number())
+            found[name] = (mean, spread, weight, numbers(n * n).reshape(n, n))
+    if not found:
+        raise ValueError("no definitions")
+    shapes = {(t.shape[0], tuple(sorted(m)), *(x.shape for x in (*m.values(), *v.values()))) for m, v, _, t in found.values()}
+    if len(shapes) > 1:
+        raise ValueError("definitions of other states, mixtures, width or covariances")
+    k, keys = next(iter(found.values()))[3].shape[0] - 2, sorted(next(iter(found.values()))[0])
+    mixtures = max(m for _, m in keys) + 1
+    if len(keys) != k * mixtures:
+        raise ValueError("states have different numbers of mixtures")
+    grid = lambda part: np.array([[[x[part][j, m] for m in range(mixtures)] for j in range(k)] for x in found.values()])
+    table = np.array([x[3][1:-1, 1:] for x in found.values()])  # from each state, to each state and the exit
+    known = np.zeros(table.shape[1:], dtype=bool)
+    for step in range(3):
+        known |= np.eye(*known.shape, k=step, dtype=bool)
+    if (table[:, ~known] != 0).any():
+        raise ValueError("moves other than staying, going on and skipping one state")
+    skip = np.zeros(table.shape[:2])
+    for j in range(k - 1):
+        skip[:, j] = table[:, j, j + 2]
+    mean, spread = grid(0), grid(1)
+    if mixtures == 1:
+        mean, spread = mean[:, :, 0], spread[:, :, 0]
+    return TokenModels(list(found), mean, spread, np.stack([table[:, j, j] for j in range(k)], axis=1), skip, grid(2))
