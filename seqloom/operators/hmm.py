@@ -373,13 +373,13 @@ class HmmModel(Model):
         t, s = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
         return lambda frames: m.log_density(np.stack([np.asarray(f, dtype=float) for f in frames]), t, s).reshape(len(frames), n, k)
 
-    def _named(self, tokens: list[int]) -> list[str]:
-        names = [self.models.tokens[i] for i in tokens]
-        return [context_parts(x)[1] for x in names] if self.consistent else names
+    def _names(self) -> list[str]:
+        """What each token is called where it is decoded. Tasks get this list, not the model, which may hold DataFrames."""
+        return [context_parts(x)[1] for x in self.models.tokens] if self.consistent else list(self.models.tokens)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """A column ``decoded``: [] without frames, null where no path ends at the end of a token."""
-        densities, (allowed, first, last), penalty = self._frames(), self._allowed(), self.insertion_penalty
+        densities, (allowed, first, last), penalty, names = self._frames(), self._allowed(), self.insertion_penalty, self._names()
         n, k = self.models.means.shape[:2]
         moves = [x.reshape(n, k) for x in _moves(self.models, np.repeat(np.arange(n), k), np.tile(np.arange(k), n))]
 
@@ -391,7 +391,7 @@ class HmmModel(Model):
                     out.append([])
                     continue
                 path = best_tokens(densities(frames), *moves, allowed, first, last, penalty)
-                out.append(None if path is None else self._named(path))
+                out.append(None if path is None else [names[i] for i in path])
             return pd.Series(out)
 
         return dataset.withColumn("decoded", decode("frames"))
@@ -400,7 +400,7 @@ class HmmModel(Model):
         """A column ``decoded``, array<struct<tokens, score>>: the ``n_best`` best different sequences, best
         first, of those that end at the end of a token. ``per_state`` sequences (n_best if None) are held
         in each state; with fewer than n_best the list is not exact."""
-        densities, (allowed, first, last), penalty = self._frames(), self._allowed(), self.insertion_penalty
+        densities, (allowed, first, last), penalty, names = self._frames(), self._allowed(), self.insertion_penalty, self._names()
         n, k = self.models.means.shape[:2]
         moves = [x.reshape(n, k) for x in _moves(self.models, np.repeat(np.arange(n), k), np.tile(np.arange(k), n))]
 
@@ -409,7 +409,7 @@ class HmmModel(Model):
             out = []
             for frames in rows:
                 found = [] if frames is None or not len(frames) else best_sequences(densities(frames), *moves, allowed, first, last, penalty, n_best, per_state or n_best)
-                out.append([{"tokens": self._named(x), "score": float(score)} for x, score in found])
+                out.append([{"tokens": [names[i] for i in x], "score": float(score)} for x, score in found])
             return pd.Series(out)
 
         return dataset.withColumn("decoded", decode("frames"))

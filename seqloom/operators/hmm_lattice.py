@@ -131,7 +131,7 @@ def with_lattices(model: HmmModel, dataset: DataFrame, beam: float = np.inf, lat
     n, k = model.models.means.shape[:2]
     moves = [x.reshape(n, k) for x in _moves(model.models, np.repeat(np.arange(n), k), np.tile(np.arange(k), n))]
     behind = beam if lattice_beam is None else lattice_beam
-    names = [model._named([i])[0] for i in range(n)]
+    names = model._names()
 
     @F.pandas_udf(_FOUND)
     def search(rows: pd.Series) -> pd.DataFrame:

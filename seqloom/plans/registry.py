@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from seqloom.plans import event_queries, image_queries, lattice_queries, letter_queries, metric_queries, recording_queries, series_queries, source_queries, volume_queries  # noqa: F401
+    from seqloom.plans import event_queries, hmm_queries, image_queries, lattice_queries, letter_queries, metric_queries, recording_queries, series_queries, source_queries, volume_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -254,6 +254,7 @@ def test_penalty_tuned_over_folds(spark):
     model = hmm.PenaltyTunedHmm(hmm.HmmTrainer(n_states=2, n_passes=2), n_splits=2, low=-30.0, high=30.0, n_calls=3).fit(df)
     assert model.insertion_penalty == 0.0 and 0 < model.accuracy <= 1
     assert {(x.truth, x.pred) for x in model.confusion.collect()} >= {("a", "a"), ("b", "b")}
+    assert model.transform(df).where("size(decoded) > 0").count() == 24  # though the model holds a DataFrame
 
 
 def test_tuned_decoder(spark):
