@@ -2,7 +2,8 @@
 
 A file is a folder of Parquet parts; each row is one block of whole documents: its part, its place
 in the part, the ids of its documents, their lengths, the packed words and the marks of the spans.
-Rows with equal or null ids are kept (nulls first); a null or empty text has only the end id.
+Rows with equal or null ids are kept (nulls first), in the order of a hash of their texts; a null or
+empty text has only the end id.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ def write_token_files(
 ) -> None:
     """Encode every text, append ``end_id``, and write the blocks to ``path``.
 
-    The texts are dealt out by ranges of the id, so parts follow each other in order. Parts are
-    written by Spark's committer: a lost executor's part is written again.
+    The texts are dealt out by ranges of the id and of a hash of the text, so parts follow each other in
+    order, and rows without an id or with one id go to many parts unless their texts are equal too. Parts
+    are written by Spark's committer: a lost executor's part is written again.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,9 +75,10 @@ def write_token_files(
 
     (
         texts(df, id_col, text_col)
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
-        .withColumn("part", F.spark_partition_id())
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie")
+        .select("doc_id", "text", F.spark_partition_id().alias("part"))
         .mapInArrow(pack, BLOCK)
         .write.option("compression", "none")
         .parquet(path)

@@ -110,6 +110,23 @@ def test_token_files(spark):
     assert token_files.summarise_token_files(spark, empty).collect() == []
 
 
+def test_token_files_of_rows_without_ids(spark):
+    docs = [(None, f"text {i}") for i in range(400)] + [(5, f"other {i}") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    path, again = shared_folder(spark, "test-token-files"), shared_folder(spark, "test-token-files")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if the table were large
+    try:
+        token_files.write_token_files(df, path, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(path).select("part").distinct().count() > 2  # not one part for each id
+    key = lambda r: (r.doc_id, r.start, r.n_tokens, r.ids_crc32)
+    found = sorted(map(key, token_files.summarise_token_files(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in found] == [None] * 400 + [5] * 200 and len({r[3] for r in found}) == 600
+    token_files.write_token_files(df.repartition(7), again, PATH)
+    assert sorted(map(key, token_files.summarise_token_files(spark, again).collect()), key=lambda r: r[1]) == found
+
+
 def test_token_counts(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "FAN", 3)
     end, r = 9, np.random.default_rng(0)
