@@ -1,7 +1,9 @@
 """Hidden Markov models with Gaussian states: training from labelled utterances, and decoding.
 
 An utterance is one row ``utterance_id, frames array<array<double>>, tokens array<string>`` and, where
-it is known, ``ends array<int>``: the frame at which each token ends. Each pass of training sends the
+it is known, ``ends array<int>``: the frame at which each token ends. Utterances with a frame that is null, of another
+width than most or with numbers that are null or not finite can't be trained on, nor those with a null token;
+the former aren't decoded (null), the latter are. Each pass of training sends the
 model (tokens x states x mixtures x width, checked) to the tasks, which give sufficient statistics for
 each token, state and mixture; these are summed by Spark, and the driver gets the sums alone.
 """
@@ -85,15 +87,34 @@ class TokenModels:
         return np.logaddexp.reduce(self.component_density(x, t, s), axis=2)
 
 
+def frame_matrix(frames, width: int) -> np.ndarray | None:
+    """Frames as a matrix; None if one is null, of another width, or has a number that is null or not finite."""
+    if any(f is None or len(f) != width for f in frames):
+        return None
+    x = np.stack([np.asarray(f, dtype=float) for f in frames])
+    return x if np.isfinite(x).all() else None
+
+
+def is_labelled(tokens: str = "tokens") -> Column:
+    """Whether no token is null."""
+    return F.coalesce(F.forall(tokens, lambda t: t.isNotNull()), F.lit(False))
+
+
 def flat_start(utterances: DataFrame, n_states: int = 8, skip: int = 0, floor: float = 1e-3, n_mixtures: int = 1, full: bool = False) -> TokenModels:
-    """All states with the mean and variance of all frames; moves are equally likely, 1 / (skip + 2).
+    """All states with the mean and variance of all frames of utterances that can be used (the width is that of most
+    of their frames); moves are equally likely, 1 / (skip + 2).
 
     Mixtures begin side by side, within half a deviation of the mean, with equal weights; full
     covariances begin without covariance.
     """
-    frames = utterances.select(F.explode("frames").alias("f")).select(F.posexplode("f").alias("d", "v"))
-    rows = frames.groupBy("d").agg(F.avg("v").alias("m"), F.var_pop("v").alias("v")).orderBy("d").collect()  # one row for each dimension
-    tokens = [r[0] for r in utterances.select(F.explode("tokens")).distinct().orderBy("col").toLocalIterator()]
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    one_width = F.array_min(F.transform("frames", F.size)) == F.array_max(F.transform("frames", F.size))
+    usable = F.coalesce(F.forall("frames", lambda f: F.coalesce(F.forall(f, finite), F.lit(False))) & one_width, F.lit(False))
+    frames = utterances.where(usable).select(F.explode("frames").alias("f")).select(F.size("f").alias("w"), F.posexplode("f").alias("d", "v"))
+    found = frames.groupBy("w", "d").agg(F.avg("v").alias("m"), F.var_pop("v").alias("v"), F.count(F.lit(1)).alias("n")).orderBy("w", "d").collect()  # one row for each dimension
+    width = max(found, key=lambda r: (r["n"], r["w"]))["w"] if found else 0
+    rows = [r for r in found if r["w"] == width]
+    tokens = [r[0] for r in utterances.select(F.explode("tokens")).where("col IS NOT NULL").distinct().orderBy("col").toLocalIterator()]
     mean, var = np.array([r["m"] for r in rows]), np.array([max(r["v"], floor) for r in rows])
     if n_mixtures > 1:
         mean = mean + np.linspace(-0.5, 0.5, n_mixtures)[:, None] * np.sqrt(var)
@@ -151,7 +172,9 @@ def _statistics(model: TokenModels, uniform: bool):
             for frames, tokens, ends in zip(batch["frames"], batch["tokens"], batch["ends"], strict=True):
                 if frames is None or tokens is None or not len(frames) or not len(tokens):
                     continue
-                x = np.stack([np.asarray(f, dtype=float) for f in frames])
+                x = frame_matrix(frames, width)
+                if x is None or any(name is None for name in tokens):
+                    continue
                 t, st = model.chain(list(tokens))
                 parts = model.component_density(x, t, st)
                 whole = np.logaddexp.reduce(parts, axis=2)
@@ -302,7 +325,7 @@ class HmmTrainer(Estimator):
         if self.left or self.right:
             named = dataset.withColumn("tokens", contexts_of("tokens", self.left, self.right))
             # as many rows as tokens have neighbours
-            seen = {r[0]: r[1] for r in named.select(F.explode("tokens").alias("t")).groupBy("t").count().toLocalIterator()}
+            seen = {r[0]: r[1] for r in named.where(is_labelled()).select(F.explode("tokens").alias("t")).groupBy("t").count().toLocalIterator()}
             model = with_contexts(model, sorted(seen))
             for _ in range(self.context_passes):
                 model = reestimate(named, model)
@@ -367,18 +390,23 @@ class HmmModel(Model):
         return ok, np.array([not has_left or p[0] is None for p in parts]), np.array([not has_right or p[2] is None for p in parts])
 
     def _frames(self):
-        """A function from frames to the log densities [frame, token, state]."""
+        """A function from frames to the log densities [frame, token, state]; None for frames that can't be used."""
         m = self.models
-        n, k = m.means.shape[:2]
+        n, k, _, width = m.means.shape
         t, s = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
-        return lambda frames: m.log_density(np.stack([np.asarray(f, dtype=float) for f in frames]), t, s).reshape(len(frames), n, k)
+
+        def densities(frames) -> np.ndarray | None:
+            x = frame_matrix(frames, width)
+            return None if x is None else m.log_density(x, t, s).reshape(len(x), n, k)
+
+        return densities
 
     def _names(self) -> list[str]:
         """What each token is called where it is decoded. Tasks get this list, not the model, which may hold DataFrames."""
         return [context_parts(x)[1] for x in self.models.tokens] if self.consistent else list(self.models.tokens)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        """A column ``decoded``: [] without frames, null where no path ends at the end of a token."""
+        """A column ``decoded``: [] without frames, null where no path ends at the end of a token or a frame can't be used."""
         densities, (allowed, first, last), penalty, names = self._frames(), self._allowed(), self.insertion_penalty, self._names()
         n, k = self.models.means.shape[:2]
         moves = [x.reshape(n, k) for x in _moves(self.models, np.repeat(np.arange(n), k), np.tile(np.arange(k), n))]
@@ -390,7 +418,8 @@ class HmmModel(Model):
                 if frames is None or not len(frames):
                     out.append([])
                     continue
-                path = best_tokens(densities(frames), *moves, allowed, first, last, penalty)
+                b = densities(frames)
+                path = None if b is None else best_tokens(b, *moves, allowed, first, last, penalty)
                 out.append(None if path is None else [names[i] for i in path])
             return pd.Series(out)
 
@@ -408,7 +437,8 @@ class HmmModel(Model):
         def decode(rows: pd.Series) -> pd.Series:
             out = []
             for frames in rows:
-                found = [] if frames is None or not len(frames) else best_sequences(densities(frames), *moves, allowed, first, last, penalty, n_best, per_state or n_best)
+                b = None if frames is None or not len(frames) else densities(frames)
+                found = [] if b is None else best_sequences(b, *moves, allowed, first, last, penalty, n_best, per_state or n_best)
                 out.append([{"tokens": [names[i] for i in x], "score": float(score)} for x, score in found])
             return pd.Series(out)
 
@@ -511,7 +541,7 @@ class PenaltyTunedHmm(Estimator):
     """The insertion penalty with the best mean accuracy over folds of utterances, and a model of all of them.
 
     A trainer is fitted for each fold; penalties are searched (``search``) on what was left out. A
-    decoded utterance of another length than its tokens counts as wrong. The model has ``confusion``:
+    decoded utterance of another length than its tokens counts as wrong, one with a null token isn't counted. The model has ``confusion``:
     truth, pred, n over all folds, of utterances of the right length.
     """
 
@@ -529,7 +559,7 @@ class PenaltyTunedHmm(Estimator):
         def decoded(penalty: float) -> DataFrame:
             out = None
             for f, m in models.items():
-                part = HmmModel(m.models, penalty, m.follows, m.consistent).transform(rows.where(F.col("fold") == f))
+                part = HmmModel(m.models, penalty, m.follows, m.consistent).transform(rows.where((F.col("fold") == f) & is_labelled()))
                 out = part if out is None else out.unionByName(part)
             return out.select("fold", "tokens", "decoded")
 
