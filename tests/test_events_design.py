@@ -117,3 +117,15 @@ def test_boxes_are_what_their_samples_give(spark, method):
     of = lambda df: {(r.run_id, r.trial_type, r.frame, r.basis_idx): r.value for r in df.collect()}
     a, b = of(want), of(got)
     assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-9 for k in a) and len(a) > 100
+
+
+def test_tasks_of_event_queries_grow_with_the_events(spark, monkeypatch):
+    """Spark would join these small partitions to a few, however many events there are."""
+    from seqloom.plans import registry, views
+
+    monkeypatch.setattr(views, "EVENTS_PER_TASK", 20)
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert n > 20 * 40
+    for name in ("onset_variable_epoch", "onset_impulse", "onset_nonlinear", "design_convolved"):
+        found = registry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert found.rdd.getNumPartitions() >= n / 20, name
