@@ -10,8 +10,9 @@ each token, state and mixture; these are summed by Spark, and the driver gets th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -282,8 +283,9 @@ def token_spans(utterances: DataFrame) -> DataFrame:
 
 
 def contexts_of(tokens: Column | str, left: bool = True, right: bool = True) -> Column:
-    """An array of tokens with their neighbours: l-c+r; without a neighbour that part is missing."""
-    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    """An array of tokens with their neighbours: l-c+r; without a neighbour that part is missing. A backslash stands
+    before each -, + and backslash that is a token's own (``context_name``)."""
+    t = F.transform(F.col(tokens) if isinstance(tokens, str) else tokens, lambda x: F.regexp_replace(x, r"([-+\\])", r"\\$1"))
     before = lambda i: F.coalesce(F.concat(F.get(t, i - 1), F.lit("-")), F.lit("")) if left else F.lit("")
     after = lambda i: F.coalesce(F.concat(F.lit("+"), F.get(t, i + 1)), F.lit("")) if right else F.lit("")
     return F.transform(t, lambda x, i: F.concat(before(i), x, after(i)))
@@ -326,7 +328,7 @@ class HmmTrainer(Estimator):
             named = dataset.withColumn("tokens", contexts_of("tokens", self.left, self.right))
             # as many rows as tokens have neighbours
             seen = {r[0]: r[1] for r in named.where(is_labelled()).select(F.explode("tokens").alias("t")).groupBy("t").count().toLocalIterator()}
-            model = with_contexts(model, sorted(seen))
+            model = with_contexts(replace(model, tokens=[context_name(t) for t in model.tokens]), sorted(seen))
             for _ in range(self.context_passes):
                 model = reestimate(named, model)
             if self.tree is not None:
@@ -359,11 +361,23 @@ def with_start(model: TokenModels, start: TokenModels) -> TokenModels:
     return out
 
 
+def context_name(token: str) -> str:
+    """A token as it stands in names with neighbours."""
+    return re.sub(r"([-+\\])", r"\\\1", token)
+
+
 def context_parts(token: str) -> tuple[str | None, str, str | None]:
     """Left neighbour, token, right neighbour; None where the name has none."""
-    left, _, rest = token.rpartition("-")
-    centre, _, right = rest.partition("+")
-    return left or None, centre, right or None
+    parts = {"": ""}
+    for mark, text in re.findall(r"([-+]?)((?:[^-+\\]|\\.)*)", token, re.DOTALL):
+        text = re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+        if mark == "-":  # what came before is the left neighbour
+            parts["left"], parts[""] = parts[""], text
+        elif mark == "+":
+            parts["right"] = text
+        else:
+            parts[""] += text
+    return parts.get("left") or None, parts[""], parts.get("right") or None
 
 
 class HmmModel(Model):
@@ -599,19 +613,19 @@ def with_contexts(model: TokenModels, contexts: list[str]) -> TokenModels:
     """The model with a copy of the centre token's parameters for each context token."""
     at = {t: i for i, t in enumerate(model.tokens)}
     new = [c for c in dict.fromkeys(contexts) if c not in at]
-    picks = np.array([at[c.split("-", 1)[-1].split("+", 1)[0]] for c in new], dtype=int)
+    picks = np.array([at[context_name(context_parts(c)[1])] for c in new], dtype=int)
     join = lambda x: np.concatenate([x, x[picks]])
     return TokenModels([*model.tokens, *new], *map(join, (model.mean, model.variance, model.stay, model.skip, model.weight)))
 
 
 def tie_states(model: TokenModels, counts: dict[str, float], least: float = 10.0) -> TokenModels:
     """Context tokens seen fewer than ``least`` times share the count-weighted states of their centre."""
-    centre = lambda c: c.split("-", 1)[-1].split("+", 1)[0]
     out = model.copy()
     groups: dict[str, list[int]] = {}
     for i, t in enumerate(model.tokens):
-        if centre(t) != t and counts.get(t, 0) < least:
-            groups.setdefault(centre(t), []).append(i)
+        left, centre, right = context_parts(t)
+        if (left or right) and counts.get(t, 0) < least:
+            groups.setdefault(centre, []).append(i)
     for rare in groups.values():
         w = np.array([max(counts.get(model.tokens[i], 0), 1e-3) for i in rare])
         for a in (out.mean, out.variance, out.stay, out.skip, out.weight):

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from seqloom.operators import hmm
 from seqloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +53,22 @@ def test_odd_rows_in_summaries(spark, odd, name):
     else:
         assert {r["beam"] for r in found} == {r["beam"] for r in want}
         assert all(r["recall"] <= 1 and r["links"] > 0 for r in found)
+
+
+def test_labels_below_zero_have_contexts(spark, tmp_path):
+    """Their tokens hold the sign that divides a name from its left neighbour."""
+    shutil.copytree(SF, tmp_path / "t")
+    table = pq.read_table(f"{SF}/embeddings.parquet")
+    rows = [r | {"label": -1 - r["label"]} for r in table.to_pylist()]
+    (tmp_path / "t/embeddings.parquet").chmod(0o644)
+    pq.write_table(pa.Table.from_pylist(rows, schema=table.schema), tmp_path / "t/embeddings.parquet")
+    found = QUERIES["hmm_contexts"](spark, str(tmp_path / "t")).collect()
+    assert len(found) == len(rows)
+    assert {t for r in found for t in (r["decoded"] or "").split()} <= {"0", "-1", "-2", "3", "4"}
+    assert any("-" in (r["decoded"] or "") for r in found)
+
+
+def test_names_with_neighbours_are_read_back():
+    for left, centre, right in [(None, "-1", None), ("-1", "+2", "a-b"), ("a", "b", None), (None, "b\\", "\\+"), ("-", "-", "-")]:
+        name = (hmm.context_name(left) + "-" if left else "") + hmm.context_name(centre) + ("+" + hmm.context_name(right) if right else "")
+        assert hmm.context_parts(name) == (left, centre, right)
