@@ -1,13 +1,14 @@
-"""Operator 6: main text of web pages, by structure and by differences between nearest pages.
+"""Operator 6: main text of web pages, by differences between nearest pages and by structure.
 
-Each page is cut into lines (the text of one block). Lines in elements that are never content
-(menus, forms, adverts, comments ...) go; where a page marks its article, the lines in it stay
-and the others go. Lines of pages without such a mark are undecided: such pages are sorted by
-host and URL path, each is aligned with the pages before and after it on its host by the longest
-common subsequence of lines, and lines that they share are deleted as the site's own.
+Each page is cut into lines (the text of one block). All pages are sorted by host and URL path, each is
+aligned with the pages before and after it on its host by the longest common subsequence of lines, and lines
+that they share are the site's own; lines that a neighbour marks as its article are not asked for. A check by
+the page's marks follows: lines in elements that are never content (menus, forms, adverts, comments ...) go even
+if they differ, and where a page marks its article, the lines in it stay even if a neighbour has them, and the
+others go. Of pages without such a mark the shared lines go.
 
 Differences alone can't give the right text where menus, adverts and footers change from page to
-page, or where neighbours carry copies of one article; so marked articles are left as they are.
+page, or where neighbours carry copies of one article; hence the check.
 Pages are sorted over ranges, and the pages at the ends of ranges are compared across the border,
 so the result doesn't depend on where ranges end.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import html
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import materialise, tasks
+from seqloom.llm.common import if_small, materialise, tasks
 
 #: The attributes of a tag: a value is quoted only if it begins with a quote. Nothing is tried twice.
 _ATTRIBUTES = r"(?>(?:=\s*(?>\"[^\"]*\"|'[^']*'|[^\s>]*)|[^>=])*)"
@@ -258,28 +260,37 @@ class _Reader:
         self.stack.append(_Element(name, start, watched, state.unshown or name in _UNSHOWN, inline, loose, article, main, reason, reason != state.reason))
         self.counts[name] = self.counts.get(name, 0) + 1
 
-    def kept(self) -> tuple[list[str], bool]:
-        """The lines of the article, or of main, or all that aren't left out, and whether marks decide."""
+    def kept(self) -> tuple[list[int], bool]:
+        """Places of the lines of the article, or of main, or all that aren't left out, and whether marks decide."""
         by_name, by_any = [], []
         for r in self.reasons:
             by_any.append(r.holds and (r.around < 0 or by_any[r.around]))
             by_name.append(r.holds and not r.by_tag and (r.around < 0 or by_name[r.around]))
-        clean = [x for x in self.lines if x[1] < 0]
-        named = [x for x in self.lines if x[1] < 0 or by_name[x[1]]]
-        lifted = [x for x in self.lines if x[1] < 0 or by_any[x[1]]]
+        clean = [k for k, x in enumerate(self.lines) if x[1] < 0]
+        named = [k for k, x in enumerate(self.lines) if x[1] < 0 or by_name[x[1]]]
+        lifted = [k for k, x in enumerate(self.lines) if x[1] < 0 or by_any[x[1]]]
         article, main = 2, 3
         for some, mark in ((clean, article), (named, article), (clean, main), (named, main), (lifted, article), (lifted, main)):
-            found = [x[0] for x in some if x[mark]]
+            found = [k for k in some if self.lines[k][mark]]
             if found:
                 return found, True
-        return [x[0] for x in clean], False
+        return clean, False
 
 
-def _reading(page: str, names: bool) -> tuple[list[str], bool]:
+def _reading(page: str, names: bool) -> _Reader:
     first = _Reader(page, names, frozenset()).read()
-    if first.missed:
-        first = _Reader(page, names, frozenset(first.missed)).read()
-    return first.kept()
+    return _Reader(page, names, frozenset(first.missed)).read() if first.missed else first
+
+
+def cut_page(page: str) -> tuple[list[str], list[int], bool]:
+    """All lines of a page that are shown, in page order, and what ``lines_of`` tells of them: the places of those that
+    can be content, and whether marks decide."""
+    found = _reading(page, True)
+    places, sure = found.kept()
+    if not places:
+        found = _reading(page, False)
+        places, sure = found.kept()[0], False
+    return [x[0] for x in found.lines], places, sure
 
 
 def lines_of(page: str) -> tuple[list[str], bool]:
@@ -292,10 +303,8 @@ def lines_of(page: str) -> tuple[list[str], bool]:
     they count for nothing. An element without an end of its own leaves out what comes before the next
     paragraph, heading or article, or, where it is not one that holds blocks, before the next block.
     """
-    lines, sure = _reading(page, True)
-    if lines:
-        return lines, sure
-    return _reading(page, False)[0], False
+    lines, places, sure = cut_page(page)
+    return [lines[k] for k in places], sure
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
@@ -340,68 +349,106 @@ def host_and_path(url: str) -> tuple[str, str]:
 
 
 _LINES = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("decided", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string()))]
-)
-_LINES_DDL = "page_id long, url string, decided boolean, host string, path string, lines array<string>"
+    [("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("decided", pa.bool_()), ("host", pa.string()), ("path", pa.string()),
+     ("lines", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("marks", pa.list_(pa.int64()))]
+)
+#: ``lines`` are those that can be content, ``places`` where they stand among all lines, ``marks`` hashes of all lines.
+_LINES_DDL = "row long, page_id long, url string, decided boolean, host string, path string, lines array<string>, places array<int>, marks array<long>"
+#: Rows of a batch that a task gives.
+_ROWS = 128
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            some = batch.slice(lo, 512)
-            places = [host_and_path(u or "") for u in some.column(1).to_pylist()]
-            cut = [lines_of(p or "") for p in some.column(2).to_pylist()]
-            columns = [some.column(0), some.column(1), [d for _, d in cut], [h for h, _ in places], [p for _, p in places], [x for x, _ in cut]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(rows, _ROWS)):
+        yield _batch(some, schema)
+
 
+def _mark(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-_MET = pa.schema([*_LINES, ("part", pa.int32()), ("edge", pa.int32()), ("marks", pa.list_(pa.int64())), ("gone", pa.list_(pa.int32()))])
-_MET_DDL = f"{_LINES_DDL}, part int, edge int, marks array<long>, gone array<int>"
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _ROWS):
+                for row in batch.slice(lo, _ROWS).to_pylist():
+                    lines, places, sure = cut_page(row["html"] or "")
+                    host, path = host_and_path(row["url"] or "")
+                    yield {"row": row["row"], "page_id": row["page_id"], "url": row["url"], "decided": sure, "host": host, "path": path,
+                           "lines": [lines[k] for k in places], "places": places, "marks": [_mark(x) for x in lines]}
+
+    return _batches(rows(), _LINES)
+
+
+_MET = pa.schema(
+    [("row", pa.int64()), ("decided", pa.bool_()), ("host", pa.string()), ("places", pa.list_(pa.int32())), ("marks", pa.list_(pa.int64())),
+     ("part", pa.int32()), ("edge", pa.int32()), ("asked", pa.list_(pa.int64())), ("gone", pa.list_(pa.int32()))]
+)
+_MET_DDL = "row long, decided boolean, host string, places array<int>, marks array<long>, part int, edge int, asked array<long>, gone array<int>"
+_GONE = pa.schema([("row", pa.int64()), ("gone", pa.list_(pa.int32()))])
 #: Which end of its range a page stands at; a page alone in its range is both.
 FIRST, LAST = 1, 2
 
 
-def _row(row: dict, lines: list[str], schema: pa.Schema, **more) -> pa.RecordBatch:
-    whole = {**row, "decided": True, "lines": lines, **more}
-    return pa.RecordBatch.from_arrays([pa.array([whole[f.name]], f.type) for f in schema], schema=schema)
+def _asked(row: dict) -> list[int]:
+    """The lines of a page that its neighbours are asked for: all but those that marks tell to be its article."""
+    if not row["decided"]:
+        return row["marks"]
+    known = set(row["places"])
+    return [m for k, m in enumerate(row["marks"]) if k not in known]
+
+
+def _checked(row: dict, gone: set[int]) -> list[int]:
+    """The places that go of those that can be content: what is shared, but for a marked article."""
+    return [] if row["decided"] else [k for k in row["places"] if k in gone]
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of one range in order of host and path, each without the lines it shares with the
-    pages beside it; at most two pages are held. The first and last page of the range keep all
-    lines and tell which are to go so far."""
-    held: list[tuple[dict, list[int], set[int], int]] = []
-
-    def out(row, marks, gone, edge):
-        if edge:
-            return _row(row, row["lines"], _MET, edge=edge, marks=marks, gone=sorted(gone))
-        return _row(row, [x for k, x in enumerate(row["lines"]) if k not in gone], _MET, edge=0, marks=[], gone=[])
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            marks = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in row["lines"]]
-            gone: set[int] = set()
-            edge = 0 if held else FIRST
-            if held:
-                before, marks_before, gone_before, edge_before = held.pop()
-                if before["host"] == row["host"] and row["host"]:
-                    gone_before |= common_lines(marks_before, marks)
-                    gone |= common_lines(marks, marks_before)
-                yield out(before, marks_before, gone_before, edge_before)
-            held.append((row, marks, gone, edge))
-    for row, marks, gone, edge in held:
-        yield out(row, marks, gone, edge | LAST)
+    """For pages of one range in order of host and path, which lines go because the pages beside them have
+    them; two pages and a batch are held. Pages of which none go have no row. The first and last page of the range tell
+    which are shared so far, and their lines."""
+
+    def rows() -> Iterator[dict]:
+        held: tuple[dict, list[int], set[int], int] | None = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _ROWS):
+                for row in batch.slice(lo, _ROWS).to_pylist():
+                    asked, gone = _asked(row), set()
+                    if held:
+                        before, asked_before, gone_before, edge = held
+                        if before["host"] == row["host"] and row["host"]:
+                            gone_before |= common_lines(before["marks"], asked)
+                            gone |= common_lines(row["marks"], asked_before)
+                        if edge:
+                            yield {**before, "edge": edge, "asked": asked_before, "gone": sorted(gone_before)}
+                        elif found := _checked(before, gone_before):
+                            yield {**before, "places": [], "marks": [], "edge": 0, "asked": [], "gone": found}
+                    held = row, asked, gone, 0 if held else FIRST
+        if held:
+            row, asked, gone, edge = held
+            yield {**row, "edge": edge | LAST, "asked": asked, "gone": sorted(gone)}
+
+    return _batches(rows(), _MET)
 
 
 def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pages at the ends of ranges against those across the border."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            gone = set(row["gone"])
-            for beside, end in ((row.pop("before"), FIRST), (row.pop("after"), LAST)):
-                if beside and row["edge"] & end and beside["host"] == row["host"] and row["host"]:
-                    gone |= common_lines(row["marks"], beside["marks"])
-            yield _row(row, [x for k, x in enumerate(row["lines"]) if k not in gone], _LINES)
+
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                gone = set(row["gone"])
+                for beside, end in ((row["before"], FIRST), (row["after"], LAST)):
+                    if beside and row["edge"] & end and beside["host"] == row["host"] and row["host"]:
+                        gone |= common_lines(row["marks"], beside["asked"])
+                if found := _checked(row, gone):
+                    yield {"row": row["row"], "gone": found}
+
+    return _batches(rows(), _GONE)
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -413,17 +460,18 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     only if no mark tells that they are content. Other columns are ignored.
     """
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    cut = materialise(pages.mapInArrow(_cut, _LINES_DDL), "page-lines")
-    open_ = cut.where("NOT decided AND size(lines) > 0")
+    cut = materialise(pages.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut, _LINES_DDL), "page-lines")
     order = ["host", "path", "page_id"]
-    ranges = open_.repartitionByRange(tasks(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # hashes of lines alone are sorted; the lines stay where they are
+    ranges = cut.drop("url", "lines").repartitionByRange(tasks(df.sparkSession), *order).sortWithinPartitions(*order)
+    ranges = ranges.select("row", "decided", "host", "places", "marks", F.spark_partition_id().alias("part"))
     met = materialise(ranges.mapInArrow(_difference, _MET_DDL), "page-ranges")
     # two pages of each range at most, whatever the number of pages
     across = Window.orderBy("part", "edge")
-    beside = F.struct("host", "marks")
+    beside = F.struct("host", "asked")
     edges = met.where("edge > 0").withColumn("before", F.lag(beside).over(across)).withColumn("after", F.lead(beside).over(across))
-    columns = _LINES.names
-    different = met.where("edge = 0").select(*columns).unionByName(edges.mapInArrow(_at_edges, _LINES_DDL))
-    found = cut.where("decided OR size(lines) = 0").unionByName(different)
-    text = F.array_join("lines", "\n")
+    gone = materialise(met.where("edge = 0").select("row", "gone").unionByName(edges.mapInArrow(_at_edges, "row long, gone array<int>")), "page-gone")
+    found = cut.join(if_small(gone), "row", "left")
+    own = F.filter("lines", lambda x, k: ~F.array_contains("gone", F.get("places", k)))
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(own), "\n")
     return found.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))

@@ -139,3 +139,13 @@ def test_pages_without_marks_from_several_hosts(spark):
         want[k] = "\n".join(body)
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
     assert {x.page_id: x.text for x in main_text(df).collect()} == want
+
+
+def test_pages_with_marks_are_compared_too(spark):
+    """A page without marks loses what a marked neighbour has outside its article, and keeps what is in it."""
+    rows = [(1, "https://a.org/1", "<div>Home</div><article><p>one</p><p>both</p></article><div>Legal</div>"),
+            (2, "https://a.org/2", "<div>Home</div><p>two</p><p>both</p><div>Legal</div>"),
+            (3, "https://a.org/3", "<div>Home</div><article><p>three</p></article><div>Legal</div>")]
+    for n in (1, 3):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+        assert {r.page_id: r.text for r in main_text(df).collect()} == {1: "one\nboth", 2: "two\nboth", 3: "three"}
