@@ -3,6 +3,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.operators import decoding, language, letters
 
@@ -214,3 +215,14 @@ def test_interpolated_model_of_order_3(spark):
         gamma = sum(d[min(v, 3) - 1] for v in after) / sum(after)
         assert known[3, (a, b), c].p == pytest.approx((m - d[min(m, 3) - 1]) / sum(after) + gamma * p((b,), c))
     assert language.interpolated_model(spark.createDataFrame([], "tokens array<string>"), 2).collect() == []
+
+
+def test_discounted_probabilities_read_the_texts_once(spark, tmp_path):
+    """What is given back reads the written counts alone."""
+    folder = str(tmp_path / "texts")
+    spark.createDataFrame([("a b a b c",), ("a c",)], "text string").write.parquet(folder)
+    counts = language.ngram_counts(spark.read.parquet(folder).select(language.tokens(F.col("text")).alias("tokens")), 2)
+    found = language.discounted_probabilities(counts)
+    assert not any("texts" in f.rsplit("/", 2)[-2] for f in found.inputFiles())
+    # three grams are counted once and one twice, so one count is worth 2 / 3
+    assert {(r.history, r.next, round(r.p, 6)) for r in found.collect()} == {("a", "b", 0.666667), ("a", "c", 0.222222), ("b", "a", 0.333333), ("b", "c", 0.333333)}
