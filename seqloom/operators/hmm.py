@@ -202,12 +202,14 @@ def _statistics(model: TokenModels, uniform: bool):
                 np.add.at(skip, (t, st), skips)
                 loglik, count = loglik + ll, count + 1
         used = np.argwhere(n > 0)
+        if not len(used):
+            return  # a task without rows to train on; lists of a frame without rows have no type
         lead = (used[:, 2] == n.argmax(axis=2)[tuple(used[:, :2].T)]).astype(float)  # moves are told once for each state
         yield pd.DataFrame({
             "token": [model.tokens[i] for i, *_ in used], "state": [int(j) for _, j, _ in used], "mixture": [int(m) for *_, m in used], "n": n[tuple(used.T)],
             "s": [s[tuple(u)] for u in used], "ss": [ss[tuple(u)].ravel() for u in used],
             "stay": stay[tuple(used[:, :2].T)] * lead, "skip": skip[tuple(used[:, :2].T)] * lead,
-            "loglik": loglik if len(used) else np.zeros(0), "utterances": count if len(used) else np.zeros(0, dtype=int),
+            "loglik": loglik, "utterances": count,
         })
 
     return run

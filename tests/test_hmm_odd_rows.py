@@ -55,6 +55,25 @@ def test_odd_rows_in_summaries(spark, odd, name):
         assert all(r["recall"] <= 1 and r["links"] > 0 for r in found)
 
 
+@pytest.mark.parametrize("name", ["hmm_decode", "hmm_definitions", "hmm_lattice", "hmm_n_best", "hmm_rescored"])
+def test_tasks_without_rows_end_no_query(spark, tmp_path, name):
+    """A split of a file that begins no row group is a task without rows; so is a table without rows."""
+    settings = {"spark.sql.files.maxPartitionBytes": "32k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    want = QUERIES[name](spark, SF).count()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert QUERIES[name](spark, SF).count() == want > 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    shutil.copytree(SF, tmp_path / "t")
+    (tmp_path / "t/embeddings.parquet").chmod(0o644)
+    pq.write_table(pq.read_table(f"{SF}/embeddings.parquet").slice(0, 0), tmp_path / "t/embeddings.parquet")
+    assert QUERIES[name](spark, str(tmp_path / "t")).collect() == []
+
+
 def test_labels_below_zero_have_contexts(spark, tmp_path):
     """Their tokens hold the sign that divides a name from its left neighbour."""
     shutil.copytree(SF, tmp_path / "t")
