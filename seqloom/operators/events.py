@@ -137,11 +137,11 @@ def _nonlinear(events: DataFrame, run_len_s: float, resolution_s: float) -> Data
     power = F.exp(F.lit(SATURATION_DECAY) * (F.col("t") - _BLOCK * (F.col("block") + 1)))
     impulses = impulses.withColumn("power", power)
     earlier = Window.partitionBy(*keys, "block").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    carried = impulses.groupBy(*keys, (F.col("block") + 1).alias("block")).agg(
-        (F.sum("power") * math.exp(-SATURATION_DECAY * _BLOCK)).alias("carried")
-    )
-    past = F.coalesce(F.sum("power").over(earlier), F.lit(0.0)) + F.coalesce("carried", F.lit(0.0))
-    left = F.greatest(F.lit(0.0), 1 - saturation(F.col("first")) * past / F.col("power"))
-    values = impulses.join(carried, [*keys, "block"], "left").withColumn("value", left)
+    # the sort of the first window serves the second, so rows are neither read twice nor joined
+    block_before = Window.partitionBy(*keys).orderBy("block").rangeBetween(-1, -1)
+    summed = impulses.withColumn("past", F.coalesce(F.sum("power").over(earlier), F.lit(0.0)))
+    carried = F.coalesce(F.sum("power").over(block_before), F.lit(0.0)) * math.exp(-SATURATION_DECAY * _BLOCK)
+    left = F.greatest(F.lit(0.0), 1 - saturation(F.col("first")) * (F.col("past") + carried) / F.col("power"))
+    values = summed.withColumn("value", left)
     inside = values.where((F.col("sample") >= 0) & (F.col("sample") < int(run_len_s / resolution_s)))
     return inside.groupBy(*keys, "sample").agg(F.max_by("value", "t").alias("value"))

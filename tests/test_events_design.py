@@ -129,3 +129,20 @@ def test_tasks_of_event_queries_grow_with_the_events(spark, monkeypatch):
     for name in ("onset_variable_epoch", "onset_impulse", "onset_nonlinear", "design_convolved"):
         found = registry.queries()[name](spark, "/root/testdata/sf0.001")
         assert found.rdd.getNumPartitions() >= n / 20, name
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nonlinear_onsets_read_the_events_once(spark):
+    """What a block hands to the next comes from a window; a join would sort and shuffle all impulses twice."""
+    rows = [(1, "t", 0, 2.0, 3.0), (1, "t", 1, 254.0, 4.0), (1, "t", 2, 600.0, 1.0), (2, "t", 0, 257.0, 1.0), (2, "u", 0, 10.0, 1.0)]
+    merged = spark.createDataFrame(rows, "run_id int, trial_type string, event_idx long, onset_s double, duration_s double")
+    found = events.sampled_onsets(merged, 720, 1.0)
+    assert "Join" not in _plan(found)
+    value = {(r.run_id, r.trial_type, r.sample): r.value for r in found.collect()}
+    seconds = [(2, 1), (3, 0), (4, 0), (254, 1), (255, 0), (256, 0), (257, 0), (600, 1)]  # with whether an event begins
+    past = lambda t, first: sum((1 - 0.6658) * math.exp(-0.7 * (t + first - s - 1)) for s, _ in seconds if s < t)
+    want = {(1, "t", t): max(0, 1 - past(t, first)) for t, first in seconds} | {(2, "t", 257): 1.0, (2, "u", 10): 1.0}
+    assert value == pytest.approx(want, abs=1e-9)
