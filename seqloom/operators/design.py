@@ -154,10 +154,13 @@ def convolve_epochs(
 
 
 def stimulus_design(
-    spark: SparkSession, stimuli: DataFrame, n_frames: int, sampling_hz: float, cutoff_hz: float = 1 / 128, resolution_s: float = 0.1
-) -> DataFrame:
+    spark: SparkSession, stimuli: DataFrame, n_frames: int, sampling_hz: float, cutoff_hz: float = 1 / 128, resolution_s: float = 0.1,
+    digits: int | None = None,
+) -> DataFrame:
     """Long design of unit impulses at the stimuli (run_id, trial_type, onset_s), three responses each,
-    and drift: run_id, frame, regressor, value. An impulse stands at the sample at or after its time."""
+    and drift: run_id, frame, regressor, value. An impulse stands at the sample at or after its time.
+    With ``digits`` values are rounded where they are made: those of the drift once, not for each run."""
+    short = lambda c: c if digits is None else F.round(c, digits)
     frame_s = 1 / sampling_hz
     run_len_s = n_frames * frame_s
     impulses = stimuli.select(
@@ -165,8 +168,8 @@ def stimulus_design(
     ).distinct()
     basis = scaled_basis(response_basis(spark, resolution_s))
     shaped = convolve(impulses, basis, frame_s, run_len_s, resolution_s)
-    named = shaped.select(RUN, "frame", F.concat_ws("_", "trial_type", "basis_idx").alias("regressor"), "value")
-    drift = drift_basis(spark, n_frames, frame_s, cutoff_hz).select("frame", F.concat(F.lit("drift_"), "k").alias("regressor"), "value")
+    named = shaped.select(RUN, "frame", F.concat_ws("_", "trial_type", "basis_idx").alias("regressor"), short(F.col("value")).alias("value"))
+    drift = drift_basis(spark, n_frames, frame_s, cutoff_hz).select("frame", F.concat(F.lit("drift_"), "k").alias("regressor"), short(F.col("value")).alias("value"))
     runs = stimuli.select(RUN).distinct()
     return named.unionByName(runs.crossJoin(F.broadcast(drift)).select(RUN, "frame", "regressor", "value"))
 

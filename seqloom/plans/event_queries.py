@@ -152,7 +152,7 @@ SELECT run_id, frame, regressor, round(value, 6) AS value FROM shaped
 UNION ALL SELECT run_id, frame, 'drift_' || k, round(value, 6) FROM (SELECT DISTINCT run_id FROM e) CROSS JOIN drift""")
 def stimulus_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     stimuli = event_rows(spark, sf_dir).withColumnRenamed("onset", "onset_s")
-    return rounded(design.stimulus_design(spark, stimuli, 360, 0.5, resolution_s=1.0), "value")
+    return design.stimulus_design(spark, stimuli, 360, 0.5, resolution_s=1.0, digits=6)
 
 
 @query("contrasts", f"""WITH {EVENTS_SQL},

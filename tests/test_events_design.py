@@ -146,3 +146,13 @@ def test_nonlinear_onsets_read_the_events_once(spark):
     past = lambda t, first: sum((1 - 0.6658) * math.exp(-0.7 * (t + first - s - 1)) for s, _ in seconds if s < t)
     want = {(1, "t", t): max(0, 1 - past(t, first)) for t, first in seconds} | {(2, "t", 257): 1.0, (2, "u", 10): 1.0}
     assert value == pytest.approx(want, abs=1e-9)
+
+
+def test_drift_is_rounded_once_for_all_runs(spark):
+    stimuli = spark.createDataFrame([(1, "t", 2.0), (2, "u", 7.0)], "run_id int, trial_type string, onset_s double")
+    plain = design.stimulus_design(spark, stimuli, 360, 0.5, resolution_s=1.0)
+    short = design.stimulus_design(spark, stimuli, 360, 0.5, resolution_s=1.0, digits=6)
+    want = plain.withColumn("value", F.round("value", 6))
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, want.collect()))
+    join = _plan(short).split("Join", 1)[1]  # of runs with the drift
+    assert "round(" in join and "round(" not in _plan(plain)
