@@ -42,6 +42,20 @@ def without_overlap(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mask_minus(a, b), mask_minus(b, a)
 
 
+def pairs_without_overlap(stack: DataFrame, region: str = "region_idx") -> DataFrame:
+    """Each pair of regions a < b of a stack without the cells that both have: a, b, region, x, y, z.
+
+    A cell's regions stand in one row, so all pairs take one grouping. A cell that lacks a coordinate is no
+    other's equal and stays.
+    """
+    lacking = F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
+    cells = stack.groupBy(*XYZ, F.when(lacking, F.col(region)).alias("__own")).agg(F.collect_set(region).alias("__here"))
+    regions = stack.agg(F.collect_set(region).alias("__all"))
+    each = cells.crossJoin(F.broadcast(regions)).select(*XYZ, F.explode("__here").alias(region), F.array_except("__all", "__here").alias("__others"))
+    each = each.withColumn("__other", F.explode("__others"))
+    return each.select(F.least(region, "__other").alias("a"), F.greatest(region, "__other").alias("b"), region, *XYZ)
+
+
 def mask_range(mask: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Bounding box of each key's cells; keys without cells have no row."""
     ends = [f(c).alias(f"{n}_{c}") for c in XYZ for n, f in (("min", F.min), ("max", F.max))]

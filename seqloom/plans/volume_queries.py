@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import design, volume
 from seqloom.plans.registry import query
 from seqloom.plans.views import CELLS_SQL, REGIONS_SQL, cells, region_t, rounded, series
+from seqloom.sources.storage import cut_lineage
 
 _XYZ = ("x", "y", "z")
 
@@ -57,15 +56,8 @@ SELECT a, b, region_idx, x, y, z FROM p JOIN m ON m.region_idx IN (a, b)
 WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.region_idx = a + b - m.region_idx AND o.x = m.x AND o.y = m.y AND o.z = m.z)""")
 def mask_without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of regions (a, b) without the cells that both have."""
-    roi = _roi(spark, sf_dir).select("region_idx", *_XYZ).distinct()
-    found = None
-    for a, b in combinations(range(8), 2):  # the view has eight regions
-        parts = volume.without_overlap(roi.where(F.col("region_idx") == a), roi.where(F.col("region_idx") == b))
-        pair = parts[0].unionByName(parts[1]).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "region_idx", *_XYZ)
-        found = pair if found is None else found.unionByName(pair)
-    # pairs of which one region has no cells aren't pairs
-    there = roi.select("region_idx").distinct()
-    return found.join(there.select(F.col("region_idx").alias("a")), "a", "left_semi").join(there.select(F.col("region_idx").alias("b")), "b", "left_semi")
+    roi = cut_lineage(_roi(spark, sf_dir).select("region_idx", *_XYZ).distinct(), "regions")
+    return volume.pairs_without_overlap(roi)
 
 
 _COMPONENTS_SQL = f"""WITH RECURSIVE {_ROI_SQL},

@@ -151,3 +151,17 @@ def test_kernels_by_axis(spark, monkeypatch):
     by_axis = rows()
     monkeypatch.setattr(volume, "rank_one", lambda *a: None)
     assert by_axis == pytest.approx(rows()) and len(by_axis) == image.count()
+
+
+def test_pairs_of_regions_lose_what_both_have(spark):
+    """In one grouping, whatever the number of regions; a cell that lacks a coordinate equals no other."""
+    r = np.random.default_rng(5)
+    rows = sorted({(int(k), int(x), int(y), 0) for k, x, y in r.integers(0, 4, (40, 3))}) + [(0, None, 1, 0), (1, None, 1, 0)]
+    stack = spark.createDataFrame(rows, "region_idx int, x int, y int, z int")
+    found = volume.pairs_without_overlap(stack)
+    want = [
+        (a, b, *row) for a in range(4) for b in range(a + 1, 4) for row in rows
+        if row[0] in (a, b) and (None in row or (a + b - row[0], *row[1:]) not in rows)
+    ]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
