@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import texts
+from seqloom.llm.common import texts, tidy
 from seqloom.llm.vocabulary import PieceCache, byte_letters
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
@@ -198,10 +198,12 @@ class WordBpe:
 
 
 def _codec(path: str) -> tuple[WordBpe, PieceCache]:
+    """The rules, which a worker keeps, and a cache of pieces of the task's own: a worker that kept it would hold
+    some 100 MB beside whatever runs next."""
     if path not in _loaded:
-        rules = WordBpe(path)
-        _loaded[path] = rules, PieceCache(rules.encode_pieces)
-    return _loaded[path]
+        _loaded[path] = WordBpe(path)
+    rules = _loaded[path]
+    return rules, PieceCache(rules.encode_pieces)
 
 
 def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,4 +266,4 @@ def _map(df: DataFrame, path: str, id_col: str, text_col: str, result, schema: p
                 ids = cache.encode(some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(result(some.column(0), ids, rules), schema=schema)
 
-    return texts(df, id_col, text_col).mapInArrow(run, ddl)
+    return texts(df, id_col, text_col).mapInArrow(tidy(run), ddl)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import if_small, materialise, mix64, texts
+from seqloom.llm.common import if_small, materialise, mix64, texts, tidy
 
 LEAST, THRESHOLD = 5, 0.6
 #: Characters of items that one block may hold; a longer item is a block of its own.
@@ -218,7 +218,7 @@ def _leaks(df, benchmark, least, threshold, block_chars, id_col, text_col, item_
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         rows = [(r.item_id, r.text) for r in part.collect()]  # about block_chars characters
-        hits = docs.mapInArrow(_search(rows, least, threshold), LEAKS)
+        hits = docs.mapInArrow(tidy(_search(rows, least, threshold)), LEAKS)
         if blocks > 1:
             hits = materialise(hits, "leaks")  # and the block is no longer needed
         found = hits if found is None else found.unionByName(hits)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import if_small, materialise, tasks
+from seqloom.llm.common import if_small, materialise, tasks, tidy
 
 #: Punctuation at the ends of a word; the word inside is a term of its own.
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’…"
@@ -242,7 +242,7 @@ def fit_on_labels(
     sample = _inputs(df, id_col, text_col, n_chars_col).join(F.broadcast(chosen), "doc_id").repartition(tasks(df.sparkSession), "doc_id")
     one = sample.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "n_chars")).alias("d"))
     rows = one.select("doc_id", "label", "d.text", "d.n_chars")
-    features = materialise(rows.mapInArrow(_features(with_stats), "doc_id long, label int, terms array<long>, stats array<double>"), "sample-terms")
+    features = materialise(rows.mapInArrow(tidy(_features(with_stats)), "doc_id long, label int, terms array<long>, stats array<double>"), "sample-terms")
     terms = _telling_terms(features, max_terms, least_rows, frequent)
     found = features.mapInArrow(_chosen_columns(terms), "doc_id long, label int, columns binary, stats array<double>").orderBy("doc_id").toArrow()
     lists = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in found.column("columns")]
@@ -272,7 +272,7 @@ def score(
                 scores = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scores, pa.float64())], schema=schema)
 
-    return _inputs(df, id_col, text_col, n_chars_col).mapInArrow(run, "doc_id long, score double")
+    return _inputs(df, id_col, text_col, n_chars_col).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def classify(df: DataFrame, model: Model, modulus: int, remainder: int, threshold: float = 0.7, **columns) -> DataFrame:
@@ -300,7 +300,7 @@ def below(df: DataFrame, model: Model, threshold: float, text_col: str = "text")
                 raw = model.raw(*_entries(lists, None, model), len(lists))
                 yield some.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) < threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def _columns_of(text: str, terms: dict[int, int], known: dict[str, tuple[int, ...]]) -> set[int]:

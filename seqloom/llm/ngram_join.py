@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import if_small, materialise, mix64, tasks, texts
+from seqloom.llm.common import if_small, materialise, mix64, tasks, texts, tidy
 from seqloom.llm.components import components
 from seqloom.llm.shingles import WordHashes, shingle_set
 
@@ -309,6 +309,21 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
 
 
+def _packed(docs: DataFrame, meeting: DataFrame) -> DataFrame:
+    """The classes (node, doc_id, mark) with size, sketch and text, one row for each. They are written where their texts
+    are read; only where rows are repeated are they shuffled, as that sorts all sketches and texts."""
+    rows = docs.join(if_small(meeting), ["doc_id", "mark"]).select("node", "text").mapInArrow(tidy(_pack), "node long, n long, sketch binary, packed binary")
+    rows = materialise(rows, "meeting-texts")
+    return rows if rows.count() == meeting.count() else materialise(rows.dropDuplicates(["node"]), "meeting-texts")
+
+
+def _paired(met: DataFrame) -> DataFrame:
+    """The pairs (a, b), a < b, of the nodes of each key, of which none has more than a small group's. A join, as no
+    array of a key's nodes is held."""
+    nodes = met.select("key", "node").distinct()
+    return nodes.withColumnRenamed("node", "a").join(nodes.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b")
+
+
 def _prefixes(met: DataFrame, refs: DataFrame) -> DataFrame:
     """(node, key, size): of each class and band the rarest keys, as many as hold one of each partner."""
     sets = refs.select("node", "ref", F.explode("sets").alias("s")).select("node", "ref", "s.*")
@@ -346,7 +361,7 @@ def _compared(pairs: DataFrame, classes: DataFrame, opened, agree) -> DataFrame:
     wanted = dealt.select("a", "block", F.col("b").alias("node")).union(dealt.select("a", "block", F.col("a").alias("node")).distinct())
     sent = wanted.join(classes, "node").withColumn("other", F.col("node") != F.col("a"))
     sent = sent.repartition(tasks(pairs.sparkSession), "a", "block").sortWithinPartitions("a", "block", "other", "node")
-    return sent.select("a", "block", "node", "n", "data").mapInArrow(run, "a long, b long")
+    return sent.select("a", "block", "node", "n", "data").mapInArrow(tidy(run), "a long, b long")
 
 
 def _filter_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -461,8 +476,8 @@ def _components(df: DataFrame, id_col: str, text_col: str, small_group: int, blo
     n = tasks(df.sparkSession)
     docs = texts(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     # one pass over the texts gives members, classes and keys; of the keys those that are shared are kept
-    scanned = docs.mapInArrow(_scan(4 * n, small_group), _SCAN_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
-    scanned = scanned.mapInArrow(_shared_keys(small_group, held), _MET_SQL)
+    scanned = docs.mapInArrow(tidy(_scan(4 * n, small_group)), _SCAN_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
+    scanned = scanned.mapInArrow(tidy(_shared_keys(small_group, held)), _MET_SQL)
     scanned = materialise(scanned, "shingle-classes", partition_by="kind")
     members = scanned.where("kind = 'member'").select("doc_id", "mark", "n", "cls", "cls2")
     copies = scanned.where("kind = 'class'").select("ref", "cls", "cls2", "doc_id", "mark", "sets")
@@ -473,12 +488,8 @@ def _components(df: DataFrame, id_col: str, text_col: str, small_group: int, blo
     met = materialise(_prefixes(scanned.where("kind = 'met'").select("ref", "band", "key", "size"), refs), "meetings")
     # only classes that meet others go on, with their sketches and texts
     meeting = materialise(classes.join(met.select("node").distinct(), "node").select("node", "doc_id", "mark"), "meeting-classes")
-    meeting = docs.join(if_small(meeting), ["doc_id", "mark"]).select("node", "text").mapInArrow(_pack, "node long, n long, sketch binary, packed binary")
-    meeting = materialise(meeting.dropDuplicates(["node"]), "meeting-texts")
-    small = met.where(F.col("size") <= small_group).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("m")).where("size(m) > 1")
-    small = small.select(
-        F.explode(F.expr("flatten(transform(sequence(0, size(m) - 2), i -> transform(slice(m, i + 2, size(m)), x -> struct(m[i] AS a, x AS b))))")).alias("p")
-    ).select("p.*")
+    meeting = _packed(docs, meeting)
+    small = _paired(met.where(F.col("size") <= small_group))
     large = met.where(F.col("size") > small_group).select("key", "node").distinct()
     first = large.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     groups = materialise(large.join(first, "key").select("key", "a", "node"), "meeting-groups")

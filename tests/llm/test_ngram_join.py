@@ -208,3 +208,27 @@ def test_near_copies_go_row_by_row(spark, monkeypatch, rows_to_broadcast):
     left = ngram_join.drop_near_duplicates(df)
     assert left.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([r for r in rows if r != rows[2]], key=str)
+
+
+def test_pairs_of_small_groups_need_no_arrays(spark):
+    met = spark.createDataFrame([(1, 5, 3), (1, 2, 3), (1, 9, 3), (1, 9, 3), (2, 7, 1), (3, 2, 2), (3, 5, 2)], "key long, node long, size int")
+    pairs = ngram_join._paired(met)
+    assert sorted(map(tuple, pairs.collect())) == [(2, 5), (2, 5), (2, 9), (5, 9)]
+    assert "collect_" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("repeats", [1, 3])
+def test_texts_of_classes_are_shuffled_only_if_rows_are_repeated(spark, monkeypatch, repeats):
+    written, keep = [], ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, label, *a: written.append(df) or keep(df, label, *a))
+    docs = spark.createDataFrame([(1, "a b c d e f", 11), (2, "g h i j k l", 12)] * repeats, "doc_id long, text string, mark long")
+    meeting = spark.createDataFrame([(100, 1, 11), (200, 2, 12)], "node long, doc_id long, mark long")
+    assert sorted((r.node, r.n) for r in ngram_join._packed(docs, meeting).collect()) == [(100, 2), (200, 2)]
+    assert ["Aggregate" in df._jdf.queryExecution().executedPlan().toString() for df in written] == [False, True][: min(2, repeats)]
+
+
+def test_a_task_gives_back_what_arrow_keeps(monkeypatch):
+    told = []
+    pool = type("Pool", (), {"release_unused": lambda self: told.append(True)})()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    assert list(common.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and told == [True]

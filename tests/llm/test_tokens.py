@@ -163,3 +163,10 @@ def test_flat_files_round_trip(spark):
     none = shared_folder(spark, "test-flat")
     token_counts.write_flat_tokens(df.where("false"), none, PATH, 49407)
     assert spark.read.schema(token_counts.FLAT).parquet(none).count() == 0
+
+
+def test_a_worker_keeps_rules_but_no_pieces():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    (rules, cache), (again, other) = bpe._codec(path), bpe._codec(path)
+    cache.encode(["some words here"])
+    assert rules is again and cache is not other and not other.whole.now and other.encode(["some words here"]) == cache.encode(["some words here"])
