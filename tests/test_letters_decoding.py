@@ -226,3 +226,13 @@ def test_discounted_probabilities_read_the_texts_once(spark, tmp_path):
     assert not any("texts" in f.rsplit("/", 2)[-2] for f in found.inputFiles())
     # three grams are counted once and one twice, so one count is worth 2 / 3
     assert {(r.history, r.next, round(r.p, 6)) for r in found.collect()} == {("a", "b", 0.666667), ("a", "c", 0.222222), ("b", "a", 0.333333), ("b", "c", 0.333333)}
+
+
+def test_models_cut_texts_once_a_word_and_write_what_is_read_again(spark, monkeypatch):
+    df = spark.createDataFrame([(" A b\t\tA ",), ("",), ("b",)], "text string").select(language.tokens(F.col("text")).alias("tokens"))
+    assert sorted(r.tokens for r in df.collect()) == [[], ["a", "b", "a"], ["b"]]
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan(df) and "arrays_zip" not in plan(language.ngram_counts(df, 1))
+    written, keep = [], language.cut_lineage
+    monkeypatch.setattr(language, "cut_lineage", lambda d, label: written.append(label) or keep(d, label))
+    assert language.interpolated_model(df, 2).count() == 4 and written.count("interpolated") == 1
