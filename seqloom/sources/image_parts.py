@@ -139,17 +139,20 @@ class ImagePartsReader(DataSourceReader):
             stream = gzip.GzipFile(fileobj=system.open_input_stream(part.file, compression=None))
         else:
             stream = system.open_input_file(part.file)
-        z, y, x = (a.ravel() for a in np.meshgrid(np.arange(z0, z1), np.arange(y0, y1), np.arange(x0, x1), indexing="ij"))
+        width, height = x1 - x0, y1 - y0
         with stream:
             for t in range(*part.frames):
                 stream.seek(offset + (t * nz + z0) * layer)
                 raw = stream.read((z1 - z0) * layer)
                 v = np.frombuffer(raw, kind).reshape(z1 - z0, ny, nx)[:, y0:y1, x0:x1].astype(float).ravel()
                 v = v * slope + intercept if slope else v
-                keep = np.flatnonzero(v) if self.skip_zero else np.arange(len(v))
-                for lo in range(0, len(keep), BATCH):
-                    at = keep[lo : lo + BATCH]
-                    columns = [pa.array(a[at].astype(np.int32)) for a in (x, y, z)]
+                # places are made for a batch at a time, as those of a slab take several times its values
+                for lo in range(0, len(v), BATCH):
+                    some = v[lo : lo + BATCH]
+                    at = lo + (np.flatnonzero(some) if self.skip_zero else np.arange(len(some)))
+                    if not len(at):
+                        continue
+                    columns = [pa.array(a.astype(np.int32)) for a in (at % width + x0, at // width % height + y0, at // (width * height) + z0)]
                     columns += [pa.array(np.full(len(at), t, np.int32)), pa.array(v[at])]
                     yield pa.RecordBatch.from_arrays([pa.array([part.name] * len(at)), *columns], names=["path", "x", "y", "z", "frame", "value"])
 

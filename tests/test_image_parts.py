@@ -98,3 +98,23 @@ def test_missing_and_empty(spark, tmp_path):
     with pytest.raises(Exception, match="nowhere"):
         image_parts.read_image_parts(spark, str(tmp_path / "nowhere")).count()
     assert image_parts.read_image_parts(spark, str(tmp_path)).count() == 0
+
+
+def test_a_part_holds_no_places_of_its_whole_slab(tmp_path):
+    import tracemalloc
+
+    from seqloom.sources import image_parts
+
+    path, (nx, ny, nz) = tmp_path / "a.nii", (100, 100, 200)
+    path.write_bytes(image_parts.header_bytes((nx, ny, nz), 1, (1.0, 1.0, 1.0), 1.0) + np.arange(nx * ny * nz, dtype="<f4").tobytes())
+    reader = image_parts.ImagePartsReader({"path": str(path), "skipzero": "true"})
+    (part,) = reader.partitions()
+    tracemalloc.start()
+    n = 0
+    for b in reader.read(part):
+        x, y, z, v = (b.column(c).to_numpy() for c in ("x", "y", "z", "value"))
+        assert ((z.astype(int) * ny + y) * nx + x == v).all()
+        n += len(v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == nx * ny * nz - 1 and peak < 40 * nx * ny * nz, peak
